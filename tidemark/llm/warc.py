@@ -188,11 +188,25 @@ def segments(fields: dict[str, str], block: bytes) -> tuple:
     return (rid, number, None, kind, page, fields.get("warc-target-uri"), digest, _number(fields.get("x-refers-to-page-id")), _number(fields.get("x-payload-length")), block)
 
 
+def checked_payload(block: bytes, digest: str | None) -> bytes:
+    payload = http_payload(block)
+    found = base32_digest(hashlib.sha1(payload).digest())
+    if found != digest:
+        raise WarcError(f"payload digest is {found}, header says {digest}")
+    return payload
+
+
+def decoded(row: tuple, with_payload: bool) -> tuple:
+    """A whole record with the length of its payload; its block becomes the payload, if wanted."""
+    if row[3] != "response":
+        return (*row[:-1], None)
+    payload = checked_payload(row[-1], row[6])
+    return (*row[:-2], len(payload), payload if with_payload else None)
+
+
 def reassembled(parts: list[tuple[int, int | None, bytes]]) -> bytes:
     """The block of a record from its segments (number, total length of the record if last, bytes)."""
     parts = sorted(parts, key=lambda x: x[0])
-    if len(parts) == 1 and parts[0][0] == 0:
-        return parts[0][2]
     if [x[0] for x in parts] != list(range(1, len(parts) + 1)):
         raise WarcError(f"segments {[x[0] for x in parts]} do not follow each other")
     block = b"".join(x[2] for x in parts)
@@ -204,7 +218,7 @@ def reassembled(parts: list[tuple[int, int | None, bytes]]) -> bytes:
 def read_archive(spark: SparkSession, manifest: DataFrame, *, with_payload: bool = True) -> DataFrame:
     """One row per WARC record of the manifest's files, continuations joined to their origin, payload decoded.
 
-    Only segmented blocks are shuffled; whole records are decoded where they are read.
+    Whole records are decoded and checked where they are read; without `with_payload` only segments travel on.
     """
     files = manifest.count()
 
@@ -214,8 +228,11 @@ def read_archive(spark: SparkSession, manifest: DataFrame, *, with_payload: bool
             for path in batch.column(0).to_pylist():
                 with open_input(path) as raw, gzip.GzipFile(fileobj=raw) as stream:
                     for fields, block in parse_file(stream):
-                        rows.append(segments(fields, block))
-                        held += len(block)
+                        row = segments(fields, block)
+                        if row[1] == 0:
+                            row = decoded(row, with_payload)
+                        rows.append(row)
+                        held += len(row[-1] or b"")
                         if held > 16_000_000 or len(rows) >= 10_000:
                             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), SEGMENT, strict=True)], schema=SEGMENT)
                             rows, held = [], 0
@@ -234,14 +251,11 @@ def read_archive(spark: SparkSession, manifest: DataFrame, *, with_payload: bool
             for kind, page_id, url, digest, refers_to, length, parts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if kind is None:
                     raise WarcError("continuation records without their origin")
-                if kind == "revisit":
-                    rows.append((page_id, url, length, digest, kind, refers_to, 1, None))
+                if len(parts) == 1 and parts[0]["segment"] == 0:
+                    rows.append((page_id, url, length, digest, kind, refers_to, 1, parts[0]["block"]))
                     continue
-                payload = http_payload(reassembled([(x["segment"], x["total"], x["block"]) for x in parts]))
-                found = base32_digest(hashlib.sha1(payload).digest())
-                if found != digest:
-                    raise WarcError(f"payload digest is {found}, header says {digest}")
-                rows.append((page_id, url, len(payload), found, kind, None, len(parts), payload))
+                payload = checked_payload(reassembled([(x["segment"], x["total"], x["block"]) for x in parts]), digest)
+                rows.append((page_id, url, len(payload), digest, kind, None, len(parts), payload))
             columns = list(zip(*rows, strict=True)) if rows else [()] * 8
             yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns[: len(out)], out, strict=True)], schema=out)
 
