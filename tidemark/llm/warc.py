@@ -29,6 +29,8 @@ from .common import materialize, open_input, open_output, shared_dir
 SEGMENT_BYTES = 16 * 1024
 CHUNK_BYTES = 4 * 1024
 FILE_BYTES = 64 * 1024 * 1024
+#: Stands for a null page_id while records are dealt out.
+NULL_ID = -(1 << 63)
 HEAD = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n"
 MANIFEST = "path string, records long, bytes long"
 
@@ -113,19 +115,21 @@ def write_archive(pages: DataFrame, *, segment_bytes: int = SEGMENT_BYTES, file_
     """
     spark = pages.sparkSession
     base = directory or shared_dir(spark, "warc")
-    p = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html")).withColumn("sha", F.sha1("html"))
+    page = F.coalesce(F.col("page_id").cast("long"), F.lit(NULL_ID))
+    p = pages.select(page.alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html")).withColumn("sha", F.unhex(F.sha1("html")))
     ids = p.groupBy("page_id", "sha").agg(F.count(F.lit(1)).alias("times"))
     owner = ids.groupBy("sha").agg(F.max("page_id").alias("owner"))
     role = ids.join(owner, "sha").select(F.col("page_id").alias("r_page"), F.col("sha").alias("r_sha"), "times", "owner")
     body = p.groupBy("page_id", "sha").agg(F.first("html").alias("html"), F.first("url", ignorenulls=True).alias("url"))
-    rows = body.join(role, body.page_id.eqNullSafe(role.r_page) & (body.sha == role.r_sha)).select("page_id", "url", "html", "sha", "times", "owner")
+    known = [F.when(F.col(c) != NULL_ID, F.col(c)).alias(c) for c in ("page_id", "owner")]
+    rows = body.join(role, (F.col("page_id") == F.col("r_page")) & (F.col("sha") == F.col("r_sha"))).select(known[0], "url", "html", "sha", "times", known[1])
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, done, path, n, size = None, [], "", 0, 0
         try:
             for batch in batches:
                 for page_id, url, html, sha, times, owner_id in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                    payload, digest = html.encode(), base32_digest(bytes.fromhex(sha))
+                    payload, digest = html.encode(), base32_digest(sha)
                     for k in range(times):
                         revisit = k > 0 or page_id != owner_id
                         for rec in page_records(page_id, url, payload, digest, owner_id, revisit, k, segment_bytes):
