@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import langid, simhash, warc
+from . import frames, langid, mixing, packing, quality, simhash, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,9 +28,25 @@ def op3_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(_table(spark, sf_dir, "documents"))
 
 
+def op4_token_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return frames.read_tokens(spark, frames.write_tokens(_table(spark, sf_dir, "documents")))
+
+
+def op5_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"))
+
+
+def op6_hash_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_table(spark, sf_dir, "documents")).withColumn("target", F.round("target", 6))
+
+
+def op8_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.verdicts(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc_reassembly, op2_simhash_anchors, op3_language_crf)}
+    return {f.__name__: f for f in (op1_warc_reassembly, op2_simhash_anchors, op3_language_crf, op4_token_frames, op5_pattern_packing, op6_hash_mixing, op8_host_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_hash_mixing": mixing.ORACLE, "op8_host_quality": quality.ORACLE}
