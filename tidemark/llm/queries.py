@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import frames, langid, mixing, packing, quality, simhash, warc
+from . import frames, langid, license, mixing, packing, quality, simhash, topk, unigram, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,13 +40,26 @@ def op6_hash_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents")).withColumn("target", F.round("target", 6))
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license.scan(_table(spark, sf_dir, "documents"))
+
+
 def op8_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.verdicts(_table(spark, sf_dir, "documents"))
 
 
+def op9_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings")
+    return topk.top_k(vectors, vectors.where(F.pmod("vec_id", F.lit(100)) == 0))
+
+
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return unigram.count_tokens(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc_reassembly, op2_simhash_anchors, op3_language_crf, op4_token_frames, op5_pattern_packing, op6_hash_mixing, op8_host_quality)}
+    return {f.__name__: f for f in (op1_warc_reassembly, op2_simhash_anchors, op3_language_crf, op4_token_frames, op5_pattern_packing, op6_hash_mixing, op7_license_scan, op8_host_quality, op9_exact_topk, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_hash_mixing": mixing.ORACLE, "op8_host_quality": quality.ORACLE}
+    return {"op6_hash_mixing": mixing.ORACLE, "op8_host_quality": quality.ORACLE, "op9_exact_topk": topk.ORACLE}
