@@ -1,13 +1,86 @@
-"""The corpus pipeline: quality rules, language ID, near-duplicates, mixing, packing."""
+"""The corpus pipeline: quality rules, language ID, near-duplicates, mixing to target weights, packing.
+
+Every stage but the last returns the columns of the documents it was given.  Rejected are: documents that fail the
+quality rules or whose host does; texts without a letter or without a clear language; all but one document of each
+near-duplicate group; and what the mix does not take (documents that it takes twice appear twice).  A row whose doc_id is
+null cannot be named as a duplicate and is kept there; extra columns come along under any name but those that start with
+two underscores.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidemark.llm import langid, mixing, packing, quality, simhash
+from tidemark.llm.common import small_or_shuffled
+
+#: Least share of a text's words that its language must have.
+MIN_LANGUAGE_SHARE = 0.4
+
+#: Language models and near-duplicates have no SQL form.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def _with_row(docs: DataFrame, *columns: str) -> DataFrame:
+    """The named columns, and all columns as one struct that no helper column can clash with."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), *columns)
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the base rules and whose host passes."""
+    rows = quality.with_features(_with_row(docs, "doc_id", "source", "text"))
+    counted = quality.with_features(docs.select("source", "text")).select("source", "base_failed")
+    return quality.judged(rows, counted).where("kept").select("__row.*")
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a language."""
+    found = _with_row(docs, "text").withColumn("__lang", langid.prediction(spark, langid.train(docs)))
+    return found.where((F.col("__lang.lang_pred") != "und") & (F.col("__lang.score") >= MIN_LANGUAGE_SHARE)).select("__row.*")
+
+
+def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each near-duplicate group; of rows that repeat id and text, one."""
+    groups = simhash.near_duplicates(docs.select("doc_id", "text"))
+    ids = groups.groupBy("doc_id").agg(F.count(F.lit(1)).alias("times"), F.max((F.col("doc_id") != F.col("component_id")).cast("int")).alias("gone"))
+    odd = ids.where("doc_id is not null and (gone = 1 or times > 1)").select(F.col("doc_id").alias("__id"), "times", "gone").cache()
+    n = odd.count()
+    marked = _with_row(docs, "doc_id", "text").join(small_or_shuffled(odd, n), F.col("doc_id") == F.col("__id"), "left")
+    once = marked.where("__id is null").select("__row.*")
+    if odd.where("gone = 0").isEmpty():
+        return once
+    repeated = marked.where("gone = 0").dropDuplicates(["doc_id", "text"]).select("__row.*")
+    return once.unionByName(repeated)
+
+
+def mixing_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them."""
+    taken = mixing.mix(docs, carry=docs.columns).where("copies > 0")
+    return taken.select(F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("__copy"), *[F.col(f"`__{c}`").alias(c) for c in docs.columns]).drop("__copy")
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Places of all pieces in sequences."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("language_id", language_id),
+    ("simhash_dedup", simhash_dedup),
+    ("mixing_to_weights", mixing_to_weights),
+    ("best_fit_packing", best_fit_packing),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents, each written to the shared folder and read again."""
+    from tidemark.llm.common import materialize
+
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs = materialize(docs, name)
     return docs
