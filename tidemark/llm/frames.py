@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.taskcontext import TaskContext
 
 from .common import in_parts, materialize, open_input, open_output, shared_dir
-from .tokens import END_ID, WordEncoder, default_path
+from .tokens import END_ID, default_path, word_encoder
 
 FRAME_BYTES = 256 * 1024
 LEVEL = 3
@@ -142,7 +142,7 @@ def write_tokens(docs: DataFrame, *, tokenizer: str | None = None, end_id: int =
         encoder, out, name = None, None, ""
         for batch in in_parts(batches, 2000, "text", 16_000_000):
             if out is None:
-                encoder, name = WordEncoder(path, end_id), f"{base}/{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.tokens.zst"
+                encoder, name = word_encoder(path, end_id), f"{base}/{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.tokens.zst"
                 out = TokenFileWriter(open_output(name), frame_bytes)
             for doc_id, ids in zip(batch.column(0).to_pylist(), encoder.encode(batch.column(1).to_pylist()), strict=True):
                 out.add(doc_id, ids)

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import in_parts, materialize
-from .tokens import END_ID, WordEncoder, default_path
+from .tokens import END_ID, default_path, word_encoder
 
 CAPACITY = 4096
 WIDTH = 32
@@ -41,7 +41,7 @@ def pieces(docs: DataFrame, *, capacity: int = CAPACITY, tokenizer: str | None =
     path = tokenizer or default_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(path, end_id)
+        encoder = word_encoder(path, end_id)
         for batch in in_parts(batches, 2000, "text", 16_000_000):
             rows = []
             for doc_id, ids in zip(batch.column(0).to_pylist(), encoder.encode(batch.column(1).to_pylist()), strict=True):

@@ -8,11 +8,12 @@ word and is left to the library.
 from __future__ import annotations
 
 import os
+from functools import lru_cache
 
 import numpy as np
 
 END_ID = 1
-CACHE_WORDS = 300_000
+CACHE_WORDS = 250_000
 
 
 def default_path() -> str:
@@ -21,31 +22,101 @@ def default_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+#: Marks that may follow a word; the tokenizer always parts them from the letters before.
+MARKS = b".,;:!?"
+#: Letter words given to the library as one text.
+JOINED = 512
+
+
+def spelled(text: str) -> bytes:
+    """The bytes of a text; lower-case, if that alone is what the tokenizer makes of it (special tokens are told by case)."""
+    data = text.encode()
+    return data.lower() if text.isascii() and b"<|" not in data else data
+
+
 class WordEncoder:
-    """Little-endian unsigned 32-bit ids of whole texts."""
+    """Little-endian unsigned 32-bit ids of whole texts.
+
+    Words of letters alone, and what precedes trailing marks, are single pre-tokens, so many of them go to the library
+    as one text and are told apart by the end-of-word ids; all other words are encoded one by one.
+    """
 
     def __init__(self, path: str, end_id: int = END_ID, cache_words: int = CACHE_WORDS) -> None:
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        if suffix:
+            self.closes[[i for piece, i in vocabulary.items() if piece.endswith(suffix)]] = True
+        self.joins = bool(suffix)
         self.end = np.array([end_id], "<u4").tobytes()
         self.most = cache_words
         self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
+        self.letters: dict[str, bytes] = {}
+        self.older_letters: dict[str, bytes] = {}
+
+    def _alone(self, words: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+    def _letters(self, words: list[str]) -> None:
+        """Learn words of letters."""
+        for at in range(0, len(words), 64 * JOINED):
+            lists = [words[i : i + JOINED] for i in range(at, min(at + 64 * JOINED, len(words)), JOINED)]
+            for part, e in zip(lists, self.tokenizer.encode_batch_fast([" ".join(x) for x in lists], add_special_tokens=False), strict=True):
+                ids = np.array(e.ids, "<u4")
+                ends = np.flatnonzero(self.closes[ids]) + 1
+                if len(ends) == len(part):
+                    data, bounds = ids.tobytes(), (4 * ends).tolist()
+                    self.letters.update(zip(part, map(data.__getitem__, map(slice, [0, *bounds[:-1]], bounds)), strict=True))
+                else:  # letters that normalization turns into something else
+                    self.letters.update(zip(part, self._alone(part), strict=True))
 
     def learn(self, texts: list[list[bytes]]) -> None:
-        new = list(set().union(*texts).difference(self.known)) if texts else []
-        if len(self.known) + len(new) > self.most:
-            self.known = {}
-            new = list(set().union(*texts))
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            found = self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
-            self.known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(part, found, strict=True))
+        """Make sure that all words are known; what was not met for about `most` words is forgotten."""
+        words = set().union(*texts)
+        if len(self.known) > self.most:
+            self.older, self.known = self.known, {}
+        if len(self.letters) > 2 * self.most:
+            self.older_letters, self.letters = self.letters, {}
+        new = words.difference(self.known)
+        again = new.intersection(self.older)
+        if again:
+            older = self.older
+            self.known.update((w, older[w]) for w in again)
+            new -= again
+        simple, other = [], []
+        for w in new:
+            bare = w.rstrip(MARKS)
+            text = bare.decode().lower() if bare.isascii() else bare.decode()
+            (simple if self.joins and text.isalpha() else other).append((w, text, w[len(bare) :]))
+        need = {t for _, t, _ in simple}.difference(self.letters)
+        again = need.intersection(self.older_letters)
+        if again:
+            older = self.older_letters
+            self.letters.update((t, older[t]) for t in again)
+            need -= again
+        self._letters(list(need))
+        tails = list({m for *_, m in simple if m})
+        after = dict(zip(tails, self._alone([m.decode() for m in tails]), strict=True))
+        letters = self.letters
+        self.known.update((w, letters[t] + after[m] if m else letters[t]) for w, t, m in simple)
+        for at in range(0, len(other), 20_000):
+            part = [w for w, _, _ in other[at : at + 20_000]]
+            self.known.update(zip(part, self._alone([w.decode() for w in part]), strict=True))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text and the end id, as bytes."""
-        words = [(t or "").encode().split() for t in texts]
+        words = [spelled(t or "").split() for t in texts]
         self.learn(words)
         of = self.known.__getitem__
         return [b"".join([*map(of, w), self.end]) for w in words]
+
+
+@lru_cache(maxsize=1)
+def word_encoder(path: str, end_id: int = END_ID) -> WordEncoder:
+    """This process's encoder, which keeps what it has learned between tasks."""
+    return WordEncoder(path, end_id)
