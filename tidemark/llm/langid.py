@@ -14,17 +14,16 @@ label; with no labelled row at all everything is `und`; rows repeated or with a
 rows whose id is null belong to the training side; other columns are ignored.
 """
 
-from __future__ import annotations
-
 import re
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import in_parts
@@ -238,6 +237,18 @@ class Labeller:
         return total[rank] / lengths[:, None]
 
 
+def labelled(labeller: Labeller | None, texts: Iterable[str | None]) -> list[tuple[str, float]]:
+    """(language, score) of each text."""
+    out = [("und", 0.0) for _ in texts]
+    if labeller:
+        docs = [words_of(x) for x in texts]
+        at = [i for i, w in enumerate(docs) if has_letter(w)]
+        if at:
+            for i, s in zip(at, labeller.shares([docs[i] for i in at]), strict=True):
+                out[i] = labeller.crf.languages[int(s.argmax())], min(1.0, float(s.max()))
+    return out
+
+
 def training_side() -> F.Column:
     """Rows that training may see: crc32 of the id as text is not divisible by 5."""
     return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) != 0
@@ -274,19 +285,26 @@ def predict(docs: DataFrame, crf: Crf | None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labeller = Labeller(model.value) if model.value else None
         for batch in in_parts(batches, 4000, "text", 8_000_000):
-            langs, scores = ["und"] * batch.num_rows, [0.0] * batch.num_rows
-            if labeller:
-                docs = [words_of(x) for x in batch.column(1).to_pylist()]
-                at = [i for i, w in enumerate(docs) if has_letter(w)]
-                if at:
-                    shares = labeller.shares([docs[i] for i in at])
-                    for i, s in zip(at, shares, strict=True):
-                        langs[i], scores[i] = labeller.crf.languages[int(s.argmax())], min(1.0, float(s.max()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs), pa.array(scores)], names=["doc_id", "lang_pred", "score"])
+            found = labelled(labeller, batch.column(1).to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], names=["doc_id", "lang_pred", "score"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
 
 
+def prediction(spark: SparkSession, crf: Crf | None, text: str = "text") -> F.Column:
+    """A column with struct (lang_pred, score) for rows that go on with all their columns."""
+    model = spark.sparkContext.broadcast(crf)
+
+    @F.pandas_udf("lang_pred string, score double")
+    def label(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        labeller = Labeller(model.value) if model.value else None
+        for part in parts:
+            found = [x for lo in range(0, len(part), 1000) for x in labelled(labeller, part.iloc[lo : lo + 1000])]
+            yield pd.DataFrame(found, columns=["lang_pred", "score"])
+
+    return label(F.col(text))
+
+
 def identify(docs: DataFrame, **how) -> DataFrame:
     """(doc_id, held_out, lang_pred, score): train on the training side of docs, predict every row."""
     out = predict(docs, train(docs, **how))
