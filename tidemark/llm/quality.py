@@ -25,22 +25,32 @@ STRENGTH = (2.0, 1000.0)
 FEATURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
 
 
-def with_features(docs: DataFrame) -> DataFrame:
-    """docs (text, ...) with the base features; helper columns start with two underscores."""
-    trimmed = F.btrim(F.coalesce("text", F.lit("")), F.lit(" \t\n\x0b\x0c\r"))
-    d = docs.withColumn("__t", F.coalesce("text", F.lit(""))).withColumn("__w", F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, SPACE)))
-    d = d.withColumn("n_words", F.size("__w").cast("long"))
-    # hashes of the 5-word windows only tell whether any window may repeat; the count below compares words
-    d = d.withColumn("__h", F.expr("if(n_words < 6, array(0L), transform(sequence(0, int(n_words) - 5), i -> xxhash64(__w[i], __w[i + 1], __w[i + 2], __w[i + 3], __w[i + 4])))"))
-    windows = "sort_array(transform(sequence(0, int(n_words) - 5), i -> struct(concat_ws(' ', slice(__w, i + 1, 5)) as w, i as i)))"
-    repeated = "sort_array(transform(filter(a, (s, j) -> (j > 0 and a[greatest(j - 1, 0)].w = s.w) or (j < size(a) - 1 and a[least(j + 1, size(a) - 1)].w = s.w)), s -> s.i))"
+def _let(name: str, value: str, body: str) -> str:
+    """SQL for `body` with a lambda variable for `value`: evaluated once, wherever the optimizer moves the expression."""
+    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
+
+
+def _features() -> str:
+    """SQL for a struct of the base features of the column `text`."""
+    word, space = (x.replace("\\", "\\\\") for x in (WORD, SPACE))
+    windows = "sort_array(transform(sequence(0, size(w) - 5), i -> struct(concat_ws(' ', slice(w, i + 1, 5)) as g, i as i)))"
+    repeated = "sort_array(transform(filter(a, (s, j) -> (j > 0 and a[greatest(j - 1, 0)].g = s.g) or (j < size(a) - 1 and a[least(j + 1, size(a) - 1)].g = s.g)), s -> s.i))"
     covered = f"aggregate({repeated}, named_struct('n', 0L, 'last', -5), (acc, p) -> named_struct('n', acc.n + least(5, p - acc.last), 'last', p), acc -> acc.n)"
-    repeats = F.expr(f"if(size(array_distinct(__h)) = size(__h), 0L, element_at(transform(array({windows}), a -> {covered}), 1))")
-    lines = F.expr(rf"filter(split(__t, '\n'), l -> l rlike '{WORD}')".replace("\\", "\\\\"))
-    d = d.withColumn("__l", lines)
-    d = d.withColumn("word_chars", F.length(F.array_join("__w", "")).cast("long")).withColumn("n_symbols", F.regexp_count("__t", F.lit("[#*$%&|<>]")).cast("long"))
-    d = d.withColumn("n_dup_lines", (F.size("__l") - F.size(F.array_distinct("__l"))).cast("long")).withColumn("n_repeat_words", repeats.cast("long"))
-    return d.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * MAX_REPEAT_PERCENT)).drop("__t", "__w", "__h", "__l")
+    # hashes of the 5-word windows only tell whether any window may repeat; the count compares words
+    hashes = "transform(sequence(0, size(w) - 5), i -> xxhash64(w[i], w[i + 1], w[i + 2], w[i + 3], w[i + 4]))"
+    repeats = f"if(size(w) < 6, 0L, {_let('h', hashes, f'if(size(array_distinct(h)) = size(h), 0L, {_let("a", windows, covered)})')})"
+    duplicates = _let("l", f"filter(split(t, '\\n'), x -> x rlike '{word}')", "bigint(size(l) - size(array_distinct(l)))")
+    counts = f"named_struct('n_words', bigint(size(w)), 'word_chars', bigint(length(array_join(w, ''))), 'n_symbols', bigint(regexp_count(t, '[#*$%&|<>]')), 'n_dup_lines', {duplicates}, 'n_repeat_words', {repeats})"
+    fields = ", ".join(f"'{c}', f.{c}" for c in FEATURES[:-1])
+    judged = _let("f", counts, f"named_struct({fields}, 'base_failed', f.n_words < {MIN_WORDS} or 100 * f.n_repeat_words > {MAX_REPEAT_PERCENT} * f.n_words)")
+    words = f"if(b = '', cast(array() as array<string>), split(b, '{space}'))"
+    return _let("t", "coalesce(text, '')", _let("b", "btrim(t, ' \\t\\n\\u000b\\u000c\\r')", _let("w", words, judged)))
+
+
+def with_features(docs: DataFrame) -> DataFrame:
+    """docs (text, ...) with the base features."""
+    kept = [F.col(f"`{c}`") for c in docs.columns]
+    return docs.withColumn("__f", F.expr(_features())).select(*kept, *[F.col(f"__f.{c}").alias(c) for c in FEATURES])
 
 
 def host_verdicts(rows: DataFrame, max_rate: float = MAX_RATE) -> DataFrame:
@@ -62,7 +72,7 @@ def verdicts(docs: DataFrame, *, max_rate: float = MAX_RATE) -> DataFrame:
 
 def judged(rows: DataFrame, counted: DataFrame, max_rate: float = MAX_RATE) -> DataFrame:
     """rows (source, base_failed, ...) with their host's rate and `kept`; hosts are counted over `counted`."""
-    hosts = materialize(host_verdicts(counted, max_rate), "hosts")
+    hosts = materialize(host_verdicts(counted, max_rate), "hosts", one_file=True)
     small = small_or_shuffled(hosts.select("host", "rate", "host_kept"), hosts.count())
     return rows.join(small, F.col("source").eqNullSafe(F.col("host"))).withColumn("kept", ~F.col("base_failed") & F.col("host_kept"))
 
