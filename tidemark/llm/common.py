@@ -30,8 +30,12 @@ def shared_dir(spark: SparkSession, kind: str) -> str:
     return f"{shared_base(spark)}/tidemark/{kind}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, kind: str = "table") -> DataFrame:
-    """Write a (narrow) result to the shared folder and read it back: it cuts the lineage and survives lost executors."""
+def materialize(df: DataFrame, kind: str = "table", *, one_file: bool = False) -> DataFrame:
+    """Write a (narrow) result to the shared folder and read it back: it cuts the lineage and survives lost executors.
+
+    one_file: for tables of a row a source, host or file, which pass through one last small task.
+    """
+    df = df.repartition(1) if one_file else df
     path = shared_dir(df.sparkSession, kind)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -65,7 +65,7 @@ def thresholds(sized: DataFrame, goals: DataFrame, n_sources: int) -> DataFrame:
     sized: (source, size, h); goals: (source, source_size, target).
     """
     times = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.nullif(F.col("source_size"), F.lit(0)))).otherwise(0).cast("long")
-    state = materialize(goals.withColumn("times", times).withColumn("left", F.col("target") - F.col("times") * F.col("source_size")).select(F.col("source").alias("s_source"), "times", "left", F.lit(0).cast("long").alias("prefix"), F.lit(False).alias("all")), "mix-goals")
+    state = materialize(goals.withColumn("times", times).withColumn("left", F.col("target") - F.col("times") * F.col("source_size")).select(F.col("source").alias("s_source"), "times", "left", F.lit(0).cast("long").alias("prefix"), F.lit(False).alias("all")), "mix-goals", one_file=True)
     for level in range(LEVELS):
         shift = HASH_BITS - LEVEL_BITS * (level + 1)
         open_ = state.where(~F.col("all"))
@@ -86,6 +86,7 @@ def thresholds(sized: DataFrame, goals: DataFrame, n_sources: int) -> DataFrame:
                 F.when(found, F.col("tokens")).alias("last"),
             ),
             "mix-thresholds",
+            one_file=True,
         )
         last = state.select("s_source", "times", "prefix", "all", (F.col("left") * 2 >= F.col("last")).alias("nearer"))
         state = state.drop("last")
@@ -101,9 +102,9 @@ def mix(docs: DataFrame, *, carry: list[str] | None = None, weights: tuple = WEI
     kept = [F.col(c).alias(f"__{c}") for c in carry or []]
     rows = docs.select(F.col("doc_id"), F.col("source"), word_count().alias("size"), document_hash().alias("h"), *kept)
     sized = materialize(rows.select("doc_id", "source", "size", "h"), "mix-sizes")
-    sources = materialize(sized.groupBy("source").agg(F.sum("size").alias("source_size")), "mix-sources")
+    sources = materialize(sized.groupBy("source").agg(F.sum("size").alias("source_size")), "mix-sources", one_file=True)
     n = sources.count()
-    goals = materialize(targets(sources, weights, share, cap), "mix-targets")
+    goals = materialize(targets(sources, weights, share, cap), "mix-targets", one_file=True)
     cut = thresholds(sized, goals, n)
     table = goals.join(cut, _same("source", "s_source")).select(F.col("source").alias("g_source"), "source_size", "target", "times", "below")
     copies = F.when(F.col("source_size") > 0, F.col("times") + (F.col("h") < F.col("below")).cast("long")).otherwise(F.lit(0)).cast("long")

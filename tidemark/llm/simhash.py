@@ -187,7 +187,7 @@ def near_links(distinct: DataFrame, threshold: int = 2, home_block: int = 4096)
                 yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(part[index]), pa.array(home)], names=["anchor", "fp", "home"])
 
     rows = distinct.select("fp").mapInArrow(replicate, "anchor long, fp long, home boolean")
-    hot = materialize(distinct.select("fp").mapInArrow(homes, "anchor long").groupBy("anchor").count().where(F.col("count") > home_block).select(F.col("anchor").alias("hot"), F.ceil(F.col("count") / home_block).cast("int").alias("blocks")), "hot-anchors")
+    hot = materialize(distinct.select("fp").mapInArrow(homes, "anchor long").groupBy("anchor").count().where(F.col("count") > home_block).select(F.col("anchor").alias("hot"), F.ceil(F.col("count") / home_block).cast("int").alias("blocks")), "hot-anchors", one_file=True)
     if (n := hot.count()) == 0:
         rows = rows.withColumn("block", F.lit(0))
     else:

@@ -150,7 +150,7 @@ def write_archive(pages: DataFrame, *, segment_bytes: int = SEGMENT_BYTES, file_
         if done:
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in done]) for i in range(3)], names=["path", "records", "bytes"])
 
-    return materialize(rows.mapInArrow(write, MANIFEST), "warc-manifest")
+    return materialize(rows.mapInArrow(write, MANIFEST), "warc-manifest", one_file=True)
 
 
 def parse_file(stream) -> Iterator[tuple[dict[str, str], bytes]]:
