@@ -102,7 +102,7 @@ def bm3(swh: Column, wind: Column) -> Column:
 def hash_normal(row_id: Column, seed: int = 1) -> Column:
     """A standard normal number that depends on the row's id alone, so any partitioning gives the same noise."""
     m = 2147483647
-    u = [F.pmod(F.pmod(row_id + F.lit(seed * 7919 + k), F.lit(m)) * F.lit(a), F.lit(m)) for k, a in ((1, 16807), (2, 48271))]
+    u = [F.pmod(F.pmod(row_id + F.lit(seed * 7919 + k), F.lit(m)) * F.lit(a), F.lit(m)) for k, a in ((1, 742938285), (2, 950706376))]
     u1, u2 = ((x + F.lit(0.5)) / F.lit(float(m)) for x in u)
     return F.sqrt(F.lit(-2.0) * F.ln(u1)) * F.cos(F.lit(2 * math.pi) * u2)
 

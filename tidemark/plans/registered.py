@@ -159,9 +159,9 @@ def _nested(spark, sf_dir):
 _USLA_K = repr(physics.KU_TO_C) + "::DOUBLE"
 
 
-@query("P5_usla", f"SELECT id, {_r('ssha + sea_state_bias_ku + iono_corr_alt_ku - iono_corr_gim_ku', 'ku')}, {_r(f'ssha + sea_state_bias_ku + iono_corr_alt_ku + range_ku - range_c - {_USLA_K} * iono_corr_gim_ku', 'c')} FROM (SELECT *, usla_ku - 1000037e-8 * swh_ku AS ssha FROM obs)")
+@query("P5_usla", f"SELECT id, {_r('ssha + sea_state_bias_ku + iono_corr_alt_ku - iono_corr_gim_ku', 'ku')}, {_r(f'ssha + sea_state_bias_ku + iono_corr_alt_ku + range_ku - range_c - {_USLA_K} * iono_corr_gim_ku', 'c')} FROM (SELECT *, usla_ku - 123456789e-10 * swh_ku AS ssha FROM obs)")
 def _usla(spark, sf_dir):
-    o = observations(spark, sf_dir).withColumn("ssha", F.col("usla_ku") - 0.01000037 * F.col("swh_ku"))
+    o = observations(spark, sf_dir).withColumn("ssha", F.col("usla_ku") - 0.0123456789 * F.col("swh_ku"))
     iono = physics.iono_for_usla(F.col("iono_corr_gim_ku"), F.col("iono_corr_alt_ku"), MISSION, F.col("cycle"))
     ku, c = physics.uncorrected_heights(F.col("ssha"), F.col("sea_state_bias_ku"), F.col("iono_corr_alt_ku"), F.col("range_ku"), F.col("range_c"), iono, MISSION)
     return o.select("id", r6(ku).alias("ku"), r6(c).alias("c"))
@@ -200,7 +200,7 @@ def _wind_sql(sig0: str, bias: str = "32e-2", swh: str = "swh_ku") -> str:
 
 def _noise_sql(rms: str, seed: int) -> str:
     m = 2147483647
-    u = [f"((((id + {seed * 7919 + k}) % {m}) * {a}) % {m} + 5e-1) / {m}e0" for k, a in ((1, 16807), (2, 48271))]
+    u = [f"((((id + {seed * 7919 + k}) % {m}) * {a}) % {m} + 5e-1) / {m}e0" for k, a in ((1, 742938285), (2, 950706376))]
     return f"(CASE WHEN {rms} > 0 THEN {rms} * (sqrt(-2e0 * ln({u[0]})) * cos(6283185307179586e-15 * ({u[1]}))) ELSE 0e0 END)"
 
 
@@ -643,20 +643,20 @@ def _mse(spark, sf_dir):
 # --- outliers ---------------------------------------------------------------------------------------------------------
 
 
-def _outlier_sql(value: str, z: float, rounds: int, by: str = "") -> str:
+def _outlier_sql(value: str, z: str, rounds: int, by: str = "") -> str:
     part = f"PARTITION BY {by}" if by else ""
     ctes = [f"o0 AS (SELECT id, {by + ', ' if by else ''}{value} AS v FROM obs)"]
     for i in range(rounds):
-        ctes.append(f"o{i + 1} AS (SELECT id, {by + ', ' if by else ''}v FROM (SELECT *, avg(v) OVER ({part}) AS m, stddev_pop(v) OVER ({part}) AS s FROM o{i}) WHERE v BETWEEN m - {z}e0 * s AND m + {z}e0 * s)")
+        ctes.append(f"o{i + 1} AS (SELECT id, {by + ', ' if by else ''}v FROM (SELECT *, avg(v) OVER ({part}) AS m, stddev_pop(v) OVER ({part}) AS s FROM o{i}) WHERE v BETWEEN m - {z} * s AND m + {z} * s)")
     return f"WITH {', '.join(ctes)} SELECT id FROM o{rounds}"
 
 
-@query("O1_outliers", _outlier_sql("usla_c", 3, 14))
+@query("O1_outliers", _outlier_sql("usla_c", "25e-1", 20))
 def _outliers(spark, sf_dir):
-    return outliers.without_outliers(observations(spark, sf_dir), F.col("usla_c"), 3.0).select("id")
+    return outliers.without_outliers(observations(spark, sf_dir), F.col("usla_c"), 2.5).select("id")
 
 
-@query("O1_outliers_by_cycle", _outlier_sql("usla_ku", 3, 14, "cycle"))
+@query("O1_outliers_by_cycle", _outlier_sql("usla_ku", "3e0", 14, "cycle"))
 def _outliers_by_cycle(spark, sf_dir):
     return outliers.without_outliers(observations(spark, sf_dir), F.col("usla_ku"), 3.0, "cycle").select("id")
 
