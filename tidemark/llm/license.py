@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_parts
+from .common import in_parts, tidy
 
 # The wording of public licence notices and texts, by family.
 TEMPLATES = {
@@ -167,7 +167,7 @@ def _softmax(s: np.ndarray) -> np.ndarray:
     return e / e.sum(1, keepdims=True)
 
 
-def fit(negatives: list[list[str]], *, rounds: int = 150, seed: int = 11, unknown_error: float = UNKNOWN_ERROR) -> LicenseModel:
+def fit(negatives: list[list[str]], *, rounds: int = 250, seed: int = 11, unknown_error: float = UNKNOWN_ERROR) -> LicenseModel:
     """Train on the templates and the given unknown paragraphs."""
     rng = np.random.default_rng(seed)
     families = [*sorted(TEMPLATES), UNKNOWN]
@@ -177,9 +177,9 @@ def fit(negatives: list[list[str]], *, rounds: int = 150, seed: int = 11, unknow
     for k, family in enumerate(families[:-1]):
         for text in TEMPLATES[family]:
             words = tokens(text)
-            for j in range(24):
+            for j in range(max(24, 2 * len(words))):  # longer texts in more of their parts
                 w = words
-                if j % 3 == 1 and len(w) > 8:
+                if j % 3 and len(w) > 8:
                     n = int(rng.integers(7, len(w)))
                     at = int(rng.integers(0, len(w) - n + 1))
                     w = w[at : at + n]
@@ -190,7 +190,7 @@ def fit(negatives: list[list[str]], *, rounds: int = 150, seed: int = 11, unknow
                     w = [*extra, *w] if rng.random() < 0.5 else [*w, *extra]
                 x.append(w)
                 y.append(k)
-    unknown = [p for p in negatives if p] + [tokens(s) for s in LIKE for _ in range(20)]
+    unknown = [p for p in negatives if p] + [tokens(s) for s in LIKE for _ in range(8)]
     x += unknown
     y += [len(families) - 1] * len(unknown)
     vocabulary: dict[tuple[str, ...], int] = {}
@@ -209,7 +209,7 @@ def fit(negatives: list[list[str]], *, rounds: int = 150, seed: int = 11, unknow
     m, s = np.zeros_like(w), np.zeros_like(w)
     for i in range(rounds):
         d = weight * (target - _softmax(_scores(rows, w, len(used))))
-        g = np.stack([np.bincount(c, d[r, k] * v, len(w)) for k in range(len(families))], 1) - 0.02 * w
+        g = np.stack([np.bincount(c, d[r, k] * v, len(w)) for k in range(len(families))], 1) - 0.01 * w
         m += 0.1 * (g - m)
         s += 0.01 * (g * g - s)
         w += 0.2 * (m / (1 - 0.9 ** (i + 1))) / (np.sqrt(s / (1 - 0.99 ** (i + 1))) + 1e-8)
@@ -272,7 +272,7 @@ def scan(docs: DataFrame, model: LicenseModel | None = None, *, confirm: float =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(held.value, confirm)
-        for batch in in_parts(batches, 2000, "text", 16_000_000):
+        for batch in in_parts(tidy(batches), 1000, "text", 8_000_000):
             rows = []
             for text in batch.column(1).to_pylist():
                 found = scanner.scan(text)
