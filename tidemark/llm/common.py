@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
@@ -63,6 +66,17 @@ def open_input(uri: str):
     return system.open_input_file(path)
 
 
+def tidy(batches: Iterator) -> Iterator:
+    """The batches; afterwards memory that is free goes back to the system, as workers live on between stages."""
+    yield from batches
+    import pyarrow
+
+    gc.collect()
+    pyarrow.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def in_parts(batches: Iterator, rows: int, size_column: str, most_bytes: int) -> Iterator:
     """Arrow batches cut so that each holds at most `rows` rows and about `most_bytes` of one column, one row at least."""
     for batch in batches:

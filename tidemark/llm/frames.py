@@ -28,11 +28,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.taskcontext import TaskContext
 
-from .common import in_parts, materialize, open_input, open_output, shared_dir
+from .common import in_parts, materialize, open_input, open_output, shared_dir, tidy
 from .tokens import END_ID, default_path, word_encoder
 
 FRAME_BYTES = 256 * 1024
 LEVEL = 3
+#: Shard files that one reading task takes, about.
+FILES_A_TASK = 8
 SKIPPABLE = 0x184D2A50
 SEEK_TABLE = 0x184D2A5E
 SEEKABLE = 0x8F92EAB1
@@ -140,7 +142,7 @@ def write_tokens(docs: DataFrame, *, tokenizer: str | None = None, end_id: int =
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, out, name = None, None, ""
-        for batch in in_parts(batches, 2000, "text", 16_000_000):
+        for batch in in_parts(tidy(batches), 1000, "text", 8_000_000):
             if out is None:
                 encoder, name = word_encoder(path, end_id), f"{base}/{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.tokens.zst"
                 out = TokenFileWriter(open_output(name), frame_bytes)
@@ -150,7 +152,7 @@ def write_tokens(docs: DataFrame, *, tokenizer: str | None = None, end_id: int =
             out.close()
             yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([name]), pa.array([len(out.index)], pa.int64()), pa.array([out.tokens], pa.int64())], names=["shard", "path", "documents", "tokens"])
 
-    shards = materialize(dealt.mapInArrow(write, MANIFEST), "tokens-manifest")
+    shards = materialize(dealt.mapInArrow(write, MANIFEST), "tokens-manifest", one_file=True)
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # a row for each shard file
     return shards.withColumn("start", F.coalesce(F.sum("tokens").over(before), F.lit(0)))
 
@@ -170,4 +172,4 @@ def read_tokens(spark: SparkSession, manifest: DataFrame) -> DataFrame:
                         ids = [None if x == NULL_ID else int(x) for x in f.ids[lo : lo + 10_000]]
                         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(f.starts[rows.start : rows.stop] + start, pa.int64()), pa.array(f.sizes[rows.start : rows.stop], pa.int64()), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return manifest.select("path", "start").repartition(max(1, files)).mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return manifest.select("path", "start").repartition(max(1, -(-files // FILES_A_TASK))).mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import in_parts
+from .common import in_parts, tidy
 
 LETTERS = re.compile(r"[^\W\d_]+")
 BUCKETS = 1 << 16
@@ -34,7 +34,7 @@ PER_LANGUAGE = 400
 TRAIN_CHARS = 20_000
 #: Languages that training takes, most frequent first.
 MOST_LANGUAGES = 400
-CACHE_WORDS = 300_000
+CACHE_WORDS = 200_000
 
 
 def words_of(text: str | None) -> list[str]:
@@ -284,7 +284,7 @@ def predict(docs: DataFrame, crf: Crf | None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labeller = Labeller(model.value) if model.value else None
-        for batch in in_parts(batches, 4000, "text", 8_000_000):
+        for batch in in_parts(tidy(batches), 2000, "text", 4_000_000):
             found = labelled(labeller, batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], names=["doc_id", "lang_pred", "score"])
 
@@ -298,8 +298,8 @@ def prediction(spark: SparkSession, crf: Crf | None, text: str = "text") -> F.Co
     @F.pandas_udf("lang_pred string, score double")
     def label(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         labeller = Labeller(model.value) if model.value else None
-        for part in parts:
-            found = [x for lo in range(0, len(part), 1000) for x in labelled(labeller, part.iloc[lo : lo + 1000])]
+        for part in tidy(parts):
+            found = [x for lo in range(0, len(part), 500) for x in labelled(labeller, part.iloc[lo : lo + 500])]
             yield pd.DataFrame(found, columns=["lang_pred", "score"])
 
     return label(F.col(text))

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import in_parts, materialize
+from .common import in_parts, materialize, tidy
 from .tokens import END_ID, default_path, word_encoder
 
 CAPACITY = 4096
@@ -42,7 +42,7 @@ def pieces(docs: DataFrame, *, capacity: int = CAPACITY, tokenizer: str | None =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = word_encoder(path, end_id)
-        for batch in in_parts(batches, 2000, "text", 16_000_000):
+        for batch in in_parts(tidy(batches), 1000, "text", 8_000_000):
             rows = []
             for doc_id, ids in zip(batch.column(0).to_pylist(), encoder.encode(batch.column(1).to_pylist()), strict=True):
                 for k, at in enumerate(range(0, len(ids), 4 * capacity)):

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_parts, materialize, small_or_shuffled
+from .common import in_parts, materialize, small_or_shuffled, tidy
 from .components import star_components
 
 SEED = 42
@@ -56,7 +56,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
     """(doc_id, fp) of every row; fp holds the bits as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in in_parts(batches, 2000, "text", 16_000_000):
+        for batch in in_parts(tidy(batches), 1000, "text", 8_000_000):
             fp = np.array([fingerprint(t.as_py(), shingle) for t in batch.column(1)], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp)], names=["doc_id", "fp"])
 
@@ -137,7 +137,7 @@ class Forest:
         return True
 
 
-def links(key: np.ndarray, fp: np.ndarray, home: np.ndarray, threshold: int, pairs: int = 1 << 21) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def links(key: np.ndarray, fp: np.ndarray, home: np.ndarray, threshold: int, pairs: int = 1 << 19) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Links between the homes and all rows of each run of equal keys (homes first), thinned to a spanning forest of each run."""
     first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
     size = np.diff(np.r_[first, len(key)])
@@ -199,7 +199,7 @@ def near_links(distinct: DataFrame, threshold: int = 2, home_block: int = 4096)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple | None = None
-        for batch in batches:
+        for batch in tidy(batches):
             anchor, fp, home, block = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
             if not len(anchor):
                 continue

@@ -13,7 +13,7 @@ from functools import lru_cache
 import numpy as np
 
 END_ID = 1
-CACHE_WORDS = 250_000
+CACHE_WORDS = 200_000
 
 
 def default_path() -> str:
@@ -22,8 +22,8 @@ def default_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-#: Marks that may follow a word; the tokenizer always parts them from the letters before.
-MARKS = b".,;:!?"
+#: ASCII punctuation but the apostrophe; the tokenizer always parts a run of it from the letters before.
+MARKS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 #: Letter words given to the library as one text.
 JOINED = 512
 
@@ -34,11 +34,31 @@ def spelled(text: str) -> bytes:
     return data.lower() if text.isascii() and b"<|" not in data else data
 
 
+class _Words(dict):
+    """word -> place in `values`; a word that is met first gets a place, and waits in `new` unless an older generation knows it."""
+
+    def __init__(self, older: dict[bytes, int], older_values: list[bytes]) -> None:
+        self.values_: list[bytes] = []
+        self.new: list[bytes] = []
+        self.older, self.older_values = older, older_values
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = place = len(self.values_)
+        known = self.older.get(word)
+        if known is None:
+            self.new.append(word)
+            self.values_.append(b"")
+        else:
+            self.values_.append(self.older_values[known])
+        return place
+
+
 class WordEncoder:
     """Little-endian unsigned 32-bit ids of whole texts.
 
     Words of letters alone, and what precedes trailing marks, are single pre-tokens, so many of them go to the library
-    as one text and are told apart by the end-of-word ids; all other words are encoded one by one.
+    as one text and are told apart by the end-of-word ids; all other words are encoded one by one. About the last
+    `cache_words` to twice as many distinct words are kept.
     """
 
     def __init__(self, path: str, end_id: int = END_ID, cache_words: int = CACHE_WORDS) -> None:
@@ -54,8 +74,7 @@ class WordEncoder:
         self.joins = bool(suffix)
         self.end = np.array([end_id], "<u4").tobytes()
         self.most = cache_words
-        self.known: dict[bytes, bytes] = {}
-        self.older: dict[bytes, bytes] = {}
+        self.words = _Words({}, [])
         self.letters: dict[str, bytes] = {}
         self.older_letters: dict[str, bytes] = {}
 
@@ -64,8 +83,8 @@ class WordEncoder:
 
     def _letters(self, words: list[str]) -> None:
         """Learn words of letters."""
-        for at in range(0, len(words), 64 * JOINED):
-            lists = [words[i : i + JOINED] for i in range(at, min(at + 64 * JOINED, len(words)), JOINED)]
+        for at in range(0, len(words), 32 * JOINED):
+            lists = [words[i : i + JOINED] for i in range(at, min(at + 32 * JOINED, len(words)), JOINED)]
             for part, e in zip(lists, self.tokenizer.encode_batch_fast([" ".join(x) for x in lists], add_special_tokens=False), strict=True):
                 ids = np.array(e.ids, "<u4")
                 ends = np.flatnonzero(self.closes[ids]) + 1
@@ -75,45 +94,45 @@ class WordEncoder:
                 else:  # letters that normalization turns into something else
                     self.letters.update(zip(part, self._alone(part), strict=True))
 
-    def learn(self, texts: list[list[bytes]]) -> None:
-        """Make sure that all words are known; what was not met for about `most` words is forgotten."""
-        words = set().union(*texts)
-        if len(self.known) > self.most:
-            self.older, self.known = self.known, {}
-        if len(self.letters) > 2 * self.most:
-            self.older_letters, self.letters = self.letters, {}
-        new = words.difference(self.known)
-        again = new.intersection(self.older)
-        if again:
-            older = self.older
-            self.known.update((w, older[w]) for w in again)
-            new -= again
-        simple, other = [], []
+    def _learn(self) -> None:
+        """Find the ids of the words that wait for them."""
+        new, self.words.new = self.words.new, []
+        place, values = self.words, self.words.values_
+        simple, other, need = [], [], set()
+        letters, older = self.letters, self.older_letters
         for w in new:
             bare = w.rstrip(MARKS)
             text = bare.decode().lower() if bare.isascii() else bare.decode()
-            (simple if self.joins and text.isalpha() else other).append((w, text, w[len(bare) :]))
-        need = {t for _, t, _ in simple}.difference(self.letters)
-        again = need.intersection(self.older_letters)
-        if again:
-            older = self.older_letters
-            self.letters.update((t, older[t]) for t in again)
-            need -= again
+            if self.joins and text.isalpha():
+                simple.append((w, text, w[len(bare) :]))
+                if text not in letters:
+                    if text in older:
+                        letters[text] = older[text]
+                    else:
+                        need.add(text)
+            else:
+                other.append(w)
         self._letters(list(need))
         tails = list({m for *_, m in simple if m})
         after = dict(zip(tails, self._alone([m.decode() for m in tails]), strict=True))
-        letters = self.letters
-        self.known.update((w, letters[t] + after[m] if m else letters[t]) for w, t, m in simple)
-        for at in range(0, len(other), 20_000):
-            part = [w for w, _, _ in other[at : at + 20_000]]
-            self.known.update(zip(part, self._alone([w.decode() for w in part]), strict=True))
+        for w, t, m in simple:
+            values[place[w]] = letters[t] + after[m] if m else letters[t]
+        for at in range(0, len(other), 5_000):
+            part = other[at : at + 5_000]
+            for w, ids in zip(part, self._alone([w.decode() for w in part]), strict=True):
+                values[place[w]] = ids
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text and the end id, as bytes."""
-        words = [spelled(t or "").split() for t in texts]
-        self.learn(words)
-        of = self.known.__getitem__
-        return [b"".join([*map(of, w), self.end]) for w in words]
+        if len(self.words) > self.most:
+            self.words = _Words(dict(self.words), self.words.values_)
+        if len(self.letters) > self.most:
+            self.older_letters, self.letters = self.letters, {}
+        find = self.words.__getitem__
+        rows = [list(map(find, spelled(t or "").split())) for t in texts]
+        self._learn()
+        of = self.words.values_.__getitem__
+        return [b"".join([*map(of, r), self.end]) for r in rows]
 
 
 @lru_cache(maxsize=1)
