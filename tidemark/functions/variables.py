@@ -10,6 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..sources.missions import TANDEM
 from .physics import KU_TO_C, aligned_sig0, bm3, noise, wind_speed
 
 __all__ = ["VARIABLES", "Row", "aligned_sig0", "dependent", "independent", "register"]
@@ -90,6 +91,14 @@ DIFFERENCES: dict[str, Callable[[Row], Column]] = {
 }
 
 
+def partner(mission: str, phase: str) -> str:
+    """The other mission of a tandem phase."""
+    first, second = TANDEM[phase][:2]
+    if mission not in (first, second):
+        raise ValueError(f"{mission} has no part in {phase}")
+    return second if mission == first else first
+
+
 def register(name: str, formula: Callable[[Row, str, str], Column]) -> None:
     """Add a dependent variable."""
     VARIABLES[name] = formula

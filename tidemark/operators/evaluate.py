@@ -29,11 +29,16 @@ def _known(c: Column) -> Column:
     return c.isNotNull() & ~F.isnan(c)
 
 
-def bilinear(values: Column, grid: Grid, x: Column, y: Column) -> Column:
-    """Bilinear where the cell's four nodes are known, the plane through three that are, else NULL."""
+def bilinear(values: Column, grid: Grid, x: Column, y: Column, *, planes: bool = True, half_open: bool = False) -> Column:
+    """Bilinear where the cell's four nodes are known, with `planes` the plane through three that are, else NULL.
+
+    half_open: positions on the last node of an axis are outside.
+    """
     i, fx = _closed(x, grid.x)
     j, fy = _closed(y, grid.y)
     inside = x.between(grid.x.first, grid.x.last) & y.between(grid.y.first, grid.y.last)
+    if half_open:
+        inside &= (x < grid.x.last) & (y < grid.y.last)
     v = [F.try_element_at(values, i + di + (j + dj) * grid.x.count + 1) for dj in (0, 1) for di in (0, 1)]  # 00 10 01 11
     ok = [_known(c) for c in v]
     full = v[0] * (1 - fx) * (1 - fy) + v[1] * fx * (1 - fy) + v[2] * (1 - fx) * fy + v[3] * fx * fy
@@ -45,7 +50,7 @@ def bilinear(values: Column, grid: Grid, x: Column, y: Column) -> Column:
         F.when((fx + fy <= 1), v[0] + (v[1] - v[0]) * fx + (v[2] - v[0]) * fy),
     ]
     out = F.when(ok[0] & ok[1] & ok[2] & ok[3], full)
-    for k in range(4):
+    for k in range(4) if planes else ():
         out = out.when(~ok[k] & ok[(k + 1) % 4] & ok[(k + 2) % 4] & ok[(k + 3) % 4], missing[k])
     return F.when(inside, out)
 

@@ -50,11 +50,12 @@ def moment_fit(df: DataFrame, x: Column, y: Column, degree: int, *by: str) -> Da
     return df.sparkSession.createDataFrame(rows, ", ".join([*(f"{k} {kinds[k]}" for k in by), "c array<double>"]))
 
 
-def zero_significance(counts: np.ndarray, mid: np.ndarray, *, cutoff: tuple[float, float] = CUTOFF, degree: int = DEGREE, kind: str = "ssb", linear: bool = False, midpoint: bool = False) -> tuple[float, float]:
+def zero_significance(counts: np.ndarray, mid: np.ndarray, *, cutoff: tuple[float, float] = CUTOFF, degree: int = DEGREE, kind: str = "ssb", linear: bool = False, midpoint: bool = False, flip: bool = True) -> tuple[float, float]:
     """Value at which a histogram's tail reaches zero percent, and the mean squared residual of the fit.
 
     The tail is the part of the cumulative share (from above; from below for TEC) within the cutoff where it changes from bin
-    to bin. Bin centres are fitted by the share, bins beyond 4 deviations dropped and fitted again until none is.
+    to bin. Bin centres are fitted by the share, bins beyond 4 deviations dropped and fitted again until none is. With
+    `flip` off the share is fitted by the bin centres, and the level is that curve's root.
     """
     degree = 1 if linear else degree
     share = 100.0 * counts.cumsum() / max(counts.sum(), 1)
@@ -65,14 +66,27 @@ def zero_significance(counts: np.ndarray, mid: np.ndarray, *, cutoff: tuple[floa
     while True:
         if len(at) < degree + 1:
             return float("nan"), float("nan")
-        c = polyfit(tail[at], mid[at], degree)
-        res = mid[at] - np.polynomial.polynomial.polyval(tail[at], c)
+        x, y = (tail[at], mid[at]) if flip else (mid[at], tail[at])
+        c = polyfit(x, y, degree)
+        res = y - np.polynomial.polynomial.polyval(x, c)
         kept = np.abs(res - res.mean()) < 4 * res.std() if res.std() > 0 else np.ones(len(at), bool)
         if kept.all():
             break
         at = at[kept]
     where = sum(cutoff) / 2 if linear and midpoint else 0.0
-    return float(np.polynomial.polynomial.polyval(where, c)), float((res**2).mean())
+    level = float(np.polynomial.polynomial.polyval(where, c)) if flip else crossing(c, where, mid[at][0 if kind == "tec" else -1])
+    return level, float((res**2).mean())
+
+
+def crossing(c: np.ndarray, value: float, near: float, close: float = 0.01) -> float:
+    """Where a polynomial takes a value: its one real root if that is close to `near`, else the root whose real part is nearest."""
+    roots = np.roots((c - np.eye(1, len(c))[0] * value)[::-1])
+    if not len(roots):
+        return float("nan")
+    real = roots[np.imag(roots) == 0].real
+    if len(real) == 1 and abs(real[0] - near) <= close:
+        return float(real[0])
+    return float(roots.real[np.abs(roots.real - near).argmin()])
 
 
 def levels_by(hist: DataFrame, by: str = "cycle", **how) -> list[tuple]:

@@ -118,17 +118,30 @@ def crossovers(points: DataFrame, *, radius: float = 7000.0, max_days: float = 2
     swap = F.col("d0.time") <= F.col("d1.time")
     near = near.select("a0", "a1", F.when(swap, F.col("d0")).otherwise(F.col("d1")).alias("d0"), F.when(swap, F.col("d1")).otherwise(F.col("d0")).alias("d1"))
     seg = {s: tuple(F.col(f"{s}{k}.{c}") for k in (0, 1) for c in ("lon", "lat")) for s in "ad"}
-    x = intersection(seg["a"], seg["d"])
-    out = near.withColumn("lon", x[0]).withColumn("lat", x[1])
-    at = (F.col("lon"), F.col("lat"))
-    pa, pd_ = segment_weights(at, seg["a"]), segment_weights(at, seg["d"])
-    out = out.withColumns({"pa0": pa[0], "pa1": pa[1], "pd0": pd_[0], "pd1": pd_[1]})
-    whole = lambda a, b: F.round(F.col(a) + F.col(b), 2) == 1.0
-    out = out.where(whole("pa0", "pa1") & whole("pd0", "pd1"))
-    time = lambda s: F.col(f"{s}0.time") * F.col(f"p{s}0") + F.col(f"{s}1.time") * F.col(f"p{s}1")
-    out = out.withColumn("time_a", time("a")).withColumn("time_d", time("d")).withColumn("dt_days", (F.col("time_a") - F.col("time_d")) / 86400.0)
-    out = out.where((F.abs("dt_days") > 0) & (F.abs("dt_days") < max_days))
-    return out.select(F.col("a0.id").alias("a0"), F.col("a1.id").alias("a1"), F.col("d0.id").alias("d0"), F.col("d1.id").alias("d1"), "pa0", "pa1", "pd0", "pd1", "lat", "lon", "time_a", "time_d", "dt_days").dropDuplicates(["a0", "a1", "d0", "d1"])
+    time = lambda s, w: F.col(f"{s}0.time") * w[f"p{s}0"] + F.col(f"{s}1.time") * w[f"p{s}1"]
+
+    def weighed(x: Column) -> Column:
+        names = ("pa0", "pa1", "pd0", "pd1")
+        at = (x["lon"], x["lat"])
+        found = (*segment_weights(at, seg["a"]), *segment_weights(at, seg["d"]))
+        return F.struct(x["lon"].alias("lon"), x["lat"].alias("lat"), *[v.alias(n) for n, v in zip(names, found, strict=True)])
+
+    def timed(w: Column) -> Column:
+        return F.struct(w.alias("w"), time("a", w).alias("time_a"), time("d", w).alias("time_d"))
+
+    def judged(t: Column) -> Column:
+        days = (t["time_a"] - t["time_d"]) / 86400.0
+        whole = lambda p, q: F.round(t["w"][p] + t["w"][q], 2) == 1.0
+        ok = whole("pa0", "pa1") & whole("pd0", "pd1") & (F.abs(days) > 0) & (F.abs(days) < max_days)
+        return F.struct(t.alias("t"), days.alias("days"), ok.alias("ok"))
+
+    # each step is bound by a lambda, so that pushing the filter down does not copy the steps before it
+    lon, lat = intersection(seg["a"], seg["d"])
+    bound = F.array(F.struct(lon.alias("lon"), lat.alias("lat")))
+    for step in (weighed, timed, judged):
+        bound = F.transform(bound, step)
+    out = near.select("a0", "a1", "d0", "d1", bound[0].alias("x")).where("x.ok")
+    return out.select(F.col("a0.id").alias("a0"), F.col("a1.id").alias("a1"), F.col("d0.id").alias("d0"), F.col("d1.id").alias("d1"), *[F.col(f"x.t.w.{c}").alias(c) for c in ("pa0", "pa1", "pd0", "pd1", "lat", "lon")], F.col("x.t.time_a").alias("time_a"), F.col("x.t.time_d").alias("time_d"), F.col("x.days").alias("dt_days")).dropDuplicates(["a0", "a1", "d0", "d1"])
 
 
 def crossover_values(crossings: DataFrame, points: DataFrame, columns: list[str]) -> DataFrame:

@@ -31,6 +31,13 @@ def moving_mean(df: DataFrame, value: str, size: int, *by: str, time: str = "tim
     return rows.where(F.col(out).isNotNull()) if cut else rows
 
 
+def smooth_columns(df: DataFrame, columns: list[str], size: int, *by: str, time: str = "time", max_step: float | None = 1.2) -> DataFrame:
+    """Several columns (or the sides of a pair) smoothed along their tracks, as <column>_smooth."""
+    for c in columns:
+        df = moving_mean(df, c, size, *by, time=time, out=f"{c}_smooth", max_step=max_step)
+    return df
+
+
 def neighbours(df: DataFrame, columns: list[str], *by: str, time: str = "time") -> DataFrame:
     """Previous and next record of each track, as <column>_prev and <column>_next."""
     w = track(*by, time=time)

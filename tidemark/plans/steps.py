@@ -41,6 +41,56 @@ def collinear(cycles: DataFrame, grid: Grid, mission: str, radius: float | None
     return pair_rows(match.collinear(rows, radius or match.collinear_radius(mission)), grid)
 
 
+def perturbed(cycles: DataFrame, grid: Grid, mission: str, err: str, *, variable: str = "usla", second: str = "u10", max_step: float | None = 1.2) -> DataFrame:
+    """Direct rows with independent and dependent values under a perturbation, stored as columns named by it.
+
+    Adds swh_<err>, <second>_<err>, <variable>_<err>_ku and _c, the smoothed ionosphere, and the weights.
+    """
+    rows = windows.smooth_columns(filters.level1(cycles, mission), ["iono_corr_alt_ku"], 21, "cycle", max_step=max_step)
+    if err == "smth_swh":
+        rows = windows.smooth_columns(rows, ["swh_ku", "swh_rms_ku"], 11, "cycle", max_step=max_step).where(F.col("swh_ku_smooth").isNotNull())
+        rows = rows.withColumn(f"swh_rms_{err}_ku", F.col("swh_rms_ku_smooth"))
+    x, y = variables.independent(mission, err=err, second=second)
+    rows = rows.withColumn(f"swh_{err}", x).withColumn(f"{second}_{err}", y)
+    for b in ("ku", "c"):
+        rows = rows.withColumn(f"{variable}_{err}_{b}", variables.dependent(variable, b, mission, err=err))
+    return rows.withColumn("nodes", design.weights(grid, F.col(f"swh_{err}"), F.col(f"{second}_{err}"))).where(F.col("nodes").isNotNull())
+
+
+def error_analysis(cycles: DataFrame, grid: Grid, mission: str, *, variable: str = "usla", err: str | None = None, band: str = "ku", least: int = LEAST, max_step: float | None = 1.2) -> Model:
+    """The third step with another dependent variable, or on perturbed rows."""
+    if err is None:
+        rows = direct(cycles, grid, mission, variable=variable, band=band)
+    else:
+        p = perturbed(cycles, grid, mission, err, variable=variable, max_step=max_step)
+        rows = p.withColumn("x", F.col(f"swh_{err}")).withColumn("y", F.col(f"u10_{err}")).withColumn("z", F.col(f"{variable}_{err}_{band}"))
+    return fit_model(rows.select("id", "cycle", "x", "y", "z", "nodes"), grid, least=least, variable=variable, err=err)
+
+
+def two_band_fit(rows: DataFrame, grid: Grid, *, least: int = LEAST) -> tuple[DataFrame, DataFrame]:
+    """Both bands' grids solved together from ranges and the map's ionosphere; rows need ranges, iono and uncorrected heights.
+
+    The two bands' levels are tied by differences only, so the system may lack rank; then the solution is the one of least
+    norm.
+    """
+    k = physics.C_HZ**2 / (physics.KU_HZ**2 - physics.C_HZ**2)
+    free = F.col("usla_ku") + F.col("iono_corr_gim_ku") + F.col("range_ku")
+    z_range = free - (1 + k) * F.col("range_ku") + k * F.col("range_c")
+    z_tec = F.col("iono_corr_gim_ku") / k - F.col("range_ku") + F.col("range_c")
+    stacked = design.two_band_rows(rows.select(F.col("id").alias("obs_id"), "nodes", z_range.alias("z_range"), z_tec.alias("z_tec")), grid.size, k)
+    solved, _ = lsq.fit(stacked.withColumn("nodes", F.filter("nodes", lambda e: e["w"] != 0)), least=least)
+    ku = solved.where(F.col("node") < grid.size)
+    c = solved.where(F.col("node") >= grid.size).withColumn("node", (F.col("node") - grid.size).cast("int"))
+    return ku, c
+
+
+def crossover_rows(points: DataFrame, grid: Grid, *, radius: float = 7000.0, max_days: float = 2.0, columns: tuple[str, ...] = ("swh_ku", "wind_speed_alt", "usla_ku")) -> DataFrame:
+    """Difference rows (ascending less descending) at crossings, with their weights by time."""
+    values = match.crossover_values(match.crossovers(points, radius=radius, max_days=max_days), points, list(columns))
+    flat = values.select("a0", "a1", "d0", "d1", "lat", "lon", "dt_days", *[F.col(f"{s}.{c}").alias(f"{c}_{t}") for s, t in (("a", "a"), ("d", "b")) for c in columns])
+    return pair_rows(flat, grid).withColumn("weight", physics.pair_weight(F.col("dt_days")))
+
+
 def joint(*designs: DataFrame) -> DataFrame:
     """Several methods' rows (z, nodes, weight) as one system."""
     out = designs[0].select("z", "nodes", "weight")

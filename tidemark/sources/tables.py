@@ -116,6 +116,30 @@ def read_model(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     return {name: spark.read.parquet(f"{path}/{name}") for name in ("model_node", "model_cycle", "model_meta")}
 
 
+def write_observations(obs: DataFrame, path: str) -> None:
+    """Observation rows with their weights, partitioned by cycle; node counts beside them."""
+    obs.repartition("cycle").write.mode("overwrite").partitionBy("cycle").parquet(f"{path}/obs")
+    counts = obs.select("cycle", F.explode("nodes").alias("e")).where("e.w <> 0").groupBy("cycle", F.col("e.node").alias("node")).agg(F.count(F.lit(1)).alias("n"))
+    counts.write.mode("overwrite").parquet(f"{path}/node_count")
+
+
+def read_observations(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    return spark.read.parquet(f"{path}/obs"), spark.read.parquet(f"{path}/node_count")
+
+
+def write_geo_model(levels: DataFrame, path: str) -> None:
+    """Levels of (cycle, geo_cell) beside a model's tables."""
+    levels.write.mode("overwrite").parquet(f"{path}/model_geo")
+
+
+def model_bands(ku: dict[str, DataFrame], c: dict[str, DataFrame]) -> tuple[DataFrame, float]:
+    """Both bands' node values side by side, and the ionosphere calibration in metres."""
+    k = ku["model_node"].select("node", F.col("value").alias("ku"))
+    joined = k.join(c["model_node"].select("node", F.col("value").alias("c")), "node", "full_outer")
+    bias = ku["model_meta"].first()["iono_calib_bias"]
+    return joined, bias * -0.01216
+
+
 def packed(column: Column, scale: float) -> Column:
     """A value as a scaled 16-bit integer."""
     return F.round(column / scale).cast(T.ShortType())
