@@ -8,6 +8,7 @@ word and is left to the library.
 from __future__ import annotations
 
 import os
+import re
 from functools import lru_cache
 
 import numpy as np
@@ -22,8 +23,8 @@ def default_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-#: ASCII punctuation but the apostrophe; the tokenizer always parts a run of it from the letters before.
-MARKS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+#: A line with letters and then ASCII punctuation but the apostrophe, which the tokenizer always parts from the letters; or any line.
+PARTS = re.compile(r"^(?:([^\W\d_]++)([!-&(-/:-@\[-`{-~]*+)|.*)$", re.MULTILINE)
 #: Letter words given to the library as one text.
 JOINED = 512
 
@@ -35,21 +36,24 @@ def spelled(text: str) -> bytes:
 
 
 class _Words(dict):
-    """word -> place in `values`; a word that is met first gets a place, and waits in `new` unless an older generation knows it."""
+    """word -> place in `held`; a word that is met first gets a place, and waits in `new` unless an older generation knows it."""
 
-    def __init__(self, older: dict[bytes, int], older_values: list[bytes]) -> None:
-        self.values_: list[bytes] = []
+    def __init__(self, older: dict[bytes, int], older_held: list[bytes]) -> None:
+        self.held: list[bytes] = []
         self.new: list[bytes] = []
-        self.older, self.older_values = older, older_values
+        self.places: list[int] = []
+        self.older, self.older_held = older, older_held
 
     def __missing__(self, word: bytes) -> int:
-        self[word] = place = len(self.values_)
+        held = self.held
+        self[word] = place = len(held)
         known = self.older.get(word)
         if known is None:
             self.new.append(word)
-            self.values_.append(b"")
+            self.places.append(place)
+            held.append(b"")
         else:
-            self.values_.append(self.older_values[known])
+            held.append(self.older_held[known])
         return place
 
 
@@ -91,47 +95,46 @@ class WordEncoder:
                 if len(ends) == len(part):
                     data, bounds = ids.tobytes(), (4 * ends).tolist()
                     self.letters.update(zip(part, map(data.__getitem__, map(slice, [0, *bounds[:-1]], bounds)), strict=True))
-                else:  # letters that normalization turns into something else
+                else:  # what is no letter to the tokenizer, or turns into something else
                     self.letters.update(zip(part, self._alone(part), strict=True))
 
     def _learn(self) -> None:
         """Find the ids of the words that wait for them."""
-        new, self.words.new = self.words.new, []
-        place, values = self.words, self.words.values_
-        simple, other, need = [], [], set()
+        new, places, held = self.words.new, self.words.places, self.words.held
+        self.words.new, self.words.places = [], []
+        if not new:
+            return
+        parts = PARTS.findall(b"\n".join(new).decode()) if self.joins else [("", "")] * len(new)
         letters, older = self.letters, self.older_letters
-        for w in new:
-            bare = w.rstrip(MARKS)
-            text = bare.decode().lower() if bare.isascii() else bare.decode()
-            if self.joins and text.isalpha():
-                simple.append((w, text, w[len(bare) :]))
-                if text not in letters:
-                    if text in older:
-                        letters[text] = older[text]
-                    else:
-                        need.add(text)
+        need = {x for x, _ in parts}.difference(letters, ("",))
+        again = need.intersection(older)
+        letters.update((x, older[x]) for x in again)
+        self._letters(list(need - again))
+        tails = list({m for _, m in parts if m})
+        after = dict(zip(tails, self._alone(tails), strict=True))
+        other = []
+        for place, word, (x, m) in zip(places, new, parts, strict=True):
+            if m:
+                held[place] = letters[x] + after[m]
+            elif x:
+                held[place] = letters[x]
             else:
-                other.append(w)
-        self._letters(list(need))
-        tails = list({m for *_, m in simple if m})
-        after = dict(zip(tails, self._alone([m.decode() for m in tails]), strict=True))
-        for w, t, m in simple:
-            values[place[w]] = letters[t] + after[m] if m else letters[t]
+                other.append((place, word))
         for at in range(0, len(other), 5_000):
-            part = other[at : at + 5_000]
-            for w, ids in zip(part, self._alone([w.decode() for w in part]), strict=True):
-                values[place[w]] = ids
+            some = other[at : at + 5_000]
+            for (place, _), ids in zip(some, self._alone([w.decode() for _, w in some]), strict=True):
+                held[place] = ids
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text and the end id, as bytes."""
         if len(self.words) > self.most:
-            self.words = _Words(dict(self.words), self.words.values_)
+            self.words = _Words(dict(self.words), self.words.held)
         if len(self.letters) > self.most:
             self.older_letters, self.letters = self.letters, {}
         find = self.words.__getitem__
         rows = [list(map(find, spelled(t or "").split())) for t in texts]
         self._learn()
-        of = self.words.values_.__getitem__
+        of = self.words.held.__getitem__
         return [b"".join([*map(of, r), self.end]) for r in rows]
 
 
