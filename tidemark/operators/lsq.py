@@ -51,7 +51,7 @@ def _member(nodes: list[int]):
 
 def _bitmap(nodes: list[int]) -> list[int]:
     """Signed 64-bit words with a bit for each node."""
-    words = np.zeros(max(nodes) // 64 + 1, np.uint64)
+    words = np.zeros(max(nodes, default=0) // 64 + 1, np.uint64)
     for n in nodes:
         words[n // 64] |= np.uint64(1) << np.uint64(n % 64)
     return words.view(np.int64).tolist()
