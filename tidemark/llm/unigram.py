@@ -6,7 +6,8 @@ pre-tokens share it, and the number of pieces on the best path is stored where a
 the sum over its pre-tokens.  Pieces score -ln(rank + 1), Zipf's law over the vocabulary's own order; a character that
 no piece covers costs a bytes' worth of pieces each, as with byte fallback.
 
-The trie lives with a task and is started anew beyond `most_nodes` nodes, so memory is bounded and no shuffle is needed.
+The trie and the counts of recent pre-tokens live with a worker process and start anew beyond `most_nodes` nodes
+and `MOST_WORDS` pre-tokens, so memory is bounded and no shuffle is needed.
 
 Defined results: null text has no token; repeated rows and null ids get a row each; an empty table gives no row; other
 columns are ignored.
@@ -16,6 +17,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -24,7 +26,8 @@ from pyspark.sql import functions as F
 from .common import in_parts, tidy
 
 MARK = "▁"
-MOST_NODES = 500_000
+MOST_NODES = 400_000
+MOST_WORDS = 200_000
 #: How much worse than the worst piece an uncovered character is.
 UNKNOWN_PENALTY = 10.0
 
@@ -49,58 +52,97 @@ class PreTokenTrie:
 
     def __init__(self, scores: dict[str, float]) -> None:
         self.pieces = scores
-        self.longest = max(map(len, scores), default=1)
+        ends: dict[str, set[int]] = {}
+        for p in scores:
+            if len(p) > 1:
+                ends.setdefault(p[-2:], set()).add(len(p))
+        #: By the last two characters, the lengths that a last piece can have, longest first.
+        self.lengths = {e: tuple(sorted(n, reverse=True)) for e, n in ends.items()}
         self.unknown = min(scores.values(), default=0.0) - UNKNOWN_PENALTY
         self.clear()
 
     def clear(self) -> None:
-        self.child: dict[tuple[int, str], int] = {}
+        self.child: dict[int, int] = {}  # by node and character
         self.score, self.count = [0.0], [0]
-        self.terminal: dict[str, int] = {}
+        self.terminal: dict[int, int] = {}  # node -> pieces of the pre-token that ends there
         self.steps = 0
 
     def insert(self, token: str) -> int:
         """Number of pieces of a pre-token."""
-        found = self.terminal.get(token)
-        if found is not None:
-            return found
-        child, score, count, pieces = self.child, self.score, self.count, self.pieces
+        child, score, count, pieces, lengths = self.child, self.score, self.count, self.pieces, self.lengths
         path, node = [0], 0
         for end, c in enumerate(token, 1):
-            nxt = child.get((node, c))
+            key = node << 21 | ord(c)
+            nxt = child.get(key)
             if nxt is None:
                 best, n = -math.inf, 0
-                for start in range(max(0, end - self.longest), end):
-                    s = pieces.get(token[start:end])
-                    if s is not None and score[path[start]] + s > best:
-                        best, n = score[path[start]] + s, count[path[start]] + 1
-                if token[end - 1] not in pieces and score[node] + self.unknown > best:
+                for length in lengths.get(token[max(0, end - 2) : end], ()):
+                    start = end - length
+                    if start >= 0:
+                        s = pieces.get(token[start:end])
+                        if s is not None:
+                            s += score[path[start]]
+                            if s > best:
+                                best, n = s, count[path[start]] + 1
+                s = pieces.get(c)
+                if s is not None:
+                    s += score[node]
+                    if s > best:
+                        best, n = s, count[node] + 1
+                elif score[node] + self.unknown > best:
                     best, n = score[node] + self.unknown, count[node] + len(c.encode())
-                nxt = child[node, c] = len(score)
+                nxt = child[key] = len(score)
                 score.append(best)
                 count.append(n)
                 self.steps += 1
             path.append(nxt)
             node = nxt
-        self.terminal[token] = count[node]
+        self.terminal[node] = count[node]
         return count[node]
 
 
+class _Counts(dict):
+    """pre-token -> number of pieces; those met first are asked of an older generation, then of the trie."""
+
+    def __init__(self, older: dict[bytes, int], trie: PreTokenTrie) -> None:
+        self.older, self.trie = older, trie
+
+    def __missing__(self, word: bytes) -> int:
+        n = self.older.get(word)
+        self[word] = n = self.trie.insert(MARK + word.decode()) if n is None else n
+        return n
+
+
+class Counter:
+    """Counts of whole texts."""
+
+    def __init__(self, path: str, most_nodes: int) -> None:
+        self.trie, self.most_nodes = PreTokenTrie(vocabulary(path)), most_nodes
+        self.counts = _Counts({}, self.trie)
+
+    def count(self, texts: list[str | None]) -> tuple[list[int], list[int]]:
+        """Pre-tokens and pieces of each text."""
+        if len(self.trie.score) > self.most_nodes:
+            self.trie.clear()
+        if len(self.counts) > MOST_WORDS:
+            self.counts = _Counts(dict(self.counts), self.trie)
+        words = [(x or "").encode().split() for x in texts]  # ASCII white space
+        return [*map(len, words)], [sum(map(self.counts.__getitem__, w)) for w in words]
+
+
+@lru_cache(maxsize=1)
+def counter(path: str, most_nodes: int) -> Counter:
+    """This process's counter, which keeps what it has learned between tasks."""
+    return Counter(path, most_nodes)
+
+
 def count_tokens(docs: DataFrame, *, model: str | None = None, most_nodes: int = MOST_NODES) -> DataFrame:
     """(doc_id, n_pretokens, n_tokens) of every row of docs (doc_id, text)."""
     path = model or default_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie, known = PreTokenTrie(vocabulary(path)), {}
         for batch in in_parts(tidy(batches), 1000, "text", 8_000_000):
-            words = [(x or "").encode().split() for x in batch.column(1).to_pylist()]  # ASCII white space
-            if len(trie.score) > most_nodes:
-                trie.clear()
-                known = {}
-            for w in set().union(*words).difference(known):
-                known[w] = trie.insert(MARK + w.decode())
-            of = known.__getitem__
-            totals = [sum(map(of, w)) for w in words]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([*map(len, words)], pa.int64()), pa.array(totals, pa.int64())], names=["doc_id", "n_pretokens", "n_tokens"])
+            words, pieces = counter(path, most_nodes).count(batch.column(1).to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words, pa.int64()), pa.array(pieces, pa.int64())], names=["doc_id", "n_pretokens", "n_tokens"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_pretokens long, n_tokens long")
