@@ -12,6 +12,7 @@ from ..operators import design, evaluate, filters, levels, lsq, match, outliers,
 from ..operators import grid as grids
 from ..operators.grid import Axis, Grid
 from ..sources import catalog, limits, missions, tables
+from ..storage import shared_dir as _shared
 from . import steps
 from .fixture import observations, oracle, tracks
 
@@ -65,15 +66,6 @@ def _cycle_tables(spark, sf_dir):
     return tables.read_cycles(spark, path, MISSION, [1, 3]).groupBy("cycle").agg(F.count(F.lit(1)).alias("n"), r6(F.sum("swh_ku")).alias("swh"))
 
 
-def _shared(spark: SparkSession, kind: str) -> str:
-    """A new folder where driver and executors both can write."""
-    import tempfile
-    import uuid
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tidemark-")
-    return f"{base.rstrip('/')}/tidemark/{kind}-{uuid.uuid4().hex}"
-
-
 @query("S5_model_tables", f"SELECT cycle, {_r('avg(usla_ku)', 'level')} FROM obs GROUP BY cycle")
 def _model_tables(spark, sf_dir):
     o = observations(spark, sf_dir)

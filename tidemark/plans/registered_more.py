@@ -10,9 +10,10 @@ from ..functions.geodesy import intersection
 from ..operators import evaluate, filters, levels, lsq, match, windows
 from ..operators import grid as grids
 from ..sources import tables
+from ..storage import shared_dir as _shared
 from . import steps
 from .fixture import observations, tracks
-from .registered import _BETA, _LATW, _STEP, _W, GRID, MISSION, SMALL, _direct, _noise_sql, _r, _shared, query, r6
+from .registered import _BETA, _LATW, _STEP, _W, GRID, MISSION, SMALL, _direct, _noise_sql, _r, query, r6
 
 
 @query("S4_observation_tables", f"WITH {_W} SELECT cycle, node, count(*) AS n FROM w GROUP BY cycle, node")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import physics, variables
 from ..operators import design, evaluate, filters, levels, lsq, match, outliers, smooth, windows
 from ..operators.grid import STANDARD, Grid, gauss_cell
+from ..storage import materialize
 
 #: Least observations of a node, and of a geographic cell of a cycle.
 LEAST, LEAST_GEO = 50, 4
@@ -125,7 +126,7 @@ def fit_model(rows: DataFrame, grid: Grid, *, least: int = LEAST, weight: Column
         most = 0 if err in NO_OUTLIERS else ROUNDS.get(variable, 6)
         kept, n, used = held, held.count(), 0
         for used in range(1, most + 1):
-            kept = post_fit(kept, solved, grid).checkpoint()
+            kept = materialize(post_fit(kept, solved, grid), "kept-rows")
             m = kept.count()
             if m == n:
                 break
