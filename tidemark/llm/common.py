@@ -6,13 +6,13 @@ import contextlib
 import ctypes
 import gc
 import os
-import tempfile
-import uuid
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import shared_dir
+
 #: A word is a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
@@ -20,19 +20,6 @@ SPACE = r"[\x20\x09-\x0D]+"
 BROADCAST_ROWS = 20_000
 
 
-def shared_base(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="tidemark-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
-
-
-def shared_dir(spark: SparkSession, kind: str) -> str:
-    return f"{shared_base(spark)}/tidemark/{kind}-{uuid.uuid4().hex}"
-
-
 def materialize(df: DataFrame, kind: str = "table", *, one_file: bool = False) -> DataFrame:
     """Write a (narrow) result to the shared folder and read it back: it cuts the lineage and survives lost executors.
 

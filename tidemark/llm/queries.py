@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import reach
 from . import frames, langid, license, mixing, packing, quality, simhash, topk, unigram, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    reach(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
