@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import langid, mixing, packing, quality, simhash
-from tidemark.llm.common import small_or_shuffled
+from tidemark.llm.common import materialize, small_or_shuffled
+from tidemark.storage import reach
 
 #: Least share of a text's words that its language must have.
 MIN_LANGUAGE_SHARE = 0.4
@@ -76,8 +77,7 @@ STAGES = [
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents, each written to the shared folder and read again."""
-    from tidemark.llm.common import materialize
-
+    reach(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
