@@ -19,7 +19,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op1_warc_reassembly(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = warc.write_archive(_table(spark, sf_dir, "pages"))
     records = warc.read_archive(spark, manifest, with_payload=False)
-    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "segments")
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op2_simhash_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,4 +64,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_hash_mixing": mixing.ORACLE, "op8_host_quality": quality.ORACLE, "op9_exact_topk": topk.ORACLE}
+    return {"op1_warc_reassembly": warc.ORACLE, "op6_hash_mixing": mixing.ORACLE, "op8_host_quality": quality.ORACLE, "op9_exact_topk": topk.ORACLE}

@@ -265,3 +265,17 @@ def read_archive(spark: SparkSession, manifest: DataFrame, *, with_payload: bool
 
     schema = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, segments int" + ", payload binary" * with_payload
     return whole.mapInArrow(decode, schema)
+
+
+#: What reading the archives back must give (base32 of SHA-1 by groups of 20 bits).
+ORACLE = """
+WITH p AS (
+  SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS h, coalesce(html, '') AS payload FROM pages),
+o AS (
+  SELECT *, max(page_id) OVER (PARTITION BY payload) AS owner, row_number() OVER (PARTITION BY payload, page_id) AS copy FROM p)
+SELECT page_id, payload_bytes::BIGINT AS payload_bytes,
+  array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(h, (i // 4) * 5 + 1, 5))::BIGINT >> (15 - 5 * (i % 4))) & 31)::INT + 1, 1)), '') AS payload_digest,
+  CASE WHEN page_id = owner AND copy = 1 THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id = owner AND copy = 1 THEN NULL ELSE owner END AS refers_to
+FROM o
+"""
