@@ -32,6 +32,8 @@ from .common import in_parts, materialize, open_input, open_output, shared_dir,
 from .tokens import END_ID, default_path, word_encoder
 
 FRAME_BYTES = 256 * 1024
+#: Distinct words that a writing process keeps.
+CACHE_WORDS = 400_000
 LEVEL = 3
 #: Shard files that one reading task takes, about.
 FILES_A_TASK = 8
@@ -144,7 +146,7 @@ def write_tokens(docs: DataFrame, *, tokenizer: str | None = None, end_id: int =
         encoder, out, name = None, None, ""
         for batch in in_parts(tidy(batches), 1000, "text", 8_000_000):
             if out is None:
-                encoder, name = word_encoder(path, end_id), f"{base}/{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.tokens.zst"
+                encoder, name = word_encoder(path, end_id, CACHE_WORDS), f"{base}/{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.tokens.zst"
                 out = TokenFileWriter(open_output(name), frame_bytes)
             for doc_id, ids in zip(batch.column(0).to_pylist(), encoder.encode(batch.column(1).to_pylist()), strict=True):
                 out.add(doc_id, ids)

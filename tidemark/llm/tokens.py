@@ -7,8 +7,11 @@ word and is left to the library.
 
 from __future__ import annotations
 
+import contextlib
+import gc
 import os
 import re
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -131,14 +134,27 @@ class WordEncoder:
             self.words = _Words(dict(self.words), self.words.held)
         if len(self.letters) > self.most:
             self.older_letters, self.letters = self.letters, {}
-        find = self.words.__getitem__
-        rows = [list(map(find, spelled(t or "").split())) for t in texts]
-        self._learn()
-        of = self.words.held.__getitem__
-        return [b"".join([*map(of, r), self.end]) for r in rows]
+        with uncollected():
+            find = self.words.__getitem__
+            rows = [list(map(find, spelled(t or "").split())) for t in texts]
+            self._learn()
+            of = self.words.held.__getitem__
+            return [b"".join([*map(of, r), self.end]) for r in rows]
+
+
+@contextlib.contextmanager
+def uncollected() -> Iterator[None]:
+    """No search for reference cycles meanwhile: many small objects are made, none in a cycle."""
+    was = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if was:
+            gc.enable()
 
 
 @lru_cache(maxsize=1)
-def word_encoder(path: str, end_id: int = END_ID) -> WordEncoder:
+def word_encoder(path: str, end_id: int = END_ID, cache_words: int = CACHE_WORDS) -> WordEncoder:
     """This process's encoder, which keeps what it has learned between tasks."""
-    return WordEncoder(path, end_id)
+    return WordEncoder(path, end_id, cache_words)

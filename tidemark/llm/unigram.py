@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import in_parts, tidy
+from .tokens import uncollected
 
 MARK = "▁"
 MOST_NODES = 400_000
@@ -127,7 +128,8 @@ class Counter:
         if len(self.counts) > MOST_WORDS:
             self.counts = _Counts(dict(self.counts), self.trie)
         words = [(x or "").encode().split() for x in texts]  # ASCII white space
-        return [*map(len, words)], [sum(map(self.counts.__getitem__, w)) for w in words]
+        with uncollected():
+            return [*map(len, words)], [sum(map(self.counts.__getitem__, w)) for w in words]
 
 
 @lru_cache(maxsize=1)
