@@ -233,7 +233,7 @@ def train(docs: DataFrame, *, sample_docs: int = SAMPLE_DOCS, sample_chars: int
     paragraphs = [tokens(line) for r in sorted(picked, key=lambda r: (r["h"], r["text"]))[:sample_docs] for line in r["text"].split("\n")]
     paragraphs = [p for p in paragraphs if p and known.isdisjoint(shingles(p))]
     step = max(1, len(paragraphs) // 4000)
-    return fit([p[:400] for p in paragraphs[::step]])
+    return fit(paragraphs[::step])
 
 
 class Scanner:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import in_parts, materialize, tidy
-from .tokens import END_ID, default_path, word_encoder
+from .tokens import CACHE_WORDS, END_ID, default_path, word_encoder
 
 CAPACITY = 4096
 WIDTH = 32
@@ -36,12 +36,12 @@ GROUP_ROWS = 200_000
 SALTS = 64
 
 
-def pieces(docs: DataFrame, *, capacity: int = CAPACITY, tokenizer: str | None = None, end_id: int = END_ID) -> DataFrame:
+def pieces(docs: DataFrame, *, capacity: int = CAPACITY, tokenizer: str | None = None, end_id: int = END_ID, cache_words: int = CACHE_WORDS) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32): documents as token pieces of at most `capacity`."""
     path = tokenizer or default_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = word_encoder(path, end_id)
+        encoder = word_encoder(path, end_id, cache_words)
         for batch in in_parts(tidy(batches), 1000, "text", 8_000_000):
             rows = []
             for doc_id, ids in zip(batch.column(0).to_pylist(), encoder.encode(batch.column(1).to_pylist()), strict=True):
@@ -235,9 +235,12 @@ def ranked(p: DataFrame, rows: int) -> DataFrame:
     return numbered.join(offsets, (F.col("length") == F.col("o_length")) & (F.col("salt") == F.col("o_salt"))).withColumn("rank", F.col("own") + F.col("before"))
 
 
-def pack(docs: DataFrame, *, capacity: int = CAPACITY, tokenizer: str | None = None, end_id: int = END_ID) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) for every piece of docs (doc_id, text)."""
-    p = materialize(pieces(docs, capacity=capacity, tokenizer=tokenizer, end_id=end_id), "pieces")
+def pack(docs: DataFrame, *, capacity: int = CAPACITY, tokenizer: str | None = None, end_id: int = END_ID, cache_words: int = CACHE_WORDS) -> DataFrame:
+    """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) for every piece of docs (doc_id, text).
+
+    cache_words: distinct words that a process keeps; it changes memory and time only.
+    """
+    p = materialize(pieces(docs, capacity=capacity, tokenizer=tokenizer, end_id=end_id, cache_words=cache_words), "pieces")
     histogram = {r["length"]: r["count"] for r in p.groupBy("length").count().collect()}  # at most `capacity` rows
     table = docs.sparkSession.sparkContext.broadcast(slots(plan(histogram, capacity)))
 
