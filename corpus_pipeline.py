@@ -19,6 +19,9 @@ from tidemark.storage import reach
 #: Least share of a text's words that its language must have.
 MIN_LANGUAGE_SHARE = 0.4
 
+#: Words that a process keeps while it packs; processes also hold what earlier stages left.
+CACHE_WORDS = 100_000
+
 #: Language models and near-duplicates have no SQL form.
 ORACLE_SQL = None
 
@@ -63,7 +66,7 @@ def mixing_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Places of all pieces in sequences."""
-    return packing.pack(docs)
+    return packing.pack(docs, cache_words=CACHE_WORDS)
 
 
 STAGES = [
