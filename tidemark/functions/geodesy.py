@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -42,11 +40,12 @@ def intersection(p: tuple[Column, Column, Column, Column], q: tuple[Column, Colu
     return x, p[1] + slope_p * (x - p[0])
 
 
-def segment_weights(x: tuple[Column, Column], p: tuple[Column, Column, Column, Column]) -> tuple[Column, Column]:
-    """Weights of the two points of a segment at x (lon, lat), by chord distances; they add to 1 only between the points."""
-    at, a, b = ecef(x[1], x[0]), ecef(p[1], p[0]), ecef(p[3], p[2])
+def chord_weights(at: tuple[Column, Column, Column], a: tuple[Column, Column, Column], b: tuple[Column, Column, Column]) -> tuple[Column, Column]:
+    """Weights of the two ends of a segment at a position, all earth-centred; they add to 1 only between the ends."""
     whole = chord(a, b)
     return F.try_divide(chord(at, b), whole), F.try_divide(chord(a, at), whole)
 
 
-RADIANS = math.pi / 180.0
+def segment_weights(x: tuple[Column, Column], p: tuple[Column, Column, Column, Column]) -> tuple[Column, Column]:
+    """The same for positions as (lon, lat)."""
+    return chord_weights(ecef(x[1], x[0]), ecef(p[1], p[0]), ecef(p[3], p[2]))

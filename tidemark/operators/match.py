@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.geodesy import chord, ecef, intersection, lon180, segment_weights
+from ..functions.geodesy import chord, chord_weights, ecef, intersection, lon180
 
 
 def with_position(df: DataFrame, prefix: str = "") -> DataFrame:
@@ -100,19 +100,20 @@ def crossovers(points: DataFrame, *, radius: float = 7000.0, max_days: float = 2
     (a0, a1, d0, d1 ids, pa0, pa1, pd0, pd1 weights, lat, lon, time_a, time_d, dt_days).
     """
     p = points.select("id", "cycle", "pass_number", "time", "lat", lon180(F.col("lon")).alias("lon"))
+    p = p.withColumns(dict(zip(("ex", "ey", "ez"), ecef(F.col("lat"), F.col("lon")), strict=True)))  # once a record
     up = ascending(p)
     track = Window.partitionBy("cycle", "pass_number").orderBy("time", "id")
-    own = F.struct("id", "time", "lat", "lon")
+    own = F.struct("id", "time", "lat", "lon", "ex", "ey", "ez")
     asc = p.where(up).withColumn("prev", F.lag(own).over(track)).withColumn("next", F.lead(own).over(track))
     pairs = radius_join(asc, p.where(~up), radius, condition=F.abs(F.col("cycle_b") - F.col("cycle_a")) <= 1)
     near = pairs.groupBy("id_a", "cycle_b", F.floor(F.col("time_b") / 86400).alias("day")).agg(
-        F.first(F.struct("id_a", "time_a", "lat_a", "lon_a", "prev_a", "next_a")).alias("a"),
-        F.array_sort(F.collect_list(F.struct("dist", F.col("id_b").alias("id"), F.col("time_b").alias("time"), F.col("lat_b").alias("lat"), F.col("lon_b").alias("lon")))).alias("ds"),
+        F.first(F.struct("id_a", "time_a", "lat_a", "lon_a", "ex_a", "ey_a", "ez_a", "prev_a", "next_a")).alias("a"),
+        F.array_sort(F.collect_list(F.struct("dist", F.col("id_b").alias("id"), F.col("time_b").alias("time"), F.col("lat_b").alias("lat"), F.col("lon_b").alias("lon"), F.col("ex_b").alias("ex"), F.col("ey_b").alias("ey"), F.col("ez_b").alias("ez")))).alias("ds"),
         F.min("lat_b").alias("low"),
         F.max("lat_b").alias("high"),
     )
     near = near.where((F.size("ds") >= 2) & (F.col("low") <= F.col("a.lat_a")) & (F.col("high") >= F.col("a.lat_a")))
-    near = near.select("day", F.struct(F.col("a.id_a").alias("id"), F.col("a.time_a").alias("time"), F.col("a.lat_a").alias("lat"), F.col("a.lon_a").alias("lon")).alias("at"), F.explode(F.array("a.prev_a", "a.next_a")).alias("side"), F.element_at("ds", 1).alias("d0"), F.element_at("ds", 2).alias("d1")).where(F.col("side").isNotNull())
+    near = near.select("day", F.struct(*[F.col(f"a.{c}_a").alias(c) for c in ("id", "time", "lat", "lon", "ex", "ey", "ez")]).alias("at"), F.explode(F.array("a.prev_a", "a.next_a")).alias("side"), F.element_at("ds", 1).alias("d0"), F.element_at("ds", 2).alias("d1")).where(F.col("side").isNotNull())
     earlier = F.col("side.time") <= F.col("at.time")
     near = near.withColumn("a0", F.when(earlier, F.col("side")).otherwise(F.col("at"))).withColumn("a1", F.when(earlier, F.col("at")).otherwise(F.col("side")))
     swap = F.col("d0.time") <= F.col("d1.time")
@@ -120,11 +121,13 @@ def crossovers(points: DataFrame, *, radius: float = 7000.0, max_days: float = 2
     seg = {s: tuple(F.col(f"{s}{k}.{c}") for k in (0, 1) for c in ("lon", "lat")) for s in "ad"}
     time = lambda s, w: F.col(f"{s}0.time") * w[f"p{s}0"] + F.col(f"{s}1.time") * w[f"p{s}1"]
 
+    def placed(x: Column) -> Column:
+        return F.struct(x["lon"].alias("lon"), x["lat"].alias("lat"), *[v.alias(n) for n, v in zip(("ex", "ey", "ez"), ecef(x["lat"], x["lon"]), strict=True)])
+
     def weighed(x: Column) -> Column:
-        names = ("pa0", "pa1", "pd0", "pd1")
-        at = (x["lon"], x["lat"])
-        found = (*segment_weights(at, seg["a"]), *segment_weights(at, seg["d"]))
-        return F.struct(x["lon"].alias("lon"), x["lat"].alias("lat"), *[v.alias(n) for n, v in zip(names, found, strict=True)])
+        position = lambda c: tuple(c[k] for k in ("ex", "ey", "ez"))
+        found = [w.alias(f"p{s}{k}") for s in "ad" for k, w in enumerate(chord_weights(position(x), *[position(F.col(f"{s}{k}")) for k in (0, 1)]))]
+        return F.struct(x["lon"].alias("lon"), x["lat"].alias("lat"), *found)
 
     def timed(w: Column) -> Column:
         return F.struct(w.alias("w"), time("a", w).alias("time_a"), time("d", w).alias("time_d"))
@@ -138,7 +141,7 @@ def crossovers(points: DataFrame, *, radius: float = 7000.0, max_days: float = 2
     # each step is bound by a lambda, so that pushing the filter down does not copy the steps before it
     lon, lat = intersection(seg["a"], seg["d"])
     bound = F.array(F.struct(lon.alias("lon"), lat.alias("lat")))
-    for step in (weighed, timed, judged):
+    for step in (placed, weighed, timed, judged):
         bound = F.transform(bound, step)
     out = near.select("a0", "a1", "d0", "d1", bound[0].alias("x")).where("x.ok")
     return out.select(F.col("a0.id").alias("a0"), F.col("a1.id").alias("a1"), F.col("d0.id").alias("d0"), F.col("d1.id").alias("d1"), *[F.col(f"x.t.w.{c}").alias(c) for c in ("pa0", "pa1", "pd0", "pd1", "lat", "lon")], F.col("x.t.time_a").alias("time_a"), F.col("x.t.time_d").alias("time_d"), F.col("x.days").alias("dt_days")).dropDuplicates(["a0", "a1", "d0", "d1"])
