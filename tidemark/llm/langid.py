@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import in_parts, tidy
+from .tokens import uncollected
 
 LETTERS = re.compile(r"[^\W\d_]+")
 BUCKETS = 1 << 16
@@ -284,8 +285,9 @@ def predict(docs: DataFrame, crf: Crf | None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labeller = Labeller(model.value) if model.value else None
-        for batch in in_parts(tidy(batches), 2000, "text", 4_000_000):
-            found = labelled(labeller, batch.column(1).to_pylist())
+        for batch in in_parts(tidy(batches), 4000, "text", 8_000_000):
+            with uncollected():
+                found = labelled(labeller, batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], names=["doc_id", "lang_pred", "score"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
