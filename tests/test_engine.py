@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark import registry
 from tidemark.functions import geodesy, physics, variables
 from tidemark.operators import design, evaluate, filters, levels, lsq, match, outliers, smooth, windows
 from tidemark.operators import grid as grids
@@ -145,6 +146,30 @@ def test_radius_join_against_brute_force(spark):
     assert got == {(pts[i][0], pts[j][0]) for i, j in zip(*np.nonzero(near), strict=True)}
 
 
+@pytest.mark.parametrize("name, km", [("J1_radius_join_all_cycles", 100), ("J2_nearest_match_all_cycles", 200)])
+def test_pairs_of_all_cycles_against_brute_force(spark, sf_dir, name, km):
+    p = observations(spark, sf_dir).select("id", "cycle", "pass_number", "lat", "lon").toPandas()
+    xyz = np.stack(match.with_position(observations(spark, sf_dir)).select("px", "py", "pz").toPandas().to_numpy().T, 1)
+    d = np.sqrt(((xyz[:, None] - xyz[None]) ** 2).sum(2))
+    up = p.pass_number.to_numpy() % 2 == 1
+    near = (d <= km * 1000) & up[:, None] & ~up[None]
+    want = {(int(p.id[i]), int(p.id[j])): d[i, j] for i, j in zip(*np.nonzero(near), strict=True)}
+    if name.startswith("J2"):
+        best = {}
+        for (a, b), x in want.items():
+            best[a] = min(best.get(a, (x, b)), (x, b))
+        want = {(a, b): x for a, (x, b) in best.items()}
+    got = {(r.a, r.b): r.km for r in registry.queries()[name](spark, sf_dir).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k] / 1000) < 1e-5 for k in got)
+    cycle = dict(zip(p.id, p.cycle, strict=True))
+    assert {cycle[a] for a, _ in got} == set(p.cycle) and len(set(p.cycle)) > 1
+
+
+def test_orbit_of_all_cycles(spark, sf_dir):
+    got = {r.id for r in registry.queries()["S15_orbit_join_all_cycles"](spark, sf_dir).collect()}
+    assert got == {r.id for r in observations(spark, sf_dir).select("id").collect()}
+
+
 def test_one_to_one(spark):
     rows = [(1, 10, 50.0), (2, 10, 850.0), (3, 11, 300.0), (3, 12, 310.0), (4, 13, 930.0)]
     df = spark.createDataFrame(rows, "id_a long, id_b long, dist double")

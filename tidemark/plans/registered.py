@@ -126,6 +126,14 @@ def _orbit(spark, sf_dir):
     return tables.attach_orbit(o.withColumnRenamed("id", "idx"), tables.read_orbit(spark, path)).select(F.col("idx").cast("long").alias("id"), r6("alt_new").alias("alt_new"))
 
 
+@query("S15_orbit_join_all_cycles", f"SELECT id, {_r('alt + 5e-1', 'alt_new')} FROM obs")
+def _orbit_all(spark, sf_dir):
+    o = observations(spark, sf_dir)
+    path = _shared(spark, "orbit")
+    o.select(F.format_string("%d 0 0 %.3f 0 0 0 0 0 0", F.col("id"), F.col("alt") + 0.5)).write.text(path)
+    return tables.attach_orbit(o.withColumnRenamed("id", "idx"), tables.read_orbit(spark, path)).select(F.col("idx").cast("long").alias("id"), r6("alt_new").alias("alt_new"))
+
+
 @query("S23_new_cycles", "SELECT DISTINCT cycle FROM obs WHERE cycle <> 2 UNION ALL SELECT 9")
 def _new_cycles(spark, sf_dir):
     produced = spark.createDataFrame([(2,), (9,)], "cycle int")
@@ -381,6 +389,20 @@ def _nearest(spark, sf_dir):
     return pairs.select(F.col("id_a").alias("a"), F.col("id_b").alias("b"), r6(F.col("dist") / 1000).alias("km"))
 
 
+@query("J1_radius_join_all_cycles", f"WITH {_POINTS} SELECT a.id AS a, b.id AS b, {_r(_DIST + ' / 1000', 'km')} FROM p a JOIN p b ON {_DIST} <= 100000 WHERE a.pass_number % 2 = 1 AND b.pass_number % 2 = 0")
+def _radius_all(spark, sf_dir):
+    p = _points(spark, sf_dir)
+    pairs = match.radius_join(p.where(match.ascending(p)), p.where(~match.ascending(p)), 100000.0)
+    return pairs.select(F.col("id_a").alias("a"), F.col("id_b").alias("b"), r6(F.col("dist") / 1000).alias("km"))
+
+
+@query("J2_nearest_match_all_cycles", f"WITH {_POINTS}, d AS (SELECT a.id AS a, b.id AS b, {_DIST} AS dist FROM p a JOIN p b ON {_DIST} <= 200000 WHERE a.pass_number % 2 = 1 AND b.pass_number % 2 = 0) SELECT a, b, {_r('dist / 1000', 'km')} FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY dist, b) AS k FROM d) WHERE k = 1")
+def _nearest_all(spark, sf_dir):
+    p = _points(spark, sf_dir)
+    pairs = match.nearest(match.radius_join(p.where(match.ascending(p)), p.where(~match.ascending(p)), 200000.0))
+    return pairs.select(F.col("id_a").alias("a"), F.col("id_b").alias("b"), r6(F.col("dist") / 1000).alias("km"))
+
+
 _COLLINEAR = f"""WITH {_POINTS},
 d AS (SELECT a.id AS a, b.id AS b, a.swh_ku - b.swh_ku AS dx, {_DIST} AS dist FROM p a JOIN p b ON b.cycle = a.cycle + 1 AND a.pass_number % 2 = b.pass_number % 2 AND {_DIST} <= 90000),
 n AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY dist, b) AS k FROM d) WHERE k = 1),
