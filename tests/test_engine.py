@@ -170,6 +170,29 @@ def test_orbit_of_all_cycles(spark, sf_dir):
     assert got == {r.id for r in observations(spark, sf_dir).select("id").collect()}
 
 
+def _slow_nearest(rows, k=2):
+    return {(a, b, i + 1) for a, x, y in rows for i, (_, b) in enumerate(sorted((abs(x - v) + abs(y - w), b) for b, v, w in rows if b != a)[:k])}
+
+
+def test_nearest_values_against_brute_force(spark, sf_dir):
+    rng = np.random.default_rng(2)
+    crowded = [(i, 0.01 * float(rng.integers(0, 5)), float(rng.integers(0, 3))) for i in range(150)]  # many equal rows
+    far = [(200 + i, 2.0**i, -(3.0**i)) for i in range(12)]
+    tight = [(300 + i, *map(float, rng.normal(5, 1e-6, 2))) for i in range(150)]
+    for rows in (crowded + far + tight, crowded, far[:3], far[:2], far[:1], [(1, 4.0, 4.0), (2, 4.0, 4.0)], []):
+        df = spark.createDataFrame([*rows, (999, None, 1.0)], "id long, u double, v double").repartition(3)
+        got = [(r.a, r.b, r.k) for r in match.nearest_values(df, "u", "v", crowd=8).collect()]
+        assert len(got) == len(set(got)) and set(got) == _slow_nearest(rows)
+
+
+def test_two_nearest_and_rollup_read_everything(spark, sf_dir):
+    o = [(r.id, r.swh_ku, r.wind_speed_alt) for r in observations(spark, sf_dir).collect()]
+    got = {(r.a, r.b, r.k) for r in registry.queries()["J14_two_nearest_all"](spark, sf_dir).collect()}
+    assert got == _slow_nearest(o) and len(got) == 2 * len(o)
+    totals = [r.n for r in registry.queries()["ROLLUP_quality_all_passes"](spark, sf_dir).where("pass_number <> -1").collect()]
+    assert sum(totals) == len(o)
+
+
 def test_one_to_one(spark):
     rows = [(1, 10, 50.0), (2, 10, 850.0), (3, 11, 300.0), (3, 12, 310.0), (4, 13, 930.0)]
     df = spark.createDataFrame(rows, "id_a long, id_b long, dist double")

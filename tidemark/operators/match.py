@@ -6,10 +6,13 @@ equi-join on cube keys; AQE splits a crowded cube.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geodesy import chord, chord_weights, ecef, intersection, lon180
+from ..storage import shared_dir
 
 
 def with_position(df: DataFrame, prefix: str = "") -> DataFrame:
@@ -47,6 +50,56 @@ def nearest(pairs: DataFrame, key: str = "id_a", other: str = "id_b") -> DataFra
     return pairs.groupBy(key).agg(best).select("best.row.*")
 
 
+def nearest_values(points: DataFrame, x: str, y: str, k: int = 2, *, crowd: int = 64) -> DataFrame:
+    """(a, b, k, dist): for each id of points (id, x, y) the k others with the least |dx| + |dy|, ties to the smaller id; exact.
+
+    Rows of equal values are one point with their k + 1 smallest ids, as no more can be among the answers. Points meet
+    those of the 3 by 3 cells around them; whatever lies outside is at least a cell's width away, so a point is done once
+    k + 1 partners (its own ids count) are closer than that. The others try again with cells twice as wide, up to cells that
+    hold everything. The first width leaves at most `crowd` points in a cell. Widths are powers of two, so cell bounds
+    are exact. Rows with a null value have no distance and are left out.
+    """
+    most = k + 1
+    rows = points.select("id", F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).where("x is not null and y is not null and not isnan(x) and not isnan(y)")
+    rows = rows.withColumns({"x": F.col("x") + 0.0, "y": F.col("y") + 0.0})
+    place = F.row_number().over(Window.partitionBy("x", "y").orderBy("id"))
+    # a window limit keeps k + 1 rows of a value before the shuffle
+    values = rows.withColumn("__place", place).where(F.col("__place") <= most).groupBy("x", "y").agg(F.array_sort(F.collect_list("id")).alias("ids")).persist()
+    found: DataFrame | None = None
+    try:
+        high = values.agg(F.max("x") - F.min("x"), F.max("y") - F.min("y"), F.max(F.greatest(F.abs("x"), F.abs("y")))).first()
+        span_x, span_y, far = (v or 0.0 for v in high)
+        whole = 2.0 ** math.ceil(math.log2(max(span_x, span_y, far * 2.0**-50, 2.0**-900)) + 1)
+        cell = lambda c, w: F.floor(F.col(c) / w)
+        width, least = whole, max(whole * 2.0**-40, far * 2.0**-50)
+        while width > least and (values.groupBy(cell("x", width), cell("y", width)).count().agg(F.max("count")).first()[0] or 0) > crowd:
+            width /= 2
+        left = values.select("x", "y")
+        while True:
+            around = lambda c: F.explode(F.array(*[cell(c, width) + d for d in (-1, 0, 1)]))  # noqa: B023, E731
+            own = left.select("x", "y", around("x").alias("cx")).select("*", around("y").alias("cy"))
+            other = values.select(F.col("x").alias("ox"), F.col("y").alias("oy"), "ids", cell("x", width).alias("cx"), cell("y", width).alias("cy"))
+            dist = F.abs(F.col("x") - F.col("ox")) + F.abs(F.col("y") - F.col("oy"))
+            pairs = own.join(other, ["cx", "cy"]).select("x", "y", dist.alias("dist"), F.explode("ids").alias("b"))
+            ranked = pairs.withColumn("__place", F.row_number().over(Window.partitionBy("x", "y").orderBy("dist", "b"))).where(F.col("__place") <= most)
+            near = ranked.groupBy("x", "y").agg(F.array_sort(F.collect_list(F.struct("dist", "b"))).alias("near"))
+            done = (F.size("near") == most) & (F.element_at("near", -1)["dist"] < width) if width < whole else F.lit(True)
+            path = shared_dir(points.sparkSession, "nearest")
+            near.withColumn("done", done).write.parquet(path)
+            near = points.sparkSession.read.parquet(path)
+            ready = near.where("done").select("x", "y", "near")
+            found = ready if found is None else found.unionByName(ready)
+            left = near.where("not done").select("x", "y")
+            if width >= whole or left.isEmpty():
+                break
+            width *= 2
+    finally:
+        values.unpersist()
+    others = F.slice(F.filter("near", lambda e: e["b"] != F.col("a")), 1, k)
+    out = rows.withColumnRenamed("id", "a").join(found, ["x", "y"]).select("a", F.posexplode(others).alias("k", "e"))
+    return out.select("a", F.col("e.b").alias("b"), (F.col("k") + 1).alias("k"), F.col("e.dist").alias("dist"))
+
+
 def one_to_one(pairs: DataFrame, radius: float, step: float = 100.0) -> DataFrame:
     """Nearest matches within the largest radius (shrunk by `step`) at which no partner is taken twice.
 

@@ -91,6 +91,11 @@ def _two_nearest(spark, sf_dir):
     return d.withColumn("k", F.row_number().over(Window.partitionBy("a").orderBy("dist", "b"))).where("k <= 2").select("a", "b", "k")
 
 
+@query("J14_two_nearest_all")  # all pairs in SQL: compared by a test on a small table
+def _two_nearest_all(spark, sf_dir):
+    return match.nearest_values(observations(spark, sf_dir), "swh_ku", "wind_speed_alt", 2).select("a", "b", "k")
+
+
 @query("A2_cooccurrence_diagonal", f"WITH {_W} SELECT node, count(DISTINCT id) AS n FROM w GROUP BY node")
 def _diagonal(spark, sf_dir):
     return lsq.node_counts(_direct(spark, sf_dir))
@@ -216,3 +221,7 @@ def _rollup(spark, sf_dir):
     return g.select(F.coalesce("cycle", F.lit(-1)).alias("cycle"), F.coalesce("pass_number", F.lit(-1)).alias("pass_number"), "n", "mean")
 
 
+@query("ROLLUP_quality_all_passes", f"SELECT coalesce(cycle, -1) AS cycle, coalesce(pass_number, -1) AS pass_number, n, mean FROM (SELECT cycle, pass_number, count(*) AS n, {_r('avg(usla_ku)', 'mean')} FROM obs GROUP BY ROLLUP (cycle, pass_number))")
+def _rollup_all(spark, sf_dir):
+    g = observations(spark, sf_dir).rollup("cycle", "pass_number").agg(F.count(F.lit(1)).alias("n"), r6(F.avg("usla_ku")).alias("mean"))
+    return g.select(F.coalesce("cycle", F.lit(-1)).alias("cycle"), F.coalesce("pass_number", F.lit(-1)).alias("pass_number"), "n", "mean")
