@@ -2,9 +2,9 @@
 
 Every stage but the last returns the columns of the documents it was given.  Rejected are: documents that fail the
 quality rules or whose host does; texts without a letter or without a clear language; all but one document of each
-near-duplicate group; and what the mix does not take (documents that it takes twice appear twice).  A row whose doc_id is
-null cannot be named as a duplicate and is kept there; extra columns come along under any name but those that start with
-two underscores.
+near-duplicate group, by row, so rows without a doc_id or with a repeated one count like others; and what the mix does
+not take (documents that it takes twice appear twice).  Extra columns come along under any name but those that start
+with two underscores.
 """
 
 from __future__ import annotations
@@ -45,16 +45,16 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each near-duplicate group; of rows that repeat id and text, one."""
-    groups = simhash.near_duplicates(docs.select("doc_id", "text"))
-    ids = groups.groupBy("doc_id").agg(F.count(F.lit(1)).alias("times"), F.max((F.col("doc_id") != F.col("component_id")).cast("int")).alias("gone"))
-    odd = ids.where("doc_id is not null and (gone = 1 or times > 1)").select(F.col("doc_id").alias("__id"), "times", "gone").cache()
+    """One document of each near-duplicate group: that of the smallest id, or one without an id where all are."""
+    odd = materialize(simhash.surplus(docs.select("doc_id", "text")).select(F.col("doc_id").alias("__id"), F.col("key").alias("__of"), "kept"), "surplus")
     n = odd.count()
-    marked = _with_row(docs, "doc_id", "text").join(small_or_shuffled(odd, n), F.col("doc_id") == F.col("__id"), "left")
-    once = marked.where("__id is null").select("__row.*")
-    if odd.where("gone = 0").isEmpty():
+    keyed = _with_row(docs, "doc_id", "text").withColumn("__key", simhash.text_key())
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__of"))
+    marked = keyed.join(small_or_shuffled(odd, n), same, "left")
+    once = marked.where("__of is null").select("__row.*")
+    if odd.where("kept").isEmpty():
         return once
-    repeated = marked.where("gone = 0").dropDuplicates(["doc_id", "text"]).select("__row.*")
+    repeated = marked.where("kept").dropDuplicates(["doc_id", "__key"]).select("__row.*")
     return once.unionByName(repeated)
 
 

@@ -1,5 +1,6 @@
 """The pipeline stage by stage on a small fixture."""
 
+import random
 from collections import Counter
 
 import pytest
@@ -55,6 +56,22 @@ def test_dedup_stage(stages):
     assert got == Counter({d: 1 for d, c in groups.items() if d is None or d == c})
 
 
+def test_dedup_by_row(spark, sf_dir):
+    rng = random.Random(5)
+    a, b, c, d = (" ".join("".join(rng.choices("abcdefgh", k=6)) for _ in range(400)) for _ in range(4))
+    bits = lambda x, y: (simhash.fingerprint(x) ^ simhash.fingerprint(y)).bit_count()
+    near = next(t for t in (f"{a} {w}" for w in b.split()) if 0 < bits(t, a) <= 2)
+    rows = [(3, a, 0), (7, near, 1), (7, b, 2), (8, c, 3), (8, c, 4), (None, d, 5), (None, d, 6), (None, c, 7), (9, f"{a}\n", 8)]
+    one = [(4, b, 9)]
+    for extra, want in (([], [(3, a), (7, b), (8, c), (None, d)]), (one, [(3, a), (4, b), (8, c), (None, d)])):
+        docs = spark.createDataFrame(rows + extra, "doc_id long, text string, n int").repartition(3)
+        got = corpus_pipeline.simhash_dedup(spark, docs, sf_dir)
+        assert got.columns == docs.columns
+        assert Counter((r.doc_id, r.text) for r in got.collect()) == Counter(want)
+    docs = spark.createDataFrame([(7, a, 0), (7, near, 1)], "doc_id long, text string, n int")
+    assert corpus_pipeline.simhash_dedup(spark, docs, sf_dir).count() == 1
+
+
 def test_mixing_stage(stages):
     copies = {r.doc_id: r.copies for r in mixing.mix(stages[3]).collect()}
     assert Counter(r.doc_id for r in stages[4].collect()) == Counter({d: n for d, n in copies.items() if n})

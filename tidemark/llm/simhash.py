@@ -52,15 +52,15 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
     return int(np.packbits(2 * ones > len(h), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """(doc_id, fp) of every row; fp holds the bits as a signed long."""
+def fingerprints(docs: DataFrame, shingle: int = 3, *carry: str) -> DataFrame:
+    """(doc_id, fp, carry...) of every row; fp holds the bits as a signed long, and so do the columns that come along."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in in_parts(tidy(batches), 1000, "text", 8_000_000):
             fp = np.array([fingerprint(t.as_py(), shingle) for t in batch.column(1)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp)], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp), *batch.columns[2:]], names=["doc_id", "fp", *carry])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *carry).mapInArrow(run, ", ".join(f"{c} long" for c in ("doc_id", "fp", *carry)))
 
 
 @lru_cache
@@ -214,12 +214,40 @@ def near_links(distinct: DataFrame, threshold: int = 2, home_block: int = 4096)
     return dealt.select("anchor", "fp", "home", "block").mapInArrow(compare, "u long, v long").distinct()
 
 
+def _roots(distinct: DataFrame, threshold: int) -> DataFrame:
+    """The columns of distinct (fp, ...) with the root of each fingerprint's component."""
+    roots = star_components(near_links(distinct, threshold))
+    rest = [c for c in distinct.columns if c != "fp"]
+    return distinct.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), *rest)
+
+
 def near_duplicates(docs: DataFrame, *, shingle: int = 3, threshold: int = 2) -> DataFrame:
     """(doc_id, fingerprint, component_id) for every row of docs (doc_id, text)."""
     fps = materialize(fingerprints(docs, shingle), "fingerprints")
     distinct = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct-fingerprints")
-    roots = star_components(near_links(distinct, threshold))
-    member = distinct.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "first_id")
+    member = _roots(distinct, threshold)
     label = member.groupBy("root").agg(F.min("first_id").alias("component_id"))
     of = member.join(label, "root").select(F.col("fp").alias("k"), "component_id")
     return fps.join(of, F.col("fp") == F.col("k")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def text_key(text: str = "text") -> F.Column:
+    """64 bits that tell the texts of one id apart."""
+    return F.xxhash64(F.col(text).isNull(), F.col(text))
+
+
+def surplus(docs: DataFrame, *, shingle: int = 3, threshold: int = 2) -> DataFrame:
+    """(doc_id, key, kept) of the rows of docs (doc_id, text), by id and text_key, of which not exactly all stay.
+
+    One row of each component stays: that of the smallest id (null last), then key.  kept: one of these equal rows stays.
+    """
+    keyed = docs.select("doc_id", "text", text_key().alias("key"))
+    fps = materialize(fingerprints(keyed, shingle, "key"), "fingerprints")
+    own = F.struct(F.col("doc_id").isNull().alias("odd"), "doc_id", "key")
+    distinct = materialize(fps.groupBy("fp").agg(F.min(own).alias("first")), "distinct-fingerprints")
+    member = _roots(distinct, threshold)
+    label = member.groupBy("root").agg(F.min("first").alias("first"))
+    of = member.select("root", F.col("fp").alias("k")).join(label, "root").select("k", "first")
+    kept = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("key") == F.col("first.key"))
+    rows = fps.join(of, F.col("fp") == F.col("k")).select("doc_id", "key", kept.alias("kept"))
+    return rows.groupBy("doc_id", "key").agg(F.count(F.lit(1)).alias("times"), F.max("kept").alias("kept")).where("not kept or times > 1").select("doc_id", "key", "kept")
