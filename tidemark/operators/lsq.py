@@ -57,16 +57,15 @@ def _bitmap(nodes: list[int]) -> list[int]:
     return words.view(np.int64).tolist()
 
 
-def consistent(df: DataFrame, least: int, *, rounds: int = 30) -> tuple[DataFrame, list[int]]:
+def consistent(df: DataFrame, least: int) -> tuple[DataFrame, list[int]]:
     """Drop sparse nodes, then rows that lost a node, until nothing changes. Returns rows and node ids."""
-    before: list[int] | None = None
-    for _ in range(rounds):
-        ids = sorted(r["node"] for r in kept_nodes(df, least).select("node").collect())
+    rows, before = df, None
+    while True:  # ends, as the list can only shrink; the last one stands for all before it
+        ids = sorted(r["node"] for r in kept_nodes(rows, least).select("node").collect())
         if not ids or ids == before:
-            break
-        df = df.where(F.forall("nodes", _member(ids)))
+            return rows, ids
+        rows = df.where(F.forall("nodes", _member(ids)))
         before = ids
-    return df, ids
 
 
 def normal_matrix(df: DataFrame, *by: str, weight: Column | None = None) -> DataFrame:

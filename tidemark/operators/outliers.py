@@ -13,19 +13,25 @@ ROUNDS = 100
 
 
 def bounds(df: DataFrame, value: Column, z: float, *by: str, rounds: int = ROUNDS) -> DataFrame:
-    """(by..., lo, hi, n): limits of each group once no survivor is further than z deviations from the mean."""
+    """(by..., lo, hi, n): limits of each group once no survivor is further than z deviations from the mean.
+
+    rounds: how often survivors may become more before this is an error; while they become fewer it goes on.
+    """
     rows = df.select(*by, value.alias("__v")).where(F.col("__v").isNotNull())
     # the values are read in every round
     rows = rows.persist()
     try:
         state, before = None, None
-        for _ in range(rounds):
+        while True:
             inner = rows if state is None else (rows.join(state, list(by)) if by else rows.join(F.broadcast(state), F.lit(True))).where(F.col("__v").between(F.col("lo"), F.col("hi")))
             stats = inner.groupBy(*by).agg(F.avg("__v").alias("m"), F.stddev_pop("__v").alias("s"), F.count(F.lit(1)).alias("n")).select(*by, (F.col("m") - z * F.col("s")).alias("lo"), (F.col("m") + z * F.col("s")).alias("hi"), "n")
             found = stats.collect()  # a row for each cycle
             total = sum(r["n"] for r in found)
             if total == before:
                 break
+            rounds -= before is not None and total > before
+            if rounds < 0:
+                raise RuntimeError("outliers did not settle")
             before = total
             state = df.sparkSession.createDataFrame(found, stats.schema) if found else stats
         return state
