@@ -195,6 +195,15 @@ def test_language_held_out(real):
     assert np.mean([r.lang == r.lang_pred for r in got]) > 0.95
 
 
+def test_language_of_long_texts_only(spark):
+    words = {"aa": "bado kito rami selu nopa", "bb": "wyrx zghq vlkt prsk dvnj"}
+    rows = [(i, " ".join([*words["aa"].split()] * 20), "aa") for i in range(30)] + [(100 + i, " ".join([*words["bb"].split()] * 1000), "bb") for i in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    picked = langid.sample(df)
+    assert {lang for _, lang in picked} == {"aa", "bb"} and max(len(t) for t, _ in picked) == langid.TRAIN_CHARS
+    assert all(r.lang_pred == ("aa" if r.doc_id < 100 else "bb") for r in langid.identify(df).collect())
+
+
 def test_forward_backward_against_enumeration():
     rng = np.random.default_rng(3)
     crf = langid.Crf(["a", "b"], rng.normal(size=(langid.BUCKETS, 2)).astype(np.float32), rng.normal(size=(2, 2)), rng.normal(size=2), {})

@@ -256,11 +256,19 @@ def training_side() -> F.Column:
 
 
 def sample(docs: DataFrame, per_language: int = PER_LANGUAGE, train_chars: int = TRAIN_CHARS) -> list[tuple[str, str]]:
-    """Labelled texts of the training side: about per_language rows a language, those with the smallest hash of all rows."""
-    rows = docs.where(training_side() & F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") <= train_chars))
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
+    """Labelled texts of the training side: about per_language rows a language, those with the smallest hash of all rows.
+
+    Of a language that has longer texts only, their first train_chars characters are taken.
+    """
+    rows = docs.where(training_side() & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    short = F.length("text") <= train_chars
+    counts = rows.groupBy("lang").agg(F.count(F.when(short, 1)).alias("short"), F.count(F.lit(1)).alias("all"))
+    # the most frequent languages by short texts come first, as before; then those without
+    counts = counts.select("lang", "short", F.when(F.col("short") > 0, F.col("short")).otherwise(F.col("all")).alias("count")).orderBy((F.col("short") == 0).asc(), F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
     if not counts:
         return []
+    long_only = [r["lang"] for r in counts if not r["short"]]
+    rows = rows.where(short | F.col("lang").isin(long_only)).withColumn("text", F.substring("text", 1, train_chars))
     h = F.pmod(F.xxhash64(F.lit("train"), F.col("doc_id")), F.lit(1 << 30))
     limit = F.element_at(F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], int(min(1.0, 1.5 * (per_language + 20) / r["count"]) * (1 << 30)))]), F.col("lang"))
     picked = rows.where(h < limit).select("lang", "text", h.alias("h"), "doc_id").limit(2 * (per_language + 20) * len(counts)).collect()
