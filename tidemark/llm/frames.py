@@ -6,11 +6,14 @@ and cut at the end of a document (a longer document fills several frames); a ski
 32 bits of the XXH64 of its contents, then the number of frames, a descriptor and the seekable magic number, as in the
 public seekable format.  A reader finds the table from the end of the file and decompresses the frames it needs.
 
-Documents are dealt by ranges of doc_id, so shards follow each other in the order of ids; the manifest holds where each
-shard starts.  Files of failed attempts are in no manifest.
+Documents are dealt by ranges of (doc_id, hash of the text), so shards follow each other in the order of ids and many
+texts under one id, or under none, are no hot shard; the manifest holds where each shard starts and its first and last id.
+Files of failed attempts are in no manifest.  `read_documents` opens only shards whose range holds a wanted id, and
+decompresses only the frames that such documents lie in.
 
 Defined results: null text is an empty document (its end id only); rows repeated or with the same id lie next to each
-other, ordered by text; a null doc_id comes first; an empty table gives no shard; other columns are ignored.
+other, ordered by the hash of the text, then the text; a null doc_id comes first; an empty table gives no shard; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,18 +32,18 @@ from pyspark.sql import functions as F
 from pyspark.taskcontext import TaskContext
 
 from .common import in_parts, materialize, open_input, open_output, shared_dir, tidy
-from .tokens import END_ID, default_path, word_encoder
+from .tokens import BYTES, END_ID, ROWS, default_path, word_encoder
 
 FRAME_BYTES = 256 * 1024
-#: Distinct words that a writing process keeps.
-CACHE_WORDS = 400_000
 LEVEL = 3
 #: Shard files that one reading task takes, about.
 FILES_A_TASK = 8
 SKIPPABLE = 0x184D2A50
 SEEK_TABLE = 0x184D2A5E
 SEEKABLE = 0x8F92EAB1
-MANIFEST = "shard int, path string, documents long, tokens long"
+MANIFEST = "shard int, path string, documents long, tokens long, first_id long, last_id long"
+SHARD = pa.schema([("shard", pa.int32()), ("path", pa.string()), ("documents", pa.int64()), ("tokens", pa.int64()), ("first_id", pa.int64()), ("last_id", pa.int64())])
+#: Stands for a null doc_id in the files.
 NULL_ID = -(1 << 63)
 
 
@@ -137,22 +140,24 @@ class TokenFile:
 
 
 def write_tokens(docs: DataFrame, *, tokenizer: str | None = None, end_id: int = END_ID, frame_bytes: int = FRAME_BYTES, directory: str | None = None) -> DataFrame:
-    """Encode docs (doc_id, text) into shard files; returns the manifest (shard, path, documents, tokens, start)."""
+    """Encode docs (doc_id, text) into shard files; returns the manifest (shard, path, documents, tokens, first_id, last_id, start)."""
     base = directory or shared_dir(docs.sparkSession, "tokens")
     path = tokenizer or default_path()
-    dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("h")).repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h", "text")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, out, name = None, None, ""
-        for batch in in_parts(tidy(batches), 1000, "text", 8_000_000):
+        encoder, out, name = word_encoder(path, end_id), None, ""
+        for batch in in_parts(tidy(batches), ROWS, "text", BYTES):
             if out is None:
-                encoder, name = word_encoder(path, end_id, CACHE_WORDS), f"{base}/{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.tokens.zst"
+                name = f"{base}/{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.tokens.zst"
                 out = TokenFileWriter(open_output(name), frame_bytes)
-            for doc_id, ids in zip(batch.column(0).to_pylist(), encoder.encode(batch.column(1).to_pylist()), strict=True):
-                out.add(doc_id, ids)
+            ids, edge = encoder.encode_column(batch.column(1))
+            for doc_id, lo, hi in zip(batch.column(0).to_pylist(), edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+                out.add(doc_id, ids[lo:hi].tobytes())
         if out is not None:
             out.close()
-            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([name]), pa.array([len(out.index)], pa.int64()), pa.array([out.tokens], pa.int64())], names=["shard", "path", "documents", "tokens"])
+            row = (TaskContext.get().partitionId(), name, len(out.index), out.tokens, out.index[0][0], out.index[-1][0])
+            yield pa.RecordBatch.from_pylist([dict(zip(SHARD.names, row, strict=True))], schema=SHARD)
 
     shards = materialize(dealt.mapInArrow(write, MANIFEST), "tokens-manifest", one_file=True)
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # a row for each shard file
@@ -175,3 +180,25 @@ def read_tokens(spark: SparkSession, manifest: DataFrame) -> DataFrame:
                         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(f.starts[rows.start : rows.stop] + start, pa.int64()), pa.array(f.sizes[rows.start : rows.stop], pa.int64()), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
     return manifest.select("path", "start").repartition(max(1, -(-files // FILES_A_TASK))).mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+
+
+def read_documents(spark: SparkSession, manifest: DataFrame, doc_ids: list[int | None]) -> DataFrame:
+    """(doc_id, start, ids) of the documents with one of the given ids; ids are little-endian unsigned 32-bit integers."""
+    wanted = np.unique(np.array([NULL_ID if x is None else x for x in doc_ids], np.int64))
+    held = spark.sparkContext.broadcast(wanted)  # the caller's list
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ask = held.value
+        for batch in batches:
+            for path, start, first, last in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                here = ask[np.searchsorted(ask, first) : np.searchsorted(ask, last, "right")]
+                if not len(here):
+                    continue
+                with open_input(path) as stream:
+                    f = TokenFile(stream)
+                    for row in np.flatnonzero(np.isin(f.ids, here)).tolist():
+                        doc_id = None if f.ids[row] == NULL_ID else int(f.ids[row])
+                        yield pa.RecordBatch.from_arrays([pa.array([doc_id], pa.int64()), pa.array([int(f.starts[row]) + start], pa.int64()), pa.array([f.tokens(row)], pa.binary())], names=["doc_id", "start", "ids"])
+
+    files = manifest.select("path", "start", "first_id", "last_id")
+    return files.repartition(max(1, -(-manifest.count() // FILES_A_TASK))).mapInArrow(read, "doc_id long, start long, ids binary")
