@@ -6,8 +6,9 @@ counts are fitted to the rounded histogram by non-negative least squares (Lawson
 Patterns are then filled with true lengths, longest first, and the pieces left over are packed by best fit, decreasing,
 into the room that patterns leave and into new sequences - all on counts of lengths, not on pieces.
 
-Pieces are ranked within their length - by salted groups with offsets, so that a common length is no hot group - and a
-rank is looked up in the plan's slots, a table whose size depends on the capacity only.
+Pieces are ranked within their length - by salted groups with offsets, so that a common length is no hot group; the
+salts are dealt in turn and written with the pieces, so neither is one id, a missing id or one text - and a rank is looked
+up in the plan's slots, a table whose size depends on the capacity only.
 
 Defined results: null text is an empty document (its end id only); an empty table gives no row; rows repeated or with a
 null doc_id are packed each; other columns are ignored.
@@ -24,9 +25,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.taskcontext import TaskContext
 
 from .common import in_parts, materialize, tidy
-from .tokens import CACHE_WORDS, END_ID, default_path, word_encoder
+from .tokens import BYTES, CACHE_WORDS, END_ID, ROWS, default_path, word_encoder
 
 CAPACITY = 4096
 WIDTH = 32
@@ -34,25 +36,29 @@ DEPTH = 3
 #: Pieces of one salted group of a length, about.
 GROUP_ROWS = 200_000
 SALTS = 64
+#: How far apart tasks start to deal; prime, so that they start in different groups.
+TURN = 1_000_003
 
 
 def pieces(docs: DataFrame, *, capacity: int = CAPACITY, tokenizer: str | None = None, end_id: int = END_ID, cache_words: int = CACHE_WORDS) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32): documents as token pieces of at most `capacity`."""
+    """(doc_id, piece, start, length, ids_crc32, turn): documents as token pieces of at most `capacity`, numbered in turn to be dealt."""
     path = tokenizer or default_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = word_encoder(path, end_id, cache_words)
-        for batch in in_parts(tidy(batches), 1000, "text", 8_000_000):
-            rows = []
-            for doc_id, ids in zip(batch.column(0).to_pylist(), encoder.encode(batch.column(1).to_pylist()), strict=True):
-                for k, at in enumerate(range(0, len(ids), 4 * capacity)):
-                    part = ids[at : at + 4 * capacity]
-                    rows.append((doc_id, k, at // 4, len(part) // 4, zlib.crc32(part)))
-            columns = list(zip(*rows, strict=True)) if rows else [()] * 5
-            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, kinds, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+        encoder, turn = word_encoder(path, end_id, cache_words), TaskContext.get().partitionId() * TURN
+        for batch in in_parts(tidy(batches), ROWS, "text", BYTES):
+            ids, edge = encoder.encode_column(batch.column(1))
+            n = np.maximum(1, -(-np.diff(edge) // capacity))
+            piece = np.arange(n.sum()) - np.repeat(n.cumsum() - n, n)
+            lo = np.repeat(edge[:-1], n) + piece * capacity
+            hi = np.minimum(lo + capacity, np.repeat(edge[1:], n))
+            data = memoryview(ids).cast("B")
+            crc = [zlib.crc32(data[4 * a : 4 * b]) for a, b in zip(lo.tolist(), hi.tolist(), strict=True)]
+            columns = [batch.column(0).take(pa.array(np.repeat(np.arange(len(n)), n))), pa.array(piece.astype(np.int32)), pa.array(piece * capacity), pa.array(hi - lo), pa.array(crc, pa.int64()), pa.array((turn + np.arange(len(piece))).astype(np.int64))]
+            turn += len(piece)
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "piece", "start", "length", "ids_crc32", "turn"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, turn long")
 
 
 def patterns(units: int, depth: int, present: set[int]) -> list[tuple[int, ...]]:
@@ -71,8 +77,8 @@ def patterns(units: int, depth: int, present: set[int]) -> list[tuple[int, ...]]
     return out
 
 
-def nnls(a: np.ndarray, b: np.ndarray, rounds: int = 400) -> np.ndarray:
-    """argmin |a x - b|, x >= 0, by the active-set method of Lawson and Hanson."""
+def nnls(a: np.ndarray, b: np.ndarray, rounds: int = 400) -> tuple[np.ndarray, bool]:
+    """argmin |a x - b|, x >= 0, by the active-set method of Lawson and Hanson, and whether it got there within the rounds."""
     x = np.zeros(a.shape[1])
     active = np.zeros(a.shape[1], bool)
     eps = 1e-9 * max(1.0, float(np.abs(a.T @ b).max(initial=0)))
@@ -81,7 +87,7 @@ def nnls(a: np.ndarray, b: np.ndarray, rounds: int = 400) -> np.ndarray:
         grad[active] = -np.inf
         j = int(grad.argmax())
         if grad[j] <= eps:
-            break
+            return x, True
         active[j] = True
         while active.any():
             s = np.zeros_like(x)
@@ -94,7 +100,7 @@ def nnls(a: np.ndarray, b: np.ndarray, rounds: int = 400) -> np.ndarray:
             x = x + step * (s - x)
             active &= x > 1e-12
             x[~active] = 0
-    return x
+    return x, False
 
 
 def plan(histogram: dict[int, int], capacity: int = CAPACITY, width: int = WIDTH, depth: int = DEPTH) -> list[tuple[tuple[int, ...], int]]:
@@ -117,7 +123,8 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY, width: int = WIDTH
             for u in t:
                 a[at[u], j] += u
         b = np.array([have[u] * u for u in sizes], float)
-        fitted = nnls(a, b / b.max()) * b.max()
+        # counts that the rounds did not bring to the optimum are still counts: what they leave is packed by best fit
+        fitted = nnls(a, b / b.max())[0] * b.max()
         for j in np.argsort(-fitted, kind="stable"):
             t = tuples[j]
             count = min(int(fitted[j]), *(have[u] // t.count(u) for u in set(t)))
@@ -226,11 +233,11 @@ def slots(planned: list[tuple[tuple[int, ...], int]]) -> np.ndarray:
 def ranked(p: DataFrame, rows: int) -> DataFrame:
     """Pieces with their rank within their length, from 0."""
     salts = max(SALTS, -(-rows // GROUP_ROWS))
-    salted = p.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)))
+    salted = p.withColumn("salt", F.pmod("turn", F.lit(salts)))
     counts = salted.groupBy("length", "salt").count()
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(F.col("length").alias("o_length"), F.col("salt").alias("o_salt"), F.coalesce(F.sum("count").over(before), F.lit(0)).alias("before"))
-    own = F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")) - 1
+    own = F.row_number().over(Window.partitionBy("length", "salt").orderBy("turn")) - 1
     numbered = salted.withColumn("own", own)
     return numbered.join(offsets, (F.col("length") == F.col("o_length")) & (F.col("salt") == F.col("o_salt"))).withColumn("rank", F.col("own") + F.col("before"))
 
