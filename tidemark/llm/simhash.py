@@ -52,15 +52,15 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
     return int(np.packbits(2 * ones > len(h), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3, *carry: str) -> DataFrame:
-    """(doc_id, fp, carry...) of every row; fp holds the bits as a signed long, and so do the columns that come along."""
+def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
+    """(doc_id, fp) of every row; fp holds the bits as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in in_parts(tidy(batches), 1000, "text", 8_000_000):
             fp = np.array([fingerprint(t.as_py(), shingle) for t in batch.column(1)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp), *batch.columns[2:]], names=["doc_id", "fp", *carry])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp)], names=["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *carry).mapInArrow(run, ", ".join(f"{c} long" for c in ("doc_id", "fp", *carry)))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
 
 
 @lru_cache
@@ -137,15 +137,19 @@ class Forest:
         return True
 
 
-def links(key: np.ndarray, fp: np.ndarray, home: np.ndarray, threshold: int, pairs: int = 1 << 19) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Links between the homes and all rows of each run of equal keys (homes first), thinned to a spanning forest of each run."""
-    first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-    size = np.diff(np.r_[first, len(key)])
+def links(run: np.ndarray, prints: np.ndarray, home: np.ndarray, threshold: int, pairs: int = 1 << 19) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Links between the homes and all rows of each run of equal numbers (homes first), thinned to a spanning forest of each run.
+
+    prints: a row of fingerprints for each row, compared together; the first one names the row.
+    """
+    first = np.flatnonzero(np.r_[True, run[1:] != run[:-1]])
+    size = np.diff(np.r_[first, len(run)])
     homes = np.add.reduceat(home.astype(np.int64), first)
     busy = (homes > 0) & (size > 1)
     first, size, homes = first[busy], size[busy], homes[busy]
     if not len(first):
         return
+    name = prints[:, 0]
     row = np.repeat(first, size) + np.arange(size.sum()) - np.repeat(size.cumsum() - size, size)
     n, at = np.repeat(homes, size), np.repeat(first, size)
     end = n.cumsum()
@@ -155,99 +159,154 @@ def links(key: np.ndarray, fp: np.ndarray, home: np.ndarray, threshold: int, pai
         m = n[lo:hi]
         r = np.repeat(row[lo:hi], m)
         h = np.repeat(at[lo:hi], m) + np.arange(len(r)) - np.repeat(m.cumsum() - m, m)
-        near = (np.bitwise_count((fp[r] ^ fp[h]).view(np.uint64)) <= threshold) & (fp[r] != fp[h])
+        near = (np.bitwise_count((prints[r] ^ prints[h]).view(np.uint64)).sum(1, dtype=np.int64) <= threshold) & (name[r] != name[h])
         r, h = r[near], h[near]
         if len(r):
             # every row links to its first home; other homes of a row link to that one, once each
             lead = np.r_[True, r[1:] != r[:-1]]
-            yield fp[r[lead]], fp[h[lead]]
+            yield name[r[lead]], name[h[lead]]
             anchor_home = h[lead][lead.cumsum() - 1]
             more = np.unique(np.stack([anchor_home[~lead], h[~lead]], 1), axis=0)
             if len(more):
                 forest = Forest()
                 kept = np.array([forest.join(int(a), int(b)) for a, b in more])
-                yield fp[more[kept, 0]], fp[more[kept, 1]]
+                yield name[more[kept, 0]], name[more[kept, 1]]
         lo = hi
 
 
-def near_links(distinct: DataFrame, threshold: int = 2, home_block: int = 4096) -> DataFrame:
-    """Links (u, v) that connect the distinct fingerprints (fp) within `threshold` bits: the same components, not all pairs."""
-    reach = RADIUS + threshold
+def near_links(distinct: DataFrame, threshold: int = 2, home_block: int = 4096, *, codes: tuple[str, ...] = ("fp",), prints: tuple[str, ...] = ("fp",), spread: int | None = None) -> DataFrame:
+    """Links (u, v) that connect the fingerprints of `distinct` within `threshold` bits: the same components, not all pairs.
+
+    codes: the fingerprints that anchors are found for, each in a table of its own; a pair meets if it differs in at most
+    `spread` bits (by default the threshold) of one of them.  prints: the fingerprints that are compared; u and v are the first.
+    """
+    reach = RADIUS + (threshold if spread is None else spread)
+    names, k = [f"p{i}" for i in range(len(prints))], len(codes)
+    asked = distinct.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(codes)], *[F.col(c).alias(n) for c, n in zip(prints, names, strict=True)])
 
     def homes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(home_anchor(batch.column(0).to_numpy(zero_copy_only=False)))], names=["anchor"])
+            for t in range(k):
+                yield pa.RecordBatch.from_arrays([pa.array(home_anchor(batch.column(t).to_numpy(zero_copy_only=False)) | t << 2 * BLOCK)], names=["anchor"])
 
     def replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = batch.column(0).to_numpy(zero_copy_only=False)
-            for at in range(0, len(fps), 1000):
-                part = fps[at : at + 1000]
-                index, anchor, home = anchors(part, reach)
-                yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(part[index]), pa.array(home)], names=["anchor", "fp", "home"])
-
-    rows = distinct.select("fp").mapInArrow(replicate, "anchor long, fp long, home boolean")
-    hot = materialize(distinct.select("fp").mapInArrow(homes, "anchor long").groupBy("anchor").count().where(F.col("count") > home_block).select(F.col("anchor").alias("hot"), F.ceil(F.col("count") / home_block).cast("int").alias("blocks")), "hot-anchors", one_file=True)
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
+                for t in range(k):
+                    index, anchor, home = anchors(part.column(t).to_numpy(zero_copy_only=False), reach)
+                    of = pa.array(index)
+                    yield pa.RecordBatch.from_arrays([pa.array(anchor | t << 2 * BLOCK), *[part.column(k + i).take(of) for i in range(len(prints))], pa.array(home)], names=["anchor", *names, "home"])
+
+    schema = "anchor long, " + ", ".join(f"{n} long" for n in names) + ", home boolean"
+    rows = asked.mapInArrow(replicate, schema)
+    hot = materialize(asked.mapInArrow(homes, "anchor long").groupBy("anchor").count().where(F.col("count") > home_block).select(F.col("anchor").alias("hot"), F.ceil(F.col("count") / home_block).cast("int").alias("blocks")), "hot-anchors", one_file=True)
     if (n := hot.count()) == 0:
         rows = rows.withColumn("block", F.lit(0))
     else:
         # homes of a crowded anchor are dealt to blocks; its replicas go to each of them
         blocks = F.coalesce("blocks", F.lit(1))
-        own = F.when(F.col("home"), F.pmod(F.xxhash64("fp"), blocks).cast("int"))
-        rows = rows.join(small_or_shuffled(hot, n), F.col("anchor") == F.col("hot"), "left").select("anchor", "fp", own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block")).select("anchor", "fp", F.coalesce(F.col("own") == F.col("block"), F.lit(False)).alias("home"), "block")
+        own = F.when(F.col("home"), F.pmod(F.xxhash64(*names), blocks).cast("int"))
+        rows = rows.join(small_or_shuffled(hot, n), F.col("anchor") == F.col("hot"), "left").select("anchor", *names, own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block")).select("anchor", *names, F.coalesce(F.col("own") == F.col("block"), F.lit(False)).alias("home"), "block")
     dealt = rows.repartition("anchor", "block").sortWithinPartitions("anchor", "block", F.desc("home"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple | None = None
+        held: tuple | None = None  # homes of the last run, which may go on in the next batch
         for batch in tidy(batches):
-            anchor, fp, home, block = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
-            if not len(anchor):
+            if not batch.num_rows:
                 continue
-            key = anchor * 1_000_003 + block  # runs of one (anchor, block) only need to differ from their neighbours
-            if held is not None and held[0][0] == key[0]:
-                key, fp, home = (np.concatenate([a, b]) for a, b in zip(held, (key, fp, home), strict=True))
-            last = (key == key[-1]) & home
-            held = (key[last], fp[last], home[last]) if last.any() else None
-            for u, v in links(key, fp, home, threshold):
+            anchor, block, home = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 2))
+            fp = np.stack([batch.column(3 + i).to_numpy(zero_copy_only=False) for i in range(len(prints))], 1)
+            if held is not None and held[0][0] == anchor[0] and held[1][0] == block[0]:
+                anchor, block, home, fp = (np.concatenate([a, b]) for a, b in zip(held, (anchor, block, home, fp), strict=True))
+            last = (anchor == anchor[-1]) & (block == block[-1]) & home
+            held = (anchor[last], block[last], home[last], fp[last]) if last.any() else None
+            run = np.r_[0, ((anchor[1:] != anchor[:-1]) | (block[1:] != block[:-1])).cumsum()]
+            for u, v in links(run, fp, home, threshold):
                 yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
 
-    return dealt.select("anchor", "fp", "home", "block").mapInArrow(compare, "u long, v long").distinct()
-
-
-def _roots(distinct: DataFrame, threshold: int) -> DataFrame:
-    """The columns of distinct (fp, ...) with the root of each fingerprint's component."""
-    roots = star_components(near_links(distinct, threshold))
-    rest = [c for c in distinct.columns if c != "fp"]
-    return distinct.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), *rest)
+    return dealt.select("anchor", "block", "home", *names).mapInArrow(compare, "u long, v long").distinct()
 
 
 def near_duplicates(docs: DataFrame, *, shingle: int = 3, threshold: int = 2) -> DataFrame:
     """(doc_id, fingerprint, component_id) for every row of docs (doc_id, text)."""
     fps = materialize(fingerprints(docs, shingle), "fingerprints")
     distinct = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct-fingerprints")
-    member = _roots(distinct, threshold)
+    roots = star_components(near_links(distinct, threshold)).select(F.col("node").alias("fp"), "root")
+    member = distinct.join(roots, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "first_id")
     label = member.groupBy("root").agg(F.min("first_id").alias("component_id"))
     of = member.join(label, "root").select(F.col("fp").alias("k"), "component_id")
     return fps.join(of, F.col("fp") == F.col("k")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+# --- near copies by similarity ---
+
+
+def majority(digests: list[bytes]) -> np.ndarray:
+    """The bits set in over half of 16-byte digests, as two unsigned numbers."""
+    ones = np.zeros(128, np.int64)
+    for at in range(0, len(digests), 1 << 15):
+        some = digests[at : at + (1 << 15)]
+        ones += np.unpackbits(np.frombuffer(b"".join(some), np.uint8).reshape(-1, 16), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return np.packbits(2 * ones > len(digests), bitorder="little").view("<u8")
+
+
+def signature(text: str | None, shingle: int) -> np.ndarray:
+    """Two fingerprints of 64 bits each: those of the set of word shingles, and those of the set of words; ASCII lower case."""
+    words = (text or "").encode().lower().split()
+    if not words:
+        return np.zeros(4, "<u8")
+    hashed = xxhash.xxh3_128_digest
+    n = max(1, len(words) - shingle + 1)
+    runs = {b" ".join(words[i : i + shingle]) for i in range(n)}
+    return np.concatenate([majority([hashed(x, SEED) for x in some]) for some in (runs, set(words))])
+
+
+def signatures(docs: DataFrame, shingle: int) -> DataFrame:
+    """(doc_id, key, f1, f2, w1, w2) of every row of docs (doc_id, text); key tells the texts of one id apart."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in in_parts(tidy(batches), 1000, "text", 8_000_000):
+            found = np.array([signature(t.as_py(), shingle) for t in batch.column(2)], np.uint64).reshape(-1, 4).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(found[:, i]) for i in range(4)]], names=["doc_id", "key", "f1", "f2", "w1", "w2"])
+
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("key"), "text")
+    return keyed.mapInArrow(run, "doc_id long, key long, f1 long, f2 long, w1 long, w2 long")
+
+
+def bits_apart(similarity: float, bits: int = 2 * BITS, deviations: float = 1.0) -> int:
+    """Bits in which fingerprints differ at most, for all but a few of the pairs whose shingle sets have this Jaccard similarity.
+
+    Each bit differs with the probability of the angle between the sets over pi.
+    """
+    p = float(np.arccos(min(1.0, 2 * similarity / (1 + similarity))) / np.pi)
+    return int(np.ceil(bits * p + deviations * np.sqrt(bits * p * (1 - p))))
+
+
 def text_key(text: str = "text") -> F.Column:
     """64 bits that tell the texts of one id apart."""
     return F.xxhash64(F.col(text).isNull(), F.col(text))
 
 
-def surplus(docs: DataFrame, *, shingle: int = 3, threshold: int = 2) -> DataFrame:
+def surplus(docs: DataFrame, *, shingle: int = 5, similarity: float = 0.8, spread: int = 2) -> DataFrame:
     """(doc_id, key, kept) of the rows of docs (doc_id, text), by id and text_key, of which not exactly all stay.
 
     One row of each component stays: that of the smallest id (null last), then key.  kept: one of these equal rows stays.
+
+    Texts link if the 128 bits of their shingles differ in at most `bits_apart(similarity)`.  So many bits are beyond any
+    covering code that could be afforded; near copies share nearly all of their words, though, and so differ in few bits of the
+    fingerprints of their distinct words.  Those are what anchors cover: two tables, of independent bits, each with
+    all anchors within radius + `spread`.
     """
-    keyed = docs.select("doc_id", "text", text_key().alias("key"))
-    fps = materialize(fingerprints(keyed, shingle, "key"), "fingerprints")
+    sig = materialize(signatures(docs, shingle), "signatures")
     own = F.struct(F.col("doc_id").isNull().alias("odd"), "doc_id", "key")
-    distinct = materialize(fps.groupBy("fp").agg(F.min(own).alias("first")), "distinct-fingerprints")
-    member = _roots(distinct, threshold)
+    distinct = materialize(sig.groupBy("f1", "f2", "w1", "w2").agg(F.min(own).alias("first")), "distinct-signatures")
+    links_ = near_links(distinct, bits_apart(similarity), codes=("w1", "w2"), prints=("f1", "f2"), spread=spread)
+    roots = star_components(links_).select(F.col("node").alias("f1"), "root")
+    named = distinct.groupBy("f1").agg(F.min("first").alias("first"))
+    member = named.join(roots, "f1", "left").select(F.coalesce("root", "f1").alias("root"), "f1", "first")
     label = member.groupBy("root").agg(F.min("first").alias("first"))
-    of = member.select("root", F.col("fp").alias("k")).join(label, "root").select("k", "first")
+    of = member.select("root", F.col("f1").alias("k")).join(label, "root").select("k", "first")
     kept = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("key") == F.col("first.key"))
-    rows = fps.join(of, F.col("fp") == F.col("k")).select("doc_id", "key", kept.alias("kept"))
+    rows = sig.join(of, F.col("f1") == F.col("k")).select("doc_id", "key", kept.alias("kept"))
     return rows.groupBy("doc_id", "key").agg(F.count(F.lit(1)).alias("times"), F.max("kept").alias("kept")).where("not kept or times > 1").select("doc_id", "key", "kept")
