@@ -10,9 +10,11 @@ which the budget ends is split again by the next bits, and only its rows are rea
 the last one goes to the nearer side.  Sums are aggregated before the shuffle, so a source with a third of all rows is
 no hot group, and documents meet their source's threshold in a join with one row a source.
 
+Ranks and running sums over the sources come from ranges of them, so that no task sees all sources.
+
 Defined results: null text has size 0; null source is a source of its own, last; a source of size 0 has target 0 and
-its documents are taken 0 times; rows repeated or with a null id share one hash and so one fate; an empty table gives
-no row; other columns are ignored.
+its documents are taken 0 times; the hash is that of id and text, so equal rows share one fate and texts under one id
+or under none do not; an empty table gives no row; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, materialize, small_or_shuffled
+from .common import WORD, column, materialize, running_sums, small_or_shuffled
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -34,25 +36,24 @@ def word_count(text: str = "text") -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def document_hash(doc_id: str = "doc_id", seed: str = "mix") -> Column:
-    """30 bits of the MD5 of seed and id."""
-    md5 = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(doc_id).cast("string"), F.lit("null"))))
-    return F.shiftright(F.conv(F.substring(md5, 1, 8), 16, 10).cast("long"), 32 - HASH_BITS)
+def document_hash(doc_id: str = "doc_id", text: str = "text", seed: str = "mix") -> Column:
+    """30 bits of the MD5 of seed, id and text."""
+    named = F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(doc_id).cast("string"), F.lit("null")), F.lit(":"), F.coalesce(F.md5(F.col(text).cast("binary")), F.lit("null")))
+    return F.shiftright(F.conv(F.substring(F.md5(named.cast("binary")), 1, 8), 16, 10).cast("long"), 32 - HASH_BITS)
 
 
 def targets(sources: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, cap: int = CAP) -> DataFrame:
-    """Sources (source, source_size) with their target; one row a source."""
-    everything = Window.partitionBy()
-    by_name = Window.orderBy(F.col("source").asc_nulls_last())
-    place = F.pmod(F.row_number().over(by_name) - 1, F.lit(len(weights)))
-    w = sources.withColumn("weight", F.element_at(F.array(*[F.lit(float(x)) for x in weights]), place + 1))
-    w = w.withColumn("most", F.col("source_size") * cap).withColumn("budget", F.sum("source_size").over(everything) * F.lit(float(share)))
+    """Sources (source, source_size) with their target."""
+    ranked = running_sums(sources, [F.col("source").asc_nulls_last()], {"place": F.lit(1)}, "mix-ranks")
+    weight = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), F.pmod(F.col("place") - 1, F.lit(len(weights))).cast("int") + 1)
+    w = ranked.select("source", "source_size", weight.alias("weight"), (F.col("source_size") * cap).alias("most"))
     # Candidates for the water level: what the first k sources, by cap over weight, leave to the weights of the others.
-    rising = Window.orderBy(F.col("most") / F.col("weight"), F.col("source").asc_nulls_last())
-    w = w.withColumn("capped", F.sum("most").over(rising)).withColumn("spent", F.sum("weight").over(rising)).withColumn("weights", F.sum("weight").over(everything))
+    rising = running_sums(w, [F.col("most") / F.col("weight"), F.col("source").asc_nulls_last()], {"capped": F.col("most"), "spent": F.col("weight")}, "mix-rising")
+    whole = w.agg((F.sum("source_size") * F.lit(float(share))).alias("budget"), F.sum("weight").alias("weights"))  # one row
+    rising = rising.join(F.broadcast(whole), F.lit(True))
     after = F.when(F.col("weights") > F.col("spent"), (F.col("budget") - F.col("capped")) / F.nullif(F.col("weights") - F.col("spent"), F.lit(0.0)))
-    level = F.greatest(F.col("budget") / F.col("weights"), F.coalesce(F.max(after).over(everything), F.lit(0.0)))
-    return w.select("source", "source_size", F.least(F.col("most").cast("double"), level * F.col("weight")).alias("target"))
+    level = rising.agg(F.greatest(F.max(F.col("budget") / F.col("weights")), F.coalesce(F.max(after), F.lit(0.0))).alias("level"))  # one row
+    return w.join(F.broadcast(level), F.lit(True)).select("source", "source_size", F.least(F.col("most").cast("double"), F.col("level") * F.col("weight")).alias("target"))
 
 
 def _same(left: str, right: str) -> Column:
@@ -65,7 +66,7 @@ def thresholds(sized: DataFrame, goals: DataFrame, n_sources: int) -> DataFrame:
     sized: (source, size, h); goals: (source, source_size, target).
     """
     times = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.nullif(F.col("source_size"), F.lit(0)))).otherwise(0).cast("long")
-    state = materialize(goals.withColumn("times", times).withColumn("left", F.col("target") - F.col("times") * F.col("source_size")).select(F.col("source").alias("s_source"), "times", "left", F.lit(0).cast("long").alias("prefix"), F.lit(False).alias("all")), "mix-goals", one_file=True)
+    state = materialize(goals.withColumn("times", times).withColumn("left", F.col("target") - F.col("times") * F.col("source_size")).select(F.col("source").alias("s_source"), "times", "left", F.lit(0).cast("long").alias("prefix"), F.lit(False).alias("all")), "mix-goals")
     for level in range(LEVELS):
         shift = HASH_BITS - LEVEL_BITS * (level + 1)
         open_ = state.where(~F.col("all"))
@@ -86,7 +87,6 @@ def thresholds(sized: DataFrame, goals: DataFrame, n_sources: int) -> DataFrame:
                 F.when(found, F.col("tokens")).alias("last"),
             ),
             "mix-thresholds",
-            one_file=True,
         )
         last = state.select("s_source", "times", "prefix", "all", (F.col("left") * 2 >= F.col("last")).alias("nearer"))
         state = state.drop("last")
@@ -97,25 +97,25 @@ def thresholds(sized: DataFrame, goals: DataFrame, n_sources: int) -> DataFrame:
 def mix(docs: DataFrame, *, carry: list[str] | None = None, weights: tuple = WEIGHTS, share: float = SHARE, cap: int = CAP) -> DataFrame:
     """(doc_id, size, source_size, target, taken, copies) of every row of docs (doc_id, source, text).
 
-    `carry` names columns of docs that come along (with them the result reads docs once more).
+    `carry` names columns of docs that come along in a struct `row` (with them the result reads docs once more).
     """
-    kept = [F.col(c).alias(f"__{c}") for c in carry or []]
+    kept = [F.struct(*[column(c) for c in carry]).alias("row")] if carry else []
     rows = docs.select(F.col("doc_id"), F.col("source"), word_count().alias("size"), document_hash().alias("h"), *kept)
     sized = materialize(rows.select("doc_id", "source", "size", "h"), "mix-sizes")
-    sources = materialize(sized.groupBy("source").agg(F.sum("size").alias("source_size")), "mix-sources", one_file=True)
+    sources = materialize(sized.groupBy("source").agg(F.sum("size").alias("source_size")), "mix-sources")
     n = sources.count()
-    goals = materialize(targets(sources, weights, share, cap), "mix-targets", one_file=True)
+    goals = materialize(targets(sources, weights, share, cap), "mix-targets")
     cut = thresholds(sized, goals, n)
     table = goals.join(cut, _same("source", "s_source")).select(F.col("source").alias("g_source"), "source_size", "target", "times", "below")
     copies = F.when(F.col("source_size") > 0, F.col("times") + (F.col("h") < F.col("below")).cast("long")).otherwise(F.lit(0)).cast("long")
     out = (rows if carry else sized).join(small_or_shuffled(table, n), _same("source", "g_source"))
-    return out.select("doc_id", "size", "source_size", "target", (copies * F.col("size")).alias("taken"), copies.alias("copies"), *[F.col(f"__{c}") for c in carry or []])
+    return out.select("doc_id", "size", "source_size", "target", (copies * F.col("size")).alias("taken"), copies.alias("copies"), *(["row"] if carry else []))
 
 
 ORACLE = r"""
 WITH sized AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
-         (('0x' || substr(md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 8))::BIGINT) >> 2 AS h
+         (('0x' || substr(md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || coalesce(md5(text), 'null')), 1, 8))::BIGINT) >> 2 AS h
   FROM documents),
 named AS (
   SELECT source, sum(size)::BIGINT AS source_size,
