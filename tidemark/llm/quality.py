@@ -1,18 +1,22 @@
 """Operator 8: document quality rules with host-level verdicts (DataFrame functions only).
 
 Base rules are computed inside each row from the whole text.  Failures are then counted by host (the source column),
-each host's failure rate is shrunk with a beta prior fitted to all hosts' rates by moments, and a host whose shrunk
-rate is above `max_rate` loses all its documents; verdicts are joined back to the documents.  Counts are aggregated
-before the shuffle, and the joined table has one row a host.
+each host's failure rate is shrunk with an empirical beta prior, and a host whose shrunk rate is above `max_rate` loses
+all its documents; verdicts are joined back to the documents.  Counts are aggregated before the shuffle, the joined table
+has one row a host, and the prior comes from sums over the hosts, so no task sees all of them.
 
-Defined results: null text has no words and fails; null source is a host of its own; with one host, or hosts with equal
-rates, the prior has the largest strength allowed; an empty table gives no row; repeated rows get a row each; other
-columns are ignored.
+The prior is that of a beta-binomial, fitted by moments with hosts weighted by their documents: of the weighted spread of the
+rates, what documents drawn with one common rate would show by themselves is taken out, and the rest over what it could
+be at most is the correlation rho within a host; the prior's strength is 1 / rho - 1.
+
+Defined results: null text has no words and fails; null source is a host of its own; with one host, with one document a
+host, or with rates that spread no more than chance would, the prior has the largest strength allowed; an empty table gives
+no row; repeated rows get a row each; other columns are ignored.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import SPACE, WORD, materialize, small_or_shuffled
@@ -56,23 +60,27 @@ def with_features(docs: DataFrame) -> DataFrame:
 def host_verdicts(rows: DataFrame, max_rate: float = MAX_RATE) -> DataFrame:
     """(host, docs, failed, rate, host_kept) from rows (source, base_failed)."""
     hosts = rows.groupBy(F.col("source").alias("host")).agg(F.count(F.lit(1)).alias("docs"), F.sum(F.col("base_failed").cast("long")).alias("failed"))
-    everything = Window.partitionBy()  # over one row a host
-    h = hosts.withColumn("raw", F.col("failed") / F.col("docs")).withColumn("mean", F.avg("raw").over(everything)).withColumn("var", F.var_pop("raw").over(everything))
-    fitted = F.col("mean") * (1 - F.col("mean")) / F.nullif(F.col("var"), F.lit(0.0)) - 1
+    n, f = F.col("docs").cast("double"), F.col("failed").cast("double")
+    sums = hosts.agg(F.count(F.lit(1)).alias("k"), F.sum(n).alias("n"), F.sum(f).alias("f"), F.sum(n * n).alias("nn"), F.sum(f * f / n).alias("ff"))
+    mean = F.col("f") / F.col("n")
+    spread = F.nullif((F.col("ff") - mean * F.col("f")) / F.nullif(mean * (1 - mean), F.lit(0.0)) - (F.col("k") - 1), F.lit(0.0))
+    most = F.col("n") - F.col("k") + 1 - F.col("nn") / F.col("n")
+    fitted = F.when((spread > 0) & (most > 0), most / spread - 1)
     strength = F.greatest(F.lit(STRENGTH[0]), F.least(F.lit(STRENGTH[1]), F.coalesce(fitted, F.lit(STRENGTH[1]))))
+    prior = sums.select(mean.alias("mean"), strength.alias("strength"))  # one row
     rate = (F.col("failed") + F.col("mean") * F.col("strength")) / (F.col("docs") + F.col("strength"))
-    return h.withColumn("strength", strength).withColumn("rate", rate).select("host", "docs", "failed", "rate", (F.col("rate") <= max_rate).alias("host_kept"))
+    return hosts.join(F.broadcast(prior), F.lit(True)).withColumn("rate", rate).select("host", "docs", "failed", "rate", (F.col("rate") <= max_rate).alias("host_kept"))
 
 
 def verdicts(docs: DataFrame, *, max_rate: float = MAX_RATE) -> DataFrame:
     """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, host_rate, kept) of every row."""
     rows = materialize(with_features(docs.select("doc_id", "source", "text")).select("doc_id", "source", *FEATURES), "quality")
-    return judged(rows, rows, max_rate).select("doc_id", *FEATURES, F.round("rate", 9).alias("host_rate"), "kept")
+    return judged(rows, max_rate).select("doc_id", *FEATURES, F.round("rate", 9).alias("host_rate"), "kept")
 
 
-def judged(rows: DataFrame, counted: DataFrame, max_rate: float = MAX_RATE) -> DataFrame:
-    """rows (source, base_failed, ...) with their host's rate and `kept`; hosts are counted over `counted`."""
-    hosts = materialize(host_verdicts(counted, max_rate), "hosts", one_file=True)
+def judged(rows: DataFrame, max_rate: float = MAX_RATE) -> DataFrame:
+    """rows (source, base_failed, ...) with their host's rate and `kept`."""
+    hosts = materialize(host_verdicts(rows.select("source", "base_failed"), max_rate), "hosts")
     small = small_or_shuffled(hosts.select("host", "rate", "host_kept"), hosts.count())
     return rows.join(small, F.col("source").eqNullSafe(F.col("host"))).withColumn("kept", ~F.col("base_failed") & F.col("host_kept"))
 
@@ -94,8 +102,9 @@ f AS (
   FROM d LEFT JOIN lin ON d.doc_id = lin.doc_id LEFT JOIN cov ON d.doc_id = cov.doc_id),
 b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM f),
 h AS (SELECT source, count(*) AS docs, sum(base_failed::INT) AS failed FROM b GROUP BY source),
-m AS (SELECT avg(failed / docs) AS mean, var_pop(failed / docs) AS var FROM h),
-p AS (SELECT mean, greatest(2.0::double, least(1000.0::double, coalesce(mean * (1 - mean) / nullif(var, 0) - 1, 1000.0::double))) AS s FROM m),
+m AS (SELECT count(*) AS k, sum(docs)::DOUBLE AS n, sum(failed)::DOUBLE AS f, sum(failed)::DOUBLE / sum(docs) AS mean, sum(docs::DOUBLE * docs) AS nn, sum(failed::DOUBLE * failed / docs) AS ff FROM h),
+e AS (SELECT mean, n - k + 1 - nn / n AS most, (ff - mean * f) / nullif(mean * (1 - mean), 0) - (k - 1) AS spread FROM m),
+p AS (SELECT mean, greatest(2.0::double, least(1000.0::double, coalesce(CASE WHEN spread > 0 AND most > 0 THEN most / spread - 1 END, 1000.0::double))) AS s FROM e),
 v AS (SELECT source, (failed + mean * s) / (docs + s) AS rate FROM h, p)
 SELECT b.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, round(v.rate, 9) AS host_rate, NOT base_failed AND v.rate <= 0.5 AS kept
 FROM b JOIN v ON b.source IS NOT DISTINCT FROM v.source
