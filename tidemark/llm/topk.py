@@ -3,11 +3,12 @@
 Vectors become integers, floor(scale * x).  For every query the score of its k-th best candidate is located without
 sorting: each round scores everything, sums a histogram of scores per query over all tasks and keeps the bin the k-th
 value is in, split into 1,024 bins in the next round, until a bin is one score wide.  A task sends only the bins its own
-k best fall in, as the k-th value overall cannot lie below a task's own.  The last pass keeps scores above that value and,
-of those equal to it, each task's smallest ids; the few rows left are ranked per query.
+k best fall in, as the k-th value overall cannot lie below a task's own.  The bin of the k-th value is found query by query
+on the executors; one row a query of the block comes to the driver.  The last pass keeps scores above that value and, of
+those equal to it, each task's smallest ids; the few rows left are ranked per query.
 
-Queries are a stated set met by all rows in blocks: blocks of at most `query_block` queries (chosen by a hash of the id)
-go to all tasks as a broadcast of bounded size, and every block makes its own passes over the table.
+Queries are a stated set met by all rows in blocks: blocks of about `block_bytes` of query vectors (chosen by a hash of the
+id) go to all tasks as a broadcast, and every block makes its own passes over the table.
 
 Defined results: vectors that are null or hold a null, NaN or infinite component take no part, as query or candidate;
 rows with a null id likewise; vectors of another dimension than the query are no candidates for it; an empty vector
@@ -30,7 +31,7 @@ from .common import materialize
 K = 10
 SCALE = 1024
 BINS = 1024
-QUERY_BLOCK = 50_000
+BLOCK_BYTES = 16_000_000
 #: Queries scored at once in a task, and candidates scored at once.
 ROWS, COLUMNS = 256, 4096
 
@@ -112,21 +113,25 @@ def histograms(rows: DataFrame, d: int, block, k: int) -> DataFrame:
     return rows.select("vec_id", "v").mapInArrow(run, "q long, bin int, n long").groupBy("q", "bin").agg(F.sum("n").alias("n"))
 
 
-def refine(block: Block, bins: list, k: int) -> tuple[Block, bool]:
-    """Narrow every query's window to the bin of its k-th value; True if a query has fewer than k candidates in all."""
-    step = -(-block.width // BINS)
-    counts = np.zeros((len(block.ids), BINS + 1), np.int64)
-    for q, b, n in bins:
-        counts[q, b] = n
-    above = counts[:, ::-1].cumsum(1)[:, ::-1] - counts
-    inside = (above < k) & (above + counts >= k) & (counts > 0)
-    found = inside.any(1)
-    at = np.where(found, inside.argmax(1), 0)
-    need = np.where(found, k - above[np.arange(len(at)), at], 0)
-    return Block(block.ids, block.vectors, np.where(found, block.low + at * step, block.low), step, need), found
+def refine(block: Block, histogram: DataFrame, k: int) -> tuple[Block, np.ndarray]:
+    """Narrow every query's window to the bin of its k-th value, and tell of which queries that was found.
 
-
-def top_k(vectors: DataFrame, queries: DataFrame, *, k: int = K, scale: int = SCALE, query_block: int = QUERY_BLOCK) -> DataFrame:
+    A query has at most BINS + 1 rows of the histogram; one row of each found query comes to the driver.
+    """
+    step = -(-block.width // BINS)
+    down = Window.partitionBy("q").orderBy(F.desc("bin"))
+    edge = histogram.withColumn("upto", F.sum("n").over(down)).where((F.col("upto") >= k) & (F.col("upto") - F.col("n") < k))
+    rows = edge.select("q", "bin", (F.lit(k) - F.col("upto") + F.col("n")).cast("long").alias("need")).toArrow()
+    q = rows.column("q").to_numpy()
+    found = np.zeros(len(block.ids), bool)
+    found[q] = True
+    low, need = block.low.copy(), np.zeros(len(block.ids), np.int64)
+    low[q] += rows.column("bin").to_numpy().astype(np.int64) * step
+    need[q] = rows.column("need").to_numpy()
+    return Block(block.ids, block.vectors, low, step, need), found
+
+
+def top_k(vectors: DataFrame, queries: DataFrame, *, k: int = K, scale: int = SCALE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(query_id, rank, vec_id, score): the k best candidates of every query; both sides have (vec_id, embedding)."""
     spark = vectors.sparkSession
     rows, asked = scaled(vectors, scale), materialize(scaled(queries, scale), "queries")
@@ -134,7 +139,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, *, k: int = K, scale: int = SC
     for d, n in sorted((r["d"], r["count"]) for r in asked.groupBy("d").count().collect()):
         table = rows.where(F.col("d") == d)
         size = table.agg(F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)).alias("top")).first()["top"]
-        blocks = -(-n // query_block)
+        blocks = -(-n * 8 * d // block_bytes)
         for j in range(blocks):
             part = asked.where((F.col("d") == d) & (F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == j)).select("vec_id", "v").toArrow()
             if part.num_rows and size is not None:
@@ -160,8 +165,7 @@ def _search(spark, table: DataFrame, d: int, part: pa.Table, length: float, k: i
     everything = np.zeros(len(ids), bool)
     while block.width > 1:
         held = spark.sparkContext.broadcast(block)
-        rows = histograms(table, d, held, k).collect()  # at most a few bins for each of a bounded number of queries
-        block, found = refine(block, rows, k)
+        block, found = refine(block, histograms(table, d, held, k), k)
         everything |= ~found
     least = np.where(everything, -(1 << 62), block.low)  # fewer than k candidates: all of them
     final = spark.sparkContext.broadcast((block, least))
