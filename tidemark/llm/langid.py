@@ -1,20 +1,22 @@
 """Operator 3: language identification with a linear-chain conditional random field over words.
 
-A word's emission scores come from hashed affixes (first and last 1 to 3 letters), letter 2- and 3-grams, and a lexicon
-of words seen in training with how far they point to one language.  Transitions between languages are learned with
+A word is a run of letters with their combining marks. Its emission scores come from hashed affixes (first and last 1 to 3
+letters), letter 2- and 3-grams, and a lexicon of words seen in training with how far they point to one language.  Transitions between languages are learned with
 them, from training sequences that switch language between spans of a few words.  Every word of a text is labelled by
 exact forward-backward over the whole text; the document takes the language with the largest sum of posteriors, and
 its score is that language's share.
 
-Training reads a bounded sample of labelled rows (`per_language` rows a language, of at most `train_chars` characters,
-chosen by a hash of the id over all rows); everything else reads every whole text.
+Training reads a bounded sample of labelled rows (`per_language` rows of every language, of at most `train_chars`
+characters, chosen by a hash of id and text over all rows) and splices `most_words` words of it into sequences of `length`
+words; everything else reads every whole text.  No language is left out, however many there are; training goes through
+the sequences in parts, so that its memory does not grow with them.
 
 Defined results: text that is null or has no letter gets `und` with score 0; ties between languages go to the smaller
-label; with no labelled row at all everything is `und`; rows repeated or with a null id are predicted like others, and
-rows whose id is null belong to the training side; other columns are ignored.
+label; with no labelled row at all everything is `und`; rows repeated or with a null id are predicted like others; rows
+whose id is null are on neither side: they are not held out and nothing is learned from them; equal rows are learned from
+once; other columns are ignored.
 """
 
-import re
 import zlib
 from collections import Counter
 from collections.abc import Iterable, Iterator
@@ -23,30 +25,29 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import in_parts, tidy
 from .tokens import uncollected
 
-LETTERS = re.compile(r"[^\W\d_]+")
+LETTERS = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 BUCKETS = 1 << 16
 PER_LANGUAGE = 400
 TRAIN_CHARS = 20_000
-#: Languages that training takes, most frequent first.
-MOST_LANGUAGES = 400
+#: Words that training sequences hold in all, and words of one sequence.
+MOST_WORDS, LENGTH = 400_000, 120
+#: Numbers that a part of the training sequences takes.
+PART = 8_000_000
 CACHE_WORDS = 200_000
 
 
 def words_of(text: str | None) -> list[str]:
-    """Lower-case letter runs of a text."""
+    """Lower-case letter runs of a text, with their marks."""
     return LETTERS.findall((text or "").lower())
 
 
-def has_letter(words: list[str]) -> bool:
-    return any(w.isalpha() or any(map(str.isalpha, w)) for w in words)
-
-
 def _bucket(kind: str, x: str) -> int:
     return zlib.crc32(f"{kind}{x}".encode()) % BUCKETS
 
@@ -96,7 +97,30 @@ class Crf:
         return out
 
 
-def fit(docs: list[tuple[list[str], int]], languages: list[str], *, rounds: int = 40, rate: float = 0.3, length: int = 120, most_words: int = 400_000, seed: int = 7) -> Crf:
+def expected(e: np.ndarray, trans: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Forward-backward over sequences of equal length (sequence, word, language): label posteriors, and expected transitions."""
+    n, length, k = e.shape
+    alpha = np.empty((length, n, k))
+    a = begin * e[:, 0]
+    alpha[0] = a = a / a.sum(1, keepdims=True)
+    for i in range(1, length):
+        a = (a @ trans) * e[:, i]
+        alpha[i] = a = a / a.sum(1, keepdims=True)
+    post = np.empty((n, length, k))
+    beta, moves = np.ones((n, k)), np.zeros((k, k))
+    for i in range(length - 1, -1, -1):
+        p = alpha[i] * beta
+        post[:, i] = p / p.sum(1, keepdims=True)
+        if i:
+            eb = e[:, i] * beta
+            xi = alpha[i - 1][:, :, None] * trans[None] * eb[:, None, :]
+            moves += (xi / xi.sum((1, 2), keepdims=True)).sum(0)
+            beta = eb @ trans.T
+            beta /= beta.sum(1, keepdims=True)
+    return post, moves
+
+
+def fit(docs: list[tuple[list[str], int]], languages: list[str], *, rounds: int = 40, rate: float = 0.3, length: int = LENGTH, most_words: int = MOST_WORDS, seed: int = 7) -> Crf:
     """Train on (words, language index): gradient ascent (Adam) on the penalised conditional likelihood of spliced sequences.
 
     The lexicon that training sees is made from other documents than the sequences, so it is as sure as it will be later.
@@ -139,33 +163,22 @@ def fit(docs: list[tuple[list[str], int]], languages: list[str], *, rounds: int
     gold_t = np.zeros((k, k))
     np.add.at(gold_t, (labels[:, :-1].ravel(), labels[:, 1:].ravel()), 1)
     gold_s = np.bincount(labels[:, 0], minlength=k).astype(float)
+    step = max(1, PART // (length * k + k * k))
     for r in range(rounds):
         w, t, b = params
         e = np.add.reduceat(w[flat], first) * scale[:, None]
-        e = np.exp(e - e.max(1, keepdims=True))[ids]
+        e = np.exp(e - e.max(1, keepdims=True))
         trans, begin = np.exp(t - t.max()), np.exp(b - b.max())
-        alpha = np.empty((length, n, k))
-        a = begin * e[:, 0]
-        alpha[0] = a = a / a.sum(1, keepdims=True)
-        for i in range(1, length):
-            a = (a @ trans) * e[:, i]
-            alpha[i] = a = a / a.sum(1, keepdims=True)
-        post = np.empty((n, length, k))
-        beta = np.ones((n, k))
-        g_t = gold_t.copy()
-        for i in range(length - 1, -1, -1):
-            p = alpha[i] * beta
-            post[:, i] = p / p.sum(1, keepdims=True)
-            if i:
-                eb = e[:, i] * beta
-                xi = alpha[i - 1][:, :, None] * trans[None] * eb[:, None, :]
-                g_t -= (xi / xi.sum((1, 2), keepdims=True)).sum(0)
-                beta = eb @ trans.T
-                beta /= beta.sum(1, keepdims=True)
-        got = np.stack([np.bincount(ids.ravel(), post[:, :, j].ravel(), len(vocab)) for j in range(k)], 1)
+        got, g_t, g_s = np.zeros((len(vocab), k)), gold_t.copy(), gold_s.copy()
+        for lo in range(0, n, step):
+            part = ids[lo : lo + step]
+            post, moves = expected(e[part], trans, begin)
+            g_t -= moves
+            g_s -= post[:, 0].sum(0)
+            got += np.stack([np.bincount(part.ravel(), post[:, :, j].ravel(), len(vocab)) for j in range(k)], 1)
         d = (gold - got) * scale[:, None]
         g_w = np.stack([np.bincount(flat, d[owner, j], len(used)) for j in range(k)], 1)
-        grads = [g_w - 0.5 * w, g_t - 1.0 * t, gold_s - post[:, 0].sum(0) - b]
+        grads = [g_w - 0.5 * w, g_t - 1.0 * t, g_s - b]
         for p, g, (m, v) in zip(params, grads, state, strict=True):
             m += 0.1 * (g - m)
             v += 0.01 * (g * g - v)
@@ -243,7 +256,7 @@ def labelled(labeller: Labeller | None, texts: Iterable[str | None]) -> list[tup
     out = [("und", 0.0) for _ in texts]
     if labeller:
         docs = [words_of(x) for x in texts]
-        at = [i for i, w in enumerate(docs) if has_letter(w)]
+        at = [i for i, w in enumerate(docs) if w]
         if at:
             for i, s in zip(at, labeller.shares([docs[i] for i in at]), strict=True):
                 out[i] = labeller.crf.languages[int(s.argmax())], min(1.0, float(s.max()))
@@ -256,24 +269,23 @@ def training_side() -> F.Column:
 
 
 def sample(docs: DataFrame, per_language: int = PER_LANGUAGE, train_chars: int = TRAIN_CHARS) -> list[tuple[str, str]]:
-    """Labelled texts of the training side: about per_language rows a language, those with the smallest hash of all rows.
+    """Labelled texts of the training side: up to per_language rows of each language, those with the smallest hash of all rows.
 
     Of a language that has longer texts only, their first train_chars characters are taken.
     """
     rows = docs.where(training_side() & F.col("lang").isNotNull() & F.col("text").isNotNull())
     short = F.length("text") <= train_chars
     counts = rows.groupBy("lang").agg(F.count(F.when(short, 1)).alias("short"), F.count(F.lit(1)).alias("all"))
-    # the most frequent languages by short texts come first, as before; then those without
-    counts = counts.select("lang", "short", F.when(F.col("short") > 0, F.col("short")).otherwise(F.col("all")).alias("count")).orderBy((F.col("short") == 0).asc(), F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
+    counts = counts.select("lang", "short", F.when(F.col("short") > 0, F.col("short")).otherwise(F.col("all")).alias("count")).collect()  # a row for each language
     if not counts:
         return []
     long_only = [r["lang"] for r in counts if not r["short"]]
     rows = rows.where(short | F.col("lang").isin(long_only)).withColumn("text", F.substring("text", 1, train_chars))
-    h = F.pmod(F.xxhash64(F.lit("train"), F.col("doc_id")), F.lit(1 << 30))
+    h = F.pmod(F.xxhash64(F.lit("train"), F.col("doc_id"), F.col("text")), F.lit(1 << 30))
     limit = F.element_at(F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], int(min(1.0, 1.5 * (per_language + 20) / r["count"]) * (1 << 30)))]), F.col("lang"))
-    picked = rows.where(h < limit).select("lang", "text", h.alias("h"), "doc_id").limit(2 * (per_language + 20) * len(counts)).collect()
+    picked = rows.select("lang", "text", h.alias("h")).where(F.col("h") < limit).groupBy("lang", "h").agg(F.min("text").alias("text")).collect()  # about 1.5 * (per_language + 20) rows a language
     out, seen = [], Counter()
-    for r in sorted(picked, key=lambda r: (r["h"], r["doc_id"] or 0, r["text"])):
+    for r in sorted(picked, key=lambda r: (r["h"], r["text"])):
         if seen[r["lang"]] < per_language:
             seen[r["lang"]] += 1
             out.append((r["text"], r["lang"]))
@@ -282,7 +294,7 @@ def sample(docs: DataFrame, per_language: int = PER_LANGUAGE, train_chars: int =
 
 def train(docs: DataFrame, **how) -> Crf | None:
     rows = [(words_of(text), lang) for text, lang in sample(docs, **how)]
-    rows = [(w, lang) for w, lang in rows if has_letter(w)]
+    rows = [(w, lang) for w, lang in rows if w]
     languages = sorted({lang for _, lang in rows})
     return fit([(w, languages.index(lang)) for w, lang in rows], languages) if rows else None
 
