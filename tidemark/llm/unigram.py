@@ -7,7 +7,9 @@ the sum over its pre-tokens.  Pieces score -ln(rank + 1), Zipf's law over the vo
 no piece covers costs a bytes' worth of pieces each, as with byte fallback.
 
 The trie and the counts of recent pre-tokens live with a worker process and start anew beyond `most_nodes` nodes
-and `MOST_WORDS` pre-tokens, so memory is bounded and no shuffle is needed.
+and `MOST_WORDS` pre-tokens.  Of a pre-token longer than `DEEPEST` characters only the beginning is in the trie; the rest
+is scored with a window as long as the longest piece, and its count is not kept.  So memory is bounded, whatever the
+texts, and no shuffle is needed.
 
 Defined results: null text has no token; repeated rows and null ids get a row each; an empty table gives no row; other
 columns are ignored.
@@ -29,6 +31,8 @@ from .tokens import uncollected
 MARK = "▁"
 MOST_NODES = 400_000
 MOST_WORDS = 200_000
+#: Characters of a pre-token that the trie holds, and bytes of one whose count is kept.
+DEEPEST = 512
 #: How much worse than the worst piece an uncovered character is.
 UNKNOWN_PENALTY = 10.0
 
@@ -59,6 +63,7 @@ class PreTokenTrie:
                 ends.setdefault(p[-2:], set()).add(len(p))
         #: By the last two characters, the lengths that a last piece can have, longest first.
         self.lengths = {e: tuple(sorted(n, reverse=True)) for e, n in ends.items()}
+        self.longest = max(map(len, scores), default=1)
         self.unknown = min(scores.values(), default=0.0) - UNKNOWN_PENALTY
         self.clear()
 
@@ -72,7 +77,7 @@ class PreTokenTrie:
         """Number of pieces of a pre-token."""
         child, score, count, pieces, lengths = self.child, self.score, self.count, self.pieces, self.lengths
         path, node = [0], 0
-        for end, c in enumerate(token, 1):
+        for end, c in enumerate(token[:DEEPEST], 1):
             key = node << 21 | ord(c)
             nxt = child.get(key)
             if nxt is None:
@@ -98,9 +103,29 @@ class PreTokenTrie:
                 self.steps += 1
             path.append(nxt)
             node = nxt
+        if len(token) > DEEPEST:
+            return self._rest(token, [score[p] for p in path], [count[p] for p in path])
         self.terminal[node] = count[node]
         return count[node]
 
+    def _rest(self, token: str, score: list[float], count: list[int]) -> int:
+        """Number of pieces of a token whose first DEEPEST characters are scored, with the last positions only."""
+        pieces, lengths, window, base = self.pieces, self.lengths, self.longest, 0
+        for end in range(DEEPEST + 1, len(token) + 1):
+            c, before = token[end - 1], score[-1]
+            s = pieces.get(c)
+            best, n = (before + self.unknown, count[-1] + len(c.encode())) if s is None else (before + s, count[-1] + 1)
+            for length in reversed(lengths.get(token[end - 2 : end], ())):
+                s = pieces.get(token[end - length : end])
+                if s is not None and s + score[end - length - base] >= best:
+                    best, n = s + score[end - length - base], count[end - length - base] + 1
+            score.append(best)
+            count.append(n)
+            if len(score) > 64 * window:
+                base += len(score) - window - 1
+                del score[: -window - 1], count[: -window - 1]
+        return count[-1]
+
 
 class _Counts(dict):
     """pre-token -> number of pieces; those met first are asked of an older generation, then of the trie."""
@@ -110,7 +135,9 @@ class _Counts(dict):
 
     def __missing__(self, word: bytes) -> int:
         n = self.older.get(word)
-        self[word] = n = self.trie.insert(MARK + word.decode()) if n is None else n
+        n = self.trie.insert(MARK + word.decode()) if n is None else n
+        if len(word) <= DEEPEST:
+            self[word] = n
         return n
 
 
