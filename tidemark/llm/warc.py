@@ -5,7 +5,8 @@ it as `response`, the others are `revisit` records without a body.  A body is fr
 whose block is longer than `segment_bytes` goes on in `continuation` records, which may land in other files.
 
 Read: records are grouped by the id of their origin, ordered by segment number, checked for gaps and against the
-total length in the last segment, and the chunked framing is decoded.
+total length in the last segment, and the chunked framing is decoded.  A revisit is joined to the response that it refers
+to, by record id; that record has its payload, and a revisit without one or with another digest is an error.
 
 Defined results: null html is an empty payload; null url leaves the target out; an empty table gives no record; pages
 repeated with the same id and payload are further revisits of the first; a null page_id counts below all others (a
@@ -92,7 +93,7 @@ def page_records(page_id: int | None, url: str | None, payload: bytes, digest: s
     common = [("WARC-Target-URI", target), ("WARC-Payload-Digest", f"sha1:{digest}"), ("X-Page-Id", page_id)]
     origin = f"urn:page:{page_id}:{digest}"
     if revisit:
-        extra = [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", f"<urn:page:{refers_to}:{digest}>"), ("X-Refers-To-Page-Id", refers_to), ("X-Payload-Length", len(payload))]
+        extra = [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", f"<urn:page:{refers_to}:{digest}>")]
         return [record("revisit", f"{origin}:revisit:{ordinal}", b"", common + extra)]
     block = HEAD + chunked(payload)
     if len(block) <= segment_bytes:
@@ -172,8 +173,9 @@ def parse_file(stream) -> Iterator[tuple[dict[str, str], bytes]]:
         yield fields, block
 
 
-SEGMENT = pa.schema([("origin", pa.string()), ("segment", pa.int32()), ("total", pa.int64()), ("kind", pa.string()), ("page_id", pa.int64()), ("url", pa.string()), ("digest", pa.string()), ("refers_to", pa.int64()), ("length", pa.int64()), ("block", pa.binary())])
-RECORD = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("segments", pa.int32())])
+SEGMENT = pa.schema([("origin", pa.string()), ("segment", pa.int32()), ("total", pa.int64()), ("kind", pa.string()), ("page_id", pa.int64()), ("url", pa.string()), ("digest", pa.string()), ("target", pa.string()), ("length", pa.int64()), ("block", pa.binary())])
+#: A record by itself; target is the id of the record that a revisit refers to.
+RECORD = pa.schema([("record_id", pa.string()), ("target", pa.string()), ("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("segments", pa.int32())])
 
 
 def _number(text: str | None) -> int | None:
@@ -189,7 +191,7 @@ def segments(fields: dict[str, str], block: bytes) -> tuple:
         total = fields.get("warc-segment-total-length")
         return (fields["warc-segment-origin-id"].strip("<>"), int(fields["warc-segment-number"]), _number(total), kind, None, None, None, None, None, block)
     number = int(fields.get("warc-segment-number", 0))
-    return (rid, number, None, kind, page, fields.get("warc-target-uri"), digest, _number(fields.get("x-refers-to-page-id")), _number(fields.get("x-payload-length")), block)
+    return (rid, number, None, kind, page, fields.get("warc-target-uri"), digest, (fields["warc-refers-to"].strip("<>") if kind == "revisit" else None), None, block)
 
 
 def checked_payload(block: bytes, digest: str | None) -> bytes:
@@ -243,28 +245,40 @@ def read_archive(spark: SparkSession, manifest: DataFrame, *, with_payload: bool
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), SEGMENT, strict=True)], schema=SEGMENT)
 
-    first = ["kind", "page_id", "url", "digest", "refers_to", "length"]
-    seg = manifest.select("path").repartition(max(1, files)).mapInArrow(parse, "origin string, segment int, total long, kind string, page_id long, url string, digest string, refers_to long, length long, block binary")
+    first = ["origin", "kind", "page_id", "url", "digest", "target", "length"]
+    seg = manifest.select("path").repartition(max(1, files)).mapInArrow(parse, "origin string, segment int, total long, kind string, page_id long, url string, digest string, target string, length long, block binary")
     head = F.max(F.when(F.col("segment") <= 1, F.struct(*first))).alias("head")
-    whole = seg.groupBy("origin").agg(head, F.collect_list(F.struct("segment", "total", "block")).alias("parts")).select("head.*", "parts")
+    whole = seg.groupBy(F.col("origin").alias("of")).agg(head, F.collect_list(F.struct("segment", "total", "block")).alias("parts")).select("head.*", "parts")
     out = RECORD.append(pa.field("payload", pa.binary())) if with_payload else RECORD
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for kind, page_id, url, digest, refers_to, length, parts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for rid, kind, page_id, url, digest, target, length, parts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if kind is None:
                     raise WarcError("continuation records without their origin")
                 if len(parts) == 1 and parts[0]["segment"] == 0:
-                    rows.append((page_id, url, length, digest, kind, refers_to, 1, parts[0]["block"]))
+                    rows.append((rid, target, page_id, url, length, digest, kind, 1, parts[0]["block"]))
                     continue
                 payload = checked_payload(reassembled([(x["segment"], x["total"], x["block"]) for x in parts]), digest)
-                rows.append((page_id, url, len(payload), digest, kind, None, len(parts), payload))
-            columns = list(zip(*rows, strict=True)) if rows else [()] * 8
+                rows.append((rid, target, page_id, url, len(payload), digest, kind, len(parts), payload))
+            columns = list(zip(*rows, strict=True)) if rows else [()] * 9
             yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns[: len(out)], out, strict=True)], schema=out)
 
-    schema = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, segments int" + ", payload binary" * with_payload
-    return whole.mapInArrow(decode, schema)
+    schema = "record_id string, target string, page_id long, url string, payload_bytes long, payload_digest string, record_type string, segments int" + ", payload binary" * with_payload
+    return resolved(materialize(whole.mapInArrow(decode, schema), "warc-records"))
+
+
+def resolved(records: DataFrame) -> DataFrame:
+    """Records with the page that a revisit refers to, and its payload's length, from the response itself."""
+    kept = ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "segments", *(["payload"] if "payload" in records.columns else [])]
+    revisits = records.where("record_type = 'revisit'").drop("payload_bytes")
+    own = records.where("record_type = 'response'").withColumn("refers_to", F.lit(None).cast("long"))
+    found = own.select(F.col("record_id").alias("r_id"), F.col("page_id").alias("refers_to"), "payload_bytes", F.col("payload_digest").alias("r_digest"))
+    sound = F.coalesce(F.col("r_digest") == F.col("payload_digest"), F.lit(False))
+    fault = F.raise_error(F.concat(F.lit("a revisit refers to no response with its digest: "), F.coalesce("record_id", F.lit("")))).cast("long")
+    joined = revisits.join(found, F.col("target") == F.col("r_id"), "left").withColumn("payload_bytes", F.when(sound, F.col("payload_bytes")).otherwise(fault))
+    return own.select(*kept).unionByName(joined.select(*kept))
 
 
 #: What reading the archives back must give (base32 of SHA-1 by groups of 20 bits).
