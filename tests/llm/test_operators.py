@@ -86,6 +86,29 @@ def test_warc_empty_and_damaged(spark):
         list(warc.parse_file(io.BytesIO(warc.record("response", "r", b"abc", [])[:-3])))
 
 
+def test_warc_segments_in_other_files(spark, tmp_path):
+    """Continuations whose origin is in another file, and a revisit whose response is missing."""
+    rng = np.random.default_rng(1)
+    rows = [(i, f"u{i}", rng.bytes(30_000).hex()) for i in range(6)] + [(9, "u9", "x")]
+    rows += [(7, "u7", rows[3][2])]
+    manifest = warc.write_archive(_pages(spark, rows), segment_bytes=5000, file_bytes=20_000)
+    assert manifest.count() > 10
+    got = {r.page_id: r for r in warc.read_archive(spark, manifest).collect()}
+    assert all(bytes(got[i].payload).decode() == text for i, _, text in rows if i != 3)
+    assert (got[3].record_type, got[3].refers_to, got[3].payload_bytes, got[3].segments) == ("revisit", 7, 60_000, 1)
+    where = {}
+    for r in manifest.collect():
+        with warc.open_input(r.path) as raw, warc.gzip.GzipFile(fileobj=raw) as stream:
+            for fields, _ in warc.parse_file(stream):
+                where.setdefault(fields.get("warc-segment-origin-id", fields["warc-record-id"]), set()).add(r.path)
+    assert sum(len(files) > 1 for files in where.values()) >= 4
+    with warc.open_output(f"file://{tmp_path}/alone.warc.gz") as out:
+        out.write(warc.gzip.compress(b"".join(warc.page_records(1, "u", b"abc", "D", 2, True, 0, 5000))))
+    alone = spark.createDataFrame([(f"file://{tmp_path}/alone.warc.gz", 1, 1)], warc.MANIFEST)
+    with pytest.raises(Exception, match="refers to no response"):
+        warc.read_archive(spark, alone).collect()
+
+
 @given(st.binary(max_size=300), st.integers(1, 50))
 def test_chunking_round_trip(payload, size):
     assert warc.unchunked(warc.chunked(payload, size)) == payload
@@ -155,6 +178,30 @@ def test_anchor_cover():
         assert all((k, h) in seen for k, h in enumerate(simhash.home_anchor(x).tolist()))
 
 
+def test_anchor_blocks_are_told_apart(spark):
+    """Runs of anchors and blocks that go on in the next batch, with two tables of codes."""
+    rng = np.random.default_rng(3)
+    codes = rng.integers(-(1 << 63), (1 << 63) - 1, (6, 2))
+    rows = []
+    for i in range(60):  # near in one code only
+        w = [int(x) for x in codes[i % 6]]
+        w[i % 2] = int(rng.integers(-(1 << 62), 1 << 62))
+        rows.append((i + 1, i % 6, *w))
+    df = spark.createDataFrame(rows, "f1 long, f2 long, w1 long, w2 long").repartition(4)
+    keep = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+        for block in (4096, 2):
+            links = simhash.near_links(df, 128, home_block=block, codes=("w1", "w2"), prints=("f1", "f2"), spread=1)
+            roots = {r.node: r.root for r in components.star_components(links).collect()}
+            got = {}
+            for i in range(60):
+                got.setdefault(roots.get(i + 1, i + 1), set()).add(i % 12)
+            assert sorted(map(sorted, got.values())) == [[i, i + 6] for i in range(6)]
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", keep)
+
+
 def test_simhash_crowded_anchor(spark):
     rng = np.random.default_rng(2)
     base = int(rng.integers(0, 1 << 62))
@@ -176,6 +223,27 @@ def test_components(spark):
     assert components.star_components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
+def test_near_copies_by_similarity(spark):
+    """surplus: texts with a similarity of 0.8 or more meet, others do not, and one row of each group stays."""
+    rng = np.random.default_rng(4)
+    vocabulary = ["".join(rng.choice(list("abcdefghij"), 7)) for _ in range(4000)]
+
+    def edited(words, n):
+        words = list(words)
+        for at in rng.choice(len(words), n, replace=False):
+            words[at] = vocabulary[int(rng.integers(0, 4000))] + "x"
+        return words
+
+    originals = [list(rng.choice(vocabulary, 300)) for _ in range(120)]
+    rows = [(i, " ".join(w)) for i, w in enumerate(originals)]
+    rows += [(1000 + i, " ".join(edited(w, 1 + i % 5))) for i, w in enumerate(originals[:80])]  # similarity of 0.84 and more
+    rows += [(2000 + i, " ".join(edited(w, 60))) for i, w in enumerate(originals[80:])]  # of 0.2 and less
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    gone = {r.doc_id for r in simhash.surplus(df).collect() if not r.kept}
+    assert gone <= set(range(1000, 1080)) and len(gone) >= 74
+    assert simhash.bits_apart(1.0) == 0 and simhash.bits_apart(0.9) < simhash.bits_apart(0.8)
+
+
 # --- 3: language ID ---
 
 
@@ -220,6 +288,31 @@ def test_forward_backward_against_enumeration():
         assert np.allclose(got[0], total / norm / len(words), atol=1e-5) and np.allclose(got[0], got[2])
 
 
+def test_any_number_of_languages(spark):
+    """No language is left out, and training in parts gives the model of training at once."""
+    rng = np.random.default_rng(8)
+    words = {f"l{k:03d}": ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 6)) for _ in range(4)] for k in range(60)}
+    rows = [(i, " ".join(rng.choice(words[lang], 12)), lang) for i, lang in enumerate(lang for lang in words for _ in range(5))]
+    crf = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert crf.languages == sorted(words)
+    docs = [([str(w) for w in rng.choice(words[f"l{k:03d}"], 12)], k) for k in range(5) for _ in range(6)]
+    whole, part = langid.fit(docs, sorted(words)[:5], rounds=5), langid.PART
+    try:
+        langid.PART = 1
+        assert np.allclose(langid.fit(docs, sorted(words)[:5], rounds=5).weights, whole.weights, atol=1e-5)
+    finally:
+        langid.PART = part
+
+
+def test_words_keep_their_marks():
+    assert langid.words_of("हिन्दी भाषा, cafe\u0301 x1y ² _a") == ["हिन्दी", "भाषा", "cafe\u0301", "x", "y", "a"]
+
+
+def test_ties_between_languages():
+    crf = langid.Crf(["a", "b"], np.zeros((langid.BUCKETS, 2), np.float32), np.zeros((2, 2)), np.zeros(2), {})
+    assert langid.labelled(langid.Labeller(crf), ["some words here", "12", None]) == [("a", 0.5), ("und", 0.0), ("und", 0.0)]
+
+
 def test_code_switching_is_found(real):
     crf = langid.train(real, per_language=60)
     by = {}
@@ -255,6 +348,39 @@ def test_frames(spark, docs, empty):
         start += len(ids) // 4
     assert [tuple(r) for r in got] == want
     assert frames.read_tokens(spark, frames.write_tokens(empty)).count() == 0
+    some = [None, 8, 10, 10, 77]
+    data = {r[0]: ids for r, ids in zip(rows, _ids([r[3] for r in rows]), strict=True)}
+    got = frames.read_documents(spark, manifest, some).collect()
+    assert Counter((r.doc_id, bytes(r.ids)) for r in got) == Counter([(None, data[None]), (8, data[8]), (10, data[10]), (10, data[10])])
+    assert frames.read_documents(spark, manifest, []).count() == 0
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_any_tokenizer(name):
+    import public_tokenizers
+
+    texts = ["Hello World, hello world", None, "", "naïve  CAFÉ\tx <|endoftext|> it's", "a" * 5000]
+    path = public_tokenizers.path(name)
+    e = tokens.WordEncoder(path, end_id=7)
+    assert e.by_words == name.startswith("word")
+    assert e.encode(texts) == [np.array([*e.tokenizer.encode(t or "", add_special_tokens=False).ids, 7], "<u4").tobytes() for t in texts]
+
+
+def test_encoder_forgets():
+    """Words beyond the bound are learned again, with the same ids."""
+    texts = [" ".join(chr(97 + i) * j + "," * (j % 2) for j in range(1, 30)) for i in range(26)]
+    e = tokens.WordEncoder(tokens.default_path(), cache_words=40)
+    assert [x for t in texts + texts for x in e.encode([t])] == _ids(texts + texts) and len(e.letters.keys) < 100
+
+
+def test_packing_of_missing_ids(spark):
+    """Pieces of one id, of none and of one text are dealt to all groups of their length."""
+    df = spark.createDataFrame([(None if i % 2 else 5, "the same text") for i in range(500)], "doc_id long, text string").repartition(3)
+    p = packing.pieces(df).cache()
+    groups = packing.ranked(p, 500).groupBy("length", "salt").count().collect()
+    assert len(groups) == packing.SALTS and max(r["count"] for r in groups) < 4 * 500 / packing.SALTS
+    rows = packing.pack(df).collect()
+    assert len(rows) == 500 and len({(r.sequence_id, r.offset) for r in rows}) == 500
 
 
 class _Buffer(io.BytesIO):
@@ -327,9 +453,11 @@ def test_nnls():
     rng = np.random.default_rng(5)
     a = rng.random((30, 12))
     x = np.maximum(rng.normal(size=12), 0)
-    assert np.allclose(packing.nnls(a, a @ x), x, atol=1e-6)
+    got, done = packing.nnls(a, a @ x)
+    assert done and np.allclose(got, x, atol=1e-6)
     b = rng.normal(size=30)
-    got = packing.nnls(a, b)
+    got, done = packing.nnls(a, b)
+    assert done and not packing.nnls(a, np.abs(b), rounds=1)[1]
     grad = a.T @ (a @ got - b)
     assert (got >= 0).all() and (grad > -1e-6).all() and abs(grad @ got) < 1e-6
 
@@ -373,6 +501,23 @@ def test_mixing(which, request):
     assert sorted(map(str, rows)) == sorted(map(str, mixing.mix(df).collect()))
 
 
+def test_mixing_of_missing_ids(spark):
+    """Texts without an id, or with a shared one, do not share one fate; a source's words come near its target."""
+    rows = [(None if i % 3 else 7, "a" if i % 2 else "b", " ".join(["w"] * (i % 5 + 1)) + f" {i}") for i in range(600)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, source string, text string")).groupBy("source_size", "target").agg(F.sum("taken").alias("taken")).collect()
+    assert len(got) == 2 and all(abs(r.taken - r.target) <= 6 for r in got)
+
+
+def test_mixing_many_sources(spark):
+    rows = [(i, f"s{i % 300:03d}" if i % 301 else None, " ".join(["w"] * (i % 11))) for i in range(1500)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, source string, text string")).collect()
+    sizes, want = Counter(), {r[0]: r for r in rows}
+    for _, s, t in rows:
+        sizes[s] += len(t.split())
+    target = _slow_targets(sizes)
+    assert all(abs(r.target - target[want[r.doc_id][1]]) < 1e-6 for r in got)
+
+
 def test_mixing_empty(empty):
     assert mixing.mix(empty).count() == 0
 
@@ -382,7 +527,7 @@ def test_mixing_empty(empty):
 
 def test_license(spark, docs, empty):
     model = license.fit([["sea", "wind", "harbour", w] for w in WORDS] * 20)
-    rows = [(1, "some text\nReleased under the MIT License.\nmore"), (2, license.TEMPLATES["Apache"][2]), (3, "He has a driving license from the public office."), (4, None), (5, ""), (6, "Released under the MIT License.\nLicensed under CC BY-NC 4.0."), (7, "permission is hereby granted free of charge to any person obtaining a copy of this software"), (8, "All rights are with the foundation and its license office.")]
+    rows = [(1, "some text\nReleased under the MIT License.\nmore"), (2, license.NOTICES["Apache"][1]), (3, "He has a driving license from the public office."), (4, None), (5, ""), (6, "Released under the MIT License.\nLicensed under CC BY-NC 4.0."), (7, "permission is hereby granted free of charge to any person obtaining a copy of this software"), (8, "All rights are with the foundation and its license office.")]
     got = {r.doc_id: r for r in license.scan(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
     assert {d: r.families for d, r in got.items()} == {1: "MIT", 2: "Apache", 3: "", 4: "", 5: "", 6: "CC,MIT", 7: "MIT", 8: ""}
     assert got[6].n_paragraphs == 2 and got[3].family is None and 0.5 <= got[1].probability <= 1
@@ -396,11 +541,57 @@ def test_license_markers_skip_nothing():
 
 
 def test_license_real(real):
+    """The fixture's own lines, by string search."""
     lines = {"Apache": "Licensed under the Apache License, Version 2.0.", "CC": "Licensed under CC BY-NC 4.0.", "GPL": "This work is licensed under the GNU General Public License, version 3.", "MIT": "Released under the MIT License."}
     got = {r.doc_id: r.families for r in license.scan(real).collect()}
     assert got == {r.doc_id: ",".join(f for f, t in lines.items() if t in r.text.split("\n")) for r in real.collect()}
 
 
+@pytest.fixture(scope="module")
+def scanner():
+    rng = np.random.default_rng(0)
+    return license.Scanner(license.fit([[WORDS[i] for i in rng.integers(0, len(WORDS), int(rng.integers(4, 20)))] for _ in range(1000)]))
+
+
+#: Families whose notices have sentences in common.
+ALIKE = ({"GPL", "AGPL"}, {"GPL", "LGPL"}, {"AGPL", "LGPL"})
+
+
+def _recall(scanner, cases):
+    """Share of (family, text) found, alone among families, inside other text."""
+    prose = " ".join(WORDS * 3)
+    found = [({f for f, _ in scanner.scan(f"{prose}.\n\n{text}\n\n{prose}")}, family) for family, text in cases]
+    return np.mean([got == {family} or (len(got) == 1 and got | {family} in ALIKE) for got, family in found])
+
+
+def test_license_held_out(scanner):
+    """Wording that training never saw: wrapped, cut and changed notices, and names in sentences of another form."""
+    rng = np.random.default_rng(1)
+    notices = [(family, t.split()) for family, texts in license.NOTICES.items() for t in texts]
+    wrap = lambda w: "\n".join(" ".join(w[i : i + 7]) for i in range(0, len(w), 7))
+    assert _recall(scanner, [(f, wrap(w)) for f, w in notices]) >= 0.9
+    assert _recall(scanner, [(f, wrap(w[: max(12, len(w) * 6 // 10)])) for f, w in notices]) >= 0.9
+    assert _recall(scanner, [(f, " ".join(WORDS[int(rng.integers(0, 9))] if rng.random() < 0.08 else x for x in w)) for f, w in notices]) >= 0.9
+    names = [(f, n) for f, ns in license.NAMES.items() for n in ns if len(license.tokens(n)) > 1]
+    assert _recall(scanner, [(f, f"All code in this folder is covered by the {n}, see there.") for f, n in names]) >= 0.9
+
+
+def test_license_inside_long_lines_and_none(scanner):
+    prose = " ".join(WORDS * 60)
+    assert [f for f, _ in scanner.scan(f"{prose} Released under the MIT License. {prose}")] == ["MIT"]
+    assert [f for f, _ in scanner.scan(f"{prose} licensed under the Mozilla Public License, version 2.0 {prose}")] == ["MPL"]
+    for text in ("The new library is open to the public on every day.", "Permission to enter the site is granted by the office.", "A copy of the report was released in the hope of peace.", "The software house works under contract.", "Please see the file in the source folder for more details.", "It is provided by the city free of charge.", prose):
+        assert scanner.scan(text) == []
+
+
+def test_license_ties_and_brute_force(scanner):
+    """Passing over texts without markers changes nothing, and ties go to the name."""
+    texts = [r for _, _, _, r in TEXTS] + ["x " * 30_000 + "Released under the MIT License.", "Licensed under the\nApache License,\nVersion 2.0."]
+    slow = [[p for part in license.BLANK.split(t or "") for w in license.sentences(part) for p in license.passages(w, scanner.known)] for t in texts]
+    assert all(bool(scanner.scan(t)) <= bool(p) for t, p in zip(texts, slow, strict=True)) and [f for f, _ in scanner.scan(texts[-1])] == ["Apache"]
+    assert min([("MIT", 0.7), ("BSD", 0.7), ("CC", 0.6)], key=lambda x: (-x[1], x[0])) == ("BSD", 0.7)
+
+
 # --- 8: quality rules ---
 
 
@@ -435,6 +626,24 @@ def test_quality_hosts(spark):
     assert all(got[i] for i in range(30)) and not any(got[100 + i] for i in range(60)) and got[200]
 
 
+def test_quality_prior(spark):
+    """The prior against the moments written out, and where nothing spreads."""
+    rng = np.random.default_rng(9)
+    hosts = [(f"h{i}", int(n), int(rng.binomial(n, rng.beta(3, 5)))) for i, n in enumerate(rng.integers(1, 60, 40))]
+    rows = [(h, i < f) for h, n, f in hosts for i in range(n)]
+    got = {r.host: r.rate for r in quality.host_verdicts(spark.createDataFrame(rows, "source string, base_failed boolean")).collect()}
+    n, f = np.array([x[1] for x in hosts], float), np.array([x[2] for x in hosts], float)
+    p, w = f.sum() / n.sum(), n / n.sum()
+    rho = ((n * (f / n - p) ** 2).sum() / (p * (1 - p)) - (1 - w).sum()) / ((1 - w) * (n - 1)).sum()
+    s = 1 / rho - 1
+    assert quality.STRENGTH[0] < s < quality.STRENGTH[1]
+    assert all(abs(got[h] - (b + p * s) / (a + s)) < 1e-9 for h, a, b in hosts)
+    for rows in ([("a", True), ("b", False), ("c", False)], [("a", True), ("a", False)], [("a", False), ("b", False)]):
+        found = quality.host_verdicts(spark.createDataFrame(rows, "source string, base_failed boolean")).collect()
+        p, s = sum(b for _, b in rows) / len(rows), quality.STRENGTH[1]
+        assert all(abs(r.rate - (r.failed + p * s) / (r.docs + s)) < 1e-9 for r in found)
+
+
 # --- 9: exact top-k ---
 
 
@@ -456,7 +665,7 @@ def test_topk(spark):
     asked = df.where("vec_id % 100 = 0")
     want = _slow_top([(i, None if e is None else [None if x is None else float(np.float32(x)) for x in e]) for i, e in rows])
     assert sorted(map(tuple, topk.top_k(df.repartition(5), asked).collect())) == want
-    assert sorted(map(tuple, topk.top_k(df, asked, query_block=2).collect())) == want
+    assert sorted(map(tuple, topk.top_k(df, asked, block_bytes=48).collect())) == want
     few = df.where("vec_id in (100, 7, 8)")
     assert len(topk.top_k(few, few.where("vec_id = 100")).collect()) == 2
     assert topk.top_k(df, asked.limit(0)).count() == 0 and topk.top_k(df.limit(0), asked).count() == 0
@@ -488,6 +697,34 @@ def test_token_counts(docs, empty):
     assert got == want and unigram.count_tokens(empty).count() == 0
 
 
+def test_long_unbroken_text():
+    """Beyond the trie's depth the counts are those of the plain dynamic program, and nothing is kept."""
+    scores = {"▁a": -1.0, "b": -2.0, "bc": -2.5, "c": -3.0, "abc": -0.5, "a": -4.0, "cab": -3.2, "abcabcb": -1.7}
+    text = unigram.MARK + "".join(np.random.default_rng(2).choice(list("abcé"), 3000))
+    trie = unigram.PreTokenTrie(scores)
+    score, count = [0.0], [0]
+    for end in range(1, len(text) + 1):
+        best = (score[end - 1] + trie.unknown, 0, count[end - 1] + len(text[end - 1].encode())) if text[end - 1] not in scores else (-1e18, 0, 0)
+        for n in range(1, min(end, trie.longest) + 1):
+            if text[end - n : end] in scores:
+                best = max(best, (score[end - n] + scores[text[end - n : end]], n, count[end - n] + 1))
+        score.append(best[0])
+        count.append(best[2])
+    assert trie.insert(text) == count[-1] and trie.steps == unigram.DEEPEST
+    assert trie.insert(text[:700]) == count[700]
+
+
+def test_error_against_a_tokenizer(real):
+    """Counts lie near those of the tokenizer whose vocabulary scores the pieces."""
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=unigram.default_path())
+    rows = real.select("doc_id", "text").collect()
+    want = {r.doc_id: len(sp.encode(r.text or "")) for r in rows}
+    got = {r.doc_id: r.n_tokens for r in unigram.count_tokens(real).collect()}
+    assert abs(sum(got.values()) / sum(want.values()) - 1) < 0.1
+
+
 def test_trie_shares_prefixes():
     trie = unigram.PreTokenTrie({"▁a": -1.0, "b": -2.0, "bc": -2.5, "c": -3.0, "abc": -0.5})
     assert [trie.insert(x) for x in ("▁abc", "▁abcb", "▁ab", "é")] == [2, 3, 2, 2]
