@@ -2,9 +2,9 @@
 
 Every stage but the last returns the columns of the documents it was given.  Rejected are: documents that fail the
 quality rules or whose host does; texts without a letter or without a clear language; all but one document of each
-near-duplicate group, by row, so rows without a doc_id or with a repeated one count like others; and what the mix does
-not take (documents that it takes twice appear twice).  Extra columns come along under any name but those that start
-with two underscores.
+near-duplicate group (5-word shingles, similarity of 0.8 or more), by row, so rows without a doc_id or with a repeated one
+count like others; and what the mix does not take (documents that it takes twice appear twice).  Extra columns come along
+under any name.
 """
 
 from __future__ import annotations
@@ -13,14 +13,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import langid, mixing, packing, quality, simhash
-from tidemark.llm.common import materialize, small_or_shuffled
+from tidemark.llm.common import column, materialize, small_or_shuffled
 from tidemark.storage import reach
 
 #: Least share of a text's words that its language must have.
 MIN_LANGUAGE_SHARE = 0.4
-
-#: Words that a process keeps while it packs; processes also hold what earlier stages left.
-CACHE_WORDS = 100_000
+#: Words of a shingle, and the least similarity of near-duplicates.
+SHINGLE, SIMILARITY = 5, 0.8
 
 #: Language models and near-duplicates have no SQL form.
 ORACLE_SQL = None
@@ -28,14 +27,13 @@ ORACLE_SQL = None
 
 def _with_row(docs: DataFrame, *columns: str) -> DataFrame:
     """The named columns, and all columns as one struct that no helper column can clash with."""
-    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), *columns)
+    return docs.select(F.struct(*[column(c) for c in docs.columns]).alias("__row"), *columns)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and whose host passes."""
-    rows = quality.with_features(_with_row(docs, "doc_id", "source", "text"))
-    counted = quality.with_features(docs.select("source", "text")).select("source", "base_failed")
-    return quality.judged(rows, counted).where("kept").select("__row.*")
+    rows = quality.with_features(_with_row(docs, "source", "text")).select("__row", "source", "base_failed")
+    return quality.judged(materialize(rows, "judged-rows")).where("kept").select("__row.*")
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,7 +44,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group: that of the smallest id, or one without an id where all are."""
-    odd = materialize(simhash.surplus(docs.select("doc_id", "text")).select(F.col("doc_id").alias("__id"), F.col("key").alias("__of"), "kept"), "surplus")
+    odd = materialize(simhash.surplus(docs.select("doc_id", "text"), shingle=SHINGLE, similarity=SIMILARITY).select(F.col("doc_id").alias("__id"), F.col("key").alias("__of"), "kept"), "surplus")
     n = odd.count()
     keyed = _with_row(docs, "doc_id", "text").withColumn("__key", simhash.text_key())
     same = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__of"))
@@ -61,12 +59,12 @@ def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def mixing_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them."""
     taken = mixing.mix(docs, carry=docs.columns).where("copies > 0")
-    return taken.select(F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("__copy"), *[F.col(f"`__{c}`").alias(c) for c in docs.columns]).drop("__copy")
+    return taken.select("row", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select("row.*")
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Places of all pieces in sequences."""
-    return packing.pack(docs, cache_words=CACHE_WORDS)
+    return packing.pack(docs)
 
 
 STAGES = [
