@@ -32,39 +32,55 @@ def _known(c: Column) -> Column:
 def bilinear(values: Column, grid: Grid, x: Column, y: Column, *, planes: bool = True, half_open: bool = False) -> Column:
     """Bilinear where the cell's four nodes are known, with `planes` the plane through three that are, else NULL.
 
-    half_open: positions on the last node of an axis are outside.
+    half_open: positions on the last node of an axis are outside. Cell, corners and value are each bound by a lambda, so
+    that a filter on the value does not multiply them.
     """
     i, fx = _closed(x, grid.x)
     j, fy = _closed(y, grid.y)
     inside = x.between(grid.x.first, grid.x.last) & y.between(grid.y.first, grid.y.last)
     if half_open:
         inside &= (x < grid.x.last) & (y < grid.y.last)
-    v = [F.try_element_at(values, i + di + (j + dj) * grid.x.count + 1) for dj in (0, 1) for di in (0, 1)]  # 00 10 01 11
-    ok = [_known(c) for c in v]
-    full = v[0] * (1 - fx) * (1 - fy) + v[1] * fx * (1 - fy) + v[2] * (1 - fx) * fy + v[3] * fx * fy
-    # a plane is defined within its triangle only
-    missing = [
-        F.when((fx + fy >= 1), v[3] + (v[2] - v[3]) * (1 - fx) + (v[1] - v[3]) * (1 - fy)),
-        F.when((fx <= fy), v[2] + (v[3] - v[2]) * fx + (v[0] - v[2]) * (1 - fy)),
-        F.when((fx >= fy), v[1] + (v[0] - v[1]) * (1 - fx) + (v[3] - v[1]) * fy),
-        F.when((fx + fy <= 1), v[0] + (v[1] - v[0]) * fx + (v[2] - v[0]) * fy),
-    ]
-    out = F.when(ok[0] & ok[1] & ok[2] & ok[3], full)
-    for k in range(4) if planes else ():
-        out = out.when(~ok[k] & ok[(k + 1) % 4] & ok[(k + 2) % 4] & ok[(k + 3) % 4], missing[k])
-    return F.when(inside, out)
+
+    def corners(c: Column) -> Column:
+        at = [F.try_element_at(values, c["i"] + di + (c["j"] + dj) * grid.x.count + 1).alias(f"v{k}") for k, (dj, di) in enumerate(((0, 0), (0, 1), (1, 0), (1, 1)))]
+        return F.struct(c["fx"].alias("fx"), c["fy"].alias("fy"), *at)
+
+    def value(c: Column) -> Column:
+        fx, fy = c["fx"], c["fy"]
+        v = [c[f"v{k}"] for k in range(4)]
+        ok = [_known(e) for e in v]
+        full = v[0] * (1 - fx) * (1 - fy) + v[1] * fx * (1 - fy) + v[2] * (1 - fx) * fy + v[3] * fx * fy
+        # a plane is defined within its triangle only
+        missing = [
+            F.when((fx + fy >= 1), v[3] + (v[2] - v[3]) * (1 - fx) + (v[1] - v[3]) * (1 - fy)),
+            F.when((fx <= fy), v[2] + (v[3] - v[2]) * fx + (v[0] - v[2]) * (1 - fy)),
+            F.when((fx >= fy), v[1] + (v[0] - v[1]) * (1 - fx) + (v[3] - v[1]) * fy),
+            F.when((fx + fy <= 1), v[0] + (v[1] - v[0]) * fx + (v[2] - v[0]) * fy),
+        ]
+        out = F.when(ok[0] & ok[1] & ok[2] & ok[3], full)
+        for k in range(4) if planes else ():
+            out = out.when(~ok[k] & ok[(k + 1) % 4] & ok[(k + 2) % 4] & ok[(k + 3) % 4], missing[k])
+        return out
+
+    cell = F.struct(i.alias("i"), fx.alias("fx"), j.alias("j"), fy.alias("fy"))
+    return F.when(inside, F.transform(F.transform(F.array(cell), corners), value)[0])
 
 
 def trilinear(values: Column, grid: Grid, x: Column, y: Column, z: Column) -> Column:
     """Trilinear where the cell's eight nodes are known, else NULL."""
-    (i, fx), (j, fy), (k, fz) = _closed(x, grid.x), _closed(y, grid.y), _closed(z, grid.z)
     inside = x.between(grid.x.first, grid.x.last) & y.between(grid.y.first, grid.y.last) & z.between(grid.z.first, grid.z.last)
-    out = F.lit(0.0)
-    for dk in (0, 1):
-        for dj in (0, 1):
-            for di in (0, 1):
-                v = F.try_element_at(values, i + di + (j + dj) * grid.x.count + (k + dk) * grid.x.count * grid.y.count + 1)
-                out = out + v * (fx if di else 1 - fx) * (fy if dj else 1 - fy) * (fz if dk else 1 - fz)
+    cell = F.struct(*[c.alias(n + str(k)) for k, (v, a) in enumerate(((x, grid.x), (y, grid.y), (z, grid.z))) for n, c in zip("if", _closed(v, a), strict=True)])
+
+    def value(c: Column) -> Column:
+        out = F.lit(0.0)
+        for dk in (0, 1):
+            for dj in (0, 1):
+                for di in (0, 1):
+                    v = F.try_element_at(values, c["i0"] + di + (c["i1"] + dj) * grid.x.count + (c["i2"] + dk) * grid.x.count * grid.y.count + 1)
+                    out = out + v * (c["f0"] if di else 1 - c["f0"]) * (c["f1"] if dj else 1 - c["f1"]) * (c["f2"] if dk else 1 - c["f2"])
+        return out
+
+    out = F.transform(F.array(cell), value)[0]
     return F.when(inside & _known(out), out)
 
 

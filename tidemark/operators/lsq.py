@@ -1,19 +1,23 @@
 """Counts, node selection, normal equations and their solution.
 
 Everything per observation is an aggregation with partial sums before the shuffle; what reaches the driver are the
-normal equations of the kept nodes, which the grid bounds, not the number of observations.
+normal equations of the kept nodes, which the grid bounds, not the number of observations. They come as Arrow columns. Up to
+DENSE_NODES nodes they are solved densely; beyond that only systems that couple neighbouring planes of a three-dimensional
+grid are, plane by plane, with the same solution and formal errors. Other systems of that size are refused.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.literals import longs
+from ..functions.literals import doubles, longs
 from .design import exploded
+from .grid import Grid
 
-#: Nodes up to which the normal equations are solved densely on the driver.
+#: Nodes up to which the normal equations are solved densely on the driver, and nodes of one plane at most.
 DENSE_NODES = 6000
 
 
@@ -81,13 +85,21 @@ def normal_vector(df: DataFrame, *by: str, weight: Column | None = None, z: str
     return df.select(*by, (w * F.col(z)).alias("__wz"), F.explode("nodes").alias("e")).groupBy(*by, F.col("e.node").alias("i")).agg(F.sum(F.col("e.w") * F.col("__wz")).alias("v"))
 
 
+def entries(matrix: DataFrame, vector: DataFrame, ids: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Row, column and value of the matrix's upper half, and the right-hand side, by places among the ids (ascending)."""
+    known = np.array(ids, np.int64)
+    column = lambda t, c: t.column(c).to_numpy()
+    m, v = matrix.select("i", "j", "v").toArrow(), vector.select("i", "v").toArrow()
+    i, j = (np.searchsorted(known, column(m, c)) for c in ("i", "j"))
+    b = np.zeros(len(ids))
+    b[np.searchsorted(known, column(v, "i"))] = column(v, "v")
+    return i, j, column(m, "v"), b
+
+
 def dense(matrix: DataFrame, vector: DataFrame, ids: list[int]) -> tuple[np.ndarray, np.ndarray]:
-    at = {n: k for k, n in enumerate(ids)}
-    a, b = np.zeros((len(ids), len(ids))), np.zeros(len(ids))
-    for r in matrix.collect():
-        a[at[r["i"]], at[r["j"]]] = a[at[r["j"]], at[r["i"]]] = r["v"]
-    for r in vector.collect():
-        b[at[r["i"]]] = r["v"]
+    i, j, v, b = entries(matrix, vector, ids)
+    a = np.zeros((len(ids), len(ids)))
+    a[i, j] = a[j, i] = v
     return a, b
 
 
@@ -95,42 +107,75 @@ def solve(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, bool]:
     """Solution, formal error and whether the system lacks rank (then it is the one of least norm)."""
     try:
         low = np.linalg.cholesky(a)
+        pivots = np.diag(low)
+        if pivots.min() <= 1e-6 * pivots.max():
+            raise np.linalg.LinAlgError("rank is lacking but for rounding")
         inverse = np.linalg.inv(low)
         return inverse.T @ (inverse @ b), np.sqrt((inverse**2).sum(0)), False
     except np.linalg.LinAlgError:
-        inverse = np.linalg.pinv(a, hermitian=True)
+        inverse = np.linalg.pinv(a, rcond=1e-11, hermitian=True)
         return inverse @ b, np.sqrt(np.clip(np.diag(inverse), 0, None)), True
 
 
-def conjugate_gradients(matrix: DataFrame, vector: DataFrame, ids: list[int], tolerance: float = 1e-12, rounds: int = 2000) -> np.ndarray:
-    """Solve large sparse normal equations (three-dimensional grids) from their entries, with a diagonal preconditioner."""
-    at = {n: k for k, n in enumerate(ids)}
-    rows = matrix.collect()
-    i, j = (np.array([at[r[c]] for r in rows]) for c in ("i", "j"))
-    v = np.array([r["v"] for r in rows])
-    off = i != j
-    i, j, v = np.r_[i, j[off]], np.r_[j, i[off]], np.r_[v, v[off]]
-    b = np.zeros(len(ids))
-    for r in vector.collect():
-        b[at[r["i"]]] = r["v"]
-    diagonal = np.bincount(i[i == j], v[i == j], len(ids))
-    inverse = np.divide(1.0, diagonal, out=np.ones_like(diagonal), where=diagonal > 0)
-    x, r = np.zeros(len(ids)), b.copy()
-    d = z = inverse * r
-    for _ in range(rounds):
-        if np.linalg.norm(r) <= tolerance * max(np.linalg.norm(b), 1e-300):
-            break
-        q = np.bincount(i, v * d[j], len(ids))
-        step = (r @ z) / (d @ q)
-        x, new = x + step * d, r - step * q
-        z_new = inverse * new
-        d = z_new + (new @ z_new) / (r @ z) * d
-        r, z = new, z_new
-    return x
-
-
-def fit(df: DataFrame, *, least: int = 50, weight: Column | None = None, complete_rows: bool = False, least_diagonal: int = 4) -> tuple[DataFrame, bool]:
-    """(node, value, error, n) fitted to rows (z, nodes), and whether the system lacks rank."""
+def planes(ids: list[int], grid: Grid) -> np.ndarray:
+    """The plane of each node along the grid's longest axis."""
+    n = np.array(ids)
+    counts = (grid.x.count, grid.y.count, grid.z.count if grid.z else 1)
+    place = (n % counts[0], n // counts[0] % counts[1], n // (counts[0] * counts[1]))
+    return place[int(np.argmax(counts))]
+
+
+def solve_planes(i: np.ndarray, j: np.ndarray, v: np.ndarray, b: np.ndarray, plane: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Solution and formal error of a system that couples nodes of one plane or of neighbouring ones.
+
+    Block elimination forwards; backwards the solution and, of the inverse, the blocks on the diagonal. Memory is that of
+    two dense blocks a plane.
+    """
+    of = [np.flatnonzero(plane == p) for p in np.unique(plane)]
+    step, local = np.zeros(len(plane), np.int64), np.zeros(len(plane), np.int64)
+    for k, rows in enumerate(of):
+        step[rows], local[rows] = k, np.arange(len(rows))
+    if (np.abs(plane[i] - plane[j]) > 1).any():
+        raise ValueError(f"a system of {len(plane)} nodes that couples distant planes is too large to be solved densely")
+    if max(map(len, of)) > DENSE_NODES:
+        raise ValueError(f"planes of {max(map(len, of))} nodes are too large")
+
+    def block(p: int, q: int) -> np.ndarray:
+        out = np.zeros((len(of[p]), len(of[q])))
+        for r, c in ((i, j), (j, i)):
+            here = (step[r] == p) & (step[c] == q)
+            out[local[r[here]], local[c[here]]] = v[here]
+        return out
+
+    inverse, beside, rest = [], [], []
+    for k, rows in enumerate(of):
+        a, y = block(k, k), b[rows]
+        if k:
+            back = beside[-1].T @ inverse[-1]
+            a, y = a - back @ beside[-1], y - back @ rest[-1]
+        try:
+            low = np.linalg.inv(np.linalg.cholesky(a))
+        except np.linalg.LinAlgError as e:
+            raise ValueError("a system too large to be solved densely lacks rank") from e
+        inverse.append(low.T @ low)
+        rest.append(y)
+        beside.append(block(k, k + 1) if k + 1 < len(of) else np.zeros((len(rows), 0)))
+    x, error = np.zeros(len(plane)), np.zeros(len(plane))
+    after, whole = np.zeros(0), np.zeros((0, 0))
+    for k in range(len(of) - 1, -1, -1):
+        after_b = inverse[k] @ beside[k]
+        after = inverse[k] @ (rest[k] - beside[k] @ after)
+        whole = inverse[k] + after_b @ whole @ after_b.T
+        x[of[k]], error[of[k]] = after, np.sqrt(np.diag(whole))
+        inverse[k] = beside[k] = np.zeros((0, 0))
+    return x, error
+
+
+def fit(df: DataFrame, *, least: int = 50, weight: Column | None = None, complete_rows: bool = False, least_diagonal: int = 4, grid: Grid | None = None) -> tuple[DataFrame, bool]:
+    """(node, value, error, n) fitted to rows (z, nodes), and whether the system lacks rank.
+
+    grid: tells planes apart where there are more than DENSE_NODES nodes.
+    """
     rows = df.where(F.col("z").isNotNull() & F.col("nodes").isNotNull())
     if weight is not None:
         rows = rows.where(weight > 0)
@@ -146,13 +191,15 @@ def fit(df: DataFrame, *, least: int = 50, weight: Column | None = None, complet
     if thin:
         ids = [n for n in ids if n not in thin]
         rows = select_columns(rows, ids)
+    if len(ids) > DENSE_NODES and grid is None:
+        raise ValueError(f"{len(ids)} nodes are too many to be solved densely; the grid must be given")
     matrix, vector = normal_matrix(rows, weight=weight), normal_vector(rows, weight=weight)
     if len(ids) <= DENSE_NODES:
         x, error, lacking = solve(*dense(matrix, vector, ids))
     else:
-        x, error, lacking = conjugate_gradients(matrix, vector, ids), np.full(len(ids), np.nan), False
-    table = [(int(n), float(v), None if np.isnan(e) else float(e), int(counts[n])) for n, v, e in zip(ids, x, error, strict=True)]
-    return df.sparkSession.createDataFrame(table, "node int, value double, error double, n bigint"), lacking
+        (x, error), lacking = solve_planes(*entries(matrix, vector, ids), planes(ids, grid)), False
+    table = pa.table({"node": pa.array(ids, pa.int32()), "value": x, "error": error, "n": pa.array([counts[n] for n in ids], pa.int64())})
+    return df.sparkSession.createDataFrame(table), lacking
 
 
 def demeaned(df: DataFrame, *group: str) -> tuple[DataFrame, DataFrame]:
@@ -164,18 +211,21 @@ def demeaned(df: DataFrame, *group: str) -> tuple[DataFrame, DataFrame]:
     e = exploded(df, *group)
     n = df.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), F.sum("z").alias("sz"))
     s = e.groupBy(*group, "node").agg(F.sum("w").alias("s"))
-    held = s.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct("node", F.col("s").alias("w")))).alias("nodes")).join(n, list(group))  # at most one entry for each grid node
-    cut = normal_matrix(held, weight=F.lit(-1.0) / F.col("n"))
+    sums = s.join(n, list(group))
+    other = s.select(*[F.col(c).alias(f"__{c}") for c in group], F.col("node").alias("j"), F.col("s").alias("t"))
+    same = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in group] + [F.col("node") <= F.col("j")]
+    cut = sums.join(other, same).select(F.col("node").alias("i"), "j", (-F.col("s") * F.col("t") / F.col("n")).alias("v"))
     matrix = normal_matrix(df).unionByName(cut).groupBy("i", "j").agg(F.sum("v").alias("v"))
-    cut_v = normal_vector(held.withColumn("z", F.col("sz")), weight=F.lit(-1.0) / F.col("n"))
+    cut_v = sums.select(F.col("node").alias("i"), (-F.col("s") * F.col("sz") / F.col("n")).alias("v"))
     vector = normal_vector(df).unionByName(cut_v).groupBy("i").agg(F.sum("v").alias("v"))
     return matrix, vector
 
 
 def group_levels(df: DataFrame, solved: DataFrame, *group: str) -> DataFrame:
     """(group..., level, n): mean residual of each group after the grid is solved."""
-    at = solved.select(F.map_from_entries(F.collect_list(F.struct("node", "value"))).alias("m"))  # one row, bounded by the grid
-    rows = df.join(F.broadcast(at), F.lit(True))  # one row
-    fitted = F.aggregate("nodes", F.lit(0.0), lambda s, e: s + e["w"] * F.coalesce(F.try_element_at("m", e["node"]), F.lit(0.0)))
-    return rows.groupBy(*group).agg(F.avg(F.col("z") - fitted).alias("level"), F.count(F.lit(1)).alias("n"))
-
+    known = solved.where(F.col("value").isNotNull()).select("node", "value").toArrow()  # bounded by the grid
+    values = np.zeros(max(known.column("node").to_pylist(), default=-1) + 1)
+    values[known.column("node").to_numpy()] = known.column("value").to_numpy()
+    at = doubles(values.tolist())
+    fitted = F.aggregate("nodes", F.lit(0.0), lambda s, e: s + e["w"] * F.coalesce(F.try_element_at(at, e["node"] + 1), F.lit(0.0)))
+    return df.groupBy(*group).agg(F.avg(F.col("z") - fitted).alias("level"), F.count(F.lit(1)).alias("n"))

@@ -100,18 +100,19 @@ def nearest_values(points: DataFrame, x: str, y: str, k: int = 2, *, crowd: int
     return out.select("a", F.col("e.b").alias("b"), (F.col("k") + 1).alias("k"), F.col("e.dist").alias("dist"))
 
 
-def one_to_one(pairs: DataFrame, radius: float, step: float = 100.0) -> DataFrame:
-    """Nearest matches within the largest radius (shrunk by `step`) at which no partner is taken twice.
+def one_to_one(pairs: DataFrame, radius: float, *by: str, step: float = 100.0) -> DataFrame:
+    """Nearest matches of each group (by) within the largest radius (shrunk by `step`) at which no partner is taken twice.
 
-    A partner is shared from its second smallest distance on, so the radius follows from the least of those: one
-    aggregate instead of a search.
+    A partner is shared from its second smallest distance on, so a group's radius follows from the least of those: one
+    aggregate instead of a search. As every key has one partner, the matches are one to one.
     """
     near = nearest(pairs)
-    second = near.withColumn("__place", F.row_number().over(Window.partitionBy("id_b").orderBy("dist", "id_a"))).where(F.col("__place") == 2)
-    least = second.agg(F.min("dist").alias("least"))
+    second = near.withColumn("__place", F.row_number().over(Window.partitionBy(*by, "id_b").orderBy("dist", "id_a"))).where(F.col("__place") == 2)
     steps = F.floor((F.lit(radius) - F.col("least")) / step) + 1
-    limit = least.select(F.when(F.col("least").isNull() | (F.col("least") > radius), F.lit(radius)).otherwise(F.lit(radius) - steps * step).alias("__limit"))
-    return near.join(F.broadcast(limit), F.lit(True)).where(F.col("dist") <= F.col("__limit")).drop("__limit")
+    limits = second.groupBy(*by).agg(F.min("dist").alias("least")).select(*[F.col(c).alias(f"__{c}") for c in by], (F.lit(radius) - steps * step).alias("__limit"))
+    same = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in by]
+    joined = near.join(limits, same, "left") if by else near.join(F.broadcast(limits), F.lit(True), "left")  # without groups one row
+    return joined.where(F.col("dist") <= F.coalesce("__limit", F.lit(radius))).drop("__limit", *[f"__{c}" for c in by])
 
 
 def ascending(df: DataFrame) -> Column:
@@ -120,10 +121,13 @@ def ascending(df: DataFrame) -> Column:
 
 
 def collinear(points: DataFrame, radius: float = 1000.0) -> DataFrame:
-    """Nearest records of the same direction in the next cycle; points: (id, cycle, pass_number, time, lat, lon, ...)."""
+    """Nearest records of the same direction in the next cycle, one to one in each pair of cycles and direction.
+
+    points: (id, cycle, pass_number, time, lat, lon, ...).
+    """
     p = points.withColumn("direction", ascending(points).cast("int"))
     pairs = radius_join(p, p, radius, keys=(("cycle", F.col("cycle_b") - 1), ("direction", F.col("direction_b"))))
-    return one_to_one(pairs, radius)
+    return one_to_one(pairs, radius, "cycle_a", "direction_a")
 
 
 def collinear_radius(mission: str) -> float:
@@ -131,11 +135,26 @@ def collinear_radius(mission: str) -> float:
 
 
 def tandem(a: DataFrame, b: DataFrame, cycles: list[tuple[int, int]], radius: float = 950.0) -> DataFrame:
-    """Nearest records on the same pass of two missions whose cycles are paired."""
+    """Nearest records on the same pass of two missions whose cycles are paired, one to one in each pass."""
     table = a.sparkSession.createDataFrame(cycles, "cycle int, other int")
     mapped = a.join(F.broadcast(table), "cycle").withColumnRenamed("other", "partner_cycle")
     pairs = radius_join(mapped, b, radius, keys=(("partner_cycle", F.col("cycle_b")), ("pass_number", F.col("pass_number_b"))))
-    return one_to_one(pairs, radius)
+    return one_to_one(pairs, radius, "cycle_a", "pass_number_a")
+
+
+def tandem_pairs(a: DataFrame, b: DataFrame, cycles: list[tuple[int, int]], radius: float = 950.0) -> DataFrame:
+    """Pairs of one mission whose sides are both matched with those of another's pair.
+
+    a, b: (id, cycle, and for each side s of 1 and 2 pass_number_s, time_s, lat_s, lon_s, ...). A pair of a and a pair of b
+    match if the nearest partners of both sides belong to that pair of b.
+    """
+    sides = []
+    for s in (1, 2):
+        own = lambda d, s=s: d.select("id", "cycle", *[F.col(f"{c}_{s}").alias(c) for c in ("pass_number", "time", "lat", "lon")])
+        sides.append(tandem(own(a), own(b), cycles, radius).select("id_a", "id_b", F.col("dist").alias(f"dist_{s}")))
+    found = sides[0].join(sides[1], ["id_a", "id_b"])
+    left, right = (d.select(*[F.col(c).alias(f"{c}_{t}") for c in d.columns]) for d, t in ((a, "a"), (b, "b")))
+    return found.join(left, "id_a").join(right, "id_b")
 
 
 def tandem_table(matched: DataFrame, partner: str) -> DataFrame:
@@ -147,57 +166,63 @@ def tandem_table(matched: DataFrame, partner: str) -> DataFrame:
 def crossovers(points: DataFrame, *, radius: float = 7000.0, max_days: float = 2.0) -> DataFrame:
     """Crossings of ascending and descending tracks, of one cycle or of neighbouring ones.
 
-    For an ascending record and each day with two or more descending records near it, on both sides of its latitude, the
-    two nearest make a segment. It is intersected with the segments to the record before and after on the ascending
-    track; a crossing counts where both pairs of weights add to 1. Returns one row for each crossing:
-    (a0, a1, d0, d1 ids, pa0, pa1, pd0, pd1 weights, lat, lon, time_a, time_d, dt_days).
+    For an ascending record and each day with two or more descending records near it, not all at or above its latitude nor
+    all below, the two nearest make a segment. It is intersected with the segments to the record before and after on the
+    ascending track; a crossing counts where both pairs of weights add to 1. Of the two sides the one whose other ascending
+    end is nearest to one of the two descending records is taken, if that is within the radius. The time between the
+    tracks is that between the first ascending end and the nearest descending record (the earlier one, if there are two).
+    Returns one row for each crossing: (a0, a1, d0, d1 ids, pa0, pa1, pd0, pd1 weights, lat, lon, time_a, time_d at the
+    crossing, dt_days).
     """
     p = points.select("id", "cycle", "pass_number", "time", "lat", lon180(F.col("lon")).alias("lon"))
     p = p.withColumns(dict(zip(("ex", "ey", "ez"), ecef(F.col("lat"), F.col("lon")), strict=True)))  # once a record
     up = ascending(p)
+    fields = ("id", "time", "lat", "lon", "ex", "ey", "ez")
+    asc, desc = p.where(up), p.where(~up)
     track = Window.partitionBy("cycle", "pass_number").orderBy("time", "id")
-    own = F.struct("id", "time", "lat", "lon", "ex", "ey", "ez")
-    asc = p.where(up).withColumn("prev", F.lag(own).over(track)).withColumn("next", F.lead(own).over(track))
-    pairs = radius_join(asc, p.where(~up), radius, condition=F.abs(F.col("cycle_b") - F.col("cycle_a")) <= 1)
+    line = asc.select("id", F.lag(F.struct(*fields)).over(track).alias("prev"), F.lead(F.struct(*fields)).over(track).alias("next"))
+    pairs = radius_join(asc.select("cycle", *fields), desc.select("cycle", *fields), radius, condition=F.abs(F.col("cycle_b") - F.col("cycle_a")) <= 1)
     near = pairs.groupBy("id_a", "cycle_b", F.floor(F.col("time_b") / 86400).alias("day")).agg(
-        F.first(F.struct("id_a", "time_a", "lat_a", "lon_a", "ex_a", "ey_a", "ez_a", "prev_a", "next_a")).alias("a"),
-        F.array_sort(F.collect_list(F.struct("dist", F.col("id_b").alias("id"), F.col("time_b").alias("time"), F.col("lat_b").alias("lat"), F.col("lon_b").alias("lon"), F.col("ex_b").alias("ex"), F.col("ey_b").alias("ey"), F.col("ez_b").alias("ez")))).alias("ds"),
+        F.first(F.struct(*[F.col(f"{c}_a").alias(c) for c in fields])).alias("at"),
+        F.array_sort(F.collect_list(F.struct("dist", *[F.col(f"{c}_b").alias(c) for c in fields]))).alias("ds"),
         F.min("lat_b").alias("low"),
         F.max("lat_b").alias("high"),
     )
-    near = near.where((F.size("ds") >= 2) & (F.col("low") <= F.col("a.lat_a")) & (F.col("high") >= F.col("a.lat_a")))
-    near = near.select("day", F.struct(*[F.col(f"a.{c}_a").alias(c) for c in ("id", "time", "lat", "lon", "ex", "ey", "ez")]).alias("at"), F.explode(F.array("a.prev_a", "a.next_a")).alias("side"), F.element_at("ds", 1).alias("d0"), F.element_at("ds", 2).alias("d1")).where(F.col("side").isNotNull())
-    earlier = F.col("side.time") <= F.col("at.time")
-    near = near.withColumn("a0", F.when(earlier, F.col("side")).otherwise(F.col("at"))).withColumn("a1", F.when(earlier, F.col("at")).otherwise(F.col("side")))
-    swap = F.col("d0.time") <= F.col("d1.time")
-    near = near.select("a0", "a1", F.when(swap, F.col("d0")).otherwise(F.col("d1")).alias("d0"), F.when(swap, F.col("d1")).otherwise(F.col("d0")).alias("d1"))
+    near = near.where((F.size("ds") >= 2) & (F.col("low") < F.col("at.lat")) & (F.col("high") >= F.col("at.lat")))
+    near = near.select("id_a", "at", F.col("ds")[0].alias("n0"), F.col("ds")[1].alias("n1"), F.when(F.size("ds") > 2, F.col("ds")[0]["time"]).otherwise(F.least(F.col("ds")[0]["time"], F.col("ds")[1]["time"])).alias("nearest"))
+    near = near.join(line.withColumnRenamed("id", "id_a"), "id_a")  # the neighbours on the track, for what is left
+    near = near.select("at", "n0", "n1", "nearest", F.explode(F.array(F.struct(F.lit(0).alias("after"), F.col("prev").alias("side")), F.struct(F.lit(1).alias("after"), F.col("next").alias("side")))).alias("o"))
+    near = near.select("at", "n0", "n1", "nearest", "o.after", "o.side").where(F.col("side").isNotNull())
+    later = F.col("after") == 1
+    swap = F.col("n0.time") <= F.col("n1.time")
+    near = near.select("n0", "n1", "nearest", "side", "at", "after", F.when(later, F.col("at")).otherwise(F.col("side")).alias("a0"), F.when(later, F.col("side")).otherwise(F.col("at")).alias("a1"), F.when(swap, F.col("n0")).otherwise(F.col("n1")).alias("d0"), F.when(swap, F.col("n1")).otherwise(F.col("n0")).alias("d1"))
     seg = {s: tuple(F.col(f"{s}{k}.{c}") for k in (0, 1) for c in ("lon", "lat")) for s in "ad"}
-    time = lambda s, w: F.col(f"{s}0.time") * w[f"p{s}0"] + F.col(f"{s}1.time") * w[f"p{s}1"]
+    place = lambda c: tuple(c[k] for k in ("ex", "ey", "ez"))
 
     def placed(x: Column) -> Column:
         return F.struct(x["lon"].alias("lon"), x["lat"].alias("lat"), *[v.alias(n) for n, v in zip(("ex", "ey", "ez"), ecef(x["lat"], x["lon"]), strict=True)])
 
     def weighed(x: Column) -> Column:
-        position = lambda c: tuple(c[k] for k in ("ex", "ey", "ez"))
-        found = [w.alias(f"p{s}{k}") for s in "ad" for k, w in enumerate(chord_weights(position(x), *[position(F.col(f"{s}{k}")) for k in (0, 1)]))]
+        found = [w.alias(f"p{s}{k}") for s in "ad" for k, w in enumerate(chord_weights(place(x), *[place(F.col(f"{s}{k}")) for k in (0, 1)]))]
         return F.struct(x["lon"].alias("lon"), x["lat"].alias("lat"), *found)
 
-    def timed(w: Column) -> Column:
-        return F.struct(w.alias("w"), time("a", w).alias("time_a"), time("d", w).alias("time_d"))
-
-    def judged(t: Column) -> Column:
-        days = (t["time_a"] - t["time_d"]) / 86400.0
-        whole = lambda p, q: F.round(t["w"][p] + t["w"][q], 2) == 1.0
-        ok = whole("pa0", "pa1") & whole("pd0", "pd1") & (F.abs(days) > 0) & (F.abs(days) < max_days)
-        return F.struct(t.alias("t"), days.alias("days"), ok.alias("ok"))
-
     # each step is bound by a lambda, so that pushing the filter down does not copy the steps before it
     lon, lat = intersection(seg["a"], seg["d"])
     bound = F.array(F.struct(lon.alias("lon"), lat.alias("lat")))
-    for step in (placed, weighed, timed, judged):
+    for step in (placed, weighed):
         bound = F.transform(bound, step)
-    out = near.select("a0", "a1", "d0", "d1", bound[0].alias("x")).where("x.ok")
-    return out.select(F.col("a0.id").alias("a0"), F.col("a1.id").alias("a1"), F.col("d0.id").alias("d0"), F.col("d1.id").alias("d1"), *[F.col(f"x.t.w.{c}").alias(c) for c in ("pa0", "pa1", "pd0", "pd1", "lat", "lon")], F.col("x.t.time_a").alias("time_a"), F.col("x.t.time_d").alias("time_d"), F.col("x.days").alias("dt_days")).dropDuplicates(["a0", "a1", "d0", "d1"])
+    whole = lambda p, q: F.round(F.col(f"w.{p}") + F.col(f"w.{q}"), 2) == 1.0
+    crossing = near.withColumn("w", bound[0]).where(whole("pa0", "pa1") & whole("pd0", "pd1"))
+    reach = F.least(*[chord(place(F.col("side")), place(F.col(n))) for n in ("n0", "n1")])
+    best = F.min(F.struct(reach.alias("reach"), "after", "a0", "a1", "d0", "d1", "w", "nearest")).alias("x")
+    one = crossing.groupBy(F.col("at.id").alias("id"), F.col("n0.id").alias("m0"), F.col("n1.id").alias("m1")).agg(best).where(F.col("x.reach") <= radius)
+    days = F.abs(F.col("x.a0.time") - F.col("x.nearest")) / 86400.0
+    out = one.withColumn("days", days).where((F.col("days") > 0) & (F.col("days") < max_days))
+    time = lambda s: F.col(f"x.{s}0.time") * F.col(f"x.w.p{s}0") + F.col(f"x.{s}1.time") * F.col(f"x.w.p{s}1")
+    named = out.select(*[F.col(f"x.{e}.id").alias(e) for e in ("a0", "a1", "d0", "d1")], *[F.col(f"x.w.{c}").alias(c) for c in ("pa0", "pa1", "pd0", "pd1", "lat", "lon")], time("a").alias("time_a"), time("d").alias("time_d"), F.col("days").alias("dt_days"))
+    # a crossing may be found from both of its ascending ends; its time then depends on the end
+    least = F.min(F.struct("dt_days", *[c for c in named.columns if c not in ("a0", "a1", "d0", "d1", "dt_days")])).alias("r")
+    return named.groupBy("a0", "a1", "d0", "d1").agg(least).select("a0", "a1", "d0", "d1", "r.*")
 
 
 def crossover_values(crossings: DataFrame, points: DataFrame, columns: list[str]) -> DataFrame:

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ROUNDS = 100
+#: Groups up to which their limits are broadcast.
+BROADCAST_GROUPS = 20_000
 
 
 def bounds(df: DataFrame, value: Column, z: float, *by: str, rounds: int = ROUNDS) -> DataFrame:
@@ -39,13 +41,28 @@ def bounds(df: DataFrame, value: Column, z: float, *by: str, rounds: int = ROUND
         rows.unpersist()
 
 
+def _with_bounds(df: DataFrame, limits: DataFrame, *by: str) -> DataFrame:
+    """df next to the limits of its groups; a row without groups, or few groups, are broadcast."""
+    if not by:
+        return df.join(F.broadcast(limits), F.lit(True))
+    return df.join(F.broadcast(limits) if limits.count() <= BROADCAST_GROUPS else limits, list(by))
+
+
 def without_outliers(df: DataFrame, value: Column, z: float, *by: str) -> DataFrame:
     """Rows that survive; rows without a value go."""
-    limits = bounds(df, value, z, *by)
-    joined = df.join(F.broadcast(limits), list(by)) if by else df.join(F.broadcast(limits), F.lit(True))
+    joined = _with_bounds(df, bounds(df, value, z, *by), *by)
     return joined.where(value.between(F.col("lo"), F.col("hi"))).drop("lo", "hi", "n")
 
 
+def marked_pairs(df: DataFrame, a: Column, b: Column, z: float, *by: str) -> DataFrame:
+    """Pairs with both values, and whether side a and side b survive on their own in their group, as `ok_a` and `ok_b`."""
+    out = df.where(a.isNotNull() & b.isNotNull())
+    limits = [bounds(out, v, z, *by).select(*by, F.col("lo").alias(f"__lo{k}"), F.col("hi").alias(f"__hi{k}")) for k, v in enumerate((a, b))]
+    for x in limits:
+        out = _with_bounds(out, x, *by)
+    return out.withColumns({f"ok_{s}": v.between(F.col(f"__lo{k}"), F.col(f"__hi{k}")) for k, (s, v) in enumerate((("a", a), ("b", b)))}).drop("__lo0", "__hi0", "__lo1", "__hi1")
+
+
 def without_pair_outliers(df: DataFrame, a: Column, b: Column, z: float) -> DataFrame:
     """Pairs of which side a, side b and the difference all survive on their own."""
     out, conditions = df, []

@@ -23,7 +23,8 @@ def cubic_fit(model: DataFrame, *, with_z: bool = False) -> list[float]:
     n = len(t)
     row = model.where(F.col("value").isNotNull()).agg(*[F.sum(t[i] * t[j]).alias(f"a{i}_{j}") for i in range(n) for j in range(i, n)], *[F.sum(t[i] * F.col("value")).alias(f"b{i}") for i in range(n)]).first()
     a = np.array([[row[f"a{min(i, j)}_{max(i, j)}"] or 0.0 for j in range(n)] for i in range(n)])
-    return np.linalg.lstsq(a, np.array([row[f"b{i}"] or 0.0 for i in range(n)]), rcond=None)[0].tolist()
+    size = np.sqrt(np.where(np.diag(a) > 0, np.diag(a), 1.0))  # terms of equal length, as their powers differ by far
+    return (np.linalg.lstsq(a / np.outer(size, size), np.array([row[f"b{i}"] or 0.0 for i in range(n)]) / size, rcond=None)[0] / size).tolist()
 
 
 def kernel_means(known: DataFrame, grid: Grid) -> DataFrame:
@@ -46,8 +47,10 @@ def smooth(solved: DataFrame, grid: Grid) -> tuple[DataFrame, list[float]]:
     """(node, ix, iy, iz, x, y, z, raw, value) on every node and the cubic's coefficients; solved: (node, value, error).
 
     Known nodes blend their neighbours' mean with the cubic by their share of the largest smoothed error; unknown nodes
-    take the cubic.
+    take the cubic. A known node without a formal error is an error.
     """
+    if not solved.where(F.col("value").isNotNull() & (F.col("error").isNull() | F.isnan("error"))).isEmpty():
+        raise ValueError("a known node has no formal error")
     all_nodes = nodes(solved.sparkSession, grid)
     known = all_nodes.join(solved.select("node", "value", "error"), "node").where(F.col("value").isNotNull())
     c = cubic_fit(known, with_z=grid.z is not None)

@@ -10,32 +10,39 @@ def track(*by: str, time: str = "time"):
     return Window.partitionBy(*by).orderBy(time)
 
 
-def moving_mean(df: DataFrame, value: str, size: int, *by: str, time: str = "time", out: str = "smooth", cut: bool = False, max_step: float | None = 1.2) -> DataFrame:
-    """Centred mean of an odd number of records along each track; NULL where the window is not full.
+def moving_means(df: DataFrame, columns: dict[str, str], size: int, *by: str, time: str = "time", cut: bool = False, max_step: float | None = 1.2, coarse: bool = False) -> DataFrame:
+    """Centred means (value -> name) of an odd number of records along each track; NULL where the window is not full.
 
-    Tracks whose median time step is over `max_step` get none. With `cut` only windows whose span is within half a second
-    of (size - 1) median steps are returned.
+    Tracks whose median time step is over `max_step` get none, or with `coarse` their values as they are. With `cut` only
+    windows whose span is within half a second of (size - 1) median steps are returned. All columns share one pass; a
+    track (a cycle of a mission, about 10 days) has a bounded number of records.
     """
     half = size // 2
     w = track(*by, time=time).rowsBetween(-half, half)
     rows = df.withColumn("__step", F.col(time) - F.lag(time).over(track(*by, time=time)))
-    rows = rows.withColumn("__mean", F.avg(value).over(w)).withColumn("__n", F.count(F.lit(1)).over(w)).withColumn("__span", F.last(time).over(w) - F.first(time).over(w))
+    rows = rows.withColumns({f"__mean_{out}": F.avg(v).over(w) for v, out in columns.items()})
+    rows = rows.withColumn("__n", F.count(F.lit(1)).over(w)).withColumn("__span", F.last(time).over(w) - F.first(time).over(w))
     steps = rows.groupBy(*by).agg(F.median("__step").alias("__median"))
     rows = rows.join(steps, list(by))
     full = F.col("__n") == size
-    if max_step is not None:
-        full &= F.col("__median") <= max_step
+    fine = F.lit(True) if max_step is None else F.col("__median") <= max_step
     if cut:
         full &= F.abs(F.col("__span") - (size - 1) * F.col("__median")) <= 0.5
-    rows = rows.withColumn(out, F.when(full, F.col("__mean"))).drop("__step", "__mean", "__n", "__span", "__median")
-    return rows.where(F.col(out).isNotNull()) if cut else rows
+    for v, out in columns.items():
+        mean = F.when(fine & full, F.col(f"__mean_{out}"))
+        rows = rows.withColumn(out, mean.when(~fine, F.col(v)) if coarse else mean)
+    rows = rows.drop("__step", "__n", "__span", "__median", *[f"__mean_{out}" for out in columns.values()])
+    return rows.where(F.coalesce(*columns.values()).isNotNull()) if cut else rows
+
+
+def moving_mean(df: DataFrame, value: str, size: int, *by: str, out: str = "smooth", **how) -> DataFrame:
+    """The centred mean of one column."""
+    return moving_means(df, {value: out}, size, *by, **how)
 
 
 def smooth_columns(df: DataFrame, columns: list[str], size: int, *by: str, time: str = "time", max_step: float | None = 1.2) -> DataFrame:
     """Several columns (or the sides of a pair) smoothed along their tracks, as <column>_smooth."""
-    for c in columns:
-        df = moving_mean(df, c, size, *by, time=time, out=f"{c}_smooth", max_step=max_step)
-    return df
+    return moving_means(df, {c: f"{c}_smooth" for c in columns}, size, *by, time=time, max_step=max_step)
 
 
 def neighbours(df: DataFrame, columns: list[str], *by: str, time: str = "time") -> DataFrame:

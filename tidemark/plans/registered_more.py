@@ -31,27 +31,21 @@ def _geo_model(spark, sf_dir):
     return spark.read.parquet(f"{path}/model_geo").select("cycle", "geo_cell", "level")
 
 
-@query("S22_model_bands", f"SELECT CAST(n AS INT) AS node, {_r('n * 1e-3', 'ku')}, {_r('n * 2e-3', 'c')}, {_r('-3e0 * 1216e-5', 'calibration')} FROM (SELECT unnest(range(0, 42)) AS n)", plain=True)
+@query("S22_model_bands", f"SELECT CAST(n AS INT) AS node, {_r('n * 0.001e0', 'ku')}, {_r('n * 0.002e0', 'c')}, {_r('-3.0e0 * 0.01216e0', 'calibration')} FROM (SELECT unnest(range(0, 42)) AS n)", plain=True)
 def _bands(spark, sf_dir):
     n = grids.nodes(spark, SMALL)
     meta = spark.createDataFrame([(3.0,)], "iono_calib_bias double")
-    both, bias = tables.model_bands({"model_node": n.withColumn("value", F.col("node") * 1e-3), "model_meta": meta}, {"model_node": n.withColumn("value", F.col("node") * 2e-3)})
+    both, bias = tables.model_bands({"model_node": n.withColumn("value", F.col("node") * 0.001), "model_meta": meta}, {"model_node": n.withColumn("value", F.col("node") * 0.002)})
     return both.select("node", r6("ku").alias("ku"), r6("c").alias("c"), r6(F.lit(bias)).alias("calibration"))
 
 
-@query("P4_uncorrected_subset", f"SELECT id, {_r('usla_ku + sea_state_bias_ku + iono_corr_alt_ku + (range_ku - 1336000e0)', 'free')} FROM obs WHERE abs(lat) < 60e0")
-def _subset(spark, sf_dir):
-    o = observations(spark, sf_dir).where(F.abs("lat") < 60.0)
-    return o.select("id", r6(F.col("usla_ku") + F.col("sea_state_bias_ku") + F.col("iono_corr_alt_ku") + (F.col("range_ku") - 1336000.0)).alias("free"))
-
-
 @query("P12_tandem_partner", "SELECT * FROM (VALUES ('tx', 'txj1', 'j1'), ('j1', 'txj1', 'tx'), ('j1', 'j1j2', 'j2'), ('j2', 'j1j2', 'j1'), ('j2', 'j2j3', 'j3'), ('j3', 'j2j3', 'j2'), ('j3', 'j3s6A', 's6A'), ('s6A', 'j3s6A', 'j3')) t(mission, phase, partner)", plain=True)
 def _partner(spark, sf_dir):
     rows = [(m, p) for p, ms in {"txj1": ("tx", "j1"), "j1j2": ("j1", "j2"), "j2j3": ("j2", "j3"), "j3s6A": ("j3", "s6A")}.items() for m in ms]
     return spark.createDataFrame([(m, p, variables.partner(m, p)) for m, p in rows], "mission string, phase string, partner string")
 
 
-@query("P13_bracketed_values", f"SELECT a.id, {_r('a.swh_ku * 25e-2 + b.swh_ku * 75e-2', 'swh')} FROM tracks a JOIN tracks b ON b.id = a.id + 1")
+@query("P13_bracketed_values", f"SELECT a.id, {_r('a.swh_ku * 0.25e0 + b.swh_ku * 0.75e0', 'swh')} FROM tracks a JOIN tracks b ON b.id = a.id + 1")
 def _bracketed(spark, sf_dir):
     t = tracks(spark, sf_dir).select("id", "swh_ku")
     ids = t.select(F.col("id").alias("a0"), (F.col("id") + 1).alias("a1"), F.col("id").alias("d0"), F.col("id").alias("d1"), F.lit(0.25).alias("pa0"), F.lit(0.75).alias("pa1"), F.lit(1.0).alias("pd0"), F.lit(0.0).alias("pd1"))
@@ -73,7 +67,7 @@ def _flags(spark, sf_dir):
     return o.where(filters.flags_are({"rad_surf_type": 0, "flag": 0, "absent": 0}, o.columns)).select("id")
 
 
-@query("J5_intersections", f"WITH s AS (SELECT id, lon AS a, lat AS b, lon + 1 + swh_ku AS c, lat + 2 AS d, lon + wind_speed_alt - 10 AS e, lat + 15e-1 AS f, lon + 5 AS g, lat - 1 - swh_ku AS h FROM obs), m AS (SELECT *, (d - b) / (c - a) AS p, (h - f) / nullif(g - e, 0) AS q FROM s), x AS (SELECT *, ((f - q * e) - (b - p * a)) / nullif(p - q, 0) AS x FROM m) SELECT id, {_r('x', 'x')}, {_r('b + p * (x - a)', 'y')} FROM x WHERE abs(p - q) > 1e-2")
+@query("J5_intersections", f"WITH s AS (SELECT id, lon AS a, lat AS b, lon + 1 + swh_ku AS c, lat + 2 AS d, lon + wind_speed_alt - 10 AS e, lat + 1.5e0 AS f, lon + 5 AS g, lat - 1 - swh_ku AS h FROM obs), m AS (SELECT *, (d - b) / (c - a) AS p, (h - f) / nullif(g - e, 0) AS q FROM s), x AS (SELECT *, ((f - q * e) - (b - p * a)) / nullif(p - q, 0) AS x FROM m) SELECT id, {_r('x', 'x')}, {_r('b + p * (x - a)', 'y')} FROM x WHERE abs(p - q) > 0.01e0")
 def _intersections(spark, sf_dir):
     o = observations(spark, sf_dir)
     p = (F.col("lon"), F.col("lat"), F.col("lon") + 1 + F.col("swh_ku"), F.col("lat") + 2)
@@ -83,16 +77,8 @@ def _intersections(spark, sf_dir):
     return o.where(F.abs(slopes) > 0.01).select("id", r6(x).alias("x"), r6(y).alias("y"))
 
 
-@query("J14_two_nearest", "WITH d AS (SELECT a.id AS a, b.id AS b, abs(a.swh_ku - b.swh_ku) + abs(a.wind_speed_alt - b.wind_speed_alt) AS dist FROM obs a JOIN obs b ON a.cycle = 1 AND b.cycle = 1 AND a.id < 300 AND b.id < 300 AND a.id <> b.id) SELECT a, b, k FROM (SELECT a, b, CAST(row_number() OVER (PARTITION BY a ORDER BY dist, b) AS INT) AS k FROM d) WHERE k <= 2")
-def _two_nearest(spark, sf_dir):
-    o = observations(spark, sf_dir).where("cycle = 1 and id < 300").select("id", "swh_ku", "wind_speed_alt")
-    b = o.select(F.col("id").alias("b"), F.col("swh_ku").alias("s"), F.col("wind_speed_alt").alias("w"))
-    d = o.join(b, F.col("id") != F.col("b")).select(F.col("id").alias("a"), "b", (F.abs(F.col("swh_ku") - F.col("s")) + F.abs(F.col("wind_speed_alt") - F.col("w"))).alias("dist"))
-    return d.withColumn("k", F.row_number().over(Window.partitionBy("a").orderBy("dist", "b"))).where("k <= 2").select("a", "b", "k")
-
-
-@query("J14_two_nearest_all")  # all pairs in SQL: compared by a test on a small table
-def _two_nearest_all(spark, sf_dir):
+@query("NEAREST_values")  # all pairs in SQL: compared by a test on a small table
+def _nearest_values(spark, sf_dir):
     return match.nearest_values(observations(spark, sf_dir), "swh_ku", "wind_speed_alt", 2).select("a", "b", "k")
 
 
@@ -109,22 +95,22 @@ def _selected(spark, sf_dir):
     return s.select("id", F.size("nodes").cast("long").alias("kept"), r6(F.aggregate("nodes", F.lit(0.0), lambda a, e: a + e["w"])).alias("w"))
 
 
-@query("A10_weighting_matrix", f"SELECT id, {_r(f'(230e0 * exp(-abs(time / 864e2 - 15e0) / 3e0) + 120e0) * {_LATW}', 'w')} FROM obs")
+@query("A10_weighting_matrix", f"SELECT id, {_r(f'(230.0e0 * exp(-abs(time / 86400.0e0 - 15.0e0) / 3.0e0) + 120.0e0) * {_LATW}', 'w')} FROM obs")
 def _weighting(spark, sf_dir):
     w = physics.pair_weight(F.col("time") / 86400.0 - 15.0) * physics.latitude_weight(F.col("lat"), MISSION)
     return observations(spark, sf_dir).select("id", r6(w).alias("w"))
 
 
-@query("A9_retrograde_weight", f"SELECT id, {_r('sin(b) / sin(b0)', 'w')} FROM (SELECT id, " + ", ".join(_BETA.format(lat=v).replace("6616e-2", "9865e-2").replace("- 46e-2", "+ 46e-2") + f" AS {n}" for v, n in (("lat", "b"), ("0e0", "b0"))) + " FROM obs)")
+@query("A9_retrograde_weight", f"SELECT id, {_r('sin(b) / sin(b0)', 'w')} FROM (SELECT id, " + ", ".join(_BETA.format(lat=v).replace("66.16e0", "98.65e0").replace("- 0.46e0", "+ 0.46e0") + f" AS {n}" for v, n in (("lat", "b"), ("0.0e0", "b0"))) + " FROM obs)")
 def _retrograde(spark, sf_dir):
     return observations(spark, sf_dir).select("id", r6(physics.latitude_weight(F.col("lat"), "s3")).alias("w"))
 
 
-_N = "sin({n} * 1e0)"
+_N = "sin({n} * 1.0e0)"
 
 
-@query("E3_half_open_bilinear", f"""WITH c AS (SELECT id, CAST(floor(swh_ku) AS INT) AS i, CAST(floor(wind_speed_alt / 15e-1) AS INT) AS j, swh_ku, wind_speed_alt FROM obs WHERE swh_ku < 13 AND wind_speed_alt < 21),
-f AS (SELECT id, swh_ku - i AS x, wind_speed_alt / 15e-1 - j AS y, {_N.format(n='(i + j * 14)')} AS a, {_N.format(n='(i + 1 + j * 14)')} AS b, {_N.format(n='(i + (j + 1) * 14)')} AS c, {_N.format(n='(i + 1 + (j + 1) * 14)')} AS d FROM c)
+@query("E3_half_open_bilinear", f"""WITH c AS (SELECT id, CAST(floor(swh_ku) AS INT) AS i, CAST(floor(wind_speed_alt / 1.5e0) AS INT) AS j, swh_ku, wind_speed_alt FROM obs WHERE swh_ku < 13 AND wind_speed_alt < 21),
+f AS (SELECT id, swh_ku - i AS x, wind_speed_alt / 1.5e0 - j AS y, {_N.format(n='(i + j * 14)')} AS a, {_N.format(n='(i + 1 + j * 14)')} AS b, {_N.format(n='(i + (j + 1) * 14)')} AS c, {_N.format(n='(i + 1 + (j + 1) * 14)')} AS d FROM c)
 SELECT id, {_r('a * (1 - x) * (1 - y) + b * x * (1 - y) + c * (1 - x) * y + d * x * y', 'v')} FROM f""")
 def _half_open(spark, sf_dir):
     m = grids.nodes(spark, GRID).withColumn("value", F.sin(F.col("node").cast("double")))
@@ -132,45 +118,18 @@ def _half_open(spark, sf_dir):
     return observations(spark, sf_dir).select("id", r6(v).alias("v")).where("v is not null")
 
 
-@query("W2_smoothed_columns", f"WITH {_STEP}, v AS (SELECT id, cycle, avg(swh_ku) OVER w AS a, avg(swh_rms_ku) OVER w AS b, count(*) OVER w AS n FROM obs WINDOW w AS (PARTITION BY cycle ORDER BY time ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING)) SELECT v.id, {_r('CASE WHEN n = 11 AND med <= 1e4 THEN a END', 'swh')}, {_r('CASE WHEN n = 11 AND med <= 1e4 THEN b END', 'rms')} FROM v JOIN md ON v.cycle = md.cycle")
+@query("W2_smoothed_columns", f"WITH {_STEP}, v AS (SELECT id, cycle, avg(swh_ku) OVER w AS a, avg(swh_rms_ku) OVER w AS b, count(*) OVER w AS n FROM obs WINDOW w AS (PARTITION BY cycle ORDER BY time ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING)) SELECT v.id, {_r('CASE WHEN n = 11 AND med <= 10000.0e0 THEN a END', 'swh')}, {_r('CASE WHEN n = 11 AND med <= 10000.0e0 THEN b END', 'rms')} FROM v JOIN md ON v.cycle = md.cycle")
 def _smoothed_columns(spark, sf_dir):
-    s = windows.smooth_columns(observations(spark, sf_dir), ["swh_ku", "swh_rms_ku"], 11, "cycle", max_step=1e4)
+    s = windows.smooth_columns(observations(spark, sf_dir), ["swh_ku", "swh_rms_ku"], 11, "cycle", max_step=10000.0)
     return s.select("id", r6("swh_ku_smooth").alias("swh"), r6("swh_rms_ku_smooth").alias("rms"))
 
 
-@query("L3_root_levels")
-def _roots(spark, sf_dir):
-    rows = levels.levels_by(levels.histogram(observations(spark, sf_dir), F.col("usla_ku"), "ssb", "cycle"), flip=False)
-    return spark.createDataFrame([(int(k), float(v)) for k, v, _ in rows], "cycle int, level double").select("cycle", r6("level").alias("level"))
-
-
-@query("L6_model_levels")
-def _levels(spark, sf_dir):
-    rows = _direct(spark, sf_dir, SMALL)
-    solved, _ = lsq.fit(rows, least=5)
-    by_cycle, bias = steps.level(rows, solved, SMALL)
-    return spark.createDataFrame([(int(k), float(v), float(bias)) for k, v, _ in by_cycle], "cycle int, level double, bias double").select("cycle", r6("level").alias("level"), r6("bias").alias("bias"))
-
-
-@query("M9_two_band_solution")
-def _two_bands(spark, sf_dir):
-    ku, c = steps.two_band_fit(_direct(spark, sf_dir, SMALL), SMALL, least=5)
-    return ku.select("node", F.col("value").alias("ku")).join(c.select("node", F.col("value").alias("c")), "node").select("node", r6("ku").alias("ku"), r6("c").alias("c"))
-
-
 @query("M12_perturbed_rows", f"SELECT id, {_r('swh_ku + ' + _noise_sql('swh_rms_ku', 3), 'swh')}, {_r('usla_ku', 'ku')} FROM obs WHERE swh_ku + {_noise_sql('swh_rms_ku', 3)} > 0 AND swh_ku + {_noise_sql('swh_rms_ku', 3)} <= 13 AND abs(lat) < 66.16::DOUBLE")
 def _perturbed(spark, sf_dir):
     p = steps.perturbed(observations(spark, sf_dir), grids.Grid(GRID.x, grids.Axis(-100.0, 50.0, 10)), MISSION, "rms_w", max_step=None)
     return p.select("id", r6("swh_rms_w").alias("swh"), r6("usla_rms_w_ku").alias("ku"))
 
 
-@query("Q2_crossover_rows")
-def _crossover_rows(spark, sf_dir):
-    t = tracks(spark, sf_dir).withColumn("wind_speed_alt", F.pmod(F.col("id") * 53, F.lit(2100)) / 100.0).withColumn("usla_ku", physics.bm3(F.col("swh_ku"), F.col("wind_speed_alt")))
-    r = steps.crossover_rows(t, GRID, radius=400000.0, max_days=3.0)
-    return r.select("a0", "d0", r6("z").alias("z"), r6("weight").alias("weight"), r6(F.aggregate("nodes", F.lit(0.0), lambda s, e: s + e["w"])).alias("total"))
-
-
 @query("Q3e_error_analysis")
 def _error(spark, sf_dir):
     m = steps.error_analysis(observations(spark, sf_dir), SMALL, MISSION, err="rms_w", least=5, max_step=None)
@@ -179,12 +138,12 @@ def _error(spark, sf_dir):
 
 @query("Q3e_known_bias")
 def _known(spark, sf_dir):
-    o = observations(spark, sf_dir).withColumn("rad_distance_to_land", F.lit(1e6)).withColumn("bathymetry", F.lit(-4000.0))
+    o = observations(spark, sf_dir).withColumn("rad_distance_to_land", F.lit(1000000.0)).withColumn("bathymetry", F.lit(-4000.0))
     m = steps.error_analysis(o, SMALL, MISSION, variable="bm3", least=5)
     return m.nodes.select("node", r6("raw").alias("raw"), r6("value").alias("value"))
 
 
-@query("X4_elementary_functions", f"SELECT id, {_r('sin(lat) + cos(lat) + asin(lat / 9e1) + atan(lat)', 'trig')}, {_r('exp(swh_ku / 10) + sqrt(swh_ku) + power(swh_ku, 15e-1)', 'power')} FROM obs")
+@query("X4_elementary_functions", f"SELECT id, {_r('sin(lat) + cos(lat) + asin(lat / 90.0e0) + atan(lat)', 'trig')}, {_r('exp(swh_ku / 10) + sqrt(swh_ku) + power(swh_ku, 1.5e0)', 'power')} FROM obs")
 def _elementary(spark, sf_dir):
     x, s = F.col("lat"), F.col("swh_ku")
     return observations(spark, sf_dir).select("id", r6(F.sin(x) + F.cos(x) + F.asin(x / 90.0) + F.atan(x)).alias("trig"), r6(F.exp(s / 10.0) + F.sqrt(s) + F.pow(s, F.lit(1.5))).alias("power"))
@@ -215,13 +174,7 @@ def _sets(spark, sf_dir):
     return one.select(F.explode(F.array(*[F.struct(F.lit(k).alias("op"), F.col(k).alias("n")) for k in counts])).alias("e")).select("e.op", "e.n")
 
 
-@query("ROLLUP_quality", f"SELECT coalesce(cycle, -1) AS cycle, coalesce(pass_number, -1) AS pass_number, n, mean FROM (SELECT cycle, pass_number, count(*) AS n, {_r('avg(usla_ku)', 'mean')} FROM obs WHERE pass_number <= 20 GROUP BY ROLLUP (cycle, pass_number))")
+@query("ROLLUP_quality", f"SELECT coalesce(cycle, -1) AS cycle, coalesce(pass_number, -1) AS pass_number, n, mean FROM (SELECT cycle, pass_number, count(*) AS n, {_r('avg(usla_ku)', 'mean')} FROM obs GROUP BY ROLLUP (cycle, pass_number))")
 def _rollup(spark, sf_dir):
-    g = observations(spark, sf_dir).where("pass_number <= 20").rollup("cycle", "pass_number").agg(F.count(F.lit(1)).alias("n"), r6(F.avg("usla_ku")).alias("mean"))
-    return g.select(F.coalesce("cycle", F.lit(-1)).alias("cycle"), F.coalesce("pass_number", F.lit(-1)).alias("pass_number"), "n", "mean")
-
-
-@query("ROLLUP_quality_all_passes", f"SELECT coalesce(cycle, -1) AS cycle, coalesce(pass_number, -1) AS pass_number, n, mean FROM (SELECT cycle, pass_number, count(*) AS n, {_r('avg(usla_ku)', 'mean')} FROM obs GROUP BY ROLLUP (cycle, pass_number))")
-def _rollup_all(spark, sf_dir):
     g = observations(spark, sf_dir).rollup("cycle", "pass_number").agg(F.count(F.lit(1)).alias("n"), r6(F.avg("usla_ku")).alias("mean"))
     return g.select(F.coalesce("cycle", F.lit(-1)).alias("cycle"), F.coalesce("pass_number", F.lit(-1)).alias("pass_number"), "n", "mean")

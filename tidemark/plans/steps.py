@@ -4,20 +4,27 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import physics, variables
 from ..operators import design, evaluate, filters, levels, lsq, match, outliers, smooth, windows
 from ..operators.grid import STANDARD, Grid, gauss_cell
+from ..sources import missions
 from ..storage import materialize
 
 #: Least observations of a node, and of a geographic cell of a cycle.
 LEAST, LEAST_GEO = 50, 4
-#: Rounds of post-fit outlier removal.
+#: Rounds of post-fit outlier removal at most; more are an error.
 ROUNDS = {"rng_mle": 7}
-#: Perturbations that are fitted without it.
+#: Variables whose outliers are removed after the fit, and perturbations without.
+OUTLIER_VARIABLES = ("usla", "ssha_dfI", "rng_mle", "iono_corr_alt", "mss_dtu", "mss_cnes15", "ocean_got", "wet_tropo_model", "sum_err", "ib_corr", "alt_jpl", "alt_cnes", "iono_tran", "iono_tran_smooth", "SO")
 NO_OUTLIERS = ("rms_r", "sum_err")
+#: Variables whose model takes its level from zero significance; others take that of the reference bin.
+LEVEL_VARIABLES = tuple(v for v in OUTLIER_VARIABLES if v != "SO")
+#: Columns of a pair's sides: wave height, wind speed, uncorrected height.
+SIDE = ("swh_ku", "wind_speed_alt", "usla_ku")
 
 
 def direct(cycles: DataFrame, grid: Grid, mission: str, *, variable: str = "usla", band: str = "ku", err: str | None = None, second: str = "u10", geo: bool = False) -> DataFrame:
@@ -25,11 +32,27 @@ def direct(cycles: DataFrame, grid: Grid, mission: str, *, variable: str = "usla
     x, y = variables.independent(mission, err=err, second=second)
     out = filters.level1(filters.without_bad_cycles(cycles, mission), mission).withColumn("x", x).withColumn("y", y).withColumn("z", variables.dependent(variable, band, mission, err=err))
     out = out.where(F.col("z").isNotNull() & filters.level2(cycles.columns, mission))
-    depth = [F.col("mean_wave_period_t02")] if grid.z is not None else []
+    depth = []
+    if grid.z is not None:
+        out = out.withColumn("depth", F.col("mean_wave_period_t02"))
+        depth = [F.col("depth")]
     out = out.withColumn("nodes", design.weights(grid, F.col("x"), F.col("y"), *depth)).where(F.col("nodes").isNotNull())
     return out.withColumn("geo_cell", gauss_cell(F.col("lat"), F.col("lon"))) if geo else out
 
 
+def with_uncorrected(df: DataFrame, mission: str) -> DataFrame:
+    """Records with the height that depends on no frequency, and uncorrected heights of both bands (ssha_free, usla_ku, usla_c)."""
+    iono = physics.iono_for_usla(F.col("iono_corr_gim_ku"), F.col("iono_corr_alt_ku"), mission, F.col("cycle"))
+    ku, c = physics.uncorrected_heights(F.col("ssha"), F.col("sea_state_bias_ku"), F.col("iono_corr_alt_ku"), F.col("range_ku"), F.col("range_c"), iono, mission)
+    free = F.col("ssha") + F.col("sea_state_bias_ku") + F.col("iono_corr_alt_ku") + F.col("range_ku")
+    return df.withColumns({"ssha_free": free, "usla_ku": ku, "usla_c": c})
+
+
+def observed_pairs(pairs: DataFrame, mission: str, days: float = 10.0) -> DataFrame:
+    """Pairs whose first side passes level 1 and whose sides (time_a, time_b) are near in time."""
+    return filters.level1(pairs, mission).where(filters.near_in_time("time_a", "time_b", days))
+
+
 def pair_rows(pairs: DataFrame, grid: Grid, *, x: str = "swh_ku", y: str = "wind_speed_alt", z: str = "usla_ku", a: str = "_a", b: str = "_b") -> DataFrame:
     """Difference rows (first less second side) of matched pairs: z and weights that add to 0."""
     side = lambda s: design.weights(grid, F.col(f"{x}{s}"), F.col(f"{y}{s}"))
@@ -65,7 +88,7 @@ def error_analysis(cycles: DataFrame, grid: Grid, mission: str, *, variable: str
     else:
         p = perturbed(cycles, grid, mission, err, variable=variable, max_step=max_step)
         rows = p.withColumn("x", F.col(f"swh_{err}")).withColumn("y", F.col(f"u10_{err}")).withColumn("z", F.col(f"{variable}_{err}_{band}"))
-    return fit_model(rows.select("id", "cycle", "x", "y", "z", "nodes"), grid, least=least, variable=variable, err=err)
+    return fit_model(rows.select("id", "cycle", "lat", "x", "y", "z", "nodes"), grid, least=least, variable=variable, err=err)
 
 
 def two_band_fit(rows: DataFrame, grid: Grid, *, least: int = LEAST) -> tuple[DataFrame, DataFrame]:
@@ -79,17 +102,46 @@ def two_band_fit(rows: DataFrame, grid: Grid, *, least: int = LEAST) -> tuple[Da
     z_range = free - (1 + k) * F.col("range_ku") + k * F.col("range_c")
     z_tec = F.col("iono_corr_gim_ku") / k - F.col("range_ku") + F.col("range_c")
     stacked = design.two_band_rows(rows.select(F.col("id").alias("obs_id"), "nodes", z_range.alias("z_range"), z_tec.alias("z_tec")), grid.size, k)
-    solved, _ = lsq.fit(stacked.withColumn("nodes", F.filter("nodes", lambda e: e["w"] != 0)), least=least)
+    solved, _ = lsq.fit(stacked.withColumn("nodes", F.filter("nodes", lambda e: e["w"] != 0)), least=least)  # both bands' nodes
     ku = solved.where(F.col("node") < grid.size)
     c = solved.where(F.col("node") >= grid.size).withColumn("node", (F.col("node") - grid.size).cast("int"))
     return ku, c
 
 
-def crossover_rows(points: DataFrame, grid: Grid, *, radius: float = 7000.0, max_days: float = 2.0, columns: tuple[str, ...] = ("swh_ku", "wind_speed_alt", "usla_ku")) -> DataFrame:
-    """Difference rows (ascending less descending) at crossings, with their weights by time."""
-    values = match.crossover_values(match.crossovers(points, radius=radius, max_days=max_days), points, list(columns))
-    flat = values.select("a0", "a1", "d0", "d1", "lat", "lon", "dt_days", *[F.col(f"{s}.{c}").alias(f"{c}_{t}") for s, t in (("a", "a"), ("d", "b")) for c in columns])
-    return pair_rows(flat, grid).withColumn("weight", physics.pair_weight(F.col("dt_days")))
+def collinear_rows(points: DataFrame, grid: Grid, radius: float = 1000.0, *, timed: bool = False) -> DataFrame:
+    """Difference rows of collinear matches; the cycle is that of the first side.
+
+    timed: rows weigh by the time between the sides, as beside crossovers; otherwise all weigh alike.
+    """
+    rows = pair_rows(match.collinear(points, radius), grid).withColumn("cycle", F.col("cycle_a"))
+    return rows.withColumn("weight", physics.pair_weight((F.col("time_a") - F.col("time_b")) / 86400.0) if timed else F.lit(1.0))
+
+
+def tandem_rows(a: DataFrame, b: DataFrame, cycles: list[tuple[int, int]], grid: Grid, radius: float = 950.0) -> DataFrame:
+    """Difference rows of tandem matches of two missions."""
+    return pair_rows(match.tandem(a, b, cycles, radius), grid).withColumn("cycle", F.col("cycle_a")).withColumn("weight", F.lit(1.0))
+
+
+def crossover_rows(points: DataFrame, grid: Grid, *, radius: float = 7000.0, max_days: float = 2.0, columns: tuple[str, ...] = SIDE) -> DataFrame:
+    """Difference rows (ascending less descending) at crossings, with their weights by time; the cycle is the ascending one."""
+    crossings = match.crossovers(points, radius=radius, max_days=max_days).join(points.select(F.col("id").alias("a0"), "cycle"), "a0")
+    values = match.crossover_values(crossings, points, list(columns))
+    flat = values.select("a0", "a1", "d0", "d1", "cycle", "lat", "lon", ((F.col("time_a") - F.col("time_d")) / 86400.0).alias("days"), *[F.col(f"{s}.{c}").alias(f"{c}_{t}") for s, t in (("a", "a"), ("d", "b")) for c in columns])
+    return pair_rows(flat, grid).withColumn("weight", physics.pair_weight(F.col("days")))
+
+
+def differences(points: DataFrame, grid: Grid, mission: str, *, radius: float | None = None, crossing_radius: float = 7000.0, max_days: float = 2.0) -> DataFrame:
+    """(cycle, kind, z, nodes, weight): collinear differences of each cycle with the next one; of cycles without a next one, their own crossovers."""
+    cycles = {r["cycle"] for r in points.select("cycle").distinct().collect()}  # a row for each cycle
+    last = [c for c in cycles if c + 1 not in cycles]
+    keep = lambda d, kind: d.select("cycle", F.lit(kind).alias("kind"), "z", "nodes", "weight")
+    out = keep(collinear_rows(points, grid, radius or match.collinear_radius(mission)), "collinear")
+    return out.unionByName(keep(crossover_rows(points.where(F.col("cycle").isin(last)), grid, radius=crossing_radius, max_days=max_days), "crossover"))
+
+
+def tandem_tables(a: DataFrame, b: DataFrame, phase: str, radius: float = 950.0) -> DataFrame:
+    """Matches of a whole tandem phase, the second mission's columns with its name as suffix."""
+    return match.tandem_table(match.tandem(a, b, missions.tandem_cycles(phase), radius), missions.TANDEM[phase][1])
 
 
 def joint(*designs: DataFrame) -> DataFrame:
@@ -118,33 +170,82 @@ def post_fit(rows: DataFrame, solved: DataFrame, grid: Grid, z: float = 5.0) ->
     return outliers.without_outliers(res, F.col("residual"), z, "cycle").drop("residual")
 
 
+def post_fit_pairs(rows: DataFrame, solved: DataFrame, grid: Grid, z: float = 5.0) -> DataFrame:
+    """Pairs that the model reaches on both sides, and whether each side's own residual survives in its cycle (ok_a, ok_b)."""
+    values = evaluate.node_array(solved, grid)
+    residual = [F.col(f"{SIDE[2]}_{s}") - evaluate.bilinear(values, grid, F.col(f"{SIDE[0]}_{s}"), F.col(f"{SIDE[1]}_{s}")) for s in "ab"]
+    res = rows.withColumn("__ra", residual[0]).withColumn("__rb", residual[1])
+    return outliers.marked_pairs(res, F.col("__ra"), F.col("__rb"), z, "cycle").drop("__ra", "__rb")
+
+
+def rounds_of(variable: str, err: str | None) -> int:
+    """Rounds of outlier removal at most."""
+    return 0 if err in NO_OUTLIERS or variable not in OUTLIER_VARIABLES else ROUNDS.get(variable, 6)
+
+
+def finished(rows: DataFrame, solved: DataFrame, grid: Grid, variable: str, used: int, lacking: bool) -> Model:
+    """A raw grid levelled on direct rows (x, y, cycle) and smoothed."""
+    by_cycle, bias = level(rows, solved, grid, variable)
+    levelled = solved.withColumn("value", F.col("value") - F.lit(0.0 if bias != bias else bias))
+    smoothed, c = smooth.smooth(levelled, grid)
+    return Model(grid, smoothed.join(solved.select("node", "error", "n"), "node", "left"), bias, by_cycle, c, used, lacking)
+
+
 def fit_model(rows: DataFrame, grid: Grid, *, least: int = LEAST, weight: Column | None = None, variable: str = "usla", err: str | None = None, complete_rows: bool = False) -> Model:
-    """Fit, remove post-fit outliers until none is left, level by cycle, and smooth."""
-    held = rows.persist()
-    try:
-        solved, lacking = lsq.fit(held, least=least, weight=weight, complete_rows=complete_rows)
-        most = 0 if err in NO_OUTLIERS else ROUNDS.get(variable, 6)
-        kept, n, used = held, held.count(), 0
-        for used in range(1, most + 1):
-            kept = materialize(post_fit(kept, solved, grid), "kept-rows")
-            m = kept.count()
-            if m == n:
-                break
-            n = m
-            solved, lacking = lsq.fit(kept, least=least, weight=weight, complete_rows=complete_rows)
-        by_cycle, bias = level(kept, solved, grid)
-        levelled = solved.withColumn("value", F.col("value") - F.lit(0.0 if bias != bias else bias))
-        smoothed, c = smooth.smooth(levelled, grid)
-        out = smoothed.join(solved.select("node", "error", "n"), "node", "left")
-        return Model(grid, out, bias, by_cycle, c, used, lacking)
-    finally:
-        held.unpersist()
-
-
-def level(rows: DataFrame, solved: DataFrame, grid: Grid) -> tuple[list[tuple], float]:
-    """Zero-significance level of every cycle's model values, and their mean beyond outliers."""
+    """Fit direct rows, remove post-fit outliers until none is left, level by cycle, and smooth; fails if outliers do not end."""
+    held = materialize(rows, "direct-rows")
+    solve = lambda r: lsq.fit(r, least=least, weight=weight, complete_rows=complete_rows, grid=grid)
+    solved, lacking = solve(held)
+    kept, n, used, most = held, held.count(), 0, rounds_of(variable, err)
+    while most:
+        used += 1
+        if used > most:
+            raise RuntimeError(f"outliers are left after {most} rounds")
+        kept = materialize(post_fit(kept, solved, grid), "kept-rows")
+        before, n = n, kept.count()
+        if n == before:
+            break
+        solved, lacking = solve(kept)
+    return finished(held, solved, grid, variable, used, lacking)
+
+
+def fit_pairs(designs: list[DataFrame], direct_rows: DataFrame, grid: Grid, *, least: int = LEAST, variable: str = "usla", err: str | None = None) -> Model:
+    """Fit difference rows of one method, or of several as one system (z, nodes, weight, cycle, both sides' columns).
+
+    Each method's outliers are removed by cycle and by side after the fit: a pair stays if both sides do, and rounds go on
+    until no pair is an outlier on both. The grid is levelled on direct rows (x, y, cycle, ...).
+    """
+    solve = lambda ds: lsq.fit(joint(*ds), least=least, weight=F.col("weight"), grid=grid)
+    kept = [materialize(d, "pair-rows") for d in designs]
+    solved, lacking = solve(kept)
+    used, most = 0, rounds_of(variable, err)
+    while most:
+        used += 1
+        if used > most:
+            raise RuntimeError(f"outliers are left after {most} rounds")
+        marked = [materialize(post_fit_pairs(d, solved, grid), "marked-pairs") for d in kept]
+        gone = sum(m.where("not ok_a and not ok_b").count() for m in marked)
+        kept = [m.where("ok_a and ok_b").drop("ok_a", "ok_b") for m in marked]
+        if not gone:
+            break
+        solved, lacking = solve(kept)
+    return finished(materialize(direct_rows, "direct-rows"), solved, grid, variable, used, lacking)
+
+
+def level(rows: DataFrame, solved: DataFrame, grid: Grid, variable: str = "usla") -> tuple[list[tuple], float]:
+    """Zero-significance level of every cycle's model values, and their mean beyond outliers.
+
+    Variables without zero significance take the mean over cycles of the reference bin (rows then need z and lat).
+    """
+    if variable not in LEVEL_VARIABLES:
+        weight = physics.latitude_weight(F.col("lat"), "j2") if "lat" in rows.columns else F.lit(1.0)
+        found = levels.reference_mean(rows, F.col("x"), F.col("y"), F.col("z"), weight).collect()  # a row for each cycle
+        by_cycle = sorted((r["cycle"], r["level"], float("nan")) for r in found)
+        return by_cycle, float(np.mean([v for _, v, _ in by_cycle])) if by_cycle else float("nan")
     values = evaluate.node_array(solved, grid)
-    at = rows.withColumn("ssb", evaluate.bilinear(values, grid, F.col("x"), F.col("y"))).where(F.col("ssb").isNotNull())
+    depth = [F.col("depth")] if grid.z is not None else []
+    model = evaluate.trilinear if depth else evaluate.bilinear
+    at = rows.withColumn("ssb", model(values, grid, F.col("x"), F.col("y"), *depth)).where(F.col("ssb").isNotNull())
     at = outliers.without_outliers(at, F.col("ssb"), 4.0, "cycle")
     by_cycle = levels.levels_by(levels.histogram(at, F.col("ssb"), "ssb", "cycle"))
     return by_cycle, levels.mean_within([v for _, v, _ in by_cycle])
@@ -153,11 +254,13 @@ def level(rows: DataFrame, solved: DataFrame, grid: Grid) -> tuple[list[tuple],
 def common_bias(rows: DataFrame, grid: Grid, *, least: int = LEAST, least_geo: int = LEAST_GEO) -> tuple[DataFrame, DataFrame]:
     """Grid with a free level for each (cycle, geographic cell), and those levels."""
     ids = sorted(r["node"] for r in lsq.kept_nodes(rows, least).select("node").collect())
+    if len(ids) > lsq.DENSE_NODES:
+        raise ValueError(f"{len(ids)} nodes are too many beside free levels")
     dense_cells = rows.groupBy("cycle", "geo_cell").count().where(F.col("count") >= least_geo).select("cycle", "geo_cell")
     used = lsq.select_columns(rows.join(dense_cells, ["cycle", "geo_cell"], "left_semi"), ids)
     matrix, vector = lsq.demeaned(used, "cycle", "geo_cell")
     x, error, _ = lsq.solve(*lsq.dense(matrix, vector, ids))
-    solved = rows.sparkSession.createDataFrame([(n, float(v), float(e)) for n, v, e in zip(ids, x, error, strict=True)], "node int, value double, error double")
+    solved = rows.sparkSession.createDataFrame([(n, float(v), float(e)) for n, v, e in zip(ids, x, error, strict=True)], "node int, value double, error double")  # bounded by the dense system
     return solved, lsq.group_levels(used, solved, "cycle", "geo_cell")
 
 

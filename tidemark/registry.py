@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import registered, registered_more  # noqa: F401 - registers its queries
+from .plans import registered, registered_edges, registered_fits, registered_more, registered_names  # noqa: F401 - registers its queries
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

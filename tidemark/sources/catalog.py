@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
+from xml.etree import ElementTree
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import names
+
 # Operators of the track catalog's expressions.
 OPERATORS = {"ADD": lambda a, b: a + b, "SUB": lambda a, b: a - b, "MUL": lambda a, b: a * b}
 
@@ -69,6 +73,32 @@ def selected(selector: str, satellite: str) -> bool:
     return (satellite not in names) if selector.strip().startswith("!") else satellite in names
 
 
+def read_catalog(text: str) -> list[Variable]:
+    """Variables of a track catalog in XML: <var name sat> with <data sat>, <limits>, <default> and <quality_flag>.
+
+    Data with operators is an expression; single names are aliases. Names of variables that occur again for other
+    satellites are one variable with an expression by satellite.
+    """
+    out: dict[str, Variable] = {}
+    for e in ElementTree.fromstring(f"<catalog>{re.sub(r'^<[?]xml[^>]*>', '', text.strip())}</catalog>").iter("var"):
+        name = e.get("name")
+        one = lambda tag, e=e: next((x.text.split() for x in e.iter(tag) if x.text and x.text.strip()), [])
+        data = [(x.get("sat") or e.get("sat"), " ".join((x.text or "").split())) for x in e.iter("data")]
+        v = out.setdefault(name, Variable(name))
+        for satellites, expression in data:
+            if satellites:
+                v.by_satellite[satellites] = expression
+            elif " " in expression:
+                v.expression = expression
+            else:
+                v.aliases = (*v.aliases, expression.removeprefix(":"))
+        limits, default = one("limits"), one("default")
+        v.limits = tuple(map(float, limits)) if len(limits) == 2 else v.limits
+        v.default = float(default[0]) if default else v.default
+        v.flags = tuple(dict.fromkeys((*v.flags, *one("quality_flag"))))
+    return list(out.values())
+
+
 def select_catalog(df: DataFrame, catalog: list[Variable], satellite: str = "") -> DataFrame:
     return df.select(*[v.column(df.columns, satellite) for v in catalog])
 
@@ -81,49 +111,45 @@ TRACKS = [
     Variable("ssha", HEIGHT),
 ]
 
-# Names of canonical columns in nested product files (group, name) of format version 3.
-NESTED = {
-    "time": (None, "time"), "lat": (None, "latitude"), "lon": (None, "longitude"), "alt": (None, "altitude"),
-    "range_ku": ("ku", "range_ocean"), "range_c": ("c", "range_ocean"), "swh_ku": ("ku", "swh_ocean"), "swh_c": ("c", "swh_ocean"),
-    "sig0_ku": ("ku", "sig0_ocean"), "sig0_c": ("c", "sig0_ocean"), "range_rms_ku": ("ku", "range_ocean_rms"), "range_rms_c": ("c", "range_ocean_rms"),
-    "swh_rms_ku": ("ku", "swh_ocean_rms"), "swh_rms_c": ("c", "swh_ocean_rms"), "sig0_rms_ku": ("ku", "sig0_ocean_rms"), "sig0_rms_c": ("c", "sig0_ocean_rms"),
-    "range_numval_ku": ("ku", "range_ocean_numval"), "range_numval_c": ("c", "range_ocean_numval"), "iono_corr_alt_ku": ("ku", "iono_cor_alt"), "iono_corr_gim_ku": ("ku", "iono_cor_gim"),
-    "sea_state_bias_ku": ("ku", "sea_state_bias"), "sea_state_bias_c": ("c", "sea_state_bias"), "off_nadir_angle_wf_ku": ("ku", "off_nadir_angle_wf_ocean"), "ssha": ("ku", "ssha"),
-    "model_dry_tropo_corr": (None, "model_dry_tropo_cor_zero_altitude"), "model_wet_tropo_corr": (None, "model_wet_tropo_cor_zero_altitude"), "rad_wet_tropo_corr": (None, "rad_wet_tropo_cor"),
-    "solid_earth_tide": (None, "solid_earth_tide"), "ocean_tide_got": (None, "ocean_tide_got"), "ocean_tide_fes": (None, "ocean_tide_fes"), "load_tide_got": (None, "load_tide_got"), "load_tide_fes": (None, "load_tide_fes"),
-    "pole_tide": (None, "pole_tide"), "dac": (None, "dac"), "mean_sea_surface": (None, "mean_sea_surface_sol1"), "wind_speed_alt": (None, "wind_speed_alt"),
-    "rad_surf_type": (None, "rad_surface_type_flag"), "rad_distance_to_land": (None, "rad_distance_to_land"), "bathymetry": (None, "depth_or_elevation"),
-}
-# Names of flat product files that differ from the canonical ones, by format version.
-FLAT = {
-    1: {"ocean_tide_fes": "ocean_tide_sol2", "ocean_tide_got": "ocean_tide_sol1", "load_tide_fes": "load_tide_sol2", "load_tide_got": "load_tide_sol1", "rad_surf_type": "surface_type"},
-    2: {"ocean_tide_fes": "ocean_tide_sol2", "ocean_tide_got": "ocean_tide_sol1", "load_tide_fes": "load_tide_sol2", "load_tide_got": "load_tide_sol1", "rad_surf_type": "rad_surf_type"},
-}
-RETRACKERS = {"mle4": "", "mle3": "_mle3", "plrm": "_plrm"}
-
-
-def resolve(name: str, version: int, retracker: str = "mle4") -> str:
-    """The product's path of a canonical column: "ku.range_ocean" in nested files, a flat name otherwise."""
-    suffix = RETRACKERS[retracker]
-    base = name.removesuffix(suffix) if suffix else name
-    if version == 3:
-        group, leaf = NESTED[base]
-        leaf += suffix if base != name else ""
-        return f"{group}.{leaf}" if group else leaf
-    return FLAT.get(version, {}).get(base, base) + (suffix if base != name else "")
-
-
-def canonical(df: DataFrame, names: list[str], version: int, retracker: str = "mle4") -> DataFrame:
-    """Product records under canonical names; only the leaves asked for are read."""
-    return df.select(*[F.col(resolve(n, version, retracker)).alias(n) for n in names])
-
-
-def bands(names: list[str]) -> dict[str, list[str]]:
-    """Canonical names by band: Ku, C, and neither."""
+def resolve(name: str, version: int, mission: str = "j3", retracker: str = "ocean") -> str:
+    """The product's path of a canonical column: "ku.range_ocean" in nested files (version 3), a flat name otherwise.
+
+    Columns that a product names as they are canonically keep their name; unknown versions, missions and retrackers are errors.
+    """
+    leaf = names.names(version, mission, retracker).get(name, name)
+    if version != 3:
+        return leaf
+    group = names.group(name, leaf, mission)
+    return f"{group}.{leaf}" if group else leaf
+
+
+def canonical(df: DataFrame, columns: list[str], version: int, mission: str = "j3", retracker: str = "ocean") -> DataFrame:
+    """Product records under canonical names; only the leaves asked for are read.
+
+    The adaptive retracker has no C-band range, so records of it are refused.
+    """
+    if retracker == "adaptive":
+        raise ValueError("records of the adaptive retracker lack a C-band range")
+    return df.select(*[F.col(resolve(n, version, mission, retracker)).alias(n) for n in columns])
+
+
+def adaptive_anomaly(row: str = "ku") -> Column:
+    """Height anomaly of the adaptive retracker: the ocean one with the changes of range, ionosphere and bias."""
+    change = lambda c, d: F.col(f"{row}.{c}") - F.col(f"{row}.{d}")
+    return F.col(f"{row}.ssha") + change("range_ocean", "range_adaptive") + change("iono_cor_alt_filtered", "iono_cor_alt_filtered_adaptive") + change("sea_state_bias", "sea_state_bias_adaptive")
+
+
+def bands(columns: list[str], version: int = 3, mission: str = "j3") -> dict[str, list[str]]:
+    """Canonical names by band: Ku, C, and neither; in version 3 by the group that the product keeps them in."""
     out: dict[str, list[str]] = {"ku": [], "c": [], "": []}
-    for n in names:
-        parts = n.split("_")
-        out["ku" if "ku" in parts else "c" if "c" in parts else ""].append(n)
+    table = names.names(version, mission)
+    for n in columns:
+        if version == 3:
+            found = names.group(n, table.get(n, n), mission) or ""
+        else:
+            parts = n.split("_")
+            found = "ku" if "ku" in parts else "c" if "c" in parts else ""
+        out[found].append(n)
     return out
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -99,12 +99,13 @@ def read_orbit(spark: SparkSession, path: str) -> DataFrame:
 
 
 def attach_orbit(passes: DataFrame, orbit: DataFrame) -> DataFrame:
-    """Orbit rows next to pass rows by index; fails unless every row has exactly one partner."""
-    n, m = passes.count(), orbit.count()
-    joined = passes.join(orbit, "idx")
-    if n != m or joined.count() != n:
-        raise ValueError(f"orbit has {m} rows, pass has {n}")
-    return joined
+    """Orbit rows next to pass rows by index; the plan fails when it runs unless every row has exactly one partner."""
+    alone = Window.partitionBy("idx")
+    left = passes.withColumn("__p", F.count(F.lit(1)).over(alone))
+    right = orbit.withColumn("__o", F.count(F.lit(1)).over(alone))
+    one = F.coalesce((F.col("__p") == 1) & (F.col("__o") == 1), F.lit(False))
+    fault = F.raise_error(F.concat(F.lit("pass and orbit do not match at index "), F.coalesce(F.col("idx").cast("string"), F.lit("null")))).cast("int")
+    return left.join(right, "idx", "full_outer").withColumn("idx", F.when(one, F.col("idx").cast("int")).otherwise(fault)).drop("__p", "__o")
 
 
 def write_model(nodes: DataFrame, cycles: DataFrame, meta: DataFrame, path: str) -> None:
