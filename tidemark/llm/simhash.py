@@ -243,38 +243,48 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 3, threshold: int = 2) ->
 
 
 def majority(digests: list[bytes]) -> np.ndarray:
-    """The bits set in over half of 16-byte digests, as two unsigned numbers."""
-    ones = np.zeros(128, np.int64)
+    """Of digests of equal length the bits set in over half of them."""
+    width = len(digests[0])
+    ones = np.zeros(8 * width, np.int64)
     for at in range(0, len(digests), 1 << 15):
         some = digests[at : at + (1 << 15)]
-        ones += np.unpackbits(np.frombuffer(b"".join(some), np.uint8).reshape(-1, 16), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return np.packbits(2 * ones > len(digests), bitorder="little").view("<u8")
+        ones += np.unpackbits(np.frombuffer(b"".join(some), np.uint8).reshape(-1, width), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return 2 * ones > len(digests)
+
+
+#: Tables of codes, and the value of each bit of a code.
+TABLES = 4
+PLACES = np.left_shift(1, np.arange(2 * BLOCK, dtype=np.int64))
 
 
 def signature(text: str | None, shingle: int) -> np.ndarray:
-    """Two fingerprints of 64 bits each: those of the set of word shingles, and those of the set of words; ASCII lower case."""
+    """The fingerprint of the set of word shingles, and TABLES codes of the set of words, all of different bits; ASCII lower case."""
     words = (text or "").encode().lower().split()
     if not words:
-        return np.zeros(4, "<u8")
-    hashed = xxhash.xxh3_128_digest
-    n = max(1, len(words) - shingle + 1)
-    runs = {b" ".join(words[i : i + shingle]) for i in range(n)}
-    return np.concatenate([majority([hashed(x, SEED) for x in some]) for some in (runs, set(words))])
+        return np.zeros(1 + TABLES, np.int64)
+    runs = {b" ".join(words[i : i + shingle]) for i in range(max(1, len(words) - shingle + 1))}
+    f = np.packbits(majority([xxhash.xxh64_digest(x, SEED) for x in runs]), bitorder="little").view(np.int64)
+    bits = majority([xxhash.xxh3_128_digest(w, SEED) + xxhash.xxh64_digest(w, SEED) for w in set(words)])
+    return np.concatenate([f, bits[: TABLES * 2 * BLOCK].reshape(TABLES, -1) @ PLACES])
+
+
+CODES = tuple(f"w{t}" for t in range(TABLES))
 
 
 def signatures(docs: DataFrame, shingle: int) -> DataFrame:
-    """(doc_id, key, f1, f2, w1, w2) of every row of docs (doc_id, text); key tells the texts of one id apart."""
+    """(doc_id, key, f, w0, ...) of every row of docs (doc_id, text); key tells the texts of one id apart."""
+    names = ["doc_id", "key", "f", *CODES]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in in_parts(tidy(batches), 1000, "text", 8_000_000):
-            found = np.array([signature(t.as_py(), shingle) for t in batch.column(2)], np.uint64).reshape(-1, 4).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(found[:, i]) for i in range(4)]], names=["doc_id", "key", "f1", "f2", "w1", "w2"])
+            found = np.array([signature(t.as_py(), shingle) for t in batch.column(2)], np.int64).reshape(-1, 1 + TABLES)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(found[:, i]) for i in range(1 + TABLES)]], names=names)
 
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("key"), "text")
-    return keyed.mapInArrow(run, "doc_id long, key long, f1 long, f2 long, w1 long, w2 long")
+    return keyed.mapInArrow(run, ", ".join(f"{n} long" for n in names))
 
 
-def bits_apart(similarity: float, bits: int = 2 * BITS, deviations: float = 1.0) -> int:
+def bits_apart(similarity: float, bits: int = BITS, deviations: float = 1.0) -> int:
     """Bits in which fingerprints differ at most, for all but a few of the pairs whose shingle sets have this Jaccard similarity.
 
     Each bit differs with the probability of the angle between the sets over pi.
@@ -288,25 +298,25 @@ def text_key(text: str = "text") -> F.Column:
     return F.xxhash64(F.col(text).isNull(), F.col(text))
 
 
-def surplus(docs: DataFrame, *, shingle: int = 5, similarity: float = 0.8, spread: int = 2) -> DataFrame:
+def surplus(docs: DataFrame, *, shingle: int = 5, similarity: float = 0.8, spread: int = 1) -> DataFrame:
     """(doc_id, key, kept) of the rows of docs (doc_id, text), by id and text_key, of which not exactly all stay.
 
     One row of each component stays: that of the smallest id (null last), then key.  kept: one of these equal rows stays.
 
-    Texts link if the 128 bits of their shingles differ in at most `bits_apart(similarity)`.  So many bits are beyond any
-    covering code that could be afforded; near copies share nearly all of their words, though, and so differ in few bits of the
-    fingerprints of their distinct words.  Those are what anchors cover: two tables, of independent bits, each with
-    all anchors within radius + `spread`.
+    Texts link if the fingerprints of their shingles differ in at most `bits_apart(similarity)` bits.  So many are beyond any
+    covering code that could be afforded; near copies share nearly all of their words, though, and so differ in few bits of
+    what their distinct words give.  Anchors cover that: TABLES codes of independent bits, each text at all anchors within
+    radius + `spread`; about 61 replicas in all.
     """
     sig = materialize(signatures(docs, shingle), "signatures")
     own = F.struct(F.col("doc_id").isNull().alias("odd"), "doc_id", "key")
-    distinct = materialize(sig.groupBy("f1", "f2", "w1", "w2").agg(F.min(own).alias("first")), "distinct-signatures")
-    links_ = near_links(distinct, bits_apart(similarity), codes=("w1", "w2"), prints=("f1", "f2"), spread=spread)
-    roots = star_components(links_).select(F.col("node").alias("f1"), "root")
-    named = distinct.groupBy("f1").agg(F.min("first").alias("first"))
-    member = named.join(roots, "f1", "left").select(F.coalesce("root", "f1").alias("root"), "f1", "first")
+    distinct = materialize(sig.groupBy("f", *CODES).agg(F.min(own).alias("first")), "distinct-signatures")
+    links_ = near_links(distinct, bits_apart(similarity), codes=CODES, prints=("f",), spread=spread)
+    roots = star_components(links_).select(F.col("node").alias("f"), "root")
+    named = distinct.groupBy("f").agg(F.min("first").alias("first"))
+    member = named.join(roots, "f", "left").select(F.coalesce("root", "f").alias("root"), "f", "first")
     label = member.groupBy("root").agg(F.min("first").alias("first"))
-    of = member.select("root", F.col("f1").alias("k")).join(label, "root").select("k", "first")
+    of = member.select("root", F.col("f").alias("k")).join(label, "root").select("k", "first")
     kept = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("key") == F.col("first.key"))
-    rows = sig.join(of, F.col("f1") == F.col("k")).select("doc_id", "key", kept.alias("kept"))
+    rows = sig.join(of, F.col("f") == F.col("k")).select("doc_id", "key", kept.alias("kept"))
     return rows.groupBy("doc_id", "key").agg(F.count(F.lit(1)).alias("times"), F.max("kept").alias("kept")).where("not kept or times > 1").select("doc_id", "key", "kept")
