@@ -477,11 +477,23 @@ def test_whole_model(spark, sf_dir):
     assert m.nodes.count() == grid.size and m.rounds <= 6 and len(m.cycle_levels) == 3 and m.nodes.where("value is null").count() == 0
 
 
+def test_library_archive(tmp_path):
+    from tidemark import storage
+
+    path = storage.archive(os.path.dirname(os.path.dirname(os.path.abspath(__file__))), f"file://{tmp_path}/shared").removeprefix("file://")
+    code = f"import sys; sys.path.insert(0, {path!r}); import tidemark.operators.lsq as m; assert {path!r} in m.__file__"
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"}, check=True)
+
+
 def test_optional_parts_can_be_missing(tmp_path):
     """The library and the entry point work without the training-data operators."""
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     for p in ("tidemark", "__spark_entry__.py"):
         subprocess.run(["cp", "-r", f"{root}/{p}", tmp_path], check=True)
     subprocess.run(["rm", "-rf", f"{tmp_path}/tidemark/llm"], check=True)
+    (tmp_path / "corpus_pipeline.py").write_text("import no_such_module_at_all")
+    broken = subprocess.run([sys.executable, "-c", "import __spark_entry__"], cwd=tmp_path, env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"}, capture_output=True, text=True)
+    assert broken.returncode != 0 and "no_such_module_at_all" in broken.stderr  # what an optional part needs is no option
+    (tmp_path / "corpus_pipeline.py").unlink()
     code = "import __spark_entry__ as e; q, o = e.queries(), e.oracle_sql(); assert len(q) > 80 and set(o) <= set(q) and not any(n.startswith('op') or n == 'pipeline' for n in q)"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"}, check=True)
