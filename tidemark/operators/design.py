@@ -35,12 +35,17 @@ def weights(grid: Grid, x: Column, y: Column, z: Column | None = None) -> Column
     return F.when(F.coalesce(inside, F.lit(False)), F.array(*out))
 
 
+#: Differences of weights below this are rounding.
+NOTHING = 1e-12
+
+
 def difference(a: Column, b: Column) -> Column:
     """Weights of a pair, side a less side b, a node at most once; they add to 0."""
     both = F.concat(a, F.transform(b, lambda e: F.struct(e["node"].alias("node"), (-e["w"]).alias("w"))))
     ids = F.array_distinct(F.transform(both, lambda e: e["node"]))
     of = lambda n: F.aggregate(F.filter(both, lambda e: e["node"] == n), F.lit(0.0), lambda s, e: s + e["w"])
-    return F.transform(ids, lambda n: F.struct(n.alias("node"), of(n).alias("w")))
+    each = F.transform(ids, lambda n: F.struct(n.alias("node"), of(n).alias("w")))
+    return F.transform(each, lambda e: F.struct(e["node"].alias("node"), F.when(F.abs(e["w"]) > NOTHING, e["w"]).otherwise(0.0).alias("w")))
 
 
 def exploded(df: DataFrame, *keep: str, nodes: str = "nodes") -> DataFrame:

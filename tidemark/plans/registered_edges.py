@@ -110,7 +110,7 @@ def _smooth_sql(c: str, by: str) -> str:
 
 
 _APPLIED = [
-    f"a AS (SELECT *, -0.03e0 * swh_ku - 0.001e0 * wind_speed_alt AS sk, -0.035e0 * swh_ku AS sc, {_noise_sql(_SIGMA['ku'], 21)} AS ek, {_noise_sql(_SIGMA['c'], 22)} AS ec, {_noise_sql('range_rms_ku', 23)} AS rk, CAST(NULL AS DOUBLE) AS rc FROM obs WHERE swh_ku <= 13 AND wind_speed_alt <= 21)",
+    f"a AS (SELECT *, -0.03e0 * swh_ku - 0.001e0 * wind_speed_alt AS sk, -0.035e0 * swh_ku AS sc, {_noise_sql(_SIGMA['ku'], 21)} AS ek, {_noise_sql(_SIGMA['c'], 22)} AS ec, {_noise_sql('range_rms_ku', 23)} AS rk, CAST(NULL AS DOUBLE) AS rc FROM (SELECT * REPLACE (range_ku - 1336000e0 AS range_ku, range_c - 1336000e0 AS range_c) FROM obs) WHERE swh_ku <= 13 AND wind_speed_alt <= 21)",
     f"b AS (SELECT *, {_I} * (range_ku + sk - (range_c + sc) + 0.02e0) AS im, {_I} * (range_ku + sk + ek - (range_c + sc + ec) + 0.02e0) AS ime, {_I} * (range_ku + sea_state_bias_ku - (range_c + sea_state_bias_c)) AS ic FROM a)",
     f"c AS (SELECT *, {_smooth_sql('im', 'cycle')} AS ims, {_smooth_sql('ic', 'cycle')} AS ics FROM b)",
 ]
@@ -126,6 +126,7 @@ def _applied(spark, o, **how):
 @query("S12_apply_model", with_sql(_APPLIED, f"SELECT id, {_r('sk', 'ssb')}, {_r('sc', 'ssb_c')}, {_r('sk + ek', 'ssb_err')}, {_r('sea_state_bias_ku + ek', 'cls_err')}, {_r('im', 'iono')}, {_r('ime', 'iono_err')}, {_r('ims', 'iono_smooth')}, {_r('ics', 'iono_cls_smooth')}, {_r('rk', 'err_range')}, rc AS err_range_c FROM c"))
 def _apply(spark, sf_dir):
     o = observations(spark, sf_dir).withColumnsRenamed({"sea_state_bias_ku": "ssb_cls", "sea_state_bias_c": "ssb_cls_c"})
+    o = o.withColumns({c: F.col(c) - 1336000.0 for c in ("range_ku", "range_c")})  # short of rounding
     path = shared_dir(spark, "applied")
     _applied(spark, o).where("ssb_model is not null").withColumn("mission", F.lit(MISSION)).write.partitionBy("mission", "cycle").parquet(path)
     out = spark.read.parquet(path)

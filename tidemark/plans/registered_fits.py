@@ -226,7 +226,7 @@ def _roots(spark, sf_dir):
     return spark.createDataFrame([(int(k), float(v), float(m)) for k, v, m in rows], "cycle int, level double, mse double").select("cycle", r6("level").alias("level"), r6("mse").alias("mse"))
 
 
-_LEVEL = [*evaluated_sql("ev", "obs", "solved", SMALL, "swh_ku", "wind_speed_alt"), *within_sql("near", "ev", "ssb", "4e0", "cycle", 4), "vals AS (SELECT cycle, v FROM near)", *tail_sql("fit", "vals", "ssb", levels.CUTOFF, "tail", "mid", 3), "lev AS (SELECT cycle, value AS level FROM fit WHERE i = 0)"]
+_LEVEL = [*evaluated_sql("ev", "(SELECT * FROM obs WHERE swh_ku > 0 AND wind_speed_alt > 0)", "solved", SMALL, "swh_ku", "wind_speed_alt"), *within_sql("near", "ev", "ssb", "4e0", "cycle", 10), "vals AS (SELECT cycle, v FROM near)", *tail_sql("fit", "vals", "ssb", levels.CUTOFF, "tail", "mid", 3, 6), "lev AS (SELECT cycle, value AS level FROM fit WHERE i = 0)"]
 _LEVELS = [*_SOLVED, *_LEVEL]
 
 
