@@ -11,7 +11,7 @@ from ..sources import catalog
 from ..storage import shared_dir
 from . import applying, steps
 from .fixture import observations, tracks
-from .registered import _DIST, _LEVEL2, _USLA_K, GRID, MISSION, _ecef_sql, _noise_sql, _one_to_one_sql, _r, query, r6
+from .registered import _DIST, _LEVEL2, _USLA_K, GRID, MISSION, _ecef_sql, _noise_sql, _one_to_one_sql, _r, _wind_sql, query, r6
 from .registered_fits import _AGAIN, _FULL, _again, _full, with_sql
 
 _FREE = "ssha + sea_state_bias_ku + iono_corr_alt_ku + range_ku"
@@ -33,6 +33,41 @@ def _retracker(spark, sf_dir):
     return o.select("id", *[r6(v).alias(n) for n, v in z.items()])
 
 
+_H = "(alt - range_ku - model_dry_tropo_corr - rad_wet_tropo_corr - solid_earth_tide - ocean_tide_fes - pole_tide - inv_bar_corr - hf_fluctuations_corr)"
+#: Columns that a model and other products would add, and the variables that need them.
+_ADDED = {
+    "alt_cnes": "alt + 0.01e0 * swh_ku", "alt_jpl": "alt - 0.02e0 * swh_ku", "iono_corr_alt_ku_smooth": "iono_corr_alt_ku + 0.001e0 * swh_ku", "mean_sea_surface_cnes15": "mean_sea_surface + 0.003e0 * swh_ku",
+    "iono_model": "-0.01e0 * swh_ku", "iono_model_uc": "-0.02e0 * swh_ku", "ssb_model": "-0.03e0 * swh_ku",
+}
+_WITH_MODEL = {
+    "alt_cnes": "usla_c + alt - alt_cnes", "alt_jpl": "usla_c + alt - alt_jpl", "iono_tran_smooth": f"usla_c + {_USLA_K} * (iono_corr_gim_ku - iono_corr_alt_ku_smooth)",
+    "iono_corr_alt": f"usla_c + {_USLA_K} * iono_corr_gim_ku - iono_model", "mss_cnes15": "usla_c + mean_sea_surface - mean_sea_surface_cnes15", "I_tdm": "iono_model", "I_tdm_uc": "iono_model_uc", "SSB_tdm": "ssb_model",
+    "SLA": f"{_H} - ssb_model - iono_model - mean_sea_surface", "SLA_tdm": f"{_H} - ssb_model - iono_model - mean_sea_surface", "SLA_uc": f"{_H} - ssb_model - iono_model_uc - mean_sea_surface",
+    "SLA_tdm_uc": f"{_H} - ssb_model - iono_model_uc - mean_sea_surface", "USLA_tdm": f"{_H} - iono_model - mean_sea_surface", "USLA_tdm_uc": f"{_H} - iono_model_uc - mean_sea_surface",
+    "SSH_tdm": f"{_H} - ssb_model - iono_model", "SSH_tdm_uc": f"{_H} - ssb_model - iono_model_uc", "SLAin": f"{_H} - sea_state_bias_ku - iono_corr_alt_ku_smooth - mean_sea_surface",
+    "ORB_tdm": "alt - range_ku - ssb_model", "ORMin_tdm": "alt - range_ku - mean_sea_surface", "ORMB_tdm": "alt - range_ku - mean_sea_surface - ssb_model",
+}
+
+
+@query("P7_variables_of_models", "SELECT id, " + ", ".join(_r(e, f"v_{n.lower()}") for n, e in _WITH_MODEL.items()) + f" FROM (SELECT *, {', '.join(f'{e} AS {c}' for c, e in _ADDED.items())} FROM obs)")
+def _of_models(spark, sf_dir):
+    swh = F.col("swh_ku")
+    o = observations(spark, sf_dir).withColumns({"alt_cnes": F.col("alt") + 0.01 * swh, "alt_jpl": F.col("alt") - 0.02 * swh, "iono_corr_alt_ku_smooth": F.col("iono_corr_alt_ku") + 0.001 * swh, "mean_sea_surface_cnes15": F.col("mean_sea_surface") + 0.003 * swh, "iono_model": -0.01 * swh, "iono_model_uc": -0.02 * swh, "ssb_model": -0.03 * swh})
+    return o.select("id", *[r6(variables.dependent(n, "c", MISSION)).alias(f"v_{n.lower()}") for n in _WITH_MODEL])
+
+
+_W, _S = f"(swh_ku + {_noise_sql('swh_rms_ku', 3)})", f"(sig0_ku + {_noise_sql('sig0_rms_ku', 5)})"
+_PERTURBED = {"x_ws": _W, "y_ws": _wind_sql(_S, swh=_W), "y_w": _wind_sql("sig0_ku", swh=_W), "x_smth": "swh_c", "y_smth": _wind_sql("sig0_ku", swh="swh_c"), "s_rs": _S, "z_rws": f"usla_ku + {_noise_sql('range_rms_ku', 11)}", "z_wr_c": f"usla_c + {_noise_sql('swh_rms_c', 11)}", "y_j1": "wind_speed_alt"}
+
+
+@query("P8_perturbations", "SELECT id, " + ", ".join(_r(e, n) for n, e in _PERTURBED.items()) + " FROM obs")
+def _perturbations(spark, sf_dir):
+    o = observations(spark, sf_dir).withColumn("swh_ku_smooth", F.col("swh_c")).withColumn("range_rms_c", F.col("swh_rms_c"))
+    at = lambda err, k, **how: variables.independent(MISSION, err=err, **how)[k]
+    found = {"x_ws": at("rms_ws", 0), "y_ws": at("rms_ws", 1), "y_w": at("rms_w", 1), "x_smth": at("smth_swh", 0), "y_smth": at("smth_swh", 1), "s_rs": at("rms_rs", 1, second="sig0"), "z_rws": variables.dependent("usla", err="rms_rws"), "z_wr_c": variables.dependent("usla", "c", err="rms_wr"), "y_j1": at("x_j1", 1)}
+    return o.select("id", *[r6(v).alias(n) for n, v in found.items()])
+
+
 @query("F3_level1", "SELECT id FROM obs WHERE abs(lat * 1.2e0) < 66.16::DOUBLE AND id % 11 <> 0 AND id % 7 <> 0")
 def _level1(spark, sf_dir):
     o = observations(spark, sf_dir).withColumns({"lat": F.col("lat") * 1.2, "usla_c": F.when(F.pmod("id", F.lit(11)) != 0, F.col("usla_c")), "usla_ku": F.when(F.pmod("id", F.lit(7)) != 0, F.col("usla_ku"))})

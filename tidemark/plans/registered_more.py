@@ -45,11 +45,13 @@ def _partner(spark, sf_dir):
     return spark.createDataFrame([(m, p, variables.partner(m, p)) for m, p in rows], "mission string, phase string, partner string")
 
 
-@query("P13_bracketed_values", f"SELECT a.id, {_r('a.swh_ku * 0.25e0 + b.swh_ku * 0.75e0', 'swh')} FROM tracks a JOIN tracks b ON b.id = a.id + 1")
+@query("P13_bracketed_values", f"SELECT a.id, {_r('a.swh_ku * 0.25e0 + b.swh_ku * 0.75e0', 'swh')}, {_r('b.swh_ku * 0.4e0 + c.swh_ku * 0.6e0', 'swh_d')}, {_r('b.lat * 0.4e0 + c.lat * 0.6e0', 'lat_d')} FROM tracks a JOIN tracks b ON b.id = a.id + 1 JOIN tracks c ON c.id = a.id + 2")
 def _bracketed(spark, sf_dir):
-    t = tracks(spark, sf_dir).select("id", "swh_ku")
-    ids = t.select(F.col("id").alias("a0"), (F.col("id") + 1).alias("a1"), F.col("id").alias("d0"), F.col("id").alias("d1"), F.lit(0.25).alias("pa0"), F.lit(0.75).alias("pa1"), F.lit(1.0).alias("pd0"), F.lit(0.0).alias("pd1"))
-    return match.crossover_values(ids, t, ["swh_ku"]).where("a.swh_ku is not null").select(F.col("a0").alias("id"), r6("a.swh_ku").alias("swh"))
+    t = tracks(spark, sf_dir).select("id", "swh_ku", "lat")
+    at = {"a0": 0, "a1": 1, "d0": 1, "d1": 2}
+    ids = t.select(*[(F.col("id") + k).alias(n) for n, k in at.items()], *[F.lit(w).alias(n) for n, w in (("pa0", 0.25), ("pa1", 0.75), ("pd0", 0.4), ("pd1", 0.6))])
+    found = match.crossover_values(ids, t, ["swh_ku", "lat"]).where("d.swh_ku is not null")
+    return found.select(F.col("a0").alias("id"), r6("a.swh_ku").alias("swh"), r6("d.swh_ku").alias("swh_d"), r6("d.lat").alias("lat_d"))
 
 
 @query("P14_tandem_difference", f"SELECT a.id, {_r('b.swh_ku - a.swh_ku', 'dswh')}, {_r('CASE WHEN abs(a.time - b.time) <= 90 THEN b.swh_ku - a.swh_ku END', 'masked')} FROM obs a JOIN obs b ON b.id = a.id + 1")
