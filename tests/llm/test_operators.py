@@ -714,6 +714,14 @@ def test_long_unbroken_text():
     assert trie.insert(text[:700]) == count[700]
 
 
+def test_one_text_cannot_outgrow_the_bounds():
+    trie = unigram.PreTokenTrie({chr(97 + i): -1.0 - i for i in range(26)})
+    counts = unigram._Counts(trie, most_nodes=50, most_words=20)
+    words = [f"{chr(97 + i % 26)}{chr(97 + i // 26)}x" for i in range(400)]
+    assert [counts[w.encode()] for w in words + words] == [trie.insert(unigram.MARK + w) for w in words + words]
+    assert len(counts) <= 20 and len(counts.older) <= 20
+
+
 def test_error_against_a_tokenizer(real):
     """Counts lie near those of the tokenizer whose vocabulary scores the pieces."""
     import sentencepiece

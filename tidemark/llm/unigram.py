@@ -132,15 +132,25 @@ class PreTokenTrie:
 
 
 class _Counts(dict):
-    """pre-token -> number of pieces; those met first are asked of an older generation, then of the trie."""
+    """pre-token -> number of pieces; those met first are asked of an older generation, then of the trie.
 
-    def __init__(self, older: dict[bytes, int], trie: PreTokenTrie) -> None:
-        self.older, self.trie = older, trie
+    Both bounds are kept at every new pre-token, so one long text cannot outgrow them.
+    """
+
+    def __init__(self, trie: PreTokenTrie, most_nodes: int, most_words: int = MOST_WORDS) -> None:
+        self.older: dict[bytes, int] = {}
+        self.trie, self.most_nodes, self.most_words = trie, most_nodes, most_words
 
     def __missing__(self, word: bytes) -> int:
         n = self.older.get(word)
-        n = self.trie.insert(MARK + word.decode()) if n is None else n
+        if n is None:
+            if len(self.trie.score) > self.most_nodes:
+                self.trie.clear()
+            n = self.trie.insert(MARK + word.decode())
         if len(word) <= DEEPEST:
+            if len(self) >= self.most_words:
+                self.older = dict(self)
+                self.clear()
             self[word] = n
         return n
 
@@ -149,15 +159,10 @@ class Counter:
     """Counts of whole texts."""
 
     def __init__(self, path: str, most_nodes: int) -> None:
-        self.trie, self.most_nodes = PreTokenTrie(vocabulary(path)), most_nodes
-        self.counts = _Counts({}, self.trie)
+        self.counts = _Counts(PreTokenTrie(vocabulary(path)), most_nodes)
 
     def count(self, texts: list[str | None]) -> tuple[list[int], list[int]]:
         """Pre-tokens and pieces of each text."""
-        if len(self.trie.score) > self.most_nodes:
-            self.trie.clear()
-        if len(self.counts) > MOST_WORDS:
-            self.counts = _Counts(dict(self.counts), self.trie)
         words = [(x or "").encode().split() for x in texts]  # ASCII white space
         with uncollected():
             return [*map(len, words)], [sum(map(self.counts.__getitem__, w)) for w in words]
