@@ -463,6 +463,22 @@ def test_levels_without_zero_significance(spark):
     assert [(c, round(v, 9)) for c, v, _ in by_cycle] == [(1, -0.2), (2, -0.2)] and bias == pytest.approx(-0.2)
 
 
+def test_model_with_a_third_axis(spark):
+    """Fit, levels, errors and smoothing on a three-dimensional grid."""
+    cube = Grid(Axis(0.0, 2.0, 3), Axis(0.0, 5.0, 3), Axis(0.0, 3.0, 3))
+    rng = np.random.default_rng(6)
+    rows = [(i, 1 + i % 2, *map(float, p)) for i, p in enumerate(rng.uniform([0, 0, 0], [4, 10, 6], (1500, 3)))]
+    df = spark.createDataFrame(rows, "id long, cycle int, x double, y double, depth double").withColumn("lat", F.lit(1.0))
+    df = df.withColumn("z", F.lit(-0.02) * F.col("x") - 0.005 * F.col("y") - 0.01 * F.col("depth") + (F.pmod("id", F.lit(7)) - 3) / 1000.0)
+    df = df.withColumn("nodes", design.weights(cube, F.col("x"), F.col("y"), F.col("depth"))).where("nodes is not null")
+    m = steps.fit_model(df, cube, least=5)
+    got = m.nodes.collect()
+    known = np.array([-0.02 * r.x - 0.005 * r.y - 0.01 * r.z for r in got])
+    raw = np.array([r.raw for r in got])
+    assert len(got) == cube.size and all(r.error > 0 for r in got) and np.allclose(raw - raw.mean(), known - known.mean(), atol=2e-3)
+    assert len(m.cycle_levels) == 2 and m.bias == m.bias and abs((raw - known).mean() + m.bias) < 2e-3
+
+
 def test_command_line_says_how(capsys):
     from tidemark.__main__ import main
 

@@ -39,6 +39,13 @@ def _bands(spark, sf_dir):
     return both.select("node", r6("ku").alias("ku"), r6("c").alias("c"), r6(F.lit(bias)).alias("calibration"))
 
 
+@query("S22_error_bands", f"SELECT CAST(n AS INT) AS node, {_r('CASE WHEN n >= 3 THEN sqrt((n - 3) * 0.001e0) END', 'ku')}, {_r('sqrt(n * 0.002e0)', 'c')} FROM (SELECT unnest(range(0, 42)) AS n)", plain=True)
+def _error_bands(spark, sf_dir):
+    n = grids.nodes(spark, SMALL)
+    both = tables.error_bands(n.withColumn("value", (F.col("node") - 3) * 0.001), n.withColumn("value", F.col("node") * 0.002))
+    return both.select("node", r6("error_ku").alias("ku"), r6("error_c").alias("c"))
+
+
 @query("P12_tandem_partner", "SELECT * FROM (VALUES ('tx', 'txj1', 'j1'), ('j1', 'txj1', 'tx'), ('j1', 'j1j2', 'j2'), ('j2', 'j1j2', 'j1'), ('j2', 'j2j3', 'j3'), ('j3', 'j2j3', 'j2'), ('j3', 'j3s6A', 's6A'), ('s6A', 'j3s6A', 'j3')) t(mission, phase, partner)", plain=True)
 def _partner(spark, sf_dir):
     rows = [(m, p) for p, ms in {"txj1": ("tx", "j1"), "j1j2": ("j1", "j2"), "j2j3": ("j2", "j3"), "j3s6A": ("j3", "s6A")}.items() for m in ms]

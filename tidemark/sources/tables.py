@@ -141,6 +141,13 @@ def model_bands(ku: dict[str, DataFrame], c: dict[str, DataFrame]) -> tuple[Data
     return joined, bias * -0.01216
 
 
+def error_bands(ku: DataFrame, c: DataFrame) -> DataFrame:
+    """Deviations of both bands' node values from their variances (node, value); what has none is NULL."""
+    root = lambda v: F.when(F.col(v) >= 0, F.sqrt(v))
+    k = ku.select("node", root("value").alias("error_ku"))
+    return k.join(c.select("node", root("value").alias("error_c")), "node", "full_outer")
+
+
 def packed(column: Column, scale: float) -> Column:
     """A value as a scaled 16-bit integer."""
     return F.round(column / scale).cast(T.ShortType())
