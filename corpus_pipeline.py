@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import langid, mixing, packing, quality, simhash
-from tidemark.llm.common import column, materialize, small_or_shuffled
+from tidemark.llm.common import column, materialize
 from tidemark.storage import reach
 
 #: Least share of a text's words that its language must have.
@@ -45,10 +45,10 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group: that of the smallest id, or one without an id where all are."""
     odd = materialize(simhash.surplus(docs.select("doc_id", "text"), shingle=SHINGLE, similarity=SIMILARITY).select(F.col("doc_id").alias("__id"), F.col("key").alias("__of"), "kept"), "surplus")
-    n = odd.count()
     keyed = _with_row(docs, "doc_id", "text").withColumn("__key", simhash.text_key())
     same = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__of"))
-    marked = keyed.join(small_or_shuffled(odd, n), same, "left")
+    # A share of all rows is odd, so no broadcast holds them at every size; a key's rows are one in the hashed side.
+    marked = keyed.join(odd.hint("shuffle_hash"), same, "left")
     once = marked.where("__of is null").select("__row.*")
     if odd.where("kept").isEmpty():
         return once
