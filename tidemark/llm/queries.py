@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..storage import reach
-from . import frames, langid, license, mixing, packing, quality, simhash, topk, unigram, warc
+from . import alignment, frames, langid, license, mixing, packing, quality, simhash, topk, toxicity, unigram, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,8 +59,16 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unigram.count_tokens(_table(spark, sf_dir, "documents"))
 
 
+def op11_toxic_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc_reassembly, op2_simhash_anchors, op3_language_crf, op4_token_frames, op5_pattern_packing, op6_hash_mixing, op7_license_scan, op8_host_quality, op9_exact_topk, op10_token_counts)}
+    return {f.__name__: f for f in (op1_warc_reassembly, op2_simhash_anchors, op3_language_crf, op4_token_frames, op5_pattern_packing, op6_hash_mixing, op7_license_scan, op8_host_quality, op9_exact_topk, op10_token_counts, op11_toxic_grammar, op12_tokenizer_alignment)}
 
 
 def oracle_sql() -> dict[str, str]:
