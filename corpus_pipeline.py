@@ -2,7 +2,7 @@
 
 Every stage but the last returns the columns of the documents it was given.  Rejected are: documents that fail the
 quality rules or whose host does; texts without a letter or without a clear language; all but one document of each
-near-duplicate group (5-word shingles, similarity of 0.8 or more), by row, so rows without a doc_id or with a repeated one
+near-duplicate group (sets of 5-word shingles with a Jaccard similarity of 0.8 or more, each link checked exactly), by row, so rows without a doc_id or with a repeated one
 count like others; and what the mix does not take (documents that it takes twice appear twice).  Extra columns come along
 under any name.
 """

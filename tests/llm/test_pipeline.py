@@ -4,11 +4,12 @@ import random
 from collections import Counter
 from itertools import combinations
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tidemark.llm import langid, mixing
+from tidemark.llm import components, langid, mixing, simhash
 
 
 @pytest.fixture(scope="module")
@@ -64,13 +65,57 @@ def test_dedup_stage(stages):
     texts = Counter(b" ".join(words[x]) for x in left.elements())
     assert not Counter(left) - Counter(rows) and max(texts.values()) == 1
     assert {b" ".join(words[x]) for x in rows} >= set(texts)
-    for x in set(rows) - set(left):
-        assert max(_similarity(words[x], words[y]) for y in words if y != x) >= 0.6
     pairs = [(x, y) for x, y in combinations(words, 2) if _similarity(words[x], words[y]) >= 0.8]
+    up = {x: x for x in words}
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for x, y in pairs:
+        up[root(x)] = root(y)
+    stay = {root(x) for x in set(left)}
+    for x in set(rows) - set(left):  # whoever goes is linked to one that stays, by links that hold
+        assert root(x) in stay
     missed = [(x, y) for x, y in pairs if x in left and y in left]
     assert pairs and len(missed) <= 0.1 * len(pairs)
 
 
+@pytest.mark.parametrize("leaders, members", [(1, 3), (2, 1000), (16, 4000)])
+def test_similar_links(spark, monkeypatch, leaders, members):
+    """The components of all links between sets of a root, by trying all pairs; links across roots do not count."""
+    monkeypatch.setattr(simhash, "LEADERS", leaders)
+    monkeypatch.setattr(simhash, "MEMBERS", members)
+    rng = np.random.default_rng(4)
+    sets = []
+    for c in range(6):  # chains of copies that drift away from each other, and texts that are near but no copies
+        words = rng.integers(-(2**60), 2**60, 60)
+        for _ in range(7):
+            words = words.copy()
+            words[rng.integers(0, 60, 5)] = rng.integers(-(2**60), 2**60, 5)
+            sets.append((c % 2, np.unique(words)))
+        sets.append((c % 2, np.unique(np.r_[words[:48], rng.integers(-(2**60), 2**60, 12)])))
+        sets.append((1 - c % 2, np.unique(words[1:])))
+    sets += [(0, np.zeros(0, np.int64)), (0, np.arange(1)), (7, np.arange(5)), (7, np.arange(4))]
+    rows = [(r, i, x.tobytes()) for i, (r, x) in enumerate(sets)]
+    df = spark.createDataFrame(rows, "root long, s long, shingles binary").repartition(3)
+    got = {r.node: r.root for r in components.star_components(simhash.similar_links(df, 0.8)).collect()}
+    up = list(range(len(sets)))
+
+    def root(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for i, j in combinations(range(len(sets)), 2):
+        both = len(np.intersect1d(sets[i][1], sets[j][1]))
+        if sets[i][0] == sets[j][0] and both >= 0.8 * (len(sets[i][1]) + len(sets[j][1]) - both):
+            a, b = sorted((root(i), root(j)))
+            up[b] = a
+    assert [got.get(i, i) for i in range(len(sets))] == [root(i) for i in range(len(sets))]
+
+
 def test_dedup_by_row(spark, sf_dir):
     rng = random.Random(5)
     a, b, c, d = (" ".join("".join(rng.choices("abcdefgh", k=6)) for _ in range(400)) for _ in range(4))

@@ -313,6 +313,18 @@ def predict(docs: DataFrame, crf: Crf | None) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
 
 
+def _in_texts(texts: list[str | None], rows: int = 500, characters: int = 4_000_000) -> Iterator[list[str | None]]:
+    """Texts in parts of at most so many rows and about so many characters, one row at least."""
+    lo = size = 0
+    for hi, text in enumerate(texts):
+        if hi > lo and (hi - lo >= rows or size + len(text or "") > characters):
+            yield texts[lo:hi]
+            lo, size = hi, 0
+        size += len(text or "")
+    if lo < len(texts):
+        yield texts[lo:]
+
+
 def prediction(spark: SparkSession, crf: Crf | None, text: str = "text") -> F.Column:
     """A column with struct (lang_pred, score) for rows that go on with all their columns."""
     model = spark.sparkContext.broadcast(crf)
@@ -321,7 +333,7 @@ def prediction(spark: SparkSession, crf: Crf | None, text: str = "text") -> F.Co
     def label(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         labeller = Labeller(model.value) if model.value else None
         for part in tidy(parts):
-            found = [x for lo in range(0, len(part), 500) for x in labelled(labeller, part.iloc[lo : lo + 500])]
+            found = [x for some in _in_texts(part.tolist()) for x in labelled(labeller, some)]
             yield pd.DataFrame(found, columns=["lang_pred", "score"])
 
     return label(F.col(text))

@@ -24,7 +24,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import in_parts, materialize, small_or_shuffled, tidy
@@ -257,28 +257,40 @@ TABLES = 4
 PLACES = np.left_shift(1, np.arange(2 * BLOCK, dtype=np.int64))
 
 
+def shingle_hashes(words: list[bytes], shingle: int) -> list[bytes]:
+    """The XXH64 of all distinct word shingles; fewer words are one shingle."""
+    return [xxhash.xxh64_digest(x, SEED) for x in {b" ".join(words[i : i + shingle]) for i in range(max(1, len(words) - shingle + 1))}]
+
+
+def shingle_set(text: str | None, shingle: int) -> np.ndarray:
+    """The hashes of all distinct word shingles, in order; ASCII lower case. Without a word there is none."""
+    words = (text or "").encode().lower().split()
+    return np.unique(np.frombuffer(b"".join(shingle_hashes(words, shingle)) if words else b"", np.int64))
+
+
 def signature(text: str | None, shingle: int) -> np.ndarray:
-    """The fingerprint of the set of word shingles, and TABLES codes of the set of words, all of different bits; ASCII lower case."""
+    """What tells the set of word shingles from others, its fingerprint, and TABLES codes of the set of words, all of different bits; ASCII lower case."""
     words = (text or "").encode().lower().split()
     if not words:
-        return np.zeros(1 + TABLES, np.int64)
-    runs = {b" ".join(words[i : i + shingle]) for i in range(max(1, len(words) - shingle + 1))}
-    f = np.packbits(majority([xxhash.xxh64_digest(x, SEED) for x in runs]), bitorder="little").view(np.int64)
+        return np.zeros(2 + TABLES, np.int64)
+    hashes = shingle_hashes(words, shingle)
+    s = np.frombuffer(xxhash.xxh3_64_digest(np.unique(np.frombuffer(b"".join(hashes), np.int64)).tobytes(), SEED), np.int64)
+    f = np.packbits(majority(hashes), bitorder="little").view(np.int64)
     bits = majority([xxhash.xxh3_128_digest(w, SEED) + xxhash.xxh64_digest(w, SEED) for w in set(words)])
-    return np.concatenate([f, bits[: TABLES * 2 * BLOCK].reshape(TABLES, -1) @ PLACES])
+    return np.concatenate([s, f, bits[: TABLES * 2 * BLOCK].reshape(TABLES, -1) @ PLACES])
 
 
 CODES = tuple(f"w{t}" for t in range(TABLES))
 
 
 def signatures(docs: DataFrame, shingle: int) -> DataFrame:
-    """(doc_id, key, f, w0, ...) of every row of docs (doc_id, text); key tells the texts of one id apart."""
-    names = ["doc_id", "key", "f", *CODES]
+    """(doc_id, key, s, f, w0, ...) of every row of docs (doc_id, text); key tells the texts of one id apart."""
+    names = ["doc_id", "key", "s", "f", *CODES]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in in_parts(tidy(batches), 1000, "text", 8_000_000):
-            found = np.array([signature(t.as_py(), shingle) for t in batch.column(2)], np.int64).reshape(-1, 1 + TABLES)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(found[:, i]) for i in range(1 + TABLES)]], names=names)
+            found = np.array([signature(t.as_py(), shingle) for t in batch.column(2)], np.int64).reshape(-1, 2 + TABLES)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(found[:, i]) for i in range(2 + TABLES)]], names=names)
 
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("key"), "text")
     return keyed.mapInArrow(run, ", ".join(f"{n} long" for n in names))
@@ -298,25 +310,123 @@ def text_key(text: str = "text") -> F.Column:
     return F.xxhash64(F.col(text).isNull(), F.col(text))
 
 
+#: Sets that others are held against at once, and sets of one group that a task compares with them at least.
+LEADERS, MEMBERS = 16, 4_000
+#: Rounds of ever more leaders after which something must be wrong.
+MOST_ROUNDS = 20
+
+
+def held_against(sets: DataFrame, leaders: DataFrame, similarity: float) -> DataFrame:
+    """(u, v): sets of `sets` (root, s, shingles) and of `leaders` (root, s, turn) of the same root, as similar as asked for.
+
+    A root's sets are dealt to blocks, and its leaders to turns of LEADERS each; a task holds the leaders of one turn while a
+    block streams by.
+    """
+    turns = leaders.groupBy("root").agg(F.max("turn").alias("turns"))
+    sizes = sets.join(turns, "root").groupBy("root").agg(F.ceil(F.count(F.lit(1)) / MEMBERS).cast("int").alias("blocks"), F.max("turns").alias("turns"))
+    known = sets.join(sizes, "root")
+    led = known.join(leaders.select("s", "turn"), "s").select("root", "s", "shingles", "turn", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("leads"))
+    block = F.pmod(F.xxhash64("s"), F.col("blocks")).cast("int")
+    others = known.select("root", "s", "shingles", F.explode(F.sequence(F.lit(0), "turns")).alias("turn"), block.alias("block"), F.lit(False).alias("leads"))
+    order = ("root", "turn", "block")
+    dealt = led.unionByName(others).repartition(*order).sortWithinPartitions(*order, F.desc("leads"))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at: tuple | None = None
+        held: list[tuple[int, np.ndarray]] = []
+        for batch in tidy(batches):
+            for part in in_parts(iter([batch]), 2000, "shingles", 16_000_000):
+                of = list(zip(*[part.column(i).to_pylist() for i in range(3)], strict=True))
+                name, leads = part.column(3).to_numpy(), part.column(4).to_numpy(zero_copy_only=False)
+                start = [i for i in range(len(of)) if not i or of[i] != of[i - 1]]
+                u, v = [], []
+                for lo, hi in zip(start, [*start[1:], len(of)], strict=True):
+                    if of[lo] != at:
+                        at, held = of[lo], []
+                    rows = [np.frombuffer(part.column(5)[i].as_py(), np.int64) for i in range(lo, hi)]
+                    n = lo + int(leads[lo:hi].sum())
+                    held += zip(name[lo:n].tolist(), rows[: n - lo], strict=True)
+                    rows = rows[n - lo :]
+                    if not rows:
+                        continue
+                    size = np.array([*map(len, rows)])
+                    flat, owner = np.concatenate(rows), np.repeat(np.arange(len(rows)), size)
+                    for leader, own in held:
+                        place = np.minimum(np.searchsorted(own, flat), max(0, len(own) - 1))
+                        both = np.bincount(owner[own[place] == flat], minlength=len(rows)) if len(own) else 0 * size
+                        near = both >= similarity * (size + len(own) - both)
+                        u.append(name[n:hi][near])
+                        v.append(np.full(int(near.sum()), leader))
+                if u:
+                    u, v = np.concatenate(u), np.concatenate(v)
+                    yield pa.RecordBatch.from_arrays([pa.array(u[u != v]), pa.array(v[u != v])], names=["u", "v"])
+
+    return dealt.select(*order, "s", "leads", "shingles").mapInArrow(compare, "u long, v long").distinct()
+
+
+def similar_links(sets: DataFrame, similarity: float) -> DataFrame:
+    """Links (u, v) between the sets (root, s, shingles) of each root that are as similar as asked for: the same components as all such links.
+
+    In every round some sets lead: all sets of the root are compared with them, exactly. A root is done when the sets that never
+    led are all in one component, as no link between two of them can then matter; till then those outside the largest
+    component lead, four times as many in each round. A group of near copies is settled by its first leaders, a group of
+    few sets by all of them, and no list of pairs is made.
+    """
+    spark = sets.sparkSession
+    nodes = sets.select("root", "s")
+    links = None
+    done = spark.createDataFrame([], "s long")
+    comp = nodes.withColumn("comp", F.col("s"))
+    for k in range(MOST_ROUNDS):
+        waiting = comp.join(done, "s", "left_anti")
+        most = waiting.groupBy("root", "comp").count().groupBy("root").agg(F.max(F.struct("count", "comp")).alias("m"), F.count(F.lit(1)).alias("comps"))
+        left = waiting.join(most.where("comps > 1").select("root", F.col("m.comp").alias("main")), "root").where("comp <> main")
+        rank = F.row_number().over(Window.partitionBy("root").orderBy(F.xxhash64("s"), "s"))
+        chosen = left.select("root", "s").withColumn("place", rank).where(F.col("place") <= LEADERS * 4**k)  # a limit before the shuffle
+        leaders = materialize(chosen.select("root", "s", F.floor((F.col("place") - 1) / LEADERS).cast("int").alias("turn")), "leaders")
+        if leaders.isEmpty():
+            return links if links is not None else spark.createDataFrame([], "u long, v long")
+        new = materialize(held_against(sets, leaders, similarity), "similar")
+        links = new if links is None else materialize(links.unionByName(new).distinct(), "similar-so-far")
+        done = materialize(done.unionByName(leaders.select("s")), "led")
+        roots = star_components(links).select(F.col("node").alias("s"), F.col("root").alias("to"))
+        comp = materialize(nodes.join(roots, "s", "left").select("root", "s", F.coalesce("to", "s").alias("comp")), "verified")
+    raise RuntimeError("similar sets did not settle")
+
+
 def surplus(docs: DataFrame, *, shingle: int = 5, similarity: float = 0.8, spread: int = 1) -> DataFrame:
     """(doc_id, key, kept) of the rows of docs (doc_id, text), by id and text_key, of which not exactly all stay.
 
     One row of each component stays: that of the smallest id (null last), then key.  kept: one of these equal rows stays.
 
-    Texts link if the fingerprints of their shingles differ in at most `bits_apart(similarity)` bits.  So many are beyond any
-    covering code that could be afforded; near copies share nearly all of their words, though, and so differ in few bits of
-    what their distinct words give.  Anchors cover that: TABLES codes of independent bits, each text at all anchors within
-    radius + `spread`; about 61 replicas in all.
+    Texts link if the Jaccard similarity of their shingle sets is `similarity` or more; a text without a word has the empty set and
+    links with its like.  Candidates are groups of fingerprints that differ in at most `bits_apart(similarity)` bits.  So many
+    are beyond any covering code that could be afforded; near copies share nearly all of their words, though, and so differ in
+    few bits of what their distinct words give.  Anchors cover that: TABLES codes of independent bits, each text at all anchors
+    within radius + `spread`; about 61 replicas in all.  Within a group of candidates `similar_links` compares the sets
+    themselves, so nothing goes but by links that hold.
     """
     sig = materialize(signatures(docs, shingle), "signatures")
     own = F.struct(F.col("doc_id").isNull().alias("odd"), "doc_id", "key")
-    distinct = materialize(sig.groupBy("f", *CODES).agg(F.min(own).alias("first")), "distinct-signatures")
-    links_ = near_links(distinct, bits_apart(similarity), codes=CODES, prints=("f",), spread=spread)
-    roots = star_components(links_).select(F.col("node").alias("f"), "root")
-    named = distinct.groupBy("f").agg(F.min("first").alias("first"))
-    member = named.join(roots, "f", "left").select(F.coalesce("root", "f").alias("root"), "f", "first")
-    label = member.groupBy("root").agg(F.min("first").alias("first"))
-    of = member.select("root", F.col("f").alias("k")).join(label, "root").select("k", "first")
+    distinct = materialize(sig.groupBy("s", "f", *CODES).agg(F.min(own).alias("first")), "distinct-signatures")
+    found = near_links(distinct, bits_apart(similarity), codes=CODES, prints=("f",), spread=spread)
+    roots = star_components(found).select(F.col("node").alias("f"), "root")
+    member = distinct.join(roots, "f", "left").select(F.coalesce("root", "f").alias("root"), "s", "first")
+    shared = member.groupBy("root").count().where("count > 1").select("root")
+    asked = materialize(member.join(shared, "root").select("root", "s", F.col("first.doc_id").alias("__id"), F.col("first.key").alias("__of")), "candidates")
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in in_parts(tidy(batches), 1000, "text", 8_000_000):
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([shingle_set(t.as_py(), shingle).tobytes() for t in batch.column(2)], pa.binary())], names=["root", "s", "shingles"])
+
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("key"), "text")
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("key") == F.col("__of"))
+    texts = keyed.join(asked.hint("shuffle_hash"), same).dropDuplicates(["s"]).select("root", "s", "text")
+    links = similar_links(materialize(texts.mapInArrow(sets, "root long, s long, shingles binary"), "shingle-sets"), similarity)
+    of = star_components(links).select(F.col("node").alias("s"), F.col("root").alias("comp"))
+    named = distinct.join(of, "s", "left").select("s", F.coalesce("comp", "s").alias("comp"), "first")
+    label = named.groupBy("comp").agg(F.min("first").alias("first"))
+    to = named.select(F.col("s").alias("k"), "comp").join(label, "comp").select("k", "first")
     kept = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("key") == F.col("first.key"))
-    rows = sig.join(of, F.col("f") == F.col("k")).select("doc_id", "key", kept.alias("kept"))
+    rows = sig.join(to, F.col("s") == F.col("k")).select("doc_id", "key", kept.alias("kept"))
     return rows.groupBy("doc_id", "key").agg(F.count(F.lit(1)).alias("times"), F.max("kept").alias("kept")).where("not kept or times > 1").select("doc_id", "key", "kept")
