@@ -504,7 +504,7 @@ def test_library_archive(tmp_path):
 def test_optional_parts_can_be_missing(tmp_path):
     """The library and the entry point work without the training-data operators."""
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    for p in ("tidemark", "__spark_entry__.py"):
+    for p in ("tidemark", "jobs", "__spark_entry__.py"):
         subprocess.run(["cp", "-r", f"{root}/{p}", tmp_path], check=True)
     subprocess.run(["rm", "-rf", f"{tmp_path}/tidemark/llm"], check=True)
     (tmp_path / "corpus_pipeline.py").write_text("import no_such_module_at_all")

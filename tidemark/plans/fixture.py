@@ -61,6 +61,11 @@ _SPARK_TIME = "unix_micros(CAST(ts AS TIMESTAMP)) / 1000000.0e0 - 1704067200.0e0
 _DUCK_TIME = "epoch_us(ts) / 1000000.0e0 - 1704067200.0e0"
 
 
+def observed(events: DataFrame) -> DataFrame:
+    """The observation columns of any table of events."""
+    return events.sparkSession.sql(OBSERVATIONS.replace("{t}", _SPARK_TIME).replace("{events}", "{source}"), source=events)
+
+
 def _view(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     return spark.sql(sql.replace("{t}", _SPARK_TIME).replace("{events}", "{source}"), source=spark.read.parquet(f"{sf_dir}/events.parquet"))
 
