@@ -181,7 +181,9 @@ def crossovers(points: DataFrame, *, radius: float = 7000.0, max_days: float = 2
     asc, desc = p.where(up), p.where(~up)
     track = Window.partitionBy("cycle", "pass_number").orderBy("time", "id")
     line = asc.select("id", F.lag(F.struct(*fields)).over(track).alias("prev"), F.lead(F.struct(*fields)).over(track).alias("next"))
-    pairs = radius_join(asc.select("cycle", *fields), desc.select("cycle", *fields), radius, condition=F.abs(F.col("cycle_b") - F.col("cycle_a")) <= 1)
+    # a descending record meets three cycles only, so pairs grow with neighbouring cycles, not with the archive's square
+    met = desc.select("cycle", *fields, F.explode(F.array(*[F.col("cycle") + k for k in (-1, 0, 1)])).alias("met"))
+    pairs = radius_join(asc.select("cycle", *fields), met, radius, keys=(("cycle", F.col("met_b")),))
     near = pairs.groupBy("id_a", "cycle_b", F.floor(F.col("time_b") / 86400).alias("day")).agg(
         F.first(F.struct(*[F.col(f"{c}_a").alias(c) for c in fields])).alias("at"),
         F.array_sort(F.collect_list(F.struct("dist", *[F.col(f"{c}_b").alias(c) for c in fields]))).alias("ds"),

@@ -180,6 +180,44 @@ def _common(spark, sf_dir):
     return solved.select("node", r6("value").alias("value"), r6("error").alias("error"))
 
 
+def _common_rounds(z: str, rounds: int) -> list[str]:
+    """CTEs of the same with outliers removed after each solution: x_<k>, and the rows with weights e_<k> that it came from."""
+    out = [
+        _GEO30,
+        *_SMALL_W,
+        "kept AS (SELECT node FROM w GROUP BY node HAVING count(*) >= 5)",
+        "placed AS MATERIALIZED (SELECT w.*, c.geo_cell FROM w JOIN cell c ON c.id = w.id)",
+        "ids_0 AS (SELECT DISTINCT id, cycle, geo_cell FROM placed)",
+    ]
+    for k in range(rounds + 1):
+        out += [
+            f"thick_{k} AS (SELECT cycle, geo_cell FROM ids_{k} GROUP BY 1, 2 HAVING count(*) >= 4)",
+            f"e_{k} AS MATERIALIZED (SELECT p.* FROM placed p JOIN kept USING (node) JOIN ids_{k} i ON i.id = p.id JOIN thick_{k} t ON t.cycle = p.cycle AND t.geo_cell = p.geo_cell)",
+            f"groups_{k} AS (SELECT cycle, geo_cell, count(*) AS n, sum(z) AS sz FROM (SELECT DISTINCT id, cycle, geo_cell, z FROM e_{k}) GROUP BY 1, 2)",
+            f"sums_{k} AS (SELECT cycle, geo_cell, node, sum(w) AS s FROM e_{k} GROUP BY 1, 2, 3)",
+            f"m_{k} AS (SELECT i, j, sum(v) AS v FROM (SELECT a.node AS i, b.node AS j, a.w * b.w AS v FROM e_{k} a JOIN e_{k} b ON a.id = b.id UNION ALL SELECT a.node, b.node, -a.s * b.s / g.n FROM sums_{k} a JOIN sums_{k} b ON a.cycle = b.cycle AND a.geo_cell = b.geo_cell JOIN groups_{k} g ON g.cycle = a.cycle AND g.geo_cell = a.geo_cell) GROUP BY 1, 2)",
+            f"b_{k} AS (SELECT i, sum(v) AS v FROM (SELECT node AS i, w * z AS v FROM e_{k} UNION ALL SELECT s.node, -s.s * g.sz / g.n FROM sums_{k} s JOIN groups_{k} g ON g.cycle = s.cycle AND g.geo_cell = s.geo_cell) GROUP BY i)",
+            *solved_sql(f"m_{k}", f"b_{k}", f"x_{k}", singular=True),
+        ]
+        if k < rounds:
+            out += [
+                f"res_{k} AS (SELECT p.id, p.cycle, p.z - sum(p.w * x.value) AS r FROM placed p JOIN ids_{k} USING (id) LEFT JOIN x_{k} x ON x.i = p.node GROUP BY p.id, p.cycle, p.z HAVING count(x.value) = count(*))",
+                *within_sql(f"sound_{k}", f"res_{k}", "r", z, "cycle", 20),
+                f"ids_{k + 1} AS MATERIALIZED (SELECT * FROM ids_{k} WHERE id IN (SELECT id FROM sound_{k}))",
+            ]
+    return out
+
+
+@query("Q3_common_bias_rounds", with_sql(_common_rounds("2.8e0", 4), f"SELECT 0 AS cycle, x.i AS key, {_r('x.value', 'value')}, {_r('x.error', 'error')}, count(*) AS n FROM x_4 x JOIN e_4 e ON e.node = x.i GROUP BY x.i, x.value, x.error UNION ALL SELECT cycle, geo_cell, {_r('avg(z - f)', 'value')}, {_r('1 / sqrt(count(*))', 'error')}, count(*) FROM (SELECT e.id, e.cycle, e.geo_cell, e.z, sum(e.w * x.value) AS f FROM e_4 e JOIN x_4 x ON x.i = e.node GROUP BY 1, 2, 3, 4) GROUP BY cycle, geo_cell"))
+def _common_bias_rounds(spark, sf_dir):
+    """Nodes (as cycle 0) and the cells of each cycle."""
+    rows = _direct(spark, sf_dir, SMALL).withColumn("geo_cell", grids.gauss_cell(F.col("lat"), F.col("lon"), 30)).select("id", "cycle", "geo_cell", "lat", "x", "y", "z", "nodes")
+    m, cells = steps.fit_common_bias(rows, SMALL, least=5, z=2.8)
+    of = lambda d, cycle, key, value: d.select(cycle.alias("cycle"), F.col(key).alias("key"), r6(value).alias("value"), r6("error").alias("error"), "n")
+    nodes = of(m.nodes.where("n > 0").withColumn("unlevelled", F.col("raw") + m.bias), F.lit(0), "node", "unlevelled")
+    return nodes.unionByName(of(cells, F.col("cycle"), "geo_cell", "value"))
+
+
 _K = repr(physics.C_HZ**2 / (physics.KU_HZ**2 - physics.C_HZ**2)) + "::DOUBLE"
 _TWO = [
     *cells_sql("w", "obs", TINY, "swh_ku", "wind_speed_alt", f"id, usla_ku + iono_corr_gim_ku + range_ku - (1 + {_K}) * range_ku + {_K} * range_c AS zr, iono_corr_gim_ku / {_K} - range_ku + range_c AS zt"),

@@ -251,17 +251,53 @@ def level(rows: DataFrame, solved: DataFrame, grid: Grid, variable: str = "usla"
     return by_cycle, levels.mean_within([v for _, v, _ in by_cycle])
 
 
-def common_bias(rows: DataFrame, grid: Grid, *, least: int = LEAST, least_geo: int = LEAST_GEO) -> tuple[DataFrame, DataFrame]:
-    """Grid with a free level for each (cycle, geographic cell), and those levels."""
-    ids = sorted(r["node"] for r in lsq.kept_nodes(rows, least).select("node").collect())
-    if len(ids) > lsq.DENSE_NODES:
-        raise ValueError(f"{len(ids)} nodes are too many beside free levels")
+def _eliminated(rows: DataFrame, ids: list[int], least_geo: int) -> tuple[DataFrame, DataFrame]:
+    """The rows that count beside free levels of (cycle, geo_cell), and the grid (node, value, error, n) that they give."""
     dense_cells = rows.groupBy("cycle", "geo_cell").count().where(F.col("count") >= least_geo).select("cycle", "geo_cell")
     used = lsq.select_columns(rows.join(dense_cells, ["cycle", "geo_cell"], "left_semi"), ids)
-    matrix, vector = lsq.demeaned(used, "cycle", "geo_cell")
-    x, error, _ = lsq.solve(*lsq.dense(matrix, vector, ids))
+    x, error, _ = lsq.solve(*lsq.dense(*lsq.demeaned(used, "cycle", "geo_cell"), ids))
     solved = rows.sparkSession.createDataFrame([(n, float(v), float(e)) for n, v, e in zip(ids, x, error, strict=True)], "node int, value double, error double")  # bounded by the dense system
-    return solved, lsq.group_levels(used, solved, "cycle", "geo_cell")
+    return used, solved.join(F.broadcast(lsq.node_counts(used)), "node", "left").na.fill(0, ["n"])
+
+
+def _dense_nodes(rows: DataFrame, least: int) -> list[int]:
+    ids = sorted(r["node"] for r in lsq.kept_nodes(rows, least).select("node").collect())
+    if len(ids) > lsq.DENSE_NODES:
+        raise ValueError(f"{len(ids)} nodes are too many beside free levels")
+    return ids
+
+
+def common_bias(rows: DataFrame, grid: Grid, *, least: int = LEAST, least_geo: int = LEAST_GEO) -> tuple[DataFrame, DataFrame]:
+    """Grid with a free level for each (cycle, geographic cell), and those levels; one pass, without a look at residuals."""
+    used, solved = _eliminated(rows, _dense_nodes(rows, least), least_geo)
+    return solved.select("node", "value", "error"), lsq.group_levels(used, solved, "cycle", "geo_cell")
+
+
+def fit_common_bias(rows: DataFrame, grid: Grid, *, least: int = LEAST, least_geo: int = LEAST_GEO, variable: str = "usla", err: str | None = None, z: float = 5.0) -> tuple[Model, DataFrame]:
+    """Grid and free levels of every (cycle, geographic cell) estimated together, to the end; fails if outliers do not end.
+
+    Cells are eliminated, the grid is solved, rows whose residual from the grid is an outlier of its cycle go, and so on until
+    none does; the grid's nodes are those of the first round, cells are counted anew in each. Then the cells' levels follow from
+    the grid (cycle, geo_cell, value, error, n), the error from the block that was eliminated, which is their count of rows.
+    The grid is levelled by the rows of the first round and smoothed. rows: (cycle, geo_cell, x, y, z, nodes[, lat]).
+    """
+    held = materialize(rows, "common-rows")
+    ids = _dense_nodes(held, least)
+    if not ids:
+        raise ValueError("no node has enough rows")
+    kept, n, rounds, most = held, held.count(), 0, rounds_of(variable, err)
+    used, solved = _eliminated(kept, ids, least_geo)
+    while most:
+        rounds += 1
+        if rounds > most:
+            raise RuntimeError(f"outliers are left after {most} rounds")
+        kept = materialize(post_fit(kept, solved, grid, z), "kept-rows")
+        before, n = n, kept.count()
+        if n == before:
+            break
+        used, solved = _eliminated(kept, ids, least_geo)
+    cells = lsq.group_levels(used, solved, "cycle", "geo_cell").select("cycle", "geo_cell", F.col("level").alias("value"), (1 / F.sqrt("n")).alias("error"), "n")
+    return finished(held, solved, grid, variable, rounds, False), materialize(cells, "cells")
 
 
 def iono_calibration(rows: DataFrame, ku: DataFrame, c: DataFrame, grid: Grid, *, max_step: float | None = 1.2) -> tuple[list[tuple], float]:
