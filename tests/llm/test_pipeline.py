@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tidemark.llm import components, langid, mixing, simhash
+from tidemark.llm import langid, mixing, simhash
 
 
 @pytest.fixture(scope="module")
@@ -83,10 +83,12 @@ def test_dedup_stage(stages):
 
 
 @pytest.mark.parametrize("leaders, members", [(1, 3), (2, 1000), (16, 4000)])
-def test_similar_links(spark, monkeypatch, leaders, members):
+def test_similar_components(spark, monkeypatch, leaders, members):
     """The components of all links between sets of a root, by trying all pairs; links across roots do not count."""
     monkeypatch.setattr(simhash, "LEADERS", leaders)
     monkeypatch.setattr(simhash, "MEMBERS", members)
+    monkeypatch.setattr(simhash, "GROWTH", 2 * leaders)
+    monkeypatch.setattr(simhash, "HELD_BYTES", 1000 * leaders)
     rng = np.random.default_rng(4)
     sets = []
     for c in range(6):  # chains of copies that drift away from each other, and texts that are near but no copies
@@ -100,7 +102,7 @@ def test_similar_links(spark, monkeypatch, leaders, members):
     sets += [(0, np.zeros(0, np.int64)), (0, np.arange(1)), (7, np.arange(5)), (7, np.arange(4))]
     rows = [(r, i, x.tobytes()) for i, (r, x) in enumerate(sets)]
     df = spark.createDataFrame(rows, "root long, s long, shingles binary").repartition(3)
-    got = {r.node: r.root for r in components.star_components(simhash.similar_links(df, 0.8)).collect()}
+    got = {r.s: r.comp for r in simhash.similar_components(df, 0.8).collect()}
     up = list(range(len(sets)))
 
     def root(i):
@@ -113,7 +115,7 @@ def test_similar_links(spark, monkeypatch, leaders, members):
         if sets[i][0] == sets[j][0] and both >= 0.8 * (len(sets[i][1]) + len(sets[j][1]) - both):
             a, b = sorted((root(i), root(j)))
             up[b] = a
-    assert [got.get(i, i) for i in range(len(sets))] == [root(i) for i in range(len(sets))]
+    assert [got[i] for i in range(len(sets))] == [root(i) for i in range(len(sets))]
 
 
 def test_dedup_by_row(spark, sf_dir):

@@ -310,8 +310,9 @@ def text_key(text: str = "text") -> F.Column:
     return F.xxhash64(F.col(text).isNull(), F.col(text))
 
 
-#: Sets that others are held against at once, and sets of one group that a task compares with them at least.
-LEADERS, MEMBERS = 16, 4_000
+#: Sets of a group that lead in the first round and how many times more in each one after it, bytes of leaders that a task holds
+#: at once, and sets of one group that it compares with them.
+LEADERS, GROWTH, HELD_BYTES, MEMBERS = 16, 16, 16_000_000, 200
 #: Rounds of ever more leaders after which something must be wrong.
 MOST_ROUNDS = 20
 
@@ -319,8 +320,8 @@ MOST_ROUNDS = 20
 def held_against(sets: DataFrame, leaders: DataFrame, similarity: float) -> DataFrame:
     """(u, v): sets of `sets` (root, s, shingles) and of `leaders` (root, s, turn) of the same root, as similar as asked for.
 
-    A root's sets are dealt to blocks, and its leaders to turns of LEADERS each; a task holds the leaders of one turn while a
-    block streams by.
+    A root's sets are dealt to blocks, and its leaders to turns of about HELD_BYTES each; a task holds the leaders of one turn while
+    a block streams by.
     """
     turns = leaders.groupBy("root").agg(F.max("turn").alias("turns"))
     sizes = sets.join(turns, "root").groupBy("root").agg(F.ceil(F.count(F.lit(1)) / MEMBERS).cast("int").alias("blocks"), F.max("turns").alias("turns"))
@@ -364,33 +365,32 @@ def held_against(sets: DataFrame, leaders: DataFrame, similarity: float) -> Data
     return dealt.select(*order, "s", "leads", "shingles").mapInArrow(compare, "u long, v long").distinct()
 
 
-def similar_links(sets: DataFrame, similarity: float) -> DataFrame:
-    """Links (u, v) between the sets (root, s, shingles) of each root that are as similar as asked for: the same components as all such links.
+def similar_components(sets: DataFrame, similarity: float) -> DataFrame:
+    """(s, comp) of the sets (root, s, shingles): components of all links within a root that are as similar as asked for.
 
     In every round some sets lead: all sets of the root are compared with them, exactly. A root is done when the sets that never
     led are all in one component, as no link between two of them can then matter; till then those outside the largest
-    component lead, four times as many in each round. A group of near copies is settled by its first leaders, a group of
+    component lead, GROWTH times as many in each round. A group of near copies is settled by its first leaders, a group of
     few sets by all of them, and no list of pairs is made.
     """
     spark = sets.sparkSession
-    nodes = sets.select("root", "s")
-    links = None
-    done = spark.createDataFrame([], "s long")
+    nodes = sets.select("root", "s", F.octet_length("shingles").alias("size"))
+    links = done = spark.createDataFrame([], "u long, v long")
     comp = nodes.withColumn("comp", F.col("s"))
     for k in range(MOST_ROUNDS):
-        waiting = comp.join(done, "s", "left_anti")
+        waiting = comp.join(done.select(F.col("u").alias("s")), "s", "left_anti")
         most = waiting.groupBy("root", "comp").count().groupBy("root").agg(F.max(F.struct("count", "comp")).alias("m"), F.count(F.lit(1)).alias("comps"))
         left = waiting.join(most.where("comps > 1").select("root", F.col("m.comp").alias("main")), "root").where("comp <> main")
-        rank = F.row_number().over(Window.partitionBy("root").orderBy(F.xxhash64("s"), "s"))
-        chosen = left.select("root", "s").withColumn("place", rank).where(F.col("place") <= LEADERS * 4**k)  # a limit before the shuffle
-        leaders = materialize(chosen.select("root", "s", F.floor((F.col("place") - 1) / LEADERS).cast("int").alias("turn")), "leaders")
+        order = Window.partitionBy("root").orderBy(F.xxhash64("s"), "s")
+        chosen = left.select("root", "s", "size").withColumn("place", F.row_number().over(order)).where(F.col("place") <= LEADERS * GROWTH**k)  # a limit before the shuffle
+        turn = F.floor((F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - 1) / HELD_BYTES).cast("int")
+        leaders = materialize(chosen.select("root", "s", F.greatest(turn, F.lit(0)).alias("turn")), "leaders")
         if leaders.isEmpty():
-            return links if links is not None else spark.createDataFrame([], "u long, v long")
-        new = materialize(held_against(sets, leaders, similarity), "similar")
-        links = new if links is None else materialize(links.unionByName(new).distinct(), "similar-so-far")
-        done = materialize(done.unionByName(leaders.select("s")), "led")
+            return comp.select("s", "comp")
+        links = links.unionByName(materialize(held_against(sets, leaders, similarity), "similar"))
+        done = done.unionByName(leaders.select(F.col("s").alias("u"), F.col("s").alias("v")))
         roots = star_components(links).select(F.col("node").alias("s"), F.col("root").alias("to"))
-        comp = materialize(nodes.join(roots, "s", "left").select("root", "s", F.coalesce("to", "s").alias("comp")), "verified")
+        comp = materialize(nodes.join(roots, "s", "left").select("root", "s", "size", F.coalesce("to", "s").alias("comp")), "verified")
     raise RuntimeError("similar sets did not settle")
 
 
@@ -403,7 +403,7 @@ def surplus(docs: DataFrame, *, shingle: int = 5, similarity: float = 0.8, sprea
     links with its like.  Candidates are groups of fingerprints that differ in at most `bits_apart(similarity)` bits.  So many
     are beyond any covering code that could be afforded; near copies share nearly all of their words, though, and so differ in
     few bits of what their distinct words give.  Anchors cover that: TABLES codes of independent bits, each text at all anchors
-    within radius + `spread`; about 61 replicas in all.  Within a group of candidates `similar_links` compares the sets
+    within radius + `spread`; about 61 replicas in all.  Within a group of candidates `similar_components` compares the sets
     themselves, so nothing goes but by links that hold.
     """
     sig = materialize(signatures(docs, shingle), "signatures")
@@ -422,8 +422,7 @@ def surplus(docs: DataFrame, *, shingle: int = 5, similarity: float = 0.8, sprea
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("key"), "text")
     same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("key") == F.col("__of"))
     texts = keyed.join(asked.hint("shuffle_hash"), same).dropDuplicates(["s"]).select("root", "s", "text")
-    links = similar_links(materialize(texts.mapInArrow(sets, "root long, s long, shingles binary"), "shingle-sets"), similarity)
-    of = star_components(links).select(F.col("node").alias("s"), F.col("root").alias("comp"))
+    of = similar_components(materialize(texts.mapInArrow(sets, "root long, s long, shingles binary"), "shingle-sets"), similarity)
     named = distinct.join(of, "s", "left").select("s", F.coalesce("comp", "s").alias("comp"), "first")
     label = named.groupBy("comp").agg(F.min("first").alias("first"))
     to = named.select(F.col("s").alias("k"), "comp").join(label, "comp").select("k", "first")
