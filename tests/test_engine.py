@@ -397,6 +397,68 @@ def test_orbit_rows_must_match(spark, tmp_path):
             tables.attach_orbit(passes.withColumnRenamed("id", "idx"), orbit).collect()
 
 
+def test_orbit_rows_match_within_passes(spark, tmp_path):
+    """The index counts anew in every pass; one short pass is an error that names it."""
+    for p, n in ((1, 3), (2, 2)):
+        (tmp_path / f"orbit/cycle=4/pass_number={p}").mkdir(parents=True)
+        (tmp_path / f"orbit/cycle=4/pass_number={p}/a.txt").write_text("".join(f"{i} 1 2 {10 * p + i} 4 5 6 7 8 9\n" for i in range(n)))
+    orbit = tables.read_orbit(spark, f"file://{tmp_path}/orbit")
+    rows = [(4, p, i) for p, n in ((1, 3), (2, 2)) for i in range(n)]
+    passes = spark.createDataFrame(rows, "cycle int, pass_number int, idx int")
+    got = {(r.cycle, r.pass_number, r.idx): r.alt_new for r in tables.attach_orbit(passes, orbit, "cycle", "pass_number").collect()}
+    assert got == {(c, p, i): 10.0 * p + i for c, p, i in rows}
+    with pytest.raises(Exception, match="do not match at index 2, cycle 4, pass_number 1"):
+        tables.attach_orbit(passes.where("idx < 2"), orbit, "cycle", "pass_number").collect()
+
+
+def test_catalog_graph(spark):
+    v = catalog.Variable
+    df = spark.createDataFrame([(2.5, 0, 1.0), (9.0, 0, 2.0), (2.5, 1, 3.0), (None, 0, 4.0)], "swh double, flag int, h double")
+    cat = [v("ssha", "h twice ADD", flags=("swh", "flag")), v("twice", "h 2 MUL"), v("swh", "swh", limits=(0.0, 8.0), default=7.0), v("none", "no_such 1 ADD"), v("mine", fallbacks=[("j1", ("h",)), ("!j1", ("no_such", "swh"))])]
+    got = [tuple(r) for r in catalog.select_catalog(df, cat, "j2").collect()]
+    assert got == [(3.0, 2.0, 2.5, None, 2.5), (None, 4.0, 7.0, None, 7.0), (None, 6.0, 2.5, None, 2.5), (None, 8.0, 7.0, None, 7.0)]
+    assert [r.mine for r in catalog.select_catalog(df, cat, "j1").collect()] == [1.0, 2.0, 3.0, 4.0]
+    with pytest.raises(ValueError, match="each other"):
+        catalog.select_catalog(df, [v("a", "b"), v("b", "a 1 ADD")])
+
+
+def test_unknown_perturbations_are_refused(spark):
+    from tidemark.functions import variables
+
+    for f in (lambda: variables.independent("j2", err="nonsense"), lambda: variables.dependent("usla", err="xj1"), lambda: variables.independent("j2", err="foo_j2")):
+        with pytest.raises(ValueError, match="no perturbation"):
+            f()
+    row = spark.createDataFrame([(1.0, 0.5, 0.25)], "usla_ku double, ocean_tide_sol2 double, ocean_tide_sol1 double")
+    assert row.select(variables.dependent("usla", mission="tx", err="txj1").alias("v")).first().v == 1.25
+    assert row.select(variables.dependent("usla", mission="j1", err="txj1").alias("v")).first().v == 1.0
+
+
+def test_common_bias_to_the_end(spark):
+    """Levels of cells and the grid against a dense system with one unknown for every cell, after outliers are removed by hand."""
+    grid = Grid(Axis(0.0, 1.0, 3), Axis(0.0, 1.0, 3))
+    rng = np.random.default_rng(2)
+    raw = [(i, int(1 + i % 2), int(i % 5), float(rng.uniform(0.01, 2)), float(rng.uniform(0.01, 2)), float(rng.normal(0, 0.01))) for i in range(600)]
+    level = {(c, g): 0.1 * c + 0.02 * g for c in (1, 2) for g in range(5)}
+    rows = [(i, c, g, x, y, 0.05 * x - 0.02 * x * y + level[c, g] + e + (5.0 if i in (7, 100) else 0.0)) for i, c, g, x, y, e in raw]
+    df = spark.createDataFrame(rows, "id long, cycle int, geo_cell int, x double, y double, z double").withColumn("nodes", design.weights(grid, F.col("x"), F.col("y")))
+    m, cells = steps.fit_common_bias(df, grid, least=5, z=5.0)
+    kept = [r for r in rows if r[0] not in (7, 100)]
+    weights = {r.id: r.nodes for r in df.collect()}
+    h = np.zeros((len(kept), 9 + 10))
+    for k, r in enumerate(kept):
+        for e in weights[r[0]]:
+            h[k, e.node] += e.w
+        h[k, 9 + 5 * (r[1] - 1) + r[2]] = 1
+    x = np.linalg.pinv(h) @ np.array([r[5] for r in kept])
+    got = {r.node: r.raw for r in m.nodes.collect()}
+    off = np.array([got[n] - x[n] for n in range(9)])
+    assert np.ptp(off) < 1e-9 and m.rounds == 2  # the grid's own level is free
+    found = {(r.cycle, r.geo_cell): r for r in cells.collect()}
+    want = {(c, g): x[9 + 5 * (c - 1) + g] for c, g in level}
+    shift = np.array([found[k].value - want[k] for k in want])
+    assert np.ptp(shift) < 1e-9 and all(f.error == pytest.approx(f.n**-0.5) for f in found.values()) and sum(f.n for f in found.values()) == 598
+
+
 def test_cycle_tables_replace_cycles(spark, tmp_path):
     path = str(tmp_path / "cycles")
     df = spark.range(10).select(F.col("id").cast("double").alias("time"), F.lit("j2").alias("mission"), (F.col("id") % 2 + 1).cast("int").alias("cycle"))

@@ -91,6 +91,16 @@ DIFFERENCES: dict[str, Callable[[Row], Column]] = {
 }
 
 
+# Perturbations by name.
+PERTURBATIONS = ("mle3", "plrm", "rms_r", "rms_w", "rms_s", "rms_wr", "rms_rw", "rms_rs", "rms_ws", "rms_rws", "rms_wx", "rms_Ew", "rms_Ewr", "smth_swh", "rng_corr", "sum_err")
+
+
+def _known(err: str | None) -> None:
+    """Refuse perturbations that are neither in the table nor a tandem phase."""
+    if err is not None and err not in PERTURBATIONS and err not in TANDEM:
+        raise ValueError(f"no perturbation {err!r}")
+
+
 def partner(mission: str, phase: str) -> str:
     """The other mission of a tandem phase."""
     first, second = TANDEM[phase][:2]
@@ -106,6 +116,7 @@ def register(name: str, formula: Callable[[Row, str, str], Column]) -> None:
 
 def dependent(name: str, band: str = "ku", mission: str = "j2", *, err: str | None = None, prefix: str = "", partner: str | None = None) -> Column:
     """The dependent variable `name` of a row, or of one side of a pair (prefix "a." or "b."), perturbed by `err`."""
+    _known(err)
     row: Row = lambda c: F.col(f"{prefix}{c}")
     if name in DIFFERENCES:
         other: Row = lambda c: F.col(f"{prefix}{c}_{partner}")
@@ -114,6 +125,8 @@ def dependent(name: str, band: str = "ku", mission: str = "j2", *, err: str | No
         out = row("usla_ku") + row("range_ku") - row("range_ku_mle3") if band == "ku" else row("usla_c")
     elif name == "usla" and err == "plrm":
         out = row("ssha_plrm") + row("ssb_plrm") if band == "ku" else row("usla_c")
+    elif name == "usla" and err in TANDEM and mission == "tx":
+        out = row(f"usla_{band}") + row("ocean_tide_sol2") - row("ocean_tide_sol1")
     elif name == "usla" and err in ("rms_r", "rms_wr", "rms_rw", "rms_rs", "rms_rws"):
         out = row(f"usla_{band}") + noise(row("id"), row(f"range_rms_{band}"), 11)
     else:
@@ -125,6 +138,7 @@ def dependent(name: str, band: str = "ku", mission: str = "j2", *, err: str | No
 
 def independent(mission: str = "j2", *, err: str | None = None, second: str = "u10", prefix: str = "") -> tuple[Column, Column]:
     """(wave height, wind speed or backscatter) of a row under a perturbation."""
+    _known(err)
     row: Row = lambda c: F.col(f"{prefix}{c}")
     if err in ("mle3", "plrm"):
         return row(f"swh_ku_{err}"), row(f"sig0_ku_{err}" if second == "sig0" else f"wind_speed_alt_{err}")
@@ -137,4 +151,4 @@ def independent(mission: str = "j2", *, err: str | None = None, second: str = "u
         swh = row("swh_ku_smooth")
     if second == "sig0":
         return swh, sig0
-    return swh, row("wind_speed_alt") if err is None or err.endswith(("j1", "j2", "j3", "s6A")) else wind_speed(sig0, swh, mission)
+    return swh, row("wind_speed_alt") if err is None or err in TANDEM else wind_speed(sig0, swh, mission)

@@ -194,3 +194,27 @@ def _xml(spark, sf_dir):
     o = observations(spark, sf_dir)
     found = {v.name: v.column(o.columns, "j2") for v in catalog.read_catalog(_CATALOG)}
     return o.select("id", *[r6(c).alias(n) for n, c in found.items()])
+
+
+_GRAPH = """
+<var name="height" field="0"><data>alt range_ku SUB dry SUB wet SUB
+    corrections SUB</data><quality_flag>swh_ku sig0_ku usla_c rad_surf_type</quality_flag></var>
+<var name="swh_ku"><limits>0 8</limits><data>swh_ku</data></var>
+<var name="sig0_ku"><limits>11 18</limits><data>sig0_ku</data><default>0</default></var>
+<var name="corrections"><data>tide dac ADD</data></var>
+<alias name="tide" field="12"> ocean_tide_none ocean_tide_got ocean_tide_fes </alias>
+<alias name="wet" field="8" sat="!c2 g1 gs">rad_wet_tropo_corr</alias>
+<alias name="wet" field="8" sat="c2 g1 gs">model_wet_tropo_corr</alias>
+<alias name="dry" sat="g1 tx">dry_tropo_none</alias>
+<alias name="dry" sat="!g1 tx">model_dry_tropo_corr</alias>
+"""
+
+
+@query("S14_catalog_graph", f"SELECT id, {_r('CASE WHEN swh_ku BETWEEN 0 AND 8 AND sig0_ku BETWEEN 11 AND 18 AND usla_c IS NOT NULL AND rad_surf_type = 0 THEN alt - range_ku - model_dry_tropo_corr - rad_wet_tropo_corr - (ocean_tide_got + dac) END', 'height')}, {_r('CASE WHEN sig0_ku BETWEEN 11 AND 18 THEN sig0_ku ELSE 0e0 END', 'sig0')}, {_r('model_wet_tropo_corr', 'wet_c2')}, CAST(NULL AS DOUBLE) AS height_tx FROM obs")
+def _graph(spark, sf_dir):
+    """Variables that read and gate one another, aliases by satellite and with fallbacks, a quality list of measured variables and a flag."""
+    cat = catalog.read_catalog(_GRAPH) + [catalog.Variable("id", expression="id")]
+    o = observations(spark, sf_dir)
+    of = lambda sat: catalog.select_catalog(o, cat, sat)
+    got = of("j2").select("id", "height", F.col("sig0_ku").alias("sig0")).join(of("c2").select("id", F.col("wet").alias("wet_c2")), "id").join(of("tx").select("id", F.col("height").alias("height_tx")), "id")
+    return got.select(F.col("id").cast("long").alias("id"), *[r6(c).alias(c) for c in ("height", "sig0", "wet_c2")], "height_tx")

@@ -50,6 +50,8 @@ class Variable:
     default: float | None = None
     flags: tuple[str, ...] = ()
     by_satellite: dict[str, str] = field(default_factory=dict)
+    #: Names of which the first that has a value counts, each list for the satellites of a selector ("": all).
+    fallbacks: list[tuple[str, tuple[str, ...]]] = field(default_factory=list)
 
     def column(self, available: list[str], satellite: str = "") -> Column:
         expression = next((e for sel, e in self.by_satellite.items() if selected(sel, satellite)), self.expression)
@@ -74,14 +76,18 @@ def selected(selector: str, satellite: str) -> bool:
 
 
 def read_catalog(text: str) -> list[Variable]:
-    """Variables of a track catalog in XML: <var name sat> with <data sat>, <limits>, <default> and <quality_flag>.
+    """Variables of a track catalog in XML: <var name sat> with <data sat>, <limits>, <default> and <quality_flag>, and <alias name sat>.
 
     Data with operators is an expression; single names are aliases. Names of variables that occur again for other
     satellites are one variable with an expression by satellite.
     """
     out: dict[str, Variable] = {}
-    for e in ElementTree.fromstring(f"<catalog>{re.sub(r'^<[?]xml[^>]*>', '', text.strip())}</catalog>").iter("var"):
+    for e in ElementTree.fromstring(f"<catalog>{re.sub(r'^<[?]xml[^>]*>', '', text.strip())}</catalog>").iter():
         name = e.get("name")
+        if e.tag == "alias":
+            out.setdefault(name, Variable(name)).fallbacks.append((e.get("sat") or "", tuple((e.text or "").split())))
+        if e.tag != "var":
+            continue
         one = lambda tag, e=e: next((x.text.split() for x in e.iter(tag) if x.text and x.text.strip()), [])
         data = [(x.get("sat") or e.get("sat"), " ".join((x.text or "").split())) for x in e.iter("data")]
         v = out.setdefault(name, Variable(name))
@@ -99,8 +105,74 @@ def read_catalog(text: str) -> list[Variable]:
     return list(out.values())
 
 
+def _names(expression: str) -> list[str]:
+    """The names that an expression reads."""
+    return [t.removeprefix(":") for t in expression.split() if t not in OPERATORS and t != "SQRT" and not re.fullmatch(r"[-+]?[0-9.]+(e[-+]?[0-9]+)?", t, re.IGNORECASE)]
+
+
+def _source(v: Variable, satellite: str) -> tuple[str | None, list[str]]:
+    """A variable's expression for a satellite, or the names that it falls back on, best first."""
+    expression = next((e for sel, e in v.by_satellite.items() if selected(sel, satellite)), v.expression)
+    listed = [n for sel, found in v.fallbacks if not sel or selected(sel, satellite) for n in found]
+    return expression, [*v.aliases, *listed] or [v.name]
+
+
+def ordered(catalog: list[Variable], satellite: str = "") -> list[Variable]:
+    """The variables, each after those that it reads or is gated by; a circle is an error. A variable's own name is a column's."""
+    by, done, out = {v.name: v for v in catalog}, {}, []
+
+    def visit(v: Variable, path: tuple[str, ...]) -> None:
+        if done.get(v.name):
+            return
+        if v.name in path:
+            raise ValueError(f"variables read each other: {' '.join([*path, v.name])}")
+        expression, listed = _source(v, satellite)
+        for n in (*(_names(expression) if expression is not None else listed), *v.flags):
+            if n in by and n != v.name:
+                visit(by[n], (*path, v.name))
+        done[v.name] = True
+        out.append(v)
+
+    for v in catalog:
+        visit(v, ())
+    return out
+
+
 def select_catalog(df: DataFrame, catalog: list[Variable], satellite: str = "") -> DataFrame:
-    return df.select(*[v.column(df.columns, satellite) for v in catalog])
+    """The catalog's variables of each row of df, whatever the order in which they are given.
+
+    A name is another variable of the catalog, or else a column of df, or else nothing (NULL).  A variable is valid where it
+    has a value within its limits and all names in its quality list are valid; elsewhere it is its default, if it has one,
+    and still not valid to others.  In a quality list a column that is no variable is valid if it has a value, a flag (of
+    whole numbers) if it is 0.
+    """
+    kinds = dict(df.dtypes)
+    by = {v.name for v in catalog}
+    work = df.select(*[F.col(f"`{c}`").alias(f"c_{c}") for c in df.columns])
+
+    def read(name: str, of: str) -> Column:
+        if name in by and name != of:
+            return F.col(f"`v_{name}`")
+        return F.col(f"`c_{name}`").cast("double") if name in kinds else F.lit(None).cast("double")
+
+    def valid(name: str, of: str) -> Column:
+        if name in by and name != of:
+            return F.col(f"`ok_{name}`")
+        whole = kinds.get(name) in ("tinyint", "smallint", "int", "bigint")
+        return F.coalesce(read(name, of) == 0, F.lit(False)) if whole else read(name, of).isNotNull()
+
+    for v in ordered(catalog, satellite):
+        expression, listed = _source(v, satellite)
+        if expression is not None:
+            value = compile_rpn(expression, {token: read(token.removeprefix(":"), v.name) for token in expression.split()})
+        else:
+            value = F.coalesce(*[read(n, v.name) for n in listed])
+        ok = value.isNotNull() if v.limits is None else F.coalesce(value.between(*v.limits), F.lit(False))
+        for n in v.flags:
+            ok &= valid(n, v.name)
+        work = work.withColumn(f"v_{v.name}", value).withColumn(f"ok_{v.name}", ok)
+        work = work.withColumn(f"v_{v.name}", F.when(F.col(f"`ok_{v.name}`"), F.col(f"`v_{v.name}`")).otherwise(F.lit(v.default).cast("double")))
+    return work.select(*[F.col(f"`v_{v.name}`").alias(v.name) for v in catalog])
 
 
 HEIGHT = "alt range_ku SUB dry_tropo_ecmwf SUB wet_tropo_rad SUB iono_alt SUB inv_bar_mog2d SUB tide_solid SUB tide_ocean_fes14 SUB tide_load_fes14 SUB tide_pole SUB ssb_cls SUB mss_dtu21 SUB"

@@ -92,20 +92,26 @@ def pull_ka_tracks(df: DataFrame) -> DataFrame:
 
 
 def read_orbit(spark: SparkSession, path: str) -> DataFrame:
-    """Ten white-space separated fields a line; the first is the record's index in its pass."""
+    """Ten white-space separated fields a line; the first is the record's index in its pass. Partition columns come along."""
     names = ["idx", "lat_new", "lon_new", "alt_new", "lat_old", "lon_old", "alt_old", "dlat", "dlon", "dalt"]
     f = F.split(F.trim("value"), r"\s+")
-    return spark.read.text(path).where(F.length(F.trim("value")) > 0).select(*[f[i].cast("int" if i == 0 else "double").alias(n) for i, n in enumerate(names)])
+    lines = spark.read.text(path)
+    return lines.where(F.length(F.trim("value")) > 0).select(*[c for c in lines.columns if c != "value"], *[f[i].cast("int" if i == 0 else "double").alias(n) for i, n in enumerate(names)])
 
 
-def attach_orbit(passes: DataFrame, orbit: DataFrame) -> DataFrame:
-    """Orbit rows next to pass rows by index; the plan fails when it runs unless every row has exactly one partner."""
-    alone = Window.partitionBy("idx")
+def attach_orbit(passes: DataFrame, orbit: DataFrame, *by: str) -> DataFrame:
+    """Orbit rows next to pass rows by index, within the keys `by` (cycle and pass) in which the index counts anew.
+
+    The plan fails when it runs unless every row has exactly one partner, so a pass that is short on either side is an error.
+    """
+    keys = [*by, "idx"]
+    alone = Window.partitionBy(*keys)
     left = passes.withColumn("__p", F.count(F.lit(1)).over(alone))
     right = orbit.withColumn("__o", F.count(F.lit(1)).over(alone))
     one = F.coalesce((F.col("__p") == 1) & (F.col("__o") == 1), F.lit(False))
-    fault = F.raise_error(F.concat(F.lit("pass and orbit do not match at index "), F.coalesce(F.col("idx").cast("string"), F.lit("null")))).cast("int")
-    return left.join(right, "idx", "full_outer").withColumn("idx", F.when(one, F.col("idx").cast("int")).otherwise(fault)).drop("__p", "__o")
+    place = F.concat_ws(", ", *[F.concat_ws(" ", F.lit("index" if k == "idx" else k), F.coalesce(F.col(k).cast("string"), F.lit("null"))) for k in ("idx", *by)])
+    fault = F.raise_error(F.concat(F.lit("pass and orbit do not match at "), place)).cast("int")
+    return left.join(right, keys, "full_outer").withColumn("idx", F.when(one, F.col("idx").cast("int")).otherwise(fault)).drop("__p", "__o")
 
 
 def write_model(nodes: DataFrame, cycles: DataFrame, meta: DataFrame, path: str) -> None:
