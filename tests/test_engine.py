@@ -433,6 +433,29 @@ def test_unknown_perturbations_are_refused(spark):
     assert row.select(variables.dependent("usla", mission="j1", err="txj1").alias("v")).first().v == 1.0
 
 
+def test_late_rows_are_left_out_of_closed_windows(spark):
+    """A row that comes within the delay counts, one for a window that was closed before does not; no window comes twice."""
+    import datetime as dt
+
+    from tidemark.storage import shared_dir
+    from tidemark.streaming.incremental import windowed_quality
+
+    path = shared_dir(spark, "late")
+    at = lambda d, h: dt.datetime(2024, 1, d, h)
+
+    def arrive(*times):
+        spark.createDataFrame([(t, 1.0) for t in times], "ts timestamp, value double").coalesce(1).write.mode("append").parquet(f"{path}/in")
+        stream = spark.readStream.schema("ts timestamp, value double").parquet(f"{path}/in")
+        found = windowed_quality(stream).select(F.dayofmonth("window.start").alias("day"), "n")
+        found.writeStream.format("parquet").option("checkpointLocation", f"{path}/c").trigger(availableNow=True).start(f"{path}/out").awaitTermination()
+        return sorted((r.day, r.n) for r in spark.read.schema("day int, n long").parquet(f"{path}/out").collect())
+
+    assert arrive(at(1, 5), at(1, 23)) == []
+    assert arrive(at(2, 0), at(1, 22)) == []  # within the hour the day is open
+    assert arrive(at(2, 3)) == [(1, 3)]
+    assert arrive(at(1, 4), at(3, 2)) == [(1, 3), (2, 2)]  # the first day was closed
+
+
 def test_common_bias_to_the_end(spark):
     """Levels of cells and the grid against a dense system with one unknown for every cell, after outliers are removed by hand."""
     grid = Grid(Axis(0.0, 1.0, 3), Axis(0.0, 1.0, 3))

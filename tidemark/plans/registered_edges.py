@@ -218,3 +218,16 @@ def _graph(spark, sf_dir):
     of = lambda sat: catalog.select_catalog(o, cat, sat)
     got = of("j2").select("id", "height", F.col("sig0_ku").alias("sig0")).join(of("c2").select("id", F.col("wet").alias("wet_c2")), "id").join(of("tx").select("id", F.col("height").alias("height_tx")), "id")
     return got.select(F.col("id").cast("long").alias("id"), *[r6(c).alias(c) for c in ("height", "sig0", "wet_c2")], "height_tx")
+
+
+@query("Q4_event_windows", "SELECT CAST(epoch(date_trunc('day', ts)) AS BIGINT) AS day, count(*) AS n, round(avg(value), 6) + 0.0e0 AS mean FROM events GROUP BY 1 HAVING max(date_trunc('day', ts)) + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR", plain=True)
+def _event_windows(spark, sf_dir):
+    """Arrivals by day of their own time, each day once it is closed: an hour after its end, by the latest record seen."""
+    from ..streaming.incremental import windowed_quality
+
+    path = shared_dir(spark, "windows")
+    spark.read.parquet(f"{sf_dir}/events.parquet").select("ts", "value").write.parquet(f"{path}/arrivals")
+    stream = spark.readStream.schema("ts timestamp, value double").parquet(f"{path}/arrivals")
+    found = windowed_quality(stream).select(F.col("window.start").cast("long").alias("day"), "n", "mean")
+    found.writeStream.format("parquet").option("checkpointLocation", f"{path}/checkpoint").outputMode("append").trigger(availableNow=True).start(f"{path}/days").awaitTermination()
+    return spark.read.schema("day long, n long, mean double").parquet(f"{path}/days").select("day", "n", r6("mean").alias("mean"))
