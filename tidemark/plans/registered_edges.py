@@ -64,7 +64,7 @@ _PERTURBED = {"x_ws": _W, "y_ws": _wind_sql(_S, swh=_W), "y_w": _wind_sql("sig0_
 def _perturbations(spark, sf_dir):
     o = observations(spark, sf_dir).withColumn("swh_ku_smooth", F.col("swh_c")).withColumn("range_rms_c", F.col("swh_rms_c"))
     at = lambda err, k, **how: variables.independent(MISSION, err=err, **how)[k]
-    found = {"x_ws": at("rms_ws", 0), "y_ws": at("rms_ws", 1), "y_w": at("rms_w", 1), "x_smth": at("smth_swh", 0), "y_smth": at("smth_swh", 1), "s_rs": at("rms_rs", 1, second="sig0"), "z_rws": variables.dependent("usla", err="rms_rws"), "z_wr_c": variables.dependent("usla", "c", err="rms_wr"), "y_j1": at("x_j1", 1)}
+    found = {"x_ws": at("rms_ws", 0), "y_ws": at("rms_ws", 1), "y_w": at("rms_w", 1), "x_smth": at("smth_swh", 0), "y_smth": at("smth_swh", 1), "s_rs": at("rms_rs", 1, second="sig0"), "z_rws": variables.dependent("usla", err="rms_rws"), "z_wr_c": variables.dependent("usla", "c", err="rms_wr"), "y_j1": at("j1j2", 1)}
     return o.select("id", *[r6(v).alias(n) for n, v in found.items()])
 
 
