@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import io
+import weakref
 import zlib
 from collections import Counter
 
@@ -388,6 +389,18 @@ class _Buffer(io.BytesIO):
         pass
 
 
+def test_frames_in_bounded_shards(spark, docs):
+    want = sorted(map(tuple, frames.read_tokens(spark, frames.write_tokens(docs)).collect()), key=str)
+    manifest = frames.write_tokens(docs, shard_bytes=20_000, frame_bytes=4096)
+    rows = manifest.orderBy("shard", "part").collect()
+    assert max(r["part"] for r in rows) > 1  # a task writes several
+    assert all(4 * r["tokens"] + 16 * r["documents"] <= 20_000 or r["documents"] == 1 for r in rows)
+    assert [r["start"] for r in rows] == [sum(x["tokens"] for x in rows[:i]) for i in range(len(rows))]
+    assert sorted(map(tuple, frames.read_tokens(spark, manifest).collect()), key=str) == want
+    some = [r[0] for r in want[::40]]
+    assert sorted({r["doc_id"] for r in frames.read_documents(spark, manifest, some).collect()}, key=str) == sorted(set(some), key=str)
+
+
 def test_frames_read_only_what_is_asked():
     out = _Buffer()
     w = frames.TokenFileWriter(out, frame_bytes=400)
@@ -671,6 +684,36 @@ def test_topk(spark):
     assert topk.top_k(df, asked.limit(0)).count() == 0 and topk.top_k(df.limit(0), asked).count() == 0
 
 
+def test_topk_holds_one_block(spark, monkeypatch):
+    """The blocks that live at once do not grow with the number of blocks, rows under one id included."""
+    rng = np.random.default_rng(3)
+    rows = [(100 * i if i < 32 else i, [float(x) for x in rng.normal(size=4)]) for i in range(200)]
+    rows += [(0, [float(x) for x in rng.normal(size=4)]) for _ in range(16)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    asked, plain, alive, most = df.where("vec_id % 100 = 0"), topk.refine, [], []
+
+    def watched(block, histogram, k):
+        out = plain(block, histogram, k)
+        alive.append(weakref.ref(out[0]))
+        most.append(sum(r() is not None for r in alive))
+        return out
+
+    monkeypatch.setattr(topk, "refine", watched)
+    found, held = [], []
+    for block_bytes in (1 << 20, 32 * 6):
+        alive.clear(), most.clear()
+        found.append(sorted(map(tuple, topk.top_k(df, asked, block_bytes=block_bytes).collect())))
+        held.append((len(most), max(most)))
+    whole = [(i, [int(np.floor(1024 * x)) for x in e]) for i, e in rows]
+    near = lambda i, e: sorted((-sum(a * b for a, b in zip(e, c, strict=True)), j) for j, c in whole if j != i)[:10]
+    want = sorted((i, n + 1, j, -s) for i, e in whole if i % 100 == 0 for n, (s, j) in enumerate(near(i, e)))
+    assert found[0] == found[1] == want
+    assert held[1][0] >= 6 * held[0][0] and held[1][1] <= held[0][1] + 1
+    _, blocks = topk.cut(asked, 1024, 32 * 6)
+    sizes = [r["count"] for r in topk.cut(asked, 1024, 32 * 6)[0].groupBy("block").count().collect()]
+    assert len(blocks) == 9 and max(sizes) < 20  # of 50 rows, 17 of them under one id
+
+
 def test_topk_dimensions(spark):
     rows = [(100, [1.0, 2.0]), (101, [3.0, 1.0]), (102, [1.0, 2.0, 3.0]), (200, [1.0, 0.0, 0.0]), (300, [0.5])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")

@@ -7,7 +7,8 @@ and cut at the end of a document (a longer document fills several frames); a ski
 public seekable format.  A reader finds the table from the end of the file and decompresses the frames it needs.
 
 Documents are dealt by ranges of (doc_id, hash of the text), so shards follow each other in the order of ids and many
-texts under one id, or under none, are no hot shard; the manifest holds where each shard starts and its first and last id.
+texts under one id, or under none, are no hot shard.  A task closes a shard once its ids and index reach `shard_bytes` (a longer
+document fills its own) and begins the next; the manifest holds where each shard starts and its first and last id.
 Files of failed attempts are in no manifest.  `read_documents` opens only shards whose range holds a wanted id, and
 decompresses only the frames that such documents lie in.
 
@@ -21,6 +22,7 @@ from __future__ import annotations
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,14 +37,16 @@ from .common import in_parts, materialize, open_input, open_output, shared_dir,
 from .tokens import BYTES, END_ID, ROWS, default_path, word_encoder
 
 FRAME_BYTES = 256 * 1024
+#: Bytes of ids and of their index in a shard, about.
+SHARD_BYTES = 128 * 1024 * 1024
 LEVEL = 3
 #: Shard files that one reading task takes, about.
 FILES_A_TASK = 8
 SKIPPABLE = 0x184D2A50
 SEEK_TABLE = 0x184D2A5E
 SEEKABLE = 0x8F92EAB1
-MANIFEST = "shard int, path string, documents long, tokens long, first_id long, last_id long"
-SHARD = pa.schema([("shard", pa.int32()), ("path", pa.string()), ("documents", pa.int64()), ("tokens", pa.int64()), ("first_id", pa.int64()), ("last_id", pa.int64())])
+MANIFEST = "shard int, part int, path string, documents long, tokens long, first_id long, last_id long"
+SHARD = pa.schema([("shard", pa.int32()), ("part", pa.int32()), ("path", pa.string()), ("documents", pa.int64()), ("tokens", pa.int64()), ("first_id", pa.int64()), ("last_id", pa.int64())])
 #: Stands for a null doc_id in the files.
 NULL_ID = -(1 << 63)
 
@@ -56,7 +60,7 @@ class TokenFileWriter:
         self.stream, self.most = stream, frame_bytes
         self.packer = zstandard.ZstdCompressor(level=LEVEL)
         self.frames: list[tuple[int, int, int]] = []
-        self.index: list[tuple[int, int]] = []
+        self.ids, self.sizes = array("q"), array("q")
         self.buffer: list[bytes] = []
         self.held = self.tokens = 0
 
@@ -76,12 +80,18 @@ class TokenFileWriter:
             self._flush()
         self.buffer.append(ids)
         self.held += len(ids)
-        self.index.append((NULL_ID if doc_id is None else doc_id, len(ids) // 4))
+        self.ids.append(NULL_ID if doc_id is None else doc_id)
+        self.sizes.append(len(ids) // 4)
         self.tokens += len(ids) // 4
 
+    @property
+    def size(self) -> int:
+        """Bytes of all ids and of their index."""
+        return 4 * self.tokens + 16 * len(self.ids)
+
     def close(self) -> None:
         self._flush()
-        index = self.packer.compress(np.array(self.index, "<i8").reshape(-1, 2).T.tobytes())
+        index = self.packer.compress(b"".join(np.asarray(x, "<i8").tobytes() for x in (self.ids, self.sizes)))
         self.stream.write(struct.pack("<II", SKIPPABLE, len(index)) + index)
         self.frames.append((8 + len(index), 0, 0))
         table = b"".join(struct.pack("<III", *f) for f in self.frames) + struct.pack("<IBI", len(self.frames), 0x80, SEEKABLE)
@@ -139,28 +149,35 @@ class TokenFile:
         return b"".join(out)
 
 
-def write_tokens(docs: DataFrame, *, tokenizer: str | None = None, end_id: int = END_ID, frame_bytes: int = FRAME_BYTES, directory: str | None = None) -> DataFrame:
-    """Encode docs (doc_id, text) into shard files; returns the manifest (shard, path, documents, tokens, first_id, last_id, start)."""
+def write_tokens(docs: DataFrame, *, tokenizer: str | None = None, end_id: int = END_ID, frame_bytes: int = FRAME_BYTES, shard_bytes: int = SHARD_BYTES, directory: str | None = None) -> DataFrame:
+    """Encode docs (doc_id, text) into shard files; returns the manifest (shard, part, path, documents, tokens, first_id, last_id, start)."""
     base = directory or shared_dir(docs.sparkSession, "tokens")
     path = tokenizer or default_path()
     dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("h")).repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h", "text")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, out, name = word_encoder(path, end_id), None, ""
+        encoder, out, name, part, task = word_encoder(path, end_id), None, "", 0, TaskContext.get().partitionId()
+
+        def closed() -> pa.RecordBatch:
+            out.close()
+            row = (task, part, name, len(out.ids), out.tokens, out.ids[0], out.ids[-1])
+            return pa.RecordBatch.from_pylist([dict(zip(SHARD.names, row, strict=True))], schema=SHARD)
+
         for batch in in_parts(tidy(batches), ROWS, "text", BYTES):
-            if out is None:
-                name = f"{base}/{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.tokens.zst"
-                out = TokenFileWriter(open_output(name), frame_bytes)
             ids, edge = encoder.encode_column(batch.column(1))
             for doc_id, lo, hi in zip(batch.column(0).to_pylist(), edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+                if out is not None and out.size + 4 * (hi - lo) + 16 > shard_bytes:
+                    yield closed()
+                    out, part = None, part + 1
+                if out is None:
+                    name = f"{base}/{task:06d}-{part:06d}-{uuid.uuid4().hex}.tokens.zst"
+                    out = TokenFileWriter(open_output(name), frame_bytes)
                 out.add(doc_id, ids[lo:hi].tobytes())
         if out is not None:
-            out.close()
-            row = (TaskContext.get().partitionId(), name, len(out.index), out.tokens, out.index[0][0], out.index[-1][0])
-            yield pa.RecordBatch.from_pylist([dict(zip(SHARD.names, row, strict=True))], schema=SHARD)
+            yield closed()
 
     shards = materialize(dealt.mapInArrow(write, MANIFEST), "tokens-manifest", one_file=True)
-    before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # a row for each shard file
+    before = Window.orderBy("shard", "part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each shard file
     return shards.withColumn("start", F.coalesce(F.sum("tokens").over(before), F.lit(0)))
 
 

@@ -7,8 +7,9 @@ k best fall in, as the k-th value overall cannot lie below a task's own.  The bi
 on the executors; one row a query of the block comes to the driver.  The last pass keeps scores above that value and, of
 those equal to it, each task's smallest ids; the few rows left are ranked per query.
 
-Queries are a stated set met by all rows in blocks: blocks of about `block_bytes` of query vectors (chosen by a hash of the
-id) go to all tasks as a broadcast, and every block makes its own passes over the table.
+Queries are a stated set met by all rows in blocks: blocks of about `block_bytes` of query vectors are cut once and written;
+one after the other goes to all tasks as a broadcast, makes its own passes over the table, and has its results written and its
+broadcasts destroyed before the next one is read.  Driver and executors hold one block, however many queries there are.
 
 Defined results: vectors that are null or hold a null, NaN or infinite component take no part, as query or candidate;
 rows with a null id likewise; vectors of another dimension than the query are no candidates for it; an empty vector
@@ -23,15 +24,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, shared_dir
 
 K = 10
 SCALE = 1024
 BINS = 1024
 BLOCK_BYTES = 16_000_000
+RESULT = "query_id long, rank int, vec_id long, score long"
 #: Queries scored at once in a task, and candidates scored at once.
 ROWS, COLUMNS = 256, 4096
 
@@ -131,29 +134,47 @@ def refine(block: Block, histogram: DataFrame, k: int) -> tuple[Block, np.ndarra
     return Block(block.ids, block.vectors, low, step, need), found
 
 
+def cut(queries: DataFrame, scale: int, block_bytes: int) -> tuple[DataFrame, list[tuple[int, int]]]:
+    """Queries as (vec_id, v, d, block), written by dimension and block, and the (d, block) that there are.
+
+    Rows are dealt by place, not by id, so that many rows under one id fill no single block.
+    """
+    asked = materialize(scaled(queries, scale), "queries")
+    counts = sorted((r["d"], r["count"]) for r in asked.groupBy("d").count().collect())  # a row for each dimension
+    if not counts:
+        return asked, []
+    blocks = {d: -(-n * 8 * d // block_bytes) for d, n in counts}
+    number = F.lit(1)
+    for d, n in blocks.items():
+        number = F.when(F.col("d") == d, n).otherwise(number)
+    path = shared_dir(asked.sparkSession, "query-blocks")
+    dealt = asked.withColumn("block", F.pmod(F.xxhash64("vec_id", F.monotonically_increasing_id()), number.cast("long")))
+    dealt.repartition("d", "block").write.partitionBy("d", "block").parquet(path)
+    schema = "vec_id long, v array<double>, d int, block long"
+    return asked.sparkSession.read.schema(schema).parquet(path), [(d, j) for d, n in blocks.items() for j in range(n)]
+
+
 def top_k(vectors: DataFrame, queries: DataFrame, *, k: int = K, scale: int = SCALE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(query_id, rank, vec_id, score): the k best candidates of every query; both sides have (vec_id, embedding)."""
     spark = vectors.sparkSession
-    rows, asked = scaled(vectors, scale), materialize(scaled(queries, scale), "queries")
-    out = []
-    for d, n in sorted((r["d"], r["count"]) for r in asked.groupBy("d").count().collect()):
+    rows = scaled(vectors, scale)
+    asked, blocks = cut(queries, scale, block_bytes)
+    path, lengths, best = shared_dir(spark, "top-k"), {}, Window.partitionBy("query_id", "copy").orderBy(F.desc("score"), "vec_id")
+    spark.createDataFrame([], RESULT).write.parquet(path)
+    for d, j in blocks:
         table = rows.where(F.col("d") == d)
-        size = table.agg(F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)).alias("top")).first()["top"]
-        blocks = -(-n * 8 * d // block_bytes)
-        for j in range(blocks):
-            part = asked.where((F.col("d") == d) & (F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == j)).select("vec_id", "v").toArrow()
-            if part.num_rows and size is not None:
-                out.append(_search(spark, table, d, part.combine_chunks(), float(size) ** 0.5, k))
-    if not out:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    found = out[0]
-    for x in out[1:]:
-        found = found.unionByName(x)
-    best = Window.partitionBy("query_id", "copy").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
-
-
-def _search(spark, table: DataFrame, d: int, part: pa.Table, length: float, k: int) -> DataFrame:
+        if d not in lengths:
+            lengths[d] = table.agg(F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)).alias("top")).first()["top"]
+        part = asked.where((F.col("d") == d) & (F.col("block") == j)).select("vec_id", "v").toArrow()
+        if part.num_rows and lengths[d] is not None:
+            found, held = _search(spark, table, d, part.combine_chunks(), float(lengths[d]) ** 0.5, k)
+            found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score").write.mode("append").parquet(path)
+            held.destroy()
+    return spark.read.schema(RESULT).parquet(path)
+
+
+def _search(spark, table: DataFrame, d: int, part: pa.Table, length: float, k: int) -> tuple[DataFrame, Broadcast]:
+    """(query_id, copy, vec_id, score) of all that may be among the k best of a block, and the broadcast that it reads."""
     ids = part.column(0).to_numpy()
     m = _matrix(part.column(1).combine_chunks() if isinstance(part.column(1), pa.ChunkedArray) else part.column(1), d)
     # Cauchy-Schwarz bounds every score; the window is the same for all queries of the block
@@ -166,6 +187,7 @@ def _search(spark, table: DataFrame, d: int, part: pa.Table, length: float, k: i
     while block.width > 1:
         held = spark.sparkContext.broadcast(block)
         block, found = refine(block, histograms(table, d, held, k), k)
+        held.destroy()
         everything |= ~found
     least = np.where(everything, -(1 << 62), block.low)  # fewer than k candidates: all of them
     final = spark.sparkContext.broadcast((block, least))
@@ -195,8 +217,7 @@ def _search(spark, table: DataFrame, d: int, part: pa.Table, length: float, k: i
         for at in range(0, len(flat), 10_000):
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*flat[at : at + 10_000], strict=True)], names=["query_id", "copy", "vec_id", "score"])
 
-    found = table.select("vec_id", "v").mapInArrow(keep, "query_id long, copy long, vec_id long, score long")
-    return found.withColumn("copy", F.col("copy") + (d << 40))  # a row of queries, also if an id comes with several dimensions
+    return table.select("vec_id", "v").mapInArrow(keep, "query_id long, copy long, vec_id long, score long"), final
 
 
 ORACLE = """
