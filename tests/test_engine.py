@@ -14,7 +14,7 @@ from tidemark.functions import geodesy, physics, variables
 from tidemark.operators import design, evaluate, filters, levels, lsq, match, outliers, smooth, windows
 from tidemark.operators import grid as grids
 from tidemark.operators.grid import Axis, Grid
-from tidemark.plans import steps
+from tidemark.plans import registered, steps
 from tidemark.plans.fixture import observations
 from tidemark.sources import catalog, limits, missions, tables
 
@@ -101,6 +101,62 @@ def test_consistent_goes_on_to_the_end(spark):
     assert ids == [34, 35] and sorted(r.id for r in left.collect()) == [100, 101]
 
 
+def test_consistent_in_every_cycle_at_once(spark, monkeypatch):
+    """Each cycle as if alone, also the one without a number; a cycle at rest is not counted again."""
+    chain = [(i, [(i, 1.0), (i + 1, 1.0)]) for i in range(9)] + [(100, [(9, 1.0), (10, 1.0)]), (101, [(9, 1.0), (10, 1.0)])]
+    full = [(200 + i, [(0, 0.5), (1, 0.5)]) for i in range(4)]
+    rows = [(7, *r) for r in chain] + [(8, *r) for r in full] + [(None, *r) for r in chain[:3] + chain[-2:]] + [(7, 300, None), (8, 301, [])]
+    df = spark.createDataFrame(rows, "cycle int, id int, nodes array<struct<node int, w double>>").withColumn("n", F.lit("x"))
+    plain, counted = lsq.node_counts, []
+
+    def watched(part, *by):
+        counted.append(sorted((r[0] is None, r[0]) for r in part.select("cycle").distinct().collect()))
+        return plain(part, *by)
+
+    monkeypatch.setattr(lsq, "node_counts", watched)
+    got = lsq.consistent_by(df, 2, "cycle")
+    monkeypatch.undo()
+    assert len(counted) > 4 and (False, 8) in counted[0] and all((False, 8) not in c for c in counted[1:])
+    assert got.columns == df.columns
+    for cycle, alone in ((7, chain), (8, full), (None, chain[:3] + chain[-2:])):
+        want, _ = lsq.consistent(spark.createDataFrame(alone, "id int, nodes array<struct<node int, w double>>"), 2)
+        here = got.where(F.col("cycle").eqNullSafe(F.lit(cycle).cast("int")) & (F.size("nodes") > 0))
+        assert sorted(r.id for r in here.collect()) == sorted(r.id for r in want.collect())
+    assert [r.id for r in got.where("size(nodes) = 0").collect()] == [301]
+    bins = {r.node: (r.n, r.cycles) for r in lsq.cycle_bins(df, 4).collect()}  # a minimum of 4 / 3 in each cycle
+    assert bins[9] == (4, 2) and bins[0] == (4, 1) and 5 not in bins
+    assert lsq.consistent_by(df.limit(0), 2, "cycle").count() == 0 and lsq.cycle_bins(df.limit(0), 5).count() == 0
+
+
+def test_lost_fit_goes_on(spark, sf_dir, monkeypatch, tmp_path):
+    """A fit stopped after its first round ends with the same grid, and a fit that had ended removes nothing again."""
+    rows = registered._direct(spark, sf_dir, registered.SMALL).select("id", "cycle", "lat", "lon", "x", "y", "z", "nodes")
+    rows = rows.withColumn("z", F.col("z") + F.when(F.col("id") % 97 == 5, 40.0 * (1 + F.col("id") % 3)).otherwise(0.0))
+    fit = lambda state: steps.fit_model(rows, registered.SMALL, least=5, by_cycle=True, state=state)
+    whole, state, plain, calls = fit(None), f"file://{tmp_path}/fit", steps.post_fit, []
+
+    def stops(*a):
+        calls.append(a)
+        if len(calls) == 2:
+            raise RuntimeError("lost")
+        return plain(*a)
+
+    monkeypatch.setattr(steps, "post_fit", stops)
+    with pytest.raises(RuntimeError, match="lost"):
+        fit(state)
+    resumed = fit(state)
+    assert whole.rounds > 2 and len(calls) == whole.rounds + 1
+    again = fit(state)
+    assert len(calls) == whole.rounds + 1
+    want = {r.node: r for r in whole.nodes.collect()}
+    for m in (resumed, again):
+        assert m.rounds == whole.rounds
+        for r in m.nodes.collect():
+            assert r.n == want[r.node].n and (r.value is None) == (want[r.node].value is None) and (r.value is None or abs(r.value - want[r.node].value) < 1e-9)
+    with pytest.raises(ValueError, match="not both"):
+        steps.fit_model(rows, registered.SMALL, by_cycle=True, complete_rows=True)
+
+
 def test_outlier_rounds_go_on_to_the_end(spark):
     v = np.r_[10.0 ** np.arange(24)]  # the largest goes in each round
     got = outliers.bounds(spark.createDataFrame([(float(x),) for x in v], "v double").coalesce(1), F.col("v"), 3.0, rounds=3).first()

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.literals import doubles, longs
+from ..storage import materialize
 from .design import exploded
 from .grid import Grid
 
@@ -72,6 +73,53 @@ def consistent(df: DataFrame, least: int) -> tuple[DataFrame, list[int]]:
         before = ids
 
 
+def consistent_by(df: DataFrame, least: float, *by: str) -> DataFrame:
+    """As `consistent`, in every group of the columns `by` at once: the rows that stay.
+
+    What is kept from round to round are the nodes that each group has lost, written as a small table; a row goes if it
+    has a weight on one of them. A round counts nodes only in groups that lost one in the round before, so groups at rest
+    are not read again (where `by` are partition columns, their files are not either). The planner sees the size of the
+    written table and broadcasts it only while it is small. Groups may be NULL; rows without a design (NULL) go; rows with no
+    weight stay; the rows are evaluated in each round, so an expensive plan should be written first.
+    """
+    rows, keys = df.where(F.col("nodes").isNotNull()), [f"__by{i}" for i in range(len(by))]
+    lost, changing = None, None
+    while True:  # ends, as each round but the last takes a node from some group
+        some = rows if changing is None else rows.join(changing, _same(by, keys), "left_semi")
+        thin = node_counts(_without(some, lost, by, keys), *by).where(F.col("n") < least)
+        found = materialize(thin.select(*[F.col(c).alias(k) for c, k in zip(by, keys, strict=True)], "node"), "thin-nodes")
+        if found.isEmpty():
+            return _without(rows, lost, by, keys)
+        every = found if lost is None else found.unionByName(lost.select(*keys, F.explode("__lost").alias("node")))
+        lost = materialize(every.groupBy(*keys).agg(F.collect_set("node").alias("__lost")), "lost-nodes")
+        changing = found.select(*keys).distinct()
+
+
+def _same(by: tuple[str, ...], keys: list[str]) -> Column:
+    on = F.lit(True)
+    for c, k in zip(by, keys, strict=True):
+        on &= F.col(c).eqNullSafe(F.col(k))
+    return on
+
+
+def _without(rows: DataFrame, lost: DataFrame | None, by: tuple[str, ...], keys: list[str]) -> DataFrame:
+    """Rows with no weight on a node that their group has lost."""
+    if lost is None:
+        return rows
+    touched = F.arrays_overlap(F.transform("nodes", lambda e: e["node"]), F.col("__lost"))
+    return rows.join(lost, _same(by, keys), "left").where(F.col("__lost").isNull() | ~touched).select(*rows.columns)
+
+
+def cycle_bins(df: DataFrame, least: int = 50, cycle: str = "cycle", cycles: int | None = None) -> DataFrame:
+    """(node, n, cycles) of nodes with `least` rows in all cycles together, counted on rows that are consistent in their cycle.
+
+    A cycle's own minimum is `least` over the number of cycles (those of the rows, if not given).
+    """
+    n = cycles or df.select(F.coalesce(F.col(cycle).cast("string"), F.lit("")).alias("c")).distinct().count()
+    counts = node_counts(consistent_by(df, least / max(n, 1), cycle), cycle)
+    return counts.groupBy("node").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("cycles")).where(F.col("n") >= least)
+
+
 def normal_matrix(df: DataFrame, *by: str, weight: Column | None = None) -> DataFrame:
     """(by..., i, j, v) with i <= j: entries of the weighted normal matrix."""
     w = F.lit(1.0) if weight is None else weight
@@ -171,16 +219,19 @@ def solve_planes(i: np.ndarray, j: np.ndarray, v: np.ndarray, b: np.ndarray, pla
     return x, error
 
 
-def fit(df: DataFrame, *, least: int = 50, weight: Column | None = None, complete_rows: bool = False, least_diagonal: int = 4, grid: Grid | None = None) -> tuple[DataFrame, bool]:
+def fit(df: DataFrame, *, least: int = 50, weight: Column | None = None, complete_rows: bool = False, least_diagonal: int = 4, grid: Grid | None = None, by_cycle: bool = False) -> tuple[DataFrame, bool]:
     """(node, value, error, n) fitted to rows (z, nodes), and whether the system lacks rank.
 
     grid: tells planes apart where there are more than DENSE_NODES nodes.
+    by_cycle: nodes are chosen by `cycle_bins`; rows that touch a chosen one are used, as without it.
     """
     rows = df.where(F.col("z").isNotNull() & F.col("nodes").isNotNull())
     if weight is not None:
         rows = rows.where(weight > 0)
     if complete_rows:
         rows, ids = consistent(rows, least)
+    elif by_cycle:
+        ids = sorted(r["node"] for r in cycle_bins(rows, least).select("node").collect())
     else:
         ids = sorted(r["node"] for r in kept_nodes(rows, least).select("node").collect())
     if not ids:

@@ -300,6 +300,26 @@ def _consistent(spark, sf_dir):
     return lsq.node_counts(rows)
 
 
+def _by_cycle_sql(least: int, rounds: int) -> str:
+    """CTEs up to r{rounds}: the weights of rows that are consistent in their cycle, whose minimum is least / cycles."""
+    ctes = [_W, f"lim AS (SELECT {least}::DOUBLE / count(DISTINCT cycle) AS n FROM w)", "r0 AS (SELECT * FROM w)"]
+    for i in range(1, rounds + 1):
+        ctes += [f"t{i} AS (SELECT cycle, node FROM r{i - 1} GROUP BY 1, 2 HAVING count(*) < (SELECT n FROM lim))", f"r{i} AS (SELECT * FROM r{i - 1} WHERE id NOT IN (SELECT a.id FROM r{i - 1} a JOIN t{i} t ON t.cycle = a.cycle AND t.node = a.node))"]
+    return f"WITH {', '.join(ctes)}"
+
+
+@query("F14_consistent_by_cycle", f"{_by_cycle_sql(30, 12)} SELECT cycle, node, count(*) AS n FROM r12 GROUP BY 1, 2")
+def _consistent_by_cycle(spark, sf_dir):
+    rows = _direct(spark, sf_dir).withColumn("nodes", F.filter("nodes", lambda e: e["w"] != 0))
+    cycles = rows.select("cycle").distinct().count()
+    return lsq.node_counts(lsq.consistent_by(rows, 30 / max(cycles, 1), "cycle"), "cycle")
+
+
+@query("A11_consistent_bins", f"{_by_cycle_sql(30, 12)}, c AS (SELECT cycle, node, count(*) AS n FROM r12 GROUP BY 1, 2) SELECT node, sum(n)::BIGINT AS n, count(*) AS cycles FROM c GROUP BY 1 HAVING sum(n) >= 30")
+def _consistent_bins(spark, sf_dir):
+    return lsq.cycle_bins(_direct(spark, sf_dir).withColumn("nodes", F.filter("nodes", lambda e: e["w"] != 0)), 30)
+
+
 @query("F15_regions", f"SELECT id, {_r('CASE WHEN lat <= -40 THEN usla_ku END', 'so')}, {_r('CASE WHEN lat <= 0 THEN usla_ku END', 'south')}, {_r('CASE WHEN lat >= 0 THEN usla_ku END', 'north')} FROM obs")
 def _regions(spark, sf_dir):
     f = lambda n: r6(filters.region(F.col("usla_ku"), F.col("lat"), n))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -18,6 +19,8 @@ from ..storage import materialize
 LEAST, LEAST_GEO = 50, 4
 #: Rounds of post-fit outlier removal at most; more are an error.
 ROUNDS = {"rng_mle": 7}
+#: What a fit that can be resumed notes of each round: where its rows are, and how many.
+ROUND_MARKS = "round int, path string, n long"
 #: Variables whose outliers are removed after the fit, and perturbations without.
 OUTLIER_VARIABLES = ("usla", "ssha_dfI", "rng_mle", "iono_corr_alt", "mss_dtu", "mss_cnes15", "ocean_got", "wet_tropo_model", "sum_err", "ib_corr", "alt_jpl", "alt_cnes", "iono_tran", "iono_tran_smooth", "SO")
 NO_OUTLIERS = ("rms_r", "sum_err")
@@ -191,20 +194,50 @@ def finished(rows: DataFrame, solved: DataFrame, grid: Grid, variable: str, used
     return Model(grid, smoothed.join(solved.select("node", "error", "n"), "node", "left"), bias, by_cycle, c, used, lacking)
 
 
-def fit_model(rows: DataFrame, grid: Grid, *, least: int = LEAST, weight: Column | None = None, variable: str = "usla", err: str | None = None, complete_rows: bool = False) -> Model:
-    """Fit direct rows, remove post-fit outliers until none is left, level by cycle, and smooth; fails if outliers do not end."""
-    held = materialize(rows, "direct-rows")
-    solve = lambda r: lsq.fit(r, least=least, weight=weight, complete_rows=complete_rows, grid=grid)
-    solved, lacking = solve(held)
-    kept, n, used, most = held, held.count(), 0, rounds_of(variable, err)
-    while most:
+def fit_model(rows: DataFrame, grid: Grid, *, least: int = LEAST, weight: Column | None = None, variable: str = "usla", err: str | None = None, complete_rows: bool = False, by_cycle: bool = False, state: str | None = None) -> Model:
+    """Fit direct rows, remove post-fit outliers until none is left, level by cycle, and smooth; fails if outliers do not end.
+
+    by_cycle: nodes are chosen by counts that are consistent in each cycle.
+    state: a folder of this fit alone, where the rows kept by each round stay; a fit that was lost goes on after its last
+    whole round, and one that had ended only solves its last rows again. It must be given the same rows and settings.
+    """
+    if by_cycle and complete_rows:
+        raise ValueError("nodes are chosen by cycle or with complete rows, not both")
+    spark, done = rows.sparkSession, {}
+    if state is not None:
+        mark = f"{state.rstrip('/')}/rounds"
+        spark.createDataFrame([], ROUND_MARKS).write.mode("append").parquet(mark)
+        done = {r["round"]: (r["path"], r["n"]) for r in spark.read.schema(ROUND_MARKS).parquet(mark).collect()}  # a row a round
+
+    def keep(found: DataFrame, k: int) -> tuple[DataFrame, int]:
+        """The rows left by a round, 0 being all, and their number; written, unless an earlier run has."""
+        if k in done:
+            path, n = done[k]
+            return spark.read.schema(rows.schema).parquet(path), n
+        if state is None:
+            kept = materialize(found, "kept-rows")
+            return kept, kept.count()
+        path = f"{state.rstrip('/')}/kept-{k}-{uuid.uuid4().hex}"
+        found.select(*rows.columns).write.parquet(path)
+        kept = spark.read.schema(rows.schema).parquet(path)
+        n = kept.count()
+        spark.createDataFrame([(k, path, n)], ROUND_MARKS).coalesce(1).write.mode("append").parquet(mark)
+        return kept, n
+
+    solve = lambda r: lsq.fit(r, least=least, weight=weight, complete_rows=complete_rows, grid=grid, by_cycle=by_cycle)
+    held, n = keep(rows, 0)
+    used, most = max(done, default=0), rounds_of(variable, err)
+    kept, n = keep(held, used) if used else (held, n)
+    solved, lacking = solve(kept)
+    ended = used > 0 and n == done[used - 1][1]
+    while most and not ended:
         used += 1
         if used > most:
             raise RuntimeError(f"outliers are left after {most} rounds")
-        kept = materialize(post_fit(kept, solved, grid), "kept-rows")
-        before, n = n, kept.count()
-        if n == before:
+        kept, after = keep(post_fit(kept, solved, grid), used)
+        if after == n:
             break
+        n = after
         solved, lacking = solve(kept)
     return finished(held, solved, grid, variable, used, lacking)
 
