@@ -18,7 +18,7 @@ def node_array(model: DataFrame, grid: Grid, value: str = "value") -> Column:
     return doubles(values)
 
 
-def _closed(v: Column, axis: Axis) -> tuple[Column, Column]:
+def closed(v: Column, axis: Axis) -> tuple[Column, Column]:
     """Cell and place for a lookup: [low, high), the last cell closed."""
     at = (v - F.lit(axis.first)) / F.lit(axis.step)
     i = F.least(F.floor(at).cast("int"), F.lit(axis.count - 2))
@@ -29,14 +29,14 @@ def _known(c: Column) -> Column:
     return c.isNotNull() & ~F.isnan(c)
 
 
-def bilinear(values: Column, grid: Grid, x: Column, y: Column, *, planes: bool = True, half_open: bool = False) -> Column:
+def bilinear(values: Column, grid: Grid, x: Column, y: Column, *, planes: bool = True, half_open: bool = False, plane: Column | None = None) -> Column:
     """Bilinear where the cell's four nodes are known, with `planes` the plane through three that are, else NULL.
 
-    half_open: positions on the last node of an axis are outside. Cell, corners and value are each bound by a lambda, so
+    half_open: positions on the last node of an axis are outside. plane: which plane of nodes of a third axis. Cell, corners and value are each bound by a lambda, so
     that a filter on the value does not multiply them.
     """
-    i, fx = _closed(x, grid.x)
-    j, fy = _closed(y, grid.y)
+    i, fx = closed(x, grid.x)
+    j, fy = closed(y, grid.y)
     inside = x.between(grid.x.first, grid.x.last) & y.between(grid.y.first, grid.y.last)
     if half_open:
         inside &= (x < grid.x.last) & (y < grid.y.last)
@@ -62,6 +62,8 @@ def bilinear(values: Column, grid: Grid, x: Column, y: Column, *, planes: bool =
             out = out.when(~ok[k] & ok[(k + 1) % 4] & ok[(k + 2) % 4] & ok[(k + 3) % 4], missing[k])
         return out
 
+    if plane is not None:
+        j = j + plane * grid.y.count
     cell = F.struct(i.alias("i"), fx.alias("fx"), j.alias("j"), fy.alias("fy"))
     return F.when(inside, F.transform(F.transform(F.array(cell), corners), value)[0])
 
@@ -69,7 +71,7 @@ def bilinear(values: Column, grid: Grid, x: Column, y: Column, *, planes: bool =
 def trilinear(values: Column, grid: Grid, x: Column, y: Column, z: Column) -> Column:
     """Trilinear where the cell's eight nodes are known, else NULL."""
     inside = x.between(grid.x.first, grid.x.last) & y.between(grid.y.first, grid.y.last) & z.between(grid.z.first, grid.z.last)
-    cell = F.struct(*[c.alias(n + str(k)) for k, (v, a) in enumerate(((x, grid.x), (y, grid.y), (z, grid.z))) for n, c in zip("if", _closed(v, a), strict=True)])
+    cell = F.struct(*[c.alias(n + str(k)) for k, (v, a) in enumerate(((x, grid.x), (y, grid.y), (z, grid.z))) for n, c in zip("if", closed(v, a), strict=True)])
 
     def value(c: Column) -> Column:
         out = F.lit(0.0)

@@ -46,6 +46,20 @@ def _r(sql: str, name: str) -> str:
     return f"round({sql}, 6) + 0.0e0 AS {name}"
 
 
+def bins_sql(grid: Grid) -> str:
+    """CTE bins (node, value, c, error, n): means of the heights of both bands over the records nearest to a node."""
+    ix, iy = (f"CAST(floor({c} / {a.step!r}::DOUBLE + 0.5e0) AS INT)" for c, a in (("swh_ku", grid.x), ("wind_speed_alt", grid.y)))
+    return f"bins AS (SELECT CAST(ix + iy * {grid.x.count} AS INT) AS node, avg(usla_ku) AS value, avg(usla_c) AS c, 1 / sqrt(count(*)) AS error, count(*) AS n FROM (SELECT *, {ix} AS ix, {iy} AS iy FROM obs) WHERE ix < {grid.x.count} AND iy < {grid.y.count} GROUP BY 1)"
+
+
+def bins(spark: SparkSession, sf_dir: str, grid: Grid) -> DataFrame:
+    """A model without a fit, whose values come from the records: (node, ix, iy, iz, x, y, z, value, c, error, n)."""
+    near = lambda c, a: F.floor(F.col(c) / F.lit(a.step) + 0.5).cast("int")
+    o = observations(spark, sf_dir).withColumn("ix", near("swh_ku", grid.x)).withColumn("iy", near("wind_speed_alt", grid.y)).where((F.col("ix") < grid.x.count) & (F.col("iy") < grid.y.count))
+    found = o.groupBy((F.col("ix") + F.col("iy") * grid.x.count).alias("node")).agg(F.avg("usla_ku").alias("value"), F.avg("usla_c").alias("c"), (1 / F.sqrt(F.count(F.lit(1)))).alias("error"), F.count(F.lit(1)).alias("n"))
+    return grids.nodes(spark, grid).join(F.broadcast(found), "node", "left")  # bounded by the grid
+
+
 # --- sources ------------------------------------------------------------------------------------------------------
 
 _LIMITS = " AND ".join(f"{c} BETWEEN {lo!r}::DOUBLE AND {hi!r}::DOUBLE" for c, (lo, hi) in {
@@ -124,9 +138,12 @@ def _new_cycles(spark, sf_dir):
     return tables.new_cycles(observations(spark, sf_dir), produced)
 
 
-@query("S24_tandem_cycles", "SELECT 'txj1' AS phase, c AS cycle_a, c - 343 AS cycle_b FROM (SELECT unnest(range(344, 365))::INT AS c) WHERE c <> 361 UNION ALL SELECT 'j1j2', c, c - 239 FROM (SELECT unnest(range(240, 260))::INT AS c) WHERE c <> 243 UNION ALL SELECT 'j2j3', c, c - 280 FROM (SELECT unnest(range(281, 304))::INT AS c) UNION ALL SELECT 'j3s6A', c, c - 175 FROM (SELECT unnest(range(180, 228))::INT AS c)", plain=True)
+@query("S24_tandem_cycles", "WITH phases AS (SELECT 'txj1' AS phase, c AS cycle_a, c - 343 AS cycle_b FROM (SELECT unnest(range(344, 365))::INT AS c) WHERE c <> 361 UNION ALL SELECT 'j1j2', c, c - 239 FROM (SELECT unnest(range(240, 260))::INT AS c) WHERE c <> 243 UNION ALL SELECT 'j2j3', c, c - 280 FROM (SELECT unnest(range(281, 304))::INT AS c) UNION ALL SELECT 'j3s6A', c, c - 175 FROM (SELECT unnest(range(180, 228))::INT AS c)) SELECT phase, cycle_a, cycle_b, count(o.id) AS n FROM phases LEFT JOIN (SELECT id, CAST(180 + id % 190 AS INT) AS cycle FROM obs) o ON o.cycle = cycle_a GROUP BY ALL")
 def _tandem_cycles(spark, sf_dir):
-    return missions.tandem_table(spark).select("phase", "cycle_a", "cycle_b")
+    """Records of the first mission in each pair of cycles of a tandem phase."""
+    o = observations(spark, sf_dir).select((180 + F.pmod("id", F.lit(190))).cast("int").alias("cycle")).groupBy("cycle").agg(F.count(F.lit(1)).alias("n"))
+    t = missions.tandem_table(spark)
+    return t.join(o, t.cycle_a == o.cycle, "left").select("phase", "cycle_a", "cycle_b", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
 # --- projections --------------------------------------------------------------------------------------------------
@@ -504,12 +521,15 @@ def _trilinear_weights(spark, sf_dir):
 _GAUSS = "g AS (SELECT CAST(row AS INT) AS row, row * 3.0e0 - 90.0e0 AS lat, CASE WHEN row IN (0, 60) THEN 1 ELSE CAST(floor(120.0e0 * cos(radians(row * 3.0e0 - 90.0e0))) AS INT) END AS cells FROM (SELECT unnest(range(0, 61)) AS row))"
 
 
-@query("M7_gauss_grid", f"WITH {_GAUSS} SELECT CAST(row * 1000 + k AS INT) AS geo_cell, lat, {_r('k * 360.0e0 / cells', 'lon')}, {_r('CASE WHEN row IN (0, 60) THEN 6.283185307179586e0 * (1 - cos(radians(1.5e0))) ELSE 360.0e0 / cells * 3 * cos(radians(lat)) * radians(1.0e0) * radians(1.0e0) END', 'area')} FROM (SELECT *, unnest(range(0, cells)) AS k FROM g)")
-def _gauss(spark, sf_dir):
-    return grids.gauss_grid(spark, 3).select("geo_cell", "lat", r6("lon").alias("lon"), r6("area").alias("area"))
+_CELL = "r AS (SELECT o.*, CAST(floor((lat + 91.5e0) / 3) AS INT) AS row FROM obs o), h AS (SELECT r.*, g.cells, 360.0e0 / g.cells AS dlon FROM r JOIN g ON r.row = g.row), cell AS (SELECT *, row * 1000 + CAST(floor((lon + dlon / 2) / dlon) AS INT) % cells AS geo_cell FROM h)"
 
 
-_CELL = "r AS (SELECT o.*, CAST(floor((lat + 91.5e0) / 3) AS INT) AS row FROM obs o), h AS (SELECT r.*, g.cells, 360.0e0 / g.cells AS dlon FROM r JOIN g ON r.row = g.row), cell AS (SELECT *, row * 1000 + CAST(floor((lon + dlon / 2) / dlon) AS INT) % cells AS geo_cell FROM h)"
+@query("M7_gauss_grid", f"WITH {_GAUSS}, {_CELL}, every AS (SELECT CAST(row * 1000 + k AS INT) AS geo_cell, lat, {_r('k * 360.0e0 / cells', 'lon')}, {_r('CASE WHEN row IN (0, 60) THEN 6.283185307179586e0 * (1 - cos(radians(1.5e0))) ELSE 360.0e0 / cells * 3 * cos(radians(lat)) * radians(1.0e0) * radians(1.0e0) END', 'area')} FROM (SELECT *, unnest(range(0, cells)) AS k FROM g)) SELECT e.*, count(c.id) AS n FROM every e LEFT JOIN cell c ON c.geo_cell = e.geo_cell GROUP BY ALL")
+def _gauss(spark, sf_dir):
+    """Every cell and the records in it."""
+    n = observations(spark, sf_dir).groupBy(grids.gauss_cell(F.col("lat"), F.col("lon")).alias("geo_cell")).agg(F.count(F.lit(1)).alias("n"))
+    g = grids.gauss_grid(spark, 3).withColumn("geo_cell", F.col("geo_cell").cast("int"))
+    return g.join(n, "geo_cell", "left").select("geo_cell", "lat", r6("lon").alias("lon"), r6("area").alias("area"), F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
 @query("M6_geo_cells", f"WITH {_GAUSS}, {_CELL} SELECT geo_cell, count(*) AS n FROM cell GROUP BY geo_cell")
@@ -517,9 +537,10 @@ def _geo_cells(spark, sf_dir):
     return observations(spark, sf_dir).groupBy(grids.gauss_cell(F.col("lat"), F.col("lon")).alias("geo_cell")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("M8_grid_nodes", f"SELECT CAST(n AS INT) AS node, CAST(n % 14 AS INT) AS ix, CAST(n // 14 AS INT) AS iy, {_r('(n % 14) * 1.0e0', 'x')}, {_r('(n // 14) * 1.5e0', 'y')} FROM (SELECT unnest(range(0, 210)) AS n)", plain=True)
+@query("M8_grid_nodes", f"WITH {bins_sql(GRID)} SELECT CAST(g.n AS INT) AS node, CAST(g.n % 14 AS INT) AS ix, CAST(g.n // 14 AS INT) AS iy, {_r('(g.n % 14) * 1.0e0', 'x')}, {_r('(g.n // 14) * 1.5e0', 'y')}, coalesce(bins.n, 0) AS n FROM (SELECT unnest(range(0, 210)) AS n) g LEFT JOIN bins ON bins.node = g.n")
 def _grid_nodes(spark, sf_dir):
-    return grids.nodes(spark, GRID).select("node", "ix", "iy", r6("x").alias("x"), r6("y").alias("y"))
+    """Every node and the records nearest to it."""
+    return bins(spark, sf_dir, GRID).select("node", "ix", "iy", r6("x").alias("x"), r6("y").alias("y"), F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
 @query("M9_two_band_rows", f"WITH {_W}, t AS (SELECT id, 0 AS part, node, 1.2e0 * w AS w FROM w UNION ALL SELECT id, 0, node + 210, -0.2e0 * w FROM w UNION ALL SELECT id, 1, node, w FROM w UNION ALL SELECT id, 1, node + 210, -w FROM w) SELECT part, node, count(*) AS n, {_r('sum(w)', 'w')} FROM t GROUP BY part, node")
@@ -722,15 +743,14 @@ def _moment(spark, sf_dir):
     return c.select("cycle", r6(F.col("c")[0]).alias("c0"), r6(F.col("c")[1]).alias("c1"))
 
 
-@query("L8_kernel_means", f"WITH n AS (SELECT n AS node, n % 14 AS ix, n // 14 AS iy, sin(n * 1.0e0) AS v, 0.1e0 + ((n * 7) % 10) / 100.0e0 AS e FROM (SELECT unnest(range(0, 210)) AS n) WHERE n % 11 <> 3), p AS (SELECT a.node, b.v, b.e, exp(-((a.ix - b.ix) * (a.ix - b.ix) + (a.iy - b.iy) * (a.iy - b.iy))::DOUBLE) / (b.e * b.e) AS w FROM n a JOIN n b ON abs(a.ix - b.ix) <= 6 AND abs(a.iy - b.iy) <= 6) SELECT CAST(node AS INT) AS node, {_r('sum(w * e) / sum(w)', 'se')}, {_r('sum(w * v) / sum(w)', 'sv')} FROM p GROUP BY node", plain=True)
+@query("L8_kernel_means", f"WITH {bins_sql(GRID)}, n AS (SELECT node, node % 14 AS ix, node // 14 AS iy, value AS v, error AS e FROM bins WHERE node % 11 <> 3), p AS (SELECT a.node, b.v, b.e, exp(-((a.ix - b.ix) * (a.ix - b.ix) + (a.iy - b.iy) * (a.iy - b.iy))::DOUBLE) / (b.e * b.e) AS w FROM n a JOIN n b ON abs(a.ix - b.ix) <= 6 AND abs(a.iy - b.iy) <= 6) SELECT CAST(node AS INT) AS node, {_r('sum(w * e) / sum(w)', 'se')}, {_r('sum(w * v) / sum(w)', 'sv')} FROM p GROUP BY node")
 def _kernel(spark, sf_dir):
-    return smooth.kernel_means(_model(spark, GRID).where("value is not null"), GRID).select("node", r6("se").alias("se"), r6("sv").alias("sv"))
+    return smooth.kernel_means(bins(spark, sf_dir, GRID).where("value is not null and node % 11 <> 3"), GRID).select("node", r6("se").alias("se"), r6("sv").alias("sv"))
 
 
-@query("L9_set_level", f"SELECT CAST(n AS INT) AS node, {_r('sin(n * 1.0e0) - sin((7 + 3 * 14) * 1.0e0) - 0.088e0', 'value')} FROM (SELECT unnest(range(0, 210)) AS n)", plain=True)
+@query("L9_set_level", f"WITH {bins_sql(GRID)} SELECT CAST(g.n AS INT) AS node, {_r('bins.value - (SELECT value FROM bins WHERE node = 7 + 3 * 14) - 0.088e0', 'value')} FROM (SELECT unnest(range(0, 210)) AS n) g LEFT JOIN bins ON bins.node = g.n")
 def _set_level(spark, sf_dir):
-    m = grids.nodes(spark, GRID).withColumn("value", F.sin(F.col("node").cast("double")))
-    return smooth.set_level(m, 7, 3).select("node", r6("value").alias("value"))
+    return smooth.set_level(bins(spark, sf_dir, GRID), 7, 3).select("node", r6("value").alias("value"))
 
 
 @query("I1_tec_histogram", f"WITH t AS (SELECT cycle, iono_corr_gim_ku * ({repr(physics.KU_HZ**2 / -40.3 / 10000000000000000.0e0)}::DOUBLE) AS v FROM obs), b AS (SELECT cycle, CAST(floor((v + 100.0e0) / {levels.TEC_STEP}::DOUBLE) AS INT) AS bin FROM t) SELECT cycle, bin, count(*) AS n FROM b WHERE bin BETWEEN 0 AND {levels.bins('tec')[2] - 1} GROUP BY 1, 2")

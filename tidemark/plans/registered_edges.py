@@ -12,7 +12,7 @@ from ..storage import shared_dir
 from . import applying, steps
 from .fixture import observations, tracks
 from .registered import _DIST, _LEVEL2, _USLA_K, GRID, MISSION, _ecef_sql, _noise_sql, _one_to_one_sql, _r, _wind_sql, query, r6
-from .registered_fits import _AGAIN, _FULL, _again, _full, with_sql
+from .registered_fits import _AGAIN, _FULL, _X_CTES, _again, _bm3_sql, _full, difference_sql, with_sql
 
 _FREE = "ssha + sea_state_bias_ku + iono_corr_alt_ku + range_ku"
 
@@ -126,11 +126,19 @@ def _tandem_driver(spark, sf_dir):
     return steps.tandem_tables(a, b, "j2j3").select("id", "id_j3", r6("swh_ku").alias("swh_ku"), r6("swh_ku_j3").alias("swh_ku_j3"))
 
 
-@query("J11_difference_driver", "SELECT cycle + 1 AS cycle, 'collinear' AS kind, count(*) AS n FROM (SELECT id, cycle - 1 AS cycle FROM tracks WHERE ((id * 37) % 1250) / 100e0 > 0 AND ((id * 61 + 7) % 1250) / 100e0 > 0 AND ((id * 53) % 2100) / 100e0 > 0 AND ((id * 71 + 3) % 2100) / 100e0 > 0) GROUP BY cycle")
+#: Every record in every third cycle, which has no next one; and its copy some metres off in the cycle before, with other waves and wind.
+_PAIRED = "paired AS (SELECT *, ((id * 61 + 7) % 1250) / 100e0 AS s, ((id * 71 + 3) % 2100) / 100e0 AS w FROM full_)"
+_COPIES = f"cz AS (SELECT 3 * cycle - 1 AS cycle, {_bm3_sql('s', 'w')} + ((id * 19) % 100) / 10000e0 - usla_ku AS z FROM paired WHERE swh_ku > 0 AND s > 0 AND wind_speed_alt > 0 AND w > 0)"
+_OWN = [_X_CTES[0], _X_CTES[1].replace("abs(b.cycle - a.cycle) <= 1", "b.cycle = a.cycle"), *_X_CTES[2:], *difference_sql("xw", "xq", GRID, "a0, z")]
+
+
+@query("J11_difference_driver", with_sql([*_OWN, _PAIRED, _COPIES], f"SELECT cycle, 'collinear' AS kind, count(*) AS n, {_r('sum(z)', 'z')} FROM cz GROUP BY cycle UNION ALL SELECT CAST(3 * f.cycle AS INT), 'crossover', count(*), {_r('sum(z)', 'z')} FROM (SELECT DISTINCT id, a0, z FROM xw) x JOIN full_ f ON f.id = x.a0 GROUP BY f.cycle"))
 def _difference_driver(spark, sf_dir):
-    """Every cycle has a next one but the last, in which no record has a partner; its crossovers are counted by the fits' queries."""
-    d = steps.differences(_again(spark, sf_dir), GRID, MISSION, radius=1000.0)
-    return d.where("kind = 'collinear'").groupBy("cycle", "kind").agg(F.count(F.lit(1)).alias("n"))
+    """Copies meet the next cycle, whose own records then have crossovers among themselves."""
+    points = _again(spark, sf_dir)
+    points = points.withColumn("cycle", F.when(F.col("id") < 10000000, F.col("cycle") * 3).otherwise(F.col("cycle") * 3 - 4))
+    d = steps.differences(points, GRID, MISSION, radius=1000.0, crossing_radius=400000.0, max_days=3.0)
+    return d.groupBy("cycle", "kind").agg(F.count(F.lit(1)).alias("n"), r6(F.sum("z")).alias("z"))
 
 
 # --- the model applied --------------------------------------------------------------------------------------------
@@ -175,10 +183,17 @@ def _copy(spark, sf_dir):
     return _applied(spark, o).select("id", r6("usla_ku").alias("usla"))
 
 
-@query("S20_file_keys", "SELECT * FROM (VALUES ('rms_rws', 'rms_ws'), ('rms_rw', 'rms_w'), ('rms_wx', 'rms_w'), ('rms_Ewr', 'rms_Ew'), ('rms_rs', 'rms_s'), ('rms_r', NULL), ('rng_corr', NULL), ('smth_swh', 'smth_swh'), (NULL, NULL)) t(err, stored)", plain=True)
+_ERRS = ("rms_rws", "rms_rw", "rms_wx", "rms_Ewr", "rms_rs", "rms_r", "rng_corr", "smth_swh", None)
+
+
+@query("S20_file_keys", "SELECT t.err, t.stored, count(*) AS n FROM (VALUES (0, 'rms_rws', 'rms_ws'), (1, 'rms_rw', 'rms_w'), (2, 'rms_wx', 'rms_w'), (3, 'rms_Ewr', 'rms_Ew'), (4, 'rms_rs', 'rms_s'), (5, 'rms_r', NULL), (6, 'rng_corr', NULL), (7, 'smth_swh', 'smth_swh'), (8, NULL, NULL)) t(k, err, stored) JOIN obs ON obs.id % 9 = t.k GROUP BY ALL")
 def _keys(spark, sf_dir):
-    rows = [(e, catalog.partition_keys("j2", "dir", "usla", err=e)["err"]) for e in ("rms_rws", "rms_rw", "rms_wx", "rms_Ewr", "rms_rs", "rms_r", "rng_corr", "smth_swh", None)]
-    return spark.createDataFrame(rows, "err string, stored string")
+    """Records of each perturbation, written under the key that it is stored by and read from there."""
+    stored = spark.createDataFrame([(k, e, catalog.partition_keys("j2", "dir", "usla", err=e)["err"]) for k, e in enumerate(_ERRS)], "k long, err string, stored string")
+    path = shared_dir(spark, "keys")
+    o = observations(spark, sf_dir).select(F.pmod("id", F.lit(9)).cast("long").alias("k"), "id")
+    o.join(F.broadcast(stored), "k").select("id", "err", "stored").write.partitionBy("stored").parquet(path)
+    return spark.read.schema("id long, err string, stored string").parquet(path).groupBy("err", "stored").agg(F.count(F.lit(1)).alias("n"))
 
 
 _CATALOG = """

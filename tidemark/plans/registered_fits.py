@@ -11,7 +11,7 @@ from ..operators import grid as grids
 from ..operators.grid import Axis, Grid
 from . import steps
 from .fixture import observations, tracks
-from .registered import _COLLINEAR, _CROSS, _GAUSS, _STEP, CUBE, GRID, MISSION, SMALL, _direct, _model, _points, _r, query, r6
+from .registered import _COLLINEAR, _CROSS, _GAUSS, _STEP, CUBE, GRID, MISSION, SMALL, _direct, _points, _r, bins, bins_sql, query, r6
 
 #: A grid that a few hundred pairs fill.
 TINY = Grid(Axis(0.0, 6.5, 3), Axis(0.0, 10.5, 3))
@@ -299,18 +299,23 @@ def _calibration(spark, sf_dir):
 
 # --- smoothing ----------------------------------------------------------------------------------------------------
 
-_KNOWN = "known AS (SELECT n::INT AS node, sin(n * 1e0) AS value, 0.1e0 + ((n * 7) % 10) / 100e0 AS error FROM (SELECT unnest(range(0, 210)) AS n) WHERE n % 11 <> 3)"
+_KNOWN = f"{bins_sql(GRID)}, known AS (SELECT node, value, error FROM bins WHERE node % 11 <> 3)"
+
+
+def _known(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A model of record means, of which some nodes are unknown."""
+    return bins(spark, sf_dir, GRID).withColumn("value", F.when(F.col("node") % 11 != 3, F.col("value")))
 
 
 @query("L7_cubic_fit", with_sql([_KNOWN, *smoothed_sql("sm", "known", GRID)], f"SELECT i AS term, {_r('value', 'c')} FROM sm_c"))
 def _cubic(spark, sf_dir):
-    c = smooth.cubic_fit(_model(spark, GRID))
+    c = smooth.cubic_fit(_known(spark, sf_dir))
     return spark.createDataFrame([(i, float(v)) for i, v in enumerate(c)], "term int, c double").select("term", r6("c").alias("c"))
 
 
 @query("L8_smoothed_grid", with_sql([_KNOWN, *smoothed_sql("sm", "known", GRID)], f"SELECT node, {_r('raw', 'raw')}, {_r('value', 'value')} FROM sm"))
 def _smoothed(spark, sf_dir):
-    return smooth.smooth(_model(spark, GRID), GRID)[0].select("node", r6("raw").alias("raw"), r6("value").alias("value"))
+    return smooth.smooth(_known(spark, sf_dir), GRID)[0].select("node", r6("raw").alias("raw"), r6("value").alias("value"))
 
 
 

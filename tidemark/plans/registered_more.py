@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 
 from ..functions import physics, variables
 from ..functions.geodesy import intersection
-from ..operators import evaluate, filters, levels, lsq, match, windows
+from ..operators import evaluate, filters, levels, lsq, match, triangles, windows
 from ..operators import grid as grids
 from ..sources import tables
 from ..storage import shared_dir as _shared
 from . import steps
 from .fixture import observations, tracks
-from .registered import _BETA, _LATW, _STEP, _W, GRID, MISSION, SMALL, _direct, _noise_sql, _r, query, r6
+from .registered import _BETA, _LATW, _STEP, _W, CUBE, GRID, MISSION, SMALL, _direct, _noise_sql, _r, bins, bins_sql, query, r6
 
 
 @query("S4_observation_tables", f"WITH {_W} SELECT cycle, node, count(*) AS n FROM w GROUP BY cycle, node")
@@ -31,25 +31,29 @@ def _geo_model(spark, sf_dir):
     return spark.read.parquet(f"{path}/model_geo").select("cycle", "geo_cell", "level")
 
 
-@query("S22_model_bands", f"SELECT CAST(n AS INT) AS node, {_r('n * 0.001e0', 'ku')}, {_r('n * 0.002e0', 'c')}, {_r('-3.0e0 * 0.01216e0', 'calibration')} FROM (SELECT unnest(range(0, 42)) AS n)", plain=True)
+@query("S22_model_bands", f"WITH {bins_sql(SMALL)} SELECT CAST(g.n AS INT) AS node, {_r('value', 'ku')}, {_r('c', 'c')}, {_r('(SELECT avg(iono_corr_gim_ku) FROM obs) * -0.01216e0', 'calibration')} FROM (SELECT unnest(range(0, 42)) AS n) g LEFT JOIN bins ON bins.node = g.n")
 def _bands(spark, sf_dir):
-    n = grids.nodes(spark, SMALL)
-    meta = spark.createDataFrame([(3.0,)], "iono_calib_bias double")
-    both, bias = tables.model_bands({"model_node": n.withColumn("value", F.col("node") * 0.001), "model_meta": meta}, {"model_node": n.withColumn("value", F.col("node") * 0.002)})
+    b = bins(spark, sf_dir, SMALL)
+    meta = observations(spark, sf_dir).agg(F.avg("iono_corr_gim_ku").alias("iono_calib_bias"))
+    both, bias = tables.model_bands({"model_node": b.select("node", "value"), "model_meta": meta}, {"model_node": b.select("node", F.col("c").alias("value"))})
     return both.select("node", r6("ku").alias("ku"), r6("c").alias("c"), r6(F.lit(bias)).alias("calibration"))
 
 
-@query("S22_error_bands", f"SELECT CAST(n AS INT) AS node, {_r('CASE WHEN n >= 3 THEN sqrt((n - 3) * 0.001e0) END', 'ku')}, {_r('sqrt(n * 0.002e0)', 'c')} FROM (SELECT unnest(range(0, 42)) AS n)", plain=True)
+@query("S22_error_bands", f"WITH {bins_sql(SMALL)} SELECT CAST(g.n AS INT) AS node, {_r('CASE WHEN value >= 0 THEN sqrt(value) END', 'ku')}, {_r('CASE WHEN c >= 0 THEN sqrt(c) END', 'c')} FROM (SELECT unnest(range(0, 42)) AS n) g LEFT JOIN bins ON bins.node = g.n")
 def _error_bands(spark, sf_dir):
-    n = grids.nodes(spark, SMALL)
-    both = tables.error_bands(n.withColumn("value", (F.col("node") - 3) * 0.001), n.withColumn("value", F.col("node") * 0.002))
+    """Means of either sign stand for the variances, so that some have no deviation."""
+    b = bins(spark, sf_dir, SMALL)
+    both = tables.error_bands(b.select("node", "value"), b.select("node", F.col("c").alias("value")))
     return both.select("node", r6("error_ku").alias("ku"), r6("error_c").alias("c"))
 
 
-@query("P12_tandem_partner", "SELECT * FROM (VALUES ('tx', 'txj1', 'j1'), ('j1', 'txj1', 'tx'), ('j1', 'j1j2', 'j2'), ('j2', 'j1j2', 'j1'), ('j2', 'j2j3', 'j3'), ('j3', 'j2j3', 'j2'), ('j3', 'j3s6A', 's6A'), ('s6A', 'j3s6A', 'j3')) t(mission, phase, partner)", plain=True)
+@query("P12_tandem_partner", "SELECT t.mission, t.phase, t.partner, count(*) AS n FROM (VALUES (0, 'tx', 'txj1', 'j1'), (1, 'j1', 'txj1', 'tx'), (2, 'j1', 'j1j2', 'j2'), (3, 'j2', 'j1j2', 'j1'), (4, 'j2', 'j2j3', 'j3'), (5, 'j3', 'j2j3', 'j2'), (6, 'j3', 'j3s6A', 's6A'), (7, 's6A', 'j3s6A', 'j3')) t(k, mission, phase, partner) JOIN obs ON obs.id % 8 = t.k GROUP BY ALL")
 def _partner(spark, sf_dir):
-    rows = [(m, p) for p, ms in {"txj1": ("tx", "j1"), "j1j2": ("j1", "j2"), "j2j3": ("j2", "j3"), "j3s6A": ("j3", "s6A")}.items() for m in ms]
-    return spark.createDataFrame([(m, p, variables.partner(m, p)) for m, p in rows], "mission string, phase string, partner string")
+    """Records, dealt to the missions of every phase, by the mission they meet."""
+    sides = [(m, p) for p, ms in {"txj1": ("tx", "j1"), "j1j2": ("j1", "j2"), "j2j3": ("j2", "j3"), "j3s6A": ("j3", "s6A")}.items() for m in ms]
+    met = spark.createDataFrame([(k, m, p, variables.partner(m, p)) for k, (m, p) in enumerate(sides)], "k long, mission string, phase string, partner string")
+    o = observations(spark, sf_dir).groupBy(F.pmod("id", F.lit(8)).cast("long").alias("k")).agg(F.count(F.lit(1)).alias("n"))
+    return o.join(met, "k").select("mission", "phase", "partner", "n")
 
 
 @query("P13_bracketed_values", f"SELECT a.id, {_r('a.swh_ku * 0.25e0 + b.swh_ku * 0.75e0', 'swh')}, {_r('b.swh_ku * 0.4e0 + c.swh_ku * 0.6e0', 'swh_d')}, {_r('b.lat * 0.4e0 + c.lat * 0.6e0', 'lat_d')} FROM tracks a JOIN tracks b ON b.id = a.id + 1 JOIN tracks c ON c.id = a.id + 2")
@@ -118,6 +122,50 @@ def _retrograde(spark, sf_dir):
 _N = "sin({n} * 1.0e0)"
 
 
+def _across_sql(known: str, grid: grids.Grid) -> str:
+    """CTE across (id, p, v): known nodes (p, node, v) of each plane evaluated at the records, by brute force over edges and points.
+
+    A triangle is one that each of its edges chooses, of all points on the edge's left.
+    """
+    nx, sx, sy = grid.x.count, grid.x.step, grid.y.step
+    cross = lambda a, b, c: f"(({b}.x - {a}.x) * ({c}.y - {a}.y) - ({b}.y - {a}.y) * ({c}.x - {a}.x))"
+    fold = f"(c.l - a.l - (b.l - a.l) * ((b.x - a.x) * (c.x - a.x) + (b.y - a.y) * (c.y - a.y)) / ((b.x - a.x) * (b.x - a.x) + (b.y - a.y) * (b.y - a.y))) / {cross('a', 'b', 'c')}"
+    return f"""k0 AS (SELECT p, node, v, (node % {nx}) * {sx!r}::DOUBLE AS x, (node // {nx}) * {sy!r}::DOUBLE AS y FROM {known}),
+k AS (SELECT *, x * x + y * y + {sx * sy * 1e-6!r}::DOUBLE * ((node * node) % 1009) / 1009 AS l FROM k0),
+third AS (SELECT a.p, a.node AS a, b.node AS b, arg_min(c.node, {fold}) AS c FROM k a JOIN k b ON a.p = b.p AND a.node <> b.node JOIN k c ON c.p = a.p AND {cross('a', 'b', 'c')} > 1e-6 GROUP BY ALL),
+tri AS (SELECT e.* FROM third e JOIN third f ON f.p = e.p AND f.a = e.b AND f.b = e.c AND f.c = e.a JOIN third g ON g.p = e.p AND g.a = e.c AND g.b = e.a AND g.c = e.b WHERE e.a < e.b AND e.a < e.c),
+o AS (SELECT id, swh_ku AS x, wind_speed_alt AS y FROM obs),
+part AS (SELECT t.p, o.id, {cross('o', 'b', 'c')} / {cross('a', 'b', 'c')} AS wa, {cross('o', 'c', 'a')} / {cross('a', 'b', 'c')} AS wb, {cross('o', 'a', 'b')} / {cross('a', 'b', 'c')} AS wc, a.v AS va, b.v AS vb, c.v AS vc FROM tri t JOIN k a ON a.p = t.p AND a.node = t.a JOIN k b ON b.p = t.p AND b.node = t.b JOIN k c ON c.p = t.p AND c.node = t.c JOIN o ON o.x BETWEEN least(a.x, b.x, c.x) AND greatest(a.x, b.x, c.x) AND o.y BETWEEN least(a.y, b.y, c.y) AND greatest(a.y, b.y, c.y)),
+flat AS (SELECT p, id, max(wa * va + wb * vb + wc * vc) AS v FROM part WHERE least(wa, wb, wc) >= -1e-9 GROUP BY p, id),
+cell AS (SELECT *, least(CAST(floor(x / {sx!r}::DOUBLE) AS INT), {nx - 2}) AS i, least(CAST(floor(y / {sy!r}::DOUBLE) AS INT), {grid.y.count - 2}) AS j FROM o),
+full4 AS (SELECT c.id, k.p, sum(k.v * (1 - abs(c.x - k.x) / {sx!r}::DOUBLE) * (1 - abs(c.y - k.y) / {sy!r}::DOUBLE)) AS v FROM cell c JOIN k ON k.node IN (c.i + c.j * {nx}, c.i + 1 + c.j * {nx}, c.i + (c.j + 1) * {nx}, c.i + 1 + (c.j + 1) * {nx}) GROUP BY c.id, k.p HAVING count(*) = 4),
+across AS (SELECT coalesce(b.id, f.id) AS id, coalesce(b.p, f.p) AS p, coalesce(b.v, f.v) AS v FROM full4 b FULL JOIN flat f ON f.id = b.id AND f.p = b.p)"""
+
+
+_HOLES = "ix BETWEEN 4 AND 7 AND iy BETWEEN 5 AND 9 OR (ix * ix + 3 * iy) % 5 = 0 OR ix + iy > 22"
+
+
+@query("E1_across_gaps", f"WITH {bins_sql(GRID)}, known AS (SELECT 0 AS p, node, value AS v FROM (SELECT *, node % 14 AS ix, node // 14 AS iy FROM bins) WHERE NOT ({_HOLES})), {_across_sql('known', GRID)} SELECT obs.id, {_r('v', 'v')} FROM obs LEFT JOIN across ON across.id = obs.id")
+def _across(spark, sf_dir):
+    """A model with single unknown nodes, a hole of twenty, and a corner beyond its hull, at every record."""
+    m = bins(spark, sf_dir, GRID).withColumn("value", F.when(~F.expr(_HOLES), F.col("value")))
+    return observations(spark, sf_dir).select("id", r6(triangles.across_gaps(m, GRID, F.col("swh_ku"), F.col("wind_speed_alt"))).alias("v"))
+
+
+_HOLES_3 = "ix IN (2, 3) AND iy IN (2, 3, 4) OR (ix * ix + 3 * iy + iz) % 7 = 0"
+_PLANES = f"known AS (SELECT p, node, v FROM (SELECT q.p, node, node % 6 AS ix, node // 6 AS iy, q.p AS iz, value * (1 + q.p) AS v FROM bins, (SELECT unnest(range(0, 5)) AS p) q) WHERE NOT ({_HOLES_3}))"
+_DEPTH = "d AS (SELECT id, least(CAST(floor((sig0_ku - 10e0) / 2.5e0) AS INT), 3) AS k, (sig0_ku - 10e0) / 2.5e0 - least(CAST(floor((sig0_ku - 10e0) / 2.5e0) AS INT), 3) AS f FROM obs)"
+
+
+@query("E2_across_gaps", f"WITH {bins_sql(SMALL)}, {_PLANES}, {_across_sql('known', SMALL)}, {_DEPTH} SELECT d.id, {_r('CASE WHEN f = 0 THEN a.v WHEN f = 1 THEN b.v ELSE a.v * (1 - f) + b.v * f END', 'v')} FROM d LEFT JOIN across a ON a.id = d.id AND a.p = d.k LEFT JOIN across b ON b.id = d.id AND b.p = d.k + 1")
+def _across_planes(spark, sf_dir):
+    flat = bins(spark, sf_dir, SMALL).select(F.col("node").alias("__flat"), F.col("value").alias("__v"))
+    m = grids.nodes(spark, CUBE).join(F.broadcast(flat), F.col("node") % 42 == F.col("__flat"))  # bounded by the grid
+    m = m.withColumn("value", F.when(~F.expr(_HOLES_3), F.col("__v") * (1 + F.col("iz"))))
+    v = triangles.across_gaps(m, CUBE, F.col("swh_ku"), F.col("wind_speed_alt"), F.col("sig0_ku"))
+    return observations(spark, sf_dir).select("id", r6(v).alias("v"))
+
+
 @query("E3_half_open_bilinear", f"""WITH c AS (SELECT id, CAST(floor(swh_ku) AS INT) AS i, CAST(floor(wind_speed_alt / 1.5e0) AS INT) AS j, swh_ku, wind_speed_alt FROM obs WHERE swh_ku < 13 AND wind_speed_alt < 21),
 f AS (SELECT id, swh_ku - i AS x, wind_speed_alt / 1.5e0 - j AS y, {_N.format(n='(i + j * 14)')} AS a, {_N.format(n='(i + 1 + j * 14)')} AS b, {_N.format(n='(i + (j + 1) * 14)')} AS c, {_N.format(n='(i + 1 + (j + 1) * 14)')} AS d FROM c)
 SELECT id, {_r('a * (1 - x) * (1 - y) + b * x * (1 - y) + c * (1 - x) * y + d * x * y', 'v')} FROM f""")

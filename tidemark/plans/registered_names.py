@@ -254,30 +254,44 @@ def _pairs(text: str) -> list[tuple[str, str]]:
     return [tuple(line.split()) for line in text.strip().splitlines()]
 
 
-def _product(spark, paths: set[str]):
-    """One record whose columns, nested by group, hold their own names."""
-    one = {p: F.lit(p) for p in sorted(paths)}
+def _product(spark, sf_dir, paths: list[str]):
+    """The records as a product: nested by group, the k-th column holding the record's number times k."""
+    one = {p: (F.col("id") * (k + 1)) for k, p in enumerate(paths)}
     nested = [F.struct(*[v.alias(p[len(g) + 1 :]) for p, v in one.items() if p.startswith(f"{g}.")]).alias(g) for g in ("ku", "c") if any(p.startswith(f"{g}.") for p in one)]
-    return spark.range(1).select(*[v.alias(p) for p, v in one.items() if "." not in p], *nested)
+    return observations(spark, sf_dir).select(*[v.alias(p) for p, v in one.items() if "." not in p], *nested)
 
 
 def _names(version: int, mission: str, text: str):
     def run(spark, sf_dir):
+        """Sums of the canonical columns, each of which tells the product column that it was read from."""
         pairs = _pairs(text)
-        found = catalog.canonical(_product(spark, {p for _, p in pairs}), [n for n, _ in pairs], version, mission)
-        return found.unpivot([], found.columns, "name", "path")
+        paths = sorted({p for _, p in pairs})
+        found = catalog.canonical(_product(spark, sf_dir, paths), [n for n, _ in pairs], version, mission)
+        return found.agg(*[F.sum(c).alias(c) for c in found.columns]).unpivot([], found.columns, "name", "total")
 
     return run
 
 
+def _names_sql(text: str) -> str:
+    pairs = _pairs(text)
+    paths = sorted({p for _, p in pairs})
+    return "SELECT name, CAST(sum(id * k) AS BIGINT) AS total FROM obs, (VALUES " + ", ".join(f"('{n}', {paths.index(p) + 1})" for n, p in pairs) + ") t(name, k) GROUP BY name"
+
+
 for _label, (_version, _mission, _text) in EXPECTED.items():
-    query(f"P1_{_label}", "SELECT * FROM (VALUES " + ", ".join(f"('{n}', '{p}')" for n, p in _pairs(_text)) + ") t(name, path)", plain=True)(_names(_version, _mission, _text))
+    query(f"P1_{_label}", _names_sql(_text))(_names(_version, _mission, _text))
+
+
+_NESTED = [(m, n, p.split(".")[0] if "." in p else "") for _, (v, m, t) in EXPECTED.items() if v == 3 for n, p in _pairs(t)]
 
 
-@query("P2_bands", "SELECT * FROM (VALUES " + ", ".join(f"('{m}', '{n}', '{p.split('.')[0] if '.' in p else ''}')" for _, (v, m, t) in EXPECTED.items() if v == 3 for n, p in _pairs(t)) + ") t(mission, name, band)", plain=True)
+@query("P2_bands", "SELECT mission, name, band, count(*) AS n FROM obs JOIN (VALUES " + ", ".join(f"({k}, '{m}', '{n}', '{b}')" for k, (m, n, b) in enumerate(_NESTED)) + f") t(k, mission, name, band) ON obs.id % {len(_NESTED)} = t.k GROUP BY ALL")
 def _bands(spark, sf_dir):
-    rows = [(m, n, b) for v, m, t in EXPECTED.values() if v == 3 for b, found in catalog.bands([n for n, _ in _pairs(t)], 3, m).items() for n in found]
-    return spark.createDataFrame(rows, "mission string, name string, band string")
+    """Records dealt to canonical names, by the group that the name is in."""
+    of = {(m, n): b for v, m, t in EXPECTED.values() if v == 3 for b, found in catalog.bands([n for n, _ in _pairs(t)], 3, m).items() for n in found}
+    groups = spark.createDataFrame([(k, m, n, of[m, n]) for k, (m, n, _) in enumerate(_NESTED)], "k long, mission string, name string, band string")
+    o = observations(spark, sf_dir).groupBy(F.pmod("id", F.lit(len(_NESTED))).cast("long").alias("k")).agg(F.count(F.lit(1)).alias("n"))
+    return o.join(groups, "k").select("mission", "name", "band", "n")
 
 
 @query("P3_adaptive_anomaly", f"SELECT id, {_r('usla_ku + (range_ku - (range_ku - 0.1e0 * swh_ku)) + (iono_corr_alt_ku - iono_corr_gim_ku) + (sea_state_bias_ku - sea_state_bias_c)', 'ssha')} FROM obs")
