@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tidemark import registry
 from tidemark.functions import geodesy, physics, variables
-from tidemark.operators import design, evaluate, filters, levels, lsq, match, outliers, smooth, windows
+from tidemark.operators import design, evaluate, filters, levels, lsq, match, outliers, smooth, triangles, windows
 from tidemark.operators import grid as grids
 from tidemark.operators.grid import Axis, Grid
 from tidemark.plans import registered, steps
@@ -654,3 +654,39 @@ def test_optional_parts_can_be_missing(tmp_path):
     (tmp_path / "corpus_pipeline.py").unlink()
     code = "import __spark_entry__ as e; q, o = e.queries(), e.oracle_sql(); assert len(q) > 80 and set(o) <= set(q) and not any(n.startswith('op') or n == 'pipeline' for n in q)"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"}, check=True)
+
+
+def test_triangles_have_empty_circles():
+    rng = np.random.default_rng(4)
+    at = np.flatnonzero(rng.random(20 * 15) < 0.5)
+    x, y = at % 20 * 1.0, at // 20 * 1.5
+    found = triangles.triangulate(x, y, 1e-6 * (at * at % 1009) / 1009)
+    area = lambda t: ((x[t[1]] - x[t[0]]) * (y[t[2]] - y[t[0]]) - (x[t[2]] - x[t[0]]) * (y[t[1]] - y[t[0]])) / 2
+    for t in found:
+        m = np.array([[x[t[k]] - x[t[0]], y[t[k]] - y[t[0]]] for k in (1, 2)])
+        centre = np.linalg.solve(2 * m, (m * m).sum(axis=1)) + [x[t[0]], y[t[0]]]
+        assert np.hypot(x - centre[0], y - centre[1]).min() > np.hypot(x[t[0]] - centre[0], y[t[0]] - centre[1]) - 1e-6
+    # they cover the hull of the nodes once: as many as Euler's formula says, and no edge twice in one direction
+    edges = {(t[k], t[(k + 1) % 3]) for t in found for k in range(3)}
+    rim = [e for e in edges if e[::-1] not in edges]
+    assert len(edges) == 3 * len(found) and len(found) == 2 * len(at) - 2 - len(rim) and all(area(t) > 0 for t in found)
+
+
+@pytest.mark.parametrize("known, inside", [(lambda i, j: (i + j) % 3 != 1, True), (lambda i, j: i == 2, False), (lambda i, j: False, False), (lambda i, j: (i, j) in ((0, 0), (4, 0), (0, 3)), None)])
+def test_planes_across_gaps(spark, known, inside):
+    """A plane comes back wherever the hull of the known nodes is; nodes in line, or none, give nothing."""
+    model = spark.createDataFrame([(i + 5 * j, 2.0 * i - 3.0 * (2 * j) + 1 if known(i, j) else None) for i in range(5) for j in range(4)], "node int, value double")
+    places = [(0.5 * a, 0.75 * b) for a in range(9) for b in range(9)] + [(4.5, 1.0), (-0.1, 1.0), (None, 1.0), (float("nan"), 1.0)]
+    df = spark.createDataFrame(places, "x double, y double")
+    got = df.select("x", "y", triangles.across_gaps(model, G, F.col("x"), F.col("y")).alias("v")).collect()
+    for r in got:
+        beyond = r.x is None or not (0 <= r.x <= 4 and 0 <= r.y <= 6)
+        if inside is None:
+            beyond = beyond or r.x / 4 + r.y / 6 > 1 + 1e-9
+        if inside is not False and not beyond:
+            if r.v is not None or inside is None:
+                assert r.v == pytest.approx(2 * r.x - 3 * r.y + 1, abs=1e-9)
+        elif beyond or (inside is False and not (known(2, 0) and r.x == 2)):
+            assert r.v is None
+    if inside:
+        assert sum(r.v is not None for r in got) > 60

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import physics
-from ..operators import evaluate, windows
+from ..operators import evaluate, triangles, windows
 from ..operators.grid import Grid
 from ..sources import tables
 
@@ -14,14 +14,14 @@ from ..sources import tables
 LEAST, SIZE = 100, 21
 
 
-def applied(df: DataFrame, models: dict[str, DataFrame], grid: Grid, *, calibration: float = 0.0, by: tuple[str, ...] = ("cycle", "pass_number"), max_step: float | None = 1.2) -> DataFrame:
+def applied(df: DataFrame, models: dict[str, DataFrame], grid: Grid, *, calibration: float = 0.0, by: tuple[str, ...] = ("cycle", "pass_number"), max_step: float | None = 1.2, gaps: bool = False) -> DataFrame:
     """Track records with the columns that the models give.
 
     models: nodes (node, value) of `ku` and `c`, and of the deviations `error_ku` and `error_c`. New columns, for b of ku
     (no suffix) and c (_c): ssb_model, with a random error ssb_model_err, the error itself err_ssb_ku and err_ssb_c;
     ssb_cls_err where the product has ssb_cls; iono_model and iono_cls with errors and smoothed (_err, _smooth,
     _smooth_err), iono_cls_total_err with those of the ranges too; err_range_ku and err_range_c. What the product does not
-    allow is NULL; without a C-band bias the product's own ionosphere stands for iono_cls. Records without wave heights
+    allow is NULL; with `gaps` models reach across their unknown nodes; without a C-band bias the product's own ionosphere stands for iono_cls. Records without wave heights
     come back as they are.
     """
     if "swh_ku" not in df.columns:
@@ -30,7 +30,8 @@ def applied(df: DataFrame, models: dict[str, DataFrame], grid: Grid, *, calibrat
     none = F.lit(None).cast("double")
     has = lambda c: F.col(c) if c in df.columns else none
     x, y = F.col("swh_ku"), F.col("wind_speed_alt")
-    at = {k: evaluate.bilinear(evaluate.node_array(m, grid), grid, x, y) for k, m in models.items()}
+    model = (lambda m: triangles.across_gaps(m, grid, x, y)) if gaps else (lambda m: evaluate.bilinear(evaluate.node_array(m, grid), grid, x, y))
+    at = {k: model(m) for k, m in models.items()}
     out = df.select(*own, at["ku"].alias("ssb_model"), at["c"].alias("ssb_model_c"), at["error_ku"].alias("__ku"), at["error_c"].alias("__c"))
     seeds = {"err_ssb_ku": ("__ku", 21), "err_ssb_c": ("__c", 22), "err_range_ku": ("range_rms_ku", 23), "err_range_c": ("range_rms_c", 24)}
     out = out.withColumns({name: physics.noise(F.col("id"), F.col(sigma), seed) if sigma in out.columns else none for name, (sigma, seed) in seeds.items()})

@@ -11,7 +11,7 @@ from ..operators import grid as grids
 from ..operators.grid import Axis, Grid
 from . import steps
 from .fixture import observations, tracks
-from .registered import _COLLINEAR, _CROSS, _GAUSS, _STEP, CUBE, GRID, MISSION, SMALL, _direct, _points, _r, bins, bins_sql, query, r6
+from .registered import _COLLINEAR, _CROSS, _GAUSS, _STEP, _noise_sql, CUBE, GRID, MISSION, SMALL, _direct, _points, _r, bins, bins_sql, query, r6
 
 #: A grid that a few hundred pairs fill.
 TINY = Grid(Axis(0.0, 6.5, 3), Axis(0.0, 10.5, 3))
@@ -276,25 +276,54 @@ def _levels(spark, sf_dir):
     return spark.createDataFrame([(int(k), float(v), float(bias)) for k, v, _ in by_cycle if v == v], "cycle int, level double, bias double").select("cycle", r6("level").alias("level"), r6("bias").alias("bias"))
 
 
-_IONO = [
-    "wave AS (SELECT id, cycle, time, -0.2e0 + 0.15e0 * sin(time / 200000e0) AS gim, ((id * 13) % 100) / 2000e0 AS noise FROM obs WHERE swh_ku <= 13 AND wind_speed_alt <= 21)",
-    "io AS (SELECT *, gim - 0.03e0 + noise AS iono FROM wave)",
-    "sm AS (SELECT cycle, gim, CASE WHEN n = 21 THEN m END AS alt FROM (SELECT cycle, gim, avg(iono) OVER w AS m, count(*) OVER w AS n FROM io WINDOW w AS (PARTITION BY cycle ORDER BY time ROWS BETWEEN 10 PRECEDING AND 10 FOLLOWING)))",
-    *[f"{c}_v AS (SELECT cycle, {c} * ({physics.KU_HZ**2 / -40.3 / 1e16!r}::DOUBLE) AS v FROM sm WHERE alt IS NOT NULL)" for c in ("alt", "gim")],
-    *tail_sql("alt_f", "alt_v", "tec", (1.0, 10.0), "tail", "mid", 1),
-    *tail_sql("gim_f", "gim_v", "tec", (1.0, 10.0), "tail", "mid", 1),
-]
+def _iono_sql(seen: str, prefix: str = "") -> list[str]:
+    """CTEs <prefix>alt_f and <prefix>gim_f: straight lines through the tails of both TEC histograms of rows (cycle, time, gim, iono)."""
+    return [
+        f"{prefix}sm AS (SELECT cycle, CASE WHEN n = 21 THEN g END AS gim, CASE WHEN n = 21 THEN m END AS alt FROM (SELECT cycle, avg(iono) OVER w AS m, avg(gim) OVER w AS g, count(*) OVER w AS n FROM {seen} WINDOW w AS (PARTITION BY cycle ORDER BY time ROWS BETWEEN 10 PRECEDING AND 10 FOLLOWING)))",
+        *[f"{prefix}{c}_v AS (SELECT cycle, {c} * ({physics.KU_HZ**2 / -40.3 / 1e16!r}::DOUBLE) AS v FROM {prefix}sm WHERE alt IS NOT NULL)" for c in ("alt", "gim")],
+        *[x for c in ("alt", "gim") for x in tail_sql(f"{prefix}{c}_f", f"{prefix}{c}_v", "tec", (1.0, 10.0), "tail", "mid", 1)],
+    ]
 
 
-@query("I2_iono_calibration", with_sql(_IONO, f"SELECT a.cycle, {_r('a.value', 'alt')}, {_r('g.value', 'gim')}, {_r(f'avg(a.value - g.value) OVER () * ({physics.TEC_TO_METRES!r}::DOUBLE)', 'bias')} FROM alt_f a JOIN gim_f g ON g.cycle = a.cycle WHERE a.i = 0 AND g.i = 0"))
-def _calibration(spark, sf_dir):
-    # an ionosphere that changes slowly, and a C-band range that shows it with noise and a bias
+_WAVE = "-0.2e0 + 0.15e0 * sin(time / 200000e0)"
+_SEEN = f"({_WAVE} - 0.03e0 + ((id * 13) % 100) / 2000e0)"
+_IONO = [f"io AS (SELECT id, cycle, time, {_WAVE} AS gim, {_SEEN} AS iono FROM obs WHERE swh_ku <= 13 AND wind_speed_alt <= 21)", *_iono_sql("io")]
+
+
+def _calibrated(spark, found: tuple[list[tuple], float]) -> DataFrame:
+    by_cycle, bias = found
+    rows = [(int(k), float(a), float(g), float(bias) * physics.TEC_TO_METRES) for k, a, g in by_cycle if a == a and g == g]
+    return spark.createDataFrame(rows, "cycle int, alt double, gim double, bias double").select("cycle", *[r6(c).alias(c) for c in ("alt", "gim", "bias")])
+
+
+def _seen(spark, sf_dir) -> DataFrame:
+    """Records with an ionosphere that changes slowly, and a C-band range that shows it with noise and a bias."""
     gim = F.lit(-0.2) + F.lit(0.15) * F.sin(F.col("time") / 200000.0)
     seen = gim - 0.03 + F.pmod(F.col("id") * 13, F.lit(100)) / 2000.0
-    rows = observations(spark, sf_dir).withColumn("iono_corr_gim_ku", gim).withColumn("range_ku", F.lit(0.0)).withColumn("range_c", -seen * (physics.KU_HZ**2 - physics.C_HZ**2) / physics.C_HZ**2)
+    return observations(spark, sf_dir).withColumn("iono_corr_gim_ku", gim).withColumn("range_ku", F.lit(0.0)).withColumn("range_c", -seen * (physics.KU_HZ**2 - physics.C_HZ**2) / physics.C_HZ**2)
+
+
+@query("I2_iono_calibration", with_sql(_IONO, f"SELECT a.cycle, {_r('a.value', 'alt')}, {_r('g.value', 'gim')}, {_r(f'avg(a.value - g.value) OVER () * ({physics.TEC_TO_METRES!r}::DOUBLE)', 'bias')} FROM alt_f a JOIN gim_f g ON g.cycle = a.cycle WHERE a.i = 0 AND g.i = 0"))
+def _calibration(spark, sf_dir):
     flat = grids.nodes(spark, GRID).select("node", (F.lit(-0.03) * F.col("x")).alias("value"))
-    by_cycle, bias = steps.iono_calibration(rows, flat, flat, GRID, max_step=None)
-    return spark.createDataFrame([(int(k), float(a), float(g), float(bias) * physics.TEC_TO_METRES) for k, a, g in by_cycle if a == a and g == g], "cycle int, alt double, gim double, bias double").select("cycle", r6("alt").alias("alt"), r6("gim").alias("gim"), r6("bias").alias("bias"))
+    return _calibrated(spark, steps.iono_calibration(_seen(spark, sf_dir), flat, flat, GRID, max_step=None))
+
+
+_TO_IONO = f"({physics.C_HZ**2 / (physics.KU_HZ**2 - physics.C_HZ**2)!r}::DOUBLE)"
+_IONO_3 = [
+    f"io AS (SELECT id, cycle, time, {_WAVE} AS gim, {_SEEN} + {_TO_IONO} * ({_noise_sql('range_rms_ku', 11)} - {_noise_sql('range_rms_ku / 2', 12)} - 0.001e0 * sig0_ku) AS iono FROM obs WHERE swh_ku <= 12.5e0 AND wind_speed_alt <= 21 AND sig0_ku BETWEEN 10 AND 20)",
+    *_iono_sql("io"),
+    "mid_ AS (SELECT a0.cycle, a0.value + 5.5e0 * a1.value AS alt, g0.value + 5.5e0 * g1.value AS gim FROM alt_f a0 JOIN alt_f a1 ON a1.cycle = a0.cycle AND a1.i = 1 JOIN gim_f g0 ON g0.cycle = a0.cycle AND g0.i = 0 JOIN gim_f g1 ON g1.cycle = a0.cycle AND g1.i = 1 WHERE a0.i = 0)",
+]
+
+
+@query("I2_calibration_3d", with_sql(_IONO_3, f"SELECT cycle, {_r('alt', 'alt')}, {_r('gim', 'gim')}, {_r(f'avg(alt - gim) OVER () * ({physics.TEC_TO_METRES!r}::DOUBLE)', 'bias')} FROM mid_"))
+def _calibration_3d(spark, sf_dir):
+    """Models of three axes, ranges with random errors, levels at the middle of the cutoff."""
+    o = _seen(spark, sf_dir).withColumn("range_rms_c", F.col("range_rms_ku") / 2)
+    n = grids.nodes(spark, CUBE)
+    ku, c = (n.select("node", v.alias("value")) for v in (F.lit(-0.03) * F.col("x"), F.lit(-0.03) * F.col("x") + F.lit(0.001) * F.col("z")))
+    return _calibrated(spark, steps.iono_calibration(o, ku, c, CUBE, ranges=steps.calibration_ranges(err="rms_rws"), depth=F.col("sig0_ku"), midpoint=True, max_step=None))
 
 
 # --- smoothing ----------------------------------------------------------------------------------------------------

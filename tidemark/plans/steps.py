@@ -333,17 +333,37 @@ def fit_common_bias(rows: DataFrame, grid: Grid, *, least: int = LEAST, least_ge
     return finished(held, solved, grid, variable, rounds, False), materialize(cells, "cells")
 
 
-def iono_calibration(rows: DataFrame, ku: DataFrame, c: DataFrame, grid: Grid, *, max_step: float | None = 1.2) -> tuple[list[tuple], float]:
-    """TEC levels of the map and of the two-frequency ionosphere by cycle, and the bias between them."""
+def calibration_ranges(variable: str = "usla", err: str | None = None) -> tuple[Column, Column]:
+    """The ranges of both bands that a calibration reads: plain, with random or signed errors, or as stored with a perturbation."""
+    ku, c = F.col("range_ku"), F.col("range_c")
+    if err in (None, "plrm", "rng_corr"):
+        return ku, c
+    if err.startswith("rms_r"):
+        return ku + physics.noise(F.col("id"), F.col("range_rms_ku"), 11), c + physics.noise(F.col("id"), F.col("range_rms_c"), 12)
+    if err == "rms_Ewr":
+        sign = F.when(F.col("swh_rms_Ew") < 0, -1.0).when(F.col("swh_rms_Ew") >= 0, 1.0)
+        return ku + sign * F.col("range_rms_ku"), c + sign * F.col("range_rms_c")
+    return (ku, c) if variable == "sum_err" else (F.col(f"{variable}_{err}_ku"), F.col(f"{variable}_{err}_c"))
+
+
+def iono_calibration(rows: DataFrame, ku: DataFrame, c: DataFrame, grid: Grid, *, ranges: tuple[Column, Column] | None = None, depth: Column | None = None, midpoint: bool = False, max_step: float | None = 1.2) -> tuple[list[tuple], float]:
+    """TEC levels of the two-frequency ionosphere and of the map by cycle (cycle, alt, gim), and the bias between them.
+
+    Both are smoothed alike along the track, over the records that have both. ranges: of both bands, `calibration_ranges` for
+    perturbed ones. depth: the third axis, if the grid has one. midpoint: levels at the middle of the cutoff instead of at zero.
+    """
     values = {b: evaluate.node_array(m, grid) for b, m in (("ku", ku), ("c", c))}
-    ssb = {b: evaluate.bilinear(v, grid, F.col("swh_ku"), F.col("wind_speed_alt")) for b, v in values.items()}
-    at = rows.withColumn("iono", physics.dual_frequency_iono(F.col("range_ku"), F.col("range_c"), ssb["ku"], ssb["c"])).where(F.col("iono").isNotNull())
-    at = windows.moving_mean(at, "iono", 21, "cycle", out="iono_smooth", cut=max_step is not None, max_step=max_step).where(F.col("iono_smooth").isNotNull())
+    at = (F.col("swh_ku"), F.col("wind_speed_alt"))
+    ssb = {b: evaluate.bilinear(v, grid, *at) if grid.z is None else evaluate.trilinear(v, grid, *at, depth) for b, v in values.items()}
+    seen = rows.withColumn("iono", physics.dual_frequency_iono(*(ranges or calibration_ranges()), ssb["ku"], ssb["c"])).where(F.col("iono").isNotNull() & F.col("iono_corr_gim_ku").isNotNull())
+    means = {"iono": "__alt", "iono_corr_gim_ku": "__gim"}
+    seen = windows.moving_means(seen, means, 21, "cycle", cut=max_step is not None, max_step=max_step).where(F.col("__alt").isNotNull())
+    seen = materialize(seen.select("cycle", *means.values()), "iono-means")  # both histograms read it
     out = {}
-    for name, v in (("alt", F.col("iono_smooth")), ("gim", F.col("iono_corr_gim_ku"))):
-        h = levels.histogram(at, physics.tec_units(v), "tec", "cycle")
-        out[name] = dict((k, v) for k, v, _ in levels.levels_by(h, kind="tec", cutoff=(1.0, 10.0), linear=True))
-    by_cycle = [(k, out["alt"][k], out["gim"].get(k, float("nan"))) for k in sorted(out["alt"])]
+    for name in ("__alt", "__gim"):
+        h = levels.histogram(seen, physics.tec_units(F.col(name)), "tec", "cycle")
+        out[name] = dict((k, v) for k, v, _ in levels.levels_by(h, kind="tec", cutoff=(1.0, 10.0), linear=True, midpoint=midpoint))
+    by_cycle = [(k, out["__alt"][k], out["__gim"].get(k, float("nan"))) for k in sorted(out["__alt"])]
     return by_cycle, levels.mean_within([a - g for _, a, g in by_cycle])
 
 
