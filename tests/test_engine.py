@@ -626,6 +626,28 @@ def test_command_line_says_how(capsys):
     assert main([]) == 2 and "python -m tidemark" in capsys.readouterr().out
 
 
+def test_commands_in_a_row(spark, sf_dir, tmp_path):
+    """Products to cycles, cycles to observations, a model of each method and an error analysis, and the models applied."""
+    from tidemark.__main__ import parser, run
+
+    at = lambda name: str(tmp_path / name)
+    go = lambda *args: run(spark, parser().parse_args([*args, "--x", "0", "2.5", "6", "--y", "0", "3.5", "7", "--least", "3", "--step", "0"]))
+    o = observations(spark, sf_dir.replace("sf0.001", "sf0.01"))
+    later = o.withColumns({"id": F.col("id") + 1000000, "cycle": F.col("cycle") + 1, "lat": F.col("lat") + 0.001, "swh_ku": F.pmod(F.col("id") * 61, F.lit(1200)) / 100.0})
+    o.unionByName(later).drop("usla_ku", "usla_c").write.parquet(at("products"))
+    go("cycles", at("products"), at("cycles"), "j2")
+    go("observations", at("cycles"), at("obs"), "j2")
+    go("model", at("obs"), at("ku"))
+    go("errors", at("cycles"), at("c"), "j2", "usla", "--band", "c")
+    go("pairs", at("cycles"), at("pairs"), "j2", "collinear")
+    go("calibrate", at("cycles"), at("ku"), at("c"), at("bias"), "j2")
+    go("apply", at("cycles"), at("ku"), at("c"), at("applied"), "--gaps")
+    assert all(tables.read_model(spark, at(m))["model_node"].where("value is not null").count() == 42 for m in ("ku", "c", "pairs"))
+    applied = spark.read.parquet(at("applied"))
+    assert applied.count() == spark.read.parquet(at("cycles")).count() > 0 and applied.where("ssb_model is not null and iono_model is not null").count() > 0
+    assert spark.read.parquet(at("bias")).count() > 0
+
+
 def test_whole_model(spark, sf_dir):
     grid = Grid(Axis(0.0, 2.5, 6), Axis(0.0, 3.5, 7))
     o = observations(spark, sf_dir).withColumn("x", F.col("swh_ku")).withColumn("y", F.col("wind_speed_alt")).withColumn("z", physics.bm3(F.col("swh_ku"), F.col("wind_speed_alt")))
