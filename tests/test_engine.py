@@ -712,3 +712,30 @@ def test_planes_across_gaps(spark, known, inside):
             assert r.v is None
     if inside:
         assert sum(r.v is not None for r in got) > 60
+
+
+def test_radius_join_copies_a_row_eight_times_at_most(spark):
+    """A row goes only to the cubes that its neighbourhood reaches, whatever side of a cube's wall it is on."""
+    rows = [(i, float(x), float(y), float(z)) for i, (x, y, z) in enumerate(np.random.default_rng(5).uniform(-6.4e6, 6.4e6, (400, 3)))]
+    rows += [(400, 0.0, 0.0, 0.0), (401, -2020.0, 2020.0, 4040.0)]
+    got = match._cells(spark.createDataFrame(rows, "id long, x double, y double, z double"), ("x", "y", "z"), 1000.0, 2020.0)
+    n = [r["count"] for r in got.groupBy("id").count().collect()]
+    assert len(n) == len(rows) and max(n) <= 8
+    own = match._cell(tuple(F.col(c) for c in "xyz"), 2020.0)
+    assert got.where(F.col("cell") == own).select("id").distinct().count() == len(rows)
+    assert got.select("id", "cell").distinct().count() == got.count()
+
+
+def test_nearest_within_does_not_compare_every_copy(spark):
+    """Records at one place are one partner, and far fewer pairs are made than lie within the radius; the result is the exact one."""
+    rng = np.random.default_rng(6)
+    a = [(i, float(v), float(w), int(i % 2)) for i, (v, w) in enumerate(zip(rng.uniform(-60, 60, 300), rng.uniform(0, 360, 300), strict=True))]
+    b = [(1000 + i, float(v), float(w), int(i % 2)) for i, (v, w) in enumerate(zip(rng.uniform(-60, 60, 300), rng.uniform(0, 360, 300), strict=True))]
+    b += [(2000 + i, 10.0, 20.0, 0) for i in range(400)] + [(5000, None, 3.0, 0)]
+    left, right = (spark.createDataFrame(r, "id long, lat double, lon double, k int") for r in (a, b))
+    keys = (("k", F.col("k_b")),)
+    want = {r.id_a: (r.id_b, r.dist) for r in match.nearest(match.radius_join(left, right, 2.5e6, keys=keys)).select("id_a", "id_b", "dist").collect()}
+    got = match.nearest_within(left, right, 2.5e6, keys=keys, carry=("k",))
+    rows = got.collect()
+    assert len(rows) == len(want) and {r.id_a: (r.id_b, r.dist) for r in rows} == want
+    assert all(r.k_a == r.id_a % 2 for r in rows)

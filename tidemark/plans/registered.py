@@ -374,7 +374,7 @@ def _radius(spark, sf_dir):
 @query("J2_nearest_match", f"WITH {_POINTS}, d AS (SELECT a.id AS a, b.id AS b, {_DIST} AS dist FROM p a JOIN p b ON {_DIST} <= 200000 WHERE a.pass_number % 2 = 1 AND b.pass_number % 2 = 0) SELECT a, b, {_r('dist / 1000', 'km')} FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY dist, b) AS k FROM d) WHERE k = 1")
 def _nearest(spark, sf_dir):
     p = _points(spark, sf_dir)
-    pairs = match.nearest(match.radius_join(p.where(match.ascending(p)), p.where(~match.ascending(p)), 200000.0))
+    pairs = match.nearest_within(p.where(match.ascending(p)), p.where(~match.ascending(p)), 200000.0)
     return pairs.select(F.col("id_a").alias("a"), F.col("id_b").alias("b"), r6(F.col("dist") / 1000).alias("km"))
 
 
