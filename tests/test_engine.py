@@ -739,3 +739,18 @@ def test_nearest_within_does_not_compare_every_copy(spark):
     rows = got.collect()
     assert len(rows) == len(want) and {r.id_a: (r.id_b, r.dist) for r in rows} == want
     assert all(r.k_a == r.id_a % 2 for r in rows)
+
+
+def test_large_cycles_are_written_by_several_tasks(spark, tmp_path):
+    """A cycle beyond the advisory partition size is no single task's, and reads back whole."""
+    size = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "100000")
+    try:
+        obs = spark.range(0, 80000, 1, 8).select("id", F.lit(7).alias("cycle"), F.rand(1).alias("z"), F.array(F.struct(F.lit(1).alias("node"), F.rand(2).alias("w"))).alias("nodes"))
+        tables.write_observations(obs, f"file://{tmp_path}/o")
+        tables.write_cycles(obs.select("id", "cycle", "z", F.lit("j2").alias("mission")), f"file://{tmp_path}/c")
+        for back, at in ((tables.read_observations(spark, f"file://{tmp_path}/o")[0], "o/obs/cycle=7"), (tables.read_cycles(spark, f"file://{tmp_path}/c", "j2"), "c/mission=j2/cycle=7")):
+            assert back.select("id").distinct().count() == back.count() == 80000
+            assert sum(f.endswith(".parquet") for f in os.listdir(tmp_path / at)) > 1
+    finally:
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", size)

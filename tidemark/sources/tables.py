@@ -29,8 +29,8 @@ def with_units(df: DataFrame) -> DataFrame:
 
 
 def write_cycles(df: DataFrame, path: str) -> None:
-    """Cycle table partitioned by mission and cycle, so that cycles prune and rewriting a cycle replaces it."""
-    with_units(df).repartition("mission", "cycle").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("mission", "cycle").parquet(path)
+    """Cycle table partitioned by mission and cycle, so that cycles prune and rewriting a cycle replaces it; a large cycle is dealt to several tasks and files."""
+    with_units(df).hint("rebalance", "mission", "cycle").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("mission", "cycle").parquet(path)
 
 
 def read_cycles(spark: SparkSession, path: str, mission: str, cycles: list[int] | None = None) -> DataFrame:
@@ -124,8 +124,8 @@ def read_model(spark: SparkSession, path: str) -> dict[str, DataFrame]:
 
 
 def write_observations(obs: DataFrame, path: str) -> None:
-    """Observation rows with their weights, partitioned by cycle; node counts beside them."""
-    obs.repartition("cycle").write.mode("overwrite").partitionBy("cycle").parquet(f"{path}/obs")
+    """Observation rows with their weights, partitioned by cycle, a large one by several tasks; node counts beside them."""
+    obs.hint("rebalance", "cycle").write.mode("overwrite").partitionBy("cycle").parquet(f"{path}/obs")
     counts = obs.select("cycle", F.explode("nodes").alias("e")).where("e.w <> 0").groupBy("cycle", F.col("e.node").alias("node")).agg(F.count(F.lit(1)).alias("n"))
     counts.write.mode("overwrite").parquet(f"{path}/node_count")
 
