@@ -754,3 +754,13 @@ def test_large_cycles_are_written_by_several_tasks(spark, tmp_path):
             assert sum(f.endswith(".parquet") for f in os.listdir(tmp_path / at)) > 1
     finally:
         spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", size)
+
+
+def test_sample_statistics_are_computed_once(spark):
+    """A row's samples are filtered and its mean taken once, not once for each sample."""
+    df = spark.createDataFrame([(1, [1.0, 2.0, 4.0, None, 9.0], [0, 0, 0, 0, 1]), (2, [3.0], [1])], "id int, v array<double>, u array<int>")
+    found = df.select("id", windows.sample_summary(F.col("v"), F.col("u")).alias("s")).select("id", "s.*").orderBy("id")
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("arrays_zip") == 1
+    one, none = found.collect()
+    assert np.allclose([one.skew, one.median, one.mean, one.std], [20 / 27 / (14 / 9) ** 1.5, 2.0, 7 / 3, (14 / 9) ** 0.5]) and none[1:] == (None, None, None, None)
+    assert df.select(*windows.sample_statistics(F.col("v"), F.col("u"), "s")).columns == ["s_skew", "s_median", "s_mean", "s_std"]

@@ -66,14 +66,37 @@ def changing(df: DataFrame, value: str, *by: str, order: str = "bin") -> DataFra
     return df.withColumn("__next", F.lead(value).over(Window.partitionBy(*by).orderBy(order))).where(F.col("__next") != F.col(value)).drop("__next")
 
 
+def sample_summary(samples: Column, used: Column) -> Column:
+    """Skewness, median, mean and deviation (population) of the used samples (flag 0) of an array, as a struct.
+
+    Each step is bound by a lambda, so that a row computes it once and not once for each sample. Select the struct first and
+    its fields from it, so that all four share it.
+    """
+    kept = F.transform(F.filter(F.arrays_zip(samples.alias("v"), used.alias("u")), lambda e: (e["u"] == 0) & e["v"].isNotNull()), lambda e: e["v"].cast("double"))
+
+    def centred(k: Column) -> Column:
+        n = F.size(k)
+        mean = F.when(n > 0, F.aggregate(k, F.lit(0.0), lambda s, x: s + x) / n)
+        return F.struct(k.alias("k"), F.sort_array(k).alias("order"), n.alias("n"), mean.alias("mean"))
+
+    def moments(c: Column) -> Column:
+        powers = F.transform(c["k"], lambda x: x - c["mean"])
+        sums = F.aggregate(powers, F.struct(F.lit(0.0).alias("s2"), F.lit(0.0).alias("s3")), lambda s, d: F.struct((s["s2"] + d * d).alias("s2"), (s["s3"] + d * d * d).alias("s3")))
+        n, order = c["n"], c["order"]
+        median = F.when(n > 0, (F.element_at(order, F.floor((n + 1) / 2).cast("int")) + F.element_at(order, F.floor(n / 2).cast("int") + 1)) / 2)
+        return F.struct(n.alias("n"), c["mean"].alias("mean"), median.alias("median"), sums.alias("s"))
+
+    def named(c: Column) -> Column:
+        m2, m3 = (F.when(c["n"] > 0, c["s"][f"s{p}"] / c["n"]) for p in (2, 3))
+        return F.struct(F.try_divide(m3, F.pow(m2, F.lit(1.5))).alias("skew"), c["median"].alias("median"), c["mean"].alias("mean"), F.sqrt(m2).alias("std"))
+
+    bound = F.array(kept)
+    for step in (centred, moments, named):
+        bound = F.transform(bound, step)
+    return bound[0]
+
+
 def sample_statistics(samples: Column, used: Column, name: str) -> list[Column]:
-    """Skewness, median, mean and deviation (population) of the used samples (flag 0) of an array."""
-    kept = F.transform(F.filter(F.arrays_zip(samples.alias("v"), used.alias("u")), lambda e: (e["u"] == 0) & e["v"].isNotNull()), lambda e: e["v"])
-    n = F.size(kept)
-    total = lambda f: F.aggregate(kept, F.lit(0.0), lambda s, x: s + f(x))
-    mean = F.when(n > 0, total(lambda x: x) / n)
-    moment = lambda p: F.when(n > 0, total(lambda x: F.pow(x - mean, F.lit(float(p)))) / n)
-    order = F.array_sort(kept)
-    median = F.when(n > 0, (F.element_at(order, F.floor((n + 1) / 2).cast("int")) + F.element_at(order, F.floor(n / 2).cast("int") + 1)) / 2)
-    skew = F.try_divide(moment(3), F.pow(moment(2), F.lit(1.5)))
-    return [skew.alias(f"{name}_skew"), median.alias(f"{name}_median"), mean.alias(f"{name}_mean"), F.sqrt(moment(2)).alias(f"{name}_std")]
+    """The fields of `sample_summary` as columns."""
+    found = sample_summary(samples, used)
+    return [found[f].alias(f"{name}_{f}") for f in ("skew", "median", "mean", "std")]

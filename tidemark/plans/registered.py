@@ -627,8 +627,8 @@ SELECT m.id, {_r('CASE WHEN s > 0 THEN m3 / (s * s * s) END', 'skew')}, {_r('d',
 def _samples(spark, sf_dir):
     k = F.sequence(F.lit(0), F.lit(19))
     o = observations(spark, sf_dir).select("id", F.transform(k, lambda i: F.col("swh_ku") + F.pmod(F.col("id") * 7 + i * i * 31, F.lit(100)) / 100.0).alias("v"), F.transform(k, lambda i: F.when(F.pmod(F.col("id") + i, F.lit(3)) != 0, 0).otherwise(1)).alias("u"))
-    st = windows.sample_statistics(F.col("v"), F.col("u"), "s")
-    return o.select("id", *st).select("id", r6("s_skew").alias("skew"), r6("s_median").alias("median"), r6("s_mean").alias("mean"), r6("s_std").alias("std"))
+    found = o.select("id", windows.sample_summary(F.col("v"), F.col("u")).alias("s"))
+    return found.select("id", *[r6(f"s.{f}").alias(f) for f in ("skew", "median", "mean", "std")])
 
 
 @query("A14_residual_mse", f"WITH {_W}, f AS (SELECT id, cycle, z, sum(w * (node * 0.0001e0)) AS m FROM w GROUP BY 1, 2, 3) SELECT cycle, {_r('avg((z - m) * (z - m))', 'mse')} FROM f GROUP BY cycle")
