@@ -764,3 +764,20 @@ def test_sample_statistics_are_computed_once(spark):
     one, none = found.collect()
     assert np.allclose([one.skew, one.median, one.mean, one.std], [20 / 27 / (14 / 9) ** 1.5, 2.0, 7 / 3, (14 / 9) ** 0.5]) and none[1:] == (None, None, None, None)
     assert df.select(*windows.sample_statistics(F.col("v"), F.col("u"), "s")).columns == ["s_skew", "s_median", "s_mean", "s_std"]
+
+
+def test_rounding_of_long_sums_is_no_level():
+    """A last pivot that rounding has made larger than its limit does not give differences a level of their own."""
+    h = np.array([[1.0, -1.0, 0.0], [0.0, 1.0, -1.0], [1.0, 0.0, -1.0]]) / 3
+    a, b = h.T @ h, h.T @ np.array([1.0, 2.0, 3.0])
+    x, error, lacking = lsq.solve(a + 3e-11 * np.eye(3), b + 1e-9)
+    assert lacking and np.allclose(x, np.linalg.pinv(a) @ b, atol=1e-6) and np.allclose(error, np.sqrt(np.diag(np.linalg.pinv(a))), atol=1e-6)
+
+
+def test_fit_reads_its_rows_once(small):
+    """One aggregate gives the matrix, the right-hand side and the counts of all three tables."""
+    found = {(r.i, r.j): r for r in lsq.moments(small, weight=F.col("id") + 1.0).collect()}
+    matrix = {(r.i, r.j): r.v for r in lsq.normal_matrix(small, weight=F.col("id") + 1.0).collect()}
+    assert found.keys() == matrix.keys() and all(np.isclose(found[k].v, v) for k, v in matrix.items())
+    assert all(np.isclose(found[r.i, r.i].b, r.v) for r in lsq.normal_vector(small, weight=F.col("id") + 1.0).collect())
+    assert {i: r.n for (i, j), r in found.items() if i == j and r.n} == {r.node: r.n for r in lsq.node_counts(small).collect()}

@@ -133,6 +133,22 @@ def normal_vector(df: DataFrame, *by: str, weight: Column | None = None, z: str
     return df.select(*by, (w * F.col(z)).alias("__wz"), F.explode("nodes").alias("e")).groupBy(*by, F.col("e.node").alias("i")).agg(F.sum(F.col("e.w") * F.col("__wz")).alias("v"))
 
 
+def moments(df: DataFrame, *by: str, weight: Column | None = None, z: str = "z") -> DataFrame:
+    """(by..., i, j, v, b, n) with i <= j: entries of the weighted normal matrix and, where i = j, of the right-hand side and the rows with weight on the node.
+
+    All that a fit needs of its rows in one aggregate; what is kept of a node's rows does not change the entries of other nodes.
+    """
+    w = F.lit(1.0) if weight is None else weight
+    one = df.select(*by, w.alias("__w"), F.col(z).alias("__z"), "nodes", F.posexplode("nodes").alias("__p", "p"))
+    two = one.select(*by, "__w", "__z", "__p", F.col("p.node").alias("i"), F.col("p.w").alias("__wi"), F.posexplode("nodes").alias("__q", "q"))
+    own = F.col("__p") == F.col("__q")
+    return two.where(F.col("q.node") >= F.col("i")).groupBy(*by, "i", F.col("q.node").alias("j")).agg(
+        F.sum(F.col("__wi") * F.col("q.w") * F.col("__w")).alias("v"),
+        F.sum(F.when(own, F.col("__w") * F.col("__z") * F.col("__wi"))).alias("b"),
+        F.count(F.when(own & (F.col("__wi") != 0), 1)).alias("n"),
+    )
+
+
 def entries(matrix: DataFrame, vector: DataFrame, ids: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Row, column and value of the matrix's upper half, and the right-hand side, by places among the ids (ascending)."""
     known = np.array(ids, np.int64)
@@ -151,15 +167,29 @@ def dense(matrix: DataFrame, vector: DataFrame, ids: list[int]) -> tuple[np.ndar
     return a, b
 
 
+#: Sums of a matrix's rows, of its largest entry, below which they are the rounding of long sums.
+LEVEL_ROUNDING = 1e-9
+
+
 def solve(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, bool]:
-    """Solution, formal error and whether the system lacks rank (then it is the one of least norm)."""
+    """Solution, formal error and whether the system lacks rank (then it is the one of least norm).
+
+    A system that knows no level common to all nodes (differences, free levels) is told by the sums of its rows, which are
+    0 but for rounding, not by a last pivot, which grows with the rounding of long sums. A level is added to it and taken out again.
+    """
+    n, largest = len(b), np.abs(a).max(initial=0.0)
+    level = np.trace(a) / n**2 if n and np.abs(a.sum(1)).max() <= LEVEL_ROUNDING * largest else 0.0
     try:
-        low = np.linalg.cholesky(a)
+        low = np.linalg.cholesky(a + level)
         pivots = np.diag(low)
         if pivots.min() <= 1e-6 * pivots.max():
             raise np.linalg.LinAlgError("rank is lacking but for rounding")
         inverse = np.linalg.inv(low)
-        return inverse.T @ (inverse @ b), np.sqrt((inverse**2).sum(0)), False
+        square = (inverse**2).sum(0)
+        if level:
+            x = inverse.T @ (inverse @ (b - b.mean()))
+            return x - x.mean(), np.sqrt(np.clip(square - 1 / (level * n**2), 0, None)), True
+        return inverse.T @ (inverse @ b), np.sqrt(square), False
     except np.linalg.LinAlgError:
         inverse = np.linalg.pinv(a, rcond=1e-11, hermitian=True)
         return inverse @ b, np.sqrt(np.clip(np.diag(inverse), 0, None)), True
@@ -228,23 +258,20 @@ def fit(df: DataFrame, *, least: int = 50, weight: Column | None = None, complet
     rows = df.where(F.col("z").isNotNull() & F.col("nodes").isNotNull())
     if weight is not None:
         rows = rows.where(weight > 0)
+    ids = None
     if complete_rows:
         rows, ids = consistent(rows, least)
     elif by_cycle:
-        ids = sorted(r["node"] for r in cycle_bins(rows, least).select("node").collect())
-    else:
-        ids = sorted(r["node"] for r in kept_nodes(rows, least).select("node").collect())
+        ids = [r["node"] for r in cycle_bins(rows, least).select("node").collect()]
+    sums = materialize(moments(rows, weight=weight), "moments")  # the grid bounds them
+    counts = {r["i"]: r["n"] for r in sums.where("i = j").select("i", "n").collect()}
+    ids = sorted(n for n in (counts if ids is None else ids) if counts.get(n, 0) >= (max(least, least_diagonal) if ids is None else least_diagonal))
     if not ids:
         return df.sparkSession.createDataFrame([], "node int, value double, error double, n bigint"), True
-    rows = select_columns(rows, ids)
-    counts = {r["node"]: r["n"] for r in node_counts(rows).collect()}
-    thin = {n for n in ids if counts.get(n, 0) < least_diagonal}
-    if thin:
-        ids = [n for n in ids if n not in thin]
-        rows = select_columns(rows, ids)
     if len(ids) > DENSE_NODES and grid is None:
         raise ValueError(f"{len(ids)} nodes are too many to be solved densely; the grid must be given")
-    matrix, vector = normal_matrix(rows, weight=weight), normal_vector(rows, weight=weight)
+    matrix = sums.where(_member(ids)({"node": F.col("i")}) & _member(ids)({"node": F.col("j")}))
+    vector = matrix.where("i = j").select("i", F.col("b").alias("v"))
     if len(ids) <= DENSE_NODES:
         x, error, lacking = solve(*dense(matrix, vector, ids))
     else:
@@ -259,17 +286,32 @@ def demeaned(df: DataFrame, *group: str) -> tuple[DataFrame, DataFrame]:
     The block of group levels is diagonal (a count), so eliminating it subtracts, for every group, the outer product of
     its weight sums over its count.
     """
-    e = exploded(df, *group)
-    n = df.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), F.sum("z").alias("sz"))
-    s = e.groupBy(*group, "node").agg(F.sum("w").alias("s"))
-    sums = s.join(n, list(group))
-    other = s.select(*[F.col(c).alias(f"__{c}") for c in group], F.col("node").alias("j"), F.col("s").alias("t"))
+    sums = _group_sums(df, *group)
+    return _less_groups(normal_matrix(df), normal_vector(df), sums, *group)
+
+
+def _group_sums(df: DataFrame, *group: str) -> DataFrame:
+    """(group..., node, s, n, sz): weight sums of a group's nodes beside its count of rows and their sum; written, as both systems read it twice."""
+    n = df.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), F.sum("z").alias("sz")).select(*[F.col(c).alias(f"__{c}") for c in group], "n", "sz")
+    s = exploded(df, *group).groupBy(*group, "node").agg(F.sum("w").alias("s"))
+    return materialize(s.join(n, _same(group, [f"__{c}" for c in group])).select(*group, "node", "s", "n", "sz"), "group-sums")
+
+
+def _less_groups(matrix: DataFrame, vector: DataFrame, sums: DataFrame, *group: str) -> tuple[DataFrame, DataFrame]:
+    other = sums.select(*[F.col(c).alias(f"__{c}") for c in group], F.col("node").alias("j"), F.col("s").alias("t"))
     same = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in group] + [F.col("node") <= F.col("j")]
     cut = sums.join(other, same).select(F.col("node").alias("i"), "j", (-F.col("s") * F.col("t") / F.col("n")).alias("v"))
-    matrix = normal_matrix(df).unionByName(cut).groupBy("i", "j").agg(F.sum("v").alias("v"))
     cut_v = sums.select(F.col("node").alias("i"), (-F.col("s") * F.col("sz") / F.col("n")).alias("v"))
-    vector = normal_vector(df).unionByName(cut_v).groupBy("i").agg(F.sum("v").alias("v"))
-    return matrix, vector
+    total = lambda d, *by: d.groupBy(*by).agg(F.sum("v").alias("v"))
+    return total(matrix.unionByName(cut), "i", "j"), total(vector.unionByName(cut_v), "i")
+
+
+def demeaned_counted(df: DataFrame, *group: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """As `demeaned`, from one aggregate over the rows and one over groups, with (node, n) as third table."""
+    own = materialize(moments(df), "moments")
+    nodes = own.where("i = j")
+    matrix, vector = _less_groups(own.select("i", "j", "v"), nodes.select("i", F.col("b").alias("v")), _group_sums(df, *group), *group)
+    return matrix, vector, nodes.where("n > 0").select(F.col("i").alias("node"), "n")
 
 
 def group_levels(df: DataFrame, solved: DataFrame, *group: str) -> DataFrame:

@@ -287,10 +287,11 @@ def level(rows: DataFrame, solved: DataFrame, grid: Grid, variable: str = "usla"
 def _eliminated(rows: DataFrame, ids: list[int], least_geo: int) -> tuple[DataFrame, DataFrame]:
     """The rows that count beside free levels of (cycle, geo_cell), and the grid (node, value, error, n) that they give."""
     dense_cells = rows.groupBy("cycle", "geo_cell").count().where(F.col("count") >= least_geo).select("cycle", "geo_cell")
-    used = lsq.select_columns(rows.join(dense_cells, ["cycle", "geo_cell"], "left_semi"), ids)
-    x, error, _ = lsq.solve(*lsq.dense(*lsq.demeaned(used, "cycle", "geo_cell"), ids))
+    used = materialize(lsq.select_columns(rows.join(dense_cells, ["cycle", "geo_cell"], "left_semi"), ids).select("cycle", "geo_cell", "z", "nodes"), "used-rows")
+    matrix, vector, counts = lsq.demeaned_counted(used, "cycle", "geo_cell")
+    x, error, _ = lsq.solve(*lsq.dense(matrix, vector, ids))
     solved = rows.sparkSession.createDataFrame([(n, float(v), float(e)) for n, v, e in zip(ids, x, error, strict=True)], "node int, value double, error double")  # bounded by the dense system
-    return used, solved.join(F.broadcast(lsq.node_counts(used)), "node", "left").na.fill(0, ["n"])
+    return used, solved.join(F.broadcast(counts), "node", "left").na.fill(0, ["n"])
 
 
 def _dense_nodes(rows: DataFrame, least: int) -> list[int]:
