@@ -781,3 +781,23 @@ def test_fit_reads_its_rows_once(small):
     assert found.keys() == matrix.keys() and all(np.isclose(found[k].v, v) for k, v in matrix.items())
     assert all(np.isclose(found[r.i, r.i].b, r.v) for r in lsq.normal_vector(small, weight=F.col("id") + 1.0).collect())
     assert {i: r.n for (i, j), r in found.items() if i == j and r.n} == {r.node: r.n for r in lsq.node_counts(small).collect()}
+
+
+def test_long_tracks_are_cut_with_the_records_around(spark, monkeypatch):
+    """Parts of a track give the means of the whole, over gaps, crowded times and a time or track that is missing."""
+    rng = np.random.default_rng(5)
+    times = np.concatenate([rng.uniform(0, 1000, 700), rng.uniform(500_000, 500_010, 300), [2000.0]])
+    rows = [(i, None if i % 7 == 0 else i % 3, float(t), float(rng.normal())) for i, t in enumerate(times)]
+    rows += [(5000, 1, None, 1.0), (5001, 1, float("nan"), 2.0)]
+    df = spark.createDataFrame(rows, "id int, cycle int, time double, v double").cache()
+    mean = lambda **how: {r.id: r.m for r in windows.moving_means(df, {"v": "m"}, 21, "cycle", max_step=None, **how).collect()}
+    whole = mean()
+    for most in (8, 40, 130):
+        monkeypatch.setattr(windows, "PART_ROWS", most)
+        assert mean() == whole and len(whole) == len(rows) and sum(m is not None for m in whole.values()) == len(rows) - 4 * 20
+        cut = windows.parted(df, 10, "cycle")
+        assert cut.where("__own").count() == len(rows) and cut.where("__own").groupBy("cycle", "__part").count().count() >= 8
+    monkeypatch.undo()
+    crowd = spark.range(400).select(F.col("id"), F.lit(1).alias("cycle"), F.when(F.col("id") < 300, 5.0).otherwise(F.col("id") * 1.0).alias("time"))
+    monkeypatch.setattr(windows, "PART_ROWS", 20)
+    assert windows.parted(crowd, 10, "cycle").count() < 400 + 20 * 20 + 3 * 300  # one time's records go to the parts beside it only

@@ -2,28 +2,72 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import materialize
+
+#: Records of a part of a track, about: a longer track is cut, so that no task holds it whole.
+PART_ROWS = 50_000
+
 
 def track(*by: str, time: str = "time"):
     return Window.partitionBy(*by).orderBy(time)
 
 
+def parted(df: DataFrame, half: int, *by: str, time: str = "time") -> DataFrame:
+    """Rows with the part of their track that they are in (`__part`) and whether it is their own (`__own`).
+
+    A track is counted in narrow bins of time; runs of bins with about PART_ROWS records are its parts, and bins that hold any of the `half`
+    records before or after a part come along as rows that are not its own. Records of one time stay together.
+    """
+    at = F.col(time).cast("double")
+    known = F.when(at.isNotNull() & ~F.isnan(at), at)
+    n, low, high = df.agg(F.count(F.lit(1)), F.min(known), F.max(known)).first()
+    width = (high - low) * PART_ROWS / (8 * n) if n and low is not None else 0.0
+    if n <= PART_ROWS or not 0 < width < math.inf:
+        return df.withColumns({"__part": F.lit(1), "__own": F.lit(True)})
+    # in the order of the window: no time first, no number last
+    bin_ = F.when(at.isNull(), -1).when(F.isnan(at), F.lit(2**62)).otherwise(F.floor((at - low) / width)).cast("long")
+    keys = [f"__by{i}" for i in range(len(by))]
+    counts = df.groupBy(*[F.col(c).alias(k) for c, k in zip(by, keys, strict=True)], bin_.alias("__of")).count()
+    track_ = Window.partitionBy(*keys)
+    bins = counts.withColumn("__from", F.sum("count").over(track_.orderBy("__of").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("count"))
+    bins = bins.withColumn("__part", F.dense_rank().over(track_.orderBy(F.floor(F.col("__from") / PART_ROWS))))
+    # the part of the bin that holds the record `half` before the bin's first, and `half` after its last
+    reach = lambda k: F.max("__part").over(track_.orderBy("__from").rangeBetween(Window.unboundedPreceding, k))
+    bins = bins.withColumns({"__lo": F.coalesce(reach(-half), F.lit(1)), "__next": reach(half - 1)})
+    bins = bins.withColumn("__hi", F.coalesce(F.lead("__next").over(track_.orderBy("__from")), F.col("__part")))
+    found = materialize(bins.select(*keys, "__of", F.col("__part").alias("__home"), "__lo", "__hi"), "track-bins")
+    same = F.col("__bin") == F.col("__of")
+    for c, k in zip(by, keys, strict=True):
+        same &= F.col(c).eqNullSafe(F.col(k))
+    rows = df.withColumn("__bin", bin_).join(found, same).drop("__bin", "__of", *keys)
+    rows = rows.withColumn("__part", F.explode(F.sequence("__lo", "__hi"))).withColumn("__own", F.col("__part") == F.col("__home"))
+    return rows.drop("__lo", "__hi", "__home")
+
+
 def moving_means(df: DataFrame, columns: dict[str, str], size: int, *by: str, time: str = "time", cut: bool = False, max_step: float | None = 1.2, coarse: bool = False) -> DataFrame:
     """Centred means (value -> name) of an odd number of records along each track; NULL where the window is not full.
 
     Tracks whose median time step is over `max_step` get none, or with `coarse` their values as they are. With `cut` only
     windows whose span is within half a second of (size - 1) median steps are returned. All columns share one pass; a
-    track (a cycle of a mission, about 10 days) has a bounded number of records.
+    long track is cut into parts (`parted`), so a task's memory does not grow with it. df is read several times.
     """
     half = size // 2
-    w = track(*by, time=time).rowsBetween(-half, half)
-    rows = df.withColumn("__step", F.col(time) - F.lag(time).over(track(*by, time=time)))
-    rows = rows.withColumns({f"__mean_{out}": F.avg(v).over(w) for v, out in columns.items()})
+    part = track(*by, "__part", time=time)
+    w = part.rowsBetween(-half, half)
+    rows = parted(df, half, *by, time=time).withColumns({f"__mean_{out}": F.avg(v).over(w) for v, out in columns.items()})
     rows = rows.withColumn("__n", F.count(F.lit(1)).over(w)).withColumn("__span", F.last(time).over(w) - F.first(time).over(w))
-    steps = rows.groupBy(*by).agg(F.median("__step").alias("__median"))
-    rows = rows.join(steps, list(by))
+    median = cut or max_step is not None
+    if median:
+        rows = rows.withColumn("__step", F.col(time) - F.lag(time).over(part))
+    rows = rows.where("__own").drop("__part", "__own")
+    if median:
+        steps = rows.groupBy(*by).agg(F.median("__step").alias("__median"))
+        rows = rows.join(steps, list(by))
     full = F.col("__n") == size
     fine = F.lit(True) if max_step is None else F.col("__median") <= max_step
     if cut:

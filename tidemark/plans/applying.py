@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +12,7 @@ from ..functions import physics
 from ..operators import evaluate, triangles, windows
 from ..operators.grid import Grid
 from ..sources import tables
+from ..storage import materialize
 
 #: Records along a track beyond which its ionosphere is smoothed, and records of the mean.
 LEAST, SIZE = 100, 21
@@ -49,9 +53,11 @@ def applied(df: DataFrame, models: dict[str, DataFrame], grid: Grid, *, calibrat
         found |= dict.fromkeys(("iono_cls", "iono_cls_err", "iono_cls_total_err"), product)
     out = out.withColumns(found)
     names = {c: c.replace("_cls_total_err", "_cls_smooth_total_err") if "total" in c else f"{c.removesuffix('_err')}_smooth{'_err' if c.endswith('_err') else ''}" for c in found}
-    whole = windows.Window.partitionBy(*by)
-    many = {f"__many_{c}": F.count(c).over(whole) > LEAST for c in found}
-    out = windows.moving_means(out.withColumns(many), names, SIZE, *by, max_step=max_step, coarse=True)
+    many = {f"__many_{c}": F.count(c) > LEAST for c in found}
+    keys = {c: f"__track{i}" for i, c in enumerate(by)}
+    tracks = materialize(out.groupBy(*[F.col(c).alias(k) for c, k in keys.items()]).agg(*[n.alias(k) for k, n in many.items()]), "track-counts")
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col(k)) for c, k in keys.items()])
+    out = windows.moving_means(out, names, SIZE, *by, max_step=max_step, coarse=True).join(tracks, same).drop(*keys.values())
     smooth_cls = "ssb_cls_c" in df.columns
     out = out.withColumns({n: F.when(F.col(f"__many_{c}") if smooth_cls or "model" in c else F.lit(False), F.col(n)).otherwise(F.col(c)) for c, n in names.items()})
     return out.drop(*many)
