@@ -801,3 +801,12 @@ def test_long_tracks_are_cut_with_the_records_around(spark, monkeypatch):
     crowd = spark.range(400).select(F.col("id"), F.lit(1).alias("cycle"), F.when(F.col("id") < 300, 5.0).otherwise(F.col("id") * 1.0).alias("time"))
     monkeypatch.setattr(windows, "PART_ROWS", 20)
     assert windows.parted(crowd, 10, "cycle").count() < 400 + 20 * 20 + 3 * 300  # one time's records go to the parts beside it only
+
+
+def test_crossings_are_shuffled_before_the_join_only(spark, sf_dir):
+    """Neither groups of near records nor the sides of a crossing are shuffled again, and values come by one join with the records."""
+    points = registered.tracks(spark, sf_dir)
+    found = match.crossovers(points, radius=400000.0, max_days=3.0)
+    plan = lambda d: d._jdf.queryExecution().executedPlan().toString()
+    assert plan(found).count("Exchange hashpartitioning") <= 4
+    assert plan(match.crossover_values(found, points, ["swh_ku"])).count("events.parquet") == 1

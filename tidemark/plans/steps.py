@@ -127,9 +127,8 @@ def tandem_rows(a: DataFrame, b: DataFrame, cycles: list[tuple[int, int]], grid:
 
 def crossover_rows(points: DataFrame, grid: Grid, *, radius: float = 7000.0, max_days: float = 2.0, columns: tuple[str, ...] = SIDE) -> DataFrame:
     """Difference rows (ascending less descending) at crossings, with their weights by time; the cycle is the ascending one."""
-    crossings = match.crossovers(points, radius=radius, max_days=max_days).join(points.select(F.col("id").alias("a0"), "cycle"), "a0")
-    values = match.crossover_values(crossings, points, list(columns))
-    flat = values.select("a0", "a1", "d0", "d1", "cycle", "lat", "lon", ((F.col("time_a") - F.col("time_d")) / 86400.0).alias("days"), *[F.col(f"{s}.{c}").alias(f"{c}_{t}") for s, t in (("a", "a"), ("d", "b")) for c in columns])
+    values = match.crossover_values(match.crossovers(points, radius=radius, max_days=max_days), points, [*columns, "cycle"])
+    flat = values.select("a0", "a1", "d0", "d1", F.col("a_m0.cycle").alias("cycle"), "lat", "lon", ((F.col("time_a") - F.col("time_d")) / 86400.0).alias("days"), *[F.col(f"{s}.{c}").alias(f"{c}_{t}") for s, t in (("a", "a"), ("d", "b")) for c in columns])
     return pair_rows(flat, grid).withColumn("weight", physics.pair_weight(F.col("days")))
 
 
