@@ -786,3 +786,15 @@ def test_trie_shares_prefixes():
 def test_trie_restart(real):
     want = Counter(map(str, unigram.count_tokens(real).collect()))
     assert Counter(map(str, unigram.count_tokens(real, most_nodes=10).collect())) == want
+
+
+def test_packing_encodes_small_parts():
+    """What a worker holds at once is bounded well below a batch of long texts, as workers of other stages live on beside it."""
+    import pyarrow as pa
+
+    from tidemark.llm import packing
+    from tidemark.llm.common import in_parts
+
+    batch = pa.record_batch({"doc_id": list(range(8000)), "text": ["word " * 400] * 8000})
+    parts = list(in_parts(iter([batch]), packing.ROWS, "text", packing.BYTES))
+    assert sum(p.num_rows for p in parts) == 8000 and max(p.column(1).nbytes for p in parts) <= 2_100_000

@@ -28,9 +28,11 @@ from pyspark.sql import functions as F
 from pyspark.taskcontext import TaskContext
 
 from .common import in_parts, materialize, tidy
-from .tokens import BYTES, CACHE_WORDS, END_ID, ROWS, default_path, word_encoder
+from .tokens import END_ID, default_path, word_encoder
 
 CAPACITY = 4096
+#: Rows and bytes of text encoded at once, and words kept: less than for shards, as in the pipeline other stages' workers live on beside these.
+ROWS, BYTES, CACHE_WORDS = 1_000, 2_000_000, 200_000
 WIDTH = 32
 DEPTH = 3
 #: Pieces of one salted group of a length, about.
