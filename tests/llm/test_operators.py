@@ -217,6 +217,62 @@ def test_simhash_crowded_anchor(spark):
         assert [low[roots.get(f, f)] for _, f in rows] == _slow_components(rows)
 
 
+@pytest.mark.parametrize("pairs", [64, 1 << 10, 1 << 19])
+def test_links_connect_what_pairs_do(pairs):
+    """links: the components of all pairs of a home and a row of its run, by trying them all, in runs of several groups."""
+    rng = np.random.default_rng(8)
+    run, prints, home = [], [], []
+    for k, (n, groups, homes) in enumerate([(1, 1, 1), (400, 1, 300), (300, 4, 60), (200, 200, 90), (9, 2, 0), (40, 3, 40), (30, 2, 1)]):
+        centre = rng.integers(-(1 << 62), 1 << 62, groups)
+        for i in range(n):
+            flips = rng.choice(63, rng.integers(0, 4), replace=False)
+            prints.append(int(centre[rng.integers(0, groups)]) ^ sum(1 << int(b) for b in flips))
+            run.append(k)
+            home.append(i < homes)
+    run, prints, home = np.array(run), np.array(prints, np.int64), np.array(home)
+
+    def components_of(found):
+        up = {int(x): int(x) for x in prints}
+
+        def root(x):
+            while up[x] != x:
+                x = up[x]
+            return x
+
+        for u, v in found:
+            a, b = sorted((root(int(u)), root(int(v))))
+            up[b] = a
+        return {x: root(x) for x in up}
+
+    every = [(prints[r], prints[h]) for r in range(len(run)) for h in np.flatnonzero(home & (run == run[r])) if int(prints[r] ^ prints[h]).bit_count() <= 2]
+    found = [(u, v) for us, vs in simhash.links(run, prints[:, None], home, 2, pairs) for u, v in zip(us, vs, strict=True)]
+    assert components_of(found) == components_of(every)
+
+
+def test_links_of_near_copies(spark):
+    """A large group of near copies gives about a link for each member, not one for each anchor or leader that it meets."""
+    rng = np.random.default_rng(6)
+    base, n = [f"w{i}" for i in range(300)], 600
+    rows = []
+    for i in range(n):
+        words = list(base)
+        for at in rng.choice(300, 1 + i % 5, replace=False):
+            words[at] = f"x{rng.integers(0, 10**6)}"
+        rows.append((i, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sig = simhash.signatures(docs, 5).cache()
+    group = {r.f for r in sig.collect()}
+    found = simhash.near_links(sig, simhash.bits_apart(0.8), codes=simhash.CODES, prints=("f",), spread=1).cache()
+    assert found.count() <= 2 * n  # 25 links for each member before
+    roots = {r.node: r.root for r in components.star_components(found).collect()}
+    assert {roots.get(f, f) for f in group} == {min(group)}
+    shingles = [(0, i, simhash.shingle_set(t, 5).tobytes()) for i, t in rows]
+    sets = spark.createDataFrame(shingles, "root long, s long, shingles binary")
+    leaders = spark.createDataFrame([(0, i, 0) for i in range(16)], "root long, s long, turn int")
+    near = simhash.held_against(sets, leaders, 0.8)
+    assert near.count() <= n + 16 * (n // simhash.MEMBERS + 1)
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(200)] + [(500, 501), (500, 502), (7, 7), (900, 800), (800, 900)]
     got = {r.node: r.root for r in components.star_components(spark.createDataFrame(edges, "u long, v long")).collect()}

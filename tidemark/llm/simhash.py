@@ -9,7 +9,7 @@ anchor, finds every link.  A fingerprint has about 78 replicas of 17 bytes, what
 
 Only distinct fingerprints are compared; a group of copies is one of them.  Within an anchor homes are held (in blocks,
 if there are very many: `home_block`) while its replicas stream by, and only a spanning forest of the links is passed
-on, never all pairs.
+on, never all pairs; in a crowded anchor most pairs of rows that are connected already are not compared either.
 
 Defined results: null text counts as empty; a text without words has fingerprint zero and is linked like any other;
 a null doc_id never becomes a component id unless all ids of the component are null; repeated rows each get a row;
@@ -116,29 +116,62 @@ def home_anchor(fps: np.ndarray) -> np.ndarray:
     return (w1 ^ vectors[start[_syndrome(w1)]]) << BLOCK | (w2 ^ vectors[start[_syndrome(w2)]])
 
 
-class Forest:
-    """Union-find over the homes of one anchor."""
+def lowest(low: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The smallest node that each node 0, 1, ... reaches, from the smallest known so far and further links (a, b)."""
+    while True:
+        apart = low[a] != low[b]
+        if not apart.any():
+            return low
+        a, b = a[apart], b[apart]
+        u, v, low = low[a], low[b], low.copy()
+        np.minimum.at(low, np.maximum(u, v), np.minimum(u, v))
+        while (low[low] != low).any():
+            low = low[low]
 
-    def __init__(self) -> None:
-        self.up: dict[int, int] = {}
 
-    def find(self, x: int) -> int:
-        up = self.up
-        while (p := up.get(x, x)) != x:
-            up[x] = up.get(p, p)
-            x = p
-        return x
+def stars(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The links (u, v) as one star a component: every node of it but the smallest, and the smallest."""
+    node, at = np.unique(np.r_[u, v], return_inverse=True)
+    low = lowest(np.arange(len(node)), at[: len(u)], at[len(u) :])
+    moved = low != np.arange(len(node))
+    return node[moved], node[low[moved]]
 
-    def join(self, a: int, b: int) -> bool:
-        a, b = self.find(a), self.find(b)
-        if a == b:
-            return False
-        self.up[max(a, b)] = min(a, b)
-        return True
+
+#: Homes of a crowded anchor that lead first, and how many times more in each round after it.
+LEADING_HOMES, MORE_HOMES = 16, 4
+
+
+def crowded(prints: np.ndarray, homes: int, threshold: int, pairs: int) -> tuple[np.ndarray, np.ndarray]:
+    """What `links` gives for the one run of these rows, without most pairs of rows that are known to be connected.
+
+    Some homes are compared with all rows; then those outside the largest component, ever more in a round. The homes that are left are
+    all in that component, so only rows outside it can gain by them.
+    """
+    node, at = np.unique(prints[:, 0], return_inverse=True)
+    low, every, left, leads = np.arange(len(node)), np.arange(len(prints)), np.arange(homes), LEADING_HOMES
+
+    def compared(some: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        found, step = low, max(1, pairs // max(1, len(some)))
+        for lo in range(0, len(rows), step):
+            part = rows[lo : lo + step]
+            r, h = np.nonzero(np.bitwise_count((prints[part][:, None] ^ prints[some]).view(np.uint64)).sum(2, dtype=np.int64) <= threshold)
+            found = lowest(found, at[part[r]], at[some[h]])
+        return found
+
+    while True:
+        main = np.bincount(low[at]).argmax()
+        outside = low[at[left]] != main
+        if not outside.any():
+            break
+        some = left[outside][:leads]
+        low, left, leads = compared(some, every), np.setdiff1d(left, some), leads * MORE_HOMES
+    low = compared(left, every[low[at] != main])
+    moved = low != np.arange(len(node))
+    return node[moved], node[low[moved]]
 
 
 def links(run: np.ndarray, prints: np.ndarray, home: np.ndarray, threshold: int, pairs: int = 1 << 19) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Links between the homes and all rows of each run of equal numbers (homes first), thinned to a spanning forest of each run.
+    """Links between the homes and all rows of each run of equal numbers (homes first), as stars around the smallest of what they connect.
 
     prints: a row of fingerprints for each row, compared together; the first one names the row.
     """
@@ -146,7 +179,11 @@ def links(run: np.ndarray, prints: np.ndarray, home: np.ndarray, threshold: int,
     size = np.diff(np.r_[first, len(run)])
     homes = np.add.reduceat(home.astype(np.int64), first)
     busy = (homes > 0) & (size > 1)
-    first, size, homes = first[busy], size[busy], homes[busy]
+    many = busy & (homes > LEADING_HOMES) & (homes * size > pairs // 8)
+    for at, n, h in zip(first[many], size[many], homes[many], strict=True):
+        yield crowded(prints[at : at + n], int(h), threshold, pairs)
+    few = busy & ~many
+    first, size, homes = first[few], size[few], homes[few]
     if not len(first):
         return
     name = prints[:, 0]
@@ -160,22 +197,15 @@ def links(run: np.ndarray, prints: np.ndarray, home: np.ndarray, threshold: int,
         r = np.repeat(row[lo:hi], m)
         h = np.repeat(at[lo:hi], m) + np.arange(len(r)) - np.repeat(m.cumsum() - m, m)
         near = (np.bitwise_count((prints[r] ^ prints[h]).view(np.uint64)).sum(1, dtype=np.int64) <= threshold) & (name[r] != name[h])
-        r, h = r[near], h[near]
-        if len(r):
-            # every row links to its first home; other homes of a row link to that one, once each
-            lead = np.r_[True, r[1:] != r[:-1]]
-            yield name[r[lead]], name[h[lead]]
-            anchor_home = h[lead][lead.cumsum() - 1]
-            more = np.unique(np.stack([anchor_home[~lead], h[~lead]], 1), axis=0)
-            if len(more):
-                forest = Forest()
-                kept = np.array([forest.join(int(a), int(b)) for a, b in more])
-                yield name[more[kept, 0]], name[more[kept, 1]]
+        if near.any():
+            yield stars(name[r[near]], name[h[near]])
         lo = hi
 
 
 def near_links(distinct: DataFrame, threshold: int = 2, home_block: int = 4096, *, codes: tuple[str, ...] = ("fp",), prints: tuple[str, ...] = ("fp",), spread: int | None = None) -> DataFrame:
-    """Links (u, v) that connect the fingerprints of `distinct` within `threshold` bits: the same components, not all pairs.
+    """Links (u, v), u > v, that connect the fingerprints of `distinct` within `threshold` bits: the same components, not all pairs.
+
+    A group of near copies gives one link for each member, and one for each smallest member of an anchor or two that saw another.
 
     codes: the fingerprints that anchors are found for, each in a table of its own; a pair meets if it differs in at most
     `spread` bits (by default the threshold) of one of them.  prints: the fingerprints that are compared; u and v are the first.
@@ -225,7 +255,10 @@ def near_links(distinct: DataFrame, threshold: int = 2, home_block: int = 4096,
             for u, v in links(run, fp, home, threshold):
                 yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
 
-    return dealt.select("anchor", "block", "home", *names).mapInArrow(compare, "u long, v long").distinct()
+    found = dealt.select("anchor", "block", "home", *names).mapInArrow(compare, "u long, v long").distinct()
+    # Anchors of a neighbourhood name its members again and again: each member goes to its smallest star only, the others' centres to that one.
+    low = F.min("v").over(Window.partitionBy("u"))
+    return found.select(F.when(F.col("v") == low, F.col("u")).otherwise(F.col("v")).alias("u"), low.alias("v")).distinct()
 
 
 def near_duplicates(docs: DataFrame, *, shingle: int = 3, threshold: int = 2) -> DataFrame:
@@ -318,7 +351,8 @@ MOST_ROUNDS = 20
 
 
 def held_against(sets: DataFrame, leaders: DataFrame, similarity: float) -> DataFrame:
-    """(u, v): sets of `sets` (root, s, shingles) and of `leaders` (root, s, turn) of the same root, as similar as asked for.
+    """(u, v), u > v: links that connect the sets of `sets` (root, s, shingles) with those of `leaders` (root, s, turn) of the same root
+    that are as similar as asked for, as stars: one link at most for each set and leader of a block, however many leaders are near it.
 
     A root's sets are dealt to blocks, and its leaders to turns of about HELD_BYTES each; a task holds the leaders of one turn while
     a block streams by.
@@ -359,8 +393,8 @@ def held_against(sets: DataFrame, leaders: DataFrame, similarity: float) -> Data
                         u.append(name[n:hi][near])
                         v.append(np.full(int(near.sum()), leader))
                 if u:
-                    u, v = np.concatenate(u), np.concatenate(v)
-                    yield pa.RecordBatch.from_arrays([pa.array(u[u != v]), pa.array(v[u != v])], names=["u", "v"])
+                    u, v = stars(np.concatenate(u), np.concatenate(v))
+                    yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
 
     return dealt.select(*order, "s", "leads", "shingles").mapInArrow(compare, "u long, v long").distinct()
 
@@ -375,7 +409,7 @@ def similar_components(sets: DataFrame, similarity: float) -> DataFrame:
     """
     spark = sets.sparkSession
     nodes = sets.select("root", "s", F.octet_length("shingles").alias("size"))
-    links = done = spark.createDataFrame([], "u long, v long")
+    done = spark.createDataFrame([], "u long, v long")
     comp = nodes.withColumn("comp", F.col("s"))
     for k in range(MOST_ROUNDS):
         waiting = comp.join(done.select(F.col("u").alias("s")), "s", "left_anti")
@@ -387,9 +421,9 @@ def similar_components(sets: DataFrame, similarity: float) -> DataFrame:
         leaders = materialize(chosen.select("root", "s", F.greatest(turn, F.lit(0)).alias("turn")), "leaders")
         if leaders.isEmpty():
             return comp.select("s", "comp")
-        links = links.unionByName(materialize(held_against(sets, leaders, similarity), "similar"))
+        known = comp.where("s <> comp").select(F.col("s").alias("u"), F.col("comp").alias("v"))  # all that earlier links gave
+        roots = star_components(known.unionByName(held_against(sets, leaders, similarity))).select(F.col("node").alias("s"), F.col("root").alias("to"))
         done = done.unionByName(leaders.select(F.col("s").alias("u"), F.col("s").alias("v")))
-        roots = star_components(links).select(F.col("node").alias("s"), F.col("root").alias("to"))
         comp = materialize(nodes.join(roots, "s", "left").select("root", "s", "size", F.coalesce("to", "s").alias("comp")), "verified")
     raise RuntimeError("similar sets did not settle")
 
