@@ -150,12 +150,13 @@ def fit(docs: list[tuple[list[str], int]], languages: list[str], *, rounds: int
         seqs.append(seq)
     vocab: dict[str, int] = {}
     ids = np.array([[vocab.setdefault(w, len(vocab)) for w in seq] for seq in seqs])
-    lists = [features(w, lexicon) for w in vocab]
-    flat = np.concatenate([np.array(x) for x in lists])
-    sizes = np.array([*map(len, lists)])
-    first, scale = np.r_[0, sizes.cumsum()[:-1]], 1 / np.sqrt(sizes)
-    owner = np.repeat(np.arange(len(lists)), sizes)
+    lists = [np.array(features(w, lexicon), np.int32) for w in vocab]
+    flat, sizes = np.concatenate(lists), np.array([*map(len, lists)])
+    del lists
+    first, scale = np.r_[0, sizes.cumsum()], 1 / np.sqrt(sizes)
+    owner = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
     used, flat = np.unique(flat, return_inverse=True)
+    flat = flat.astype(np.int32)
     params = [np.zeros((len(used), k)), np.zeros((k, k)), np.zeros(k)]
     state = [(np.zeros_like(p), np.zeros_like(p)) for p in params]
     gold = np.zeros((len(vocab), k))
@@ -166,7 +167,7 @@ def fit(docs: list[tuple[list[str], int]], languages: list[str], *, rounds: int
     step = max(1, PART // (length * k + k * k))
     for r in range(rounds):
         w, t, b = params
-        e = np.add.reduceat(w[flat], first) * scale[:, None]
+        e = np.concatenate([np.add.reduceat(w[flat[first[lo] : first[min(lo + 4096, len(sizes))]]], first[lo : min(lo + 4096, len(sizes))] - first[lo]) for lo in range(0, len(sizes), 4096)]) * scale[:, None]
         e = np.exp(e - e.max(1, keepdims=True))
         trans, begin = np.exp(t - t.max()), np.exp(b - b.max())
         got, g_t, g_s = np.zeros((len(vocab), k)), gold_t.copy(), gold_s.copy()
@@ -293,10 +294,15 @@ def sample(docs: DataFrame, per_language: int = PER_LANGUAGE, train_chars: int =
 
 
 def train(docs: DataFrame, **how) -> Crf | None:
-    rows = [(words_of(text), lang) for text, lang in sample(docs, **how)]
+    once: dict[str, str] = {}  # a word of the sample is held once, however often it occurs
+    rows = [([once.setdefault(w, w) for w in words_of(text)], lang) for text, lang in sample(docs, **how)]
     rows = [(w, lang) for w, lang in rows if w]
     languages = sorted({lang for _, lang in rows})
-    return fit([(w, languages.index(lang)) for w, lang in rows], languages) if rows else None
+    crf = fit([(w, languages.index(lang)) for w, lang in rows], languages) if rows else None
+    del rows, once
+    for _ in tidy(iter(())):  # what training took goes back to the system, as the driver lives on
+        pass
+    return crf
 
 
 def predict(docs: DataFrame, crf: Crf | None) -> DataFrame:
