@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import uuid
 from dataclasses import dataclass, field
 
@@ -17,8 +18,9 @@ from ..storage import materialize
 
 #: Least observations of a node, and of a geographic cell of a cycle.
 LEAST, LEAST_GEO = 50, 4
-#: Rounds of post-fit outlier removal at most; more are an error.
-ROUNDS = {"rng_mle": 7}
+#: Rounds of post-fit outlier removal at most; more are an error. They end without one, as each but the last takes a row; how
+#: many it takes grows with the rows, so that a number (6 in the studied system) is a limit on the table. Set one to be told.
+ROUNDS = math.inf
 #: What a fit that can be resumed notes of each round: where its rows are, and how many.
 ROUND_MARKS = "round int, path string, n long"
 #: Variables whose outliers are removed after the fit, and perturbations without.
@@ -180,9 +182,9 @@ def post_fit_pairs(rows: DataFrame, solved: DataFrame, grid: Grid, z: float = 5.
     return outliers.marked_pairs(res, F.col("__ra"), F.col("__rb"), z, "cycle").drop("__ra", "__rb")
 
 
-def rounds_of(variable: str, err: str | None) -> int:
+def rounds_of(variable: str, err: str | None) -> float:
     """Rounds of outlier removal at most."""
-    return 0 if err in NO_OUTLIERS or variable not in OUTLIER_VARIABLES else ROUNDS.get(variable, 6)
+    return 0 if err in NO_OUTLIERS or variable not in OUTLIER_VARIABLES else ROUNDS
 
 
 def finished(rows: DataFrame, solved: DataFrame, grid: Grid, variable: str, used: int, lacking: bool) -> Model:
@@ -194,7 +196,7 @@ def finished(rows: DataFrame, solved: DataFrame, grid: Grid, variable: str, used
 
 
 def fit_model(rows: DataFrame, grid: Grid, *, least: int = LEAST, weight: Column | None = None, variable: str = "usla", err: str | None = None, complete_rows: bool = False, by_cycle: bool = False, state: str | None = None) -> Model:
-    """Fit direct rows, remove post-fit outliers until none is left, level by cycle, and smooth; fails if outliers do not end.
+    """Fit direct rows, remove post-fit outliers until none is left, level by cycle, and smooth.
 
     by_cycle: nodes are chosen by counts that are consistent in each cycle.
     state: a folder of this fit alone, where the rows kept by each round stay; a fit that was lost goes on after its last
@@ -307,7 +309,7 @@ def common_bias(rows: DataFrame, grid: Grid, *, least: int = LEAST, least_geo: i
 
 
 def fit_common_bias(rows: DataFrame, grid: Grid, *, least: int = LEAST, least_geo: int = LEAST_GEO, variable: str = "usla", err: str | None = None, z: float = 5.0) -> tuple[Model, DataFrame]:
-    """Grid and free levels of every (cycle, geographic cell) estimated together, to the end; fails if outliers do not end.
+    """Grid and free levels of every (cycle, geographic cell) estimated together, to the end.
 
     Cells are eliminated, the grid is solved, rows whose residual from the grid is an outlier of its cycle go, and so on until
     none does; the grid's nodes are those of the first round, cells are counted anew in each. Then the cells' levels follow from
